@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshledger.operators.activity import user_activity
 from meshledger.operators.calendar import normal_days
-from meshledger.operators.ledger import correct_negative, currency_ledger
+from meshledger.operators.ledger import correct_negative, currency_ledger, usage_events
 from meshledger.operators.sessions import consolidate_purchases, full_gap_days, log_gaps
 from meshledger.plans import traffic, users
+from meshledger.session import cut_lineage
 from meshledger.sources import derived
 from meshledger.sources.derived import TEST_WINDOW
 
@@ -70,7 +71,10 @@ class Inputs:
 
     @cached_property
     def activity(self) -> DataFrame:
-        return user_activity(self.served, self.tx, self.gap_days, self.window)
+        # A shared derived table: small, costly to build and read by many reports.
+        return cut_lineage(
+            user_activity(self.served, self.tx, self.gap_days, self.window), "activity"
+        )
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -90,7 +94,14 @@ class Inputs:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return consolidate_purchases(self.tx, SESSION_GAP_S, tie=["event_id"])
+        return cut_lineage(
+            consolidate_purchases(self.tx, SESSION_GAP_S, tie=["event_id"]), "sessions"
+        )
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        # A shared derived table, as the balance reads it from several sides.
+        return cut_lineage(usage_events(self.served, self.sessions, self.activity), "usage")
 
     @cached_property
     def ledger(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meshledger.catalog.base import Inputs, query
 from meshledger.catalog.sql import using
 from meshledger.functions import rules as R
-from meshledger.functions.addresses import is_local
+from meshledger.functions.addresses import mark_local
 from meshledger.operators import classify as c
 from meshledger.operators import trace
 from meshledger.sources import derived
@@ -182,7 +182,7 @@ QUERIES = {
             CAST(([6, 17, 1])[event_id % 3 + 1] AS INTEGER) AS protocol FROM events) GROUP BY 1, 2, 3"""),
     ),
     "local_addresses": (
-        query(lambda i: i.table("events").selectExpr("event_id", f"{_SPARK_OCTETS} AS ip").withColumn("local", is_local("ip"))),
+        query(lambda i: mark_local(i.table("events").selectExpr("event_id", f"{_SPARK_OCTETS} AS ip"), "ip")),
         f"SELECT event_id, ip, {_blocks(_number('ip'))} AS local FROM (SELECT event_id, {_OCTETS} AS ip FROM events)",
     ),
     "classified_flows": (

@@ -33,7 +33,7 @@ _COUNTED = """SELECT r.user_id, r.range_start, r.range_end, count(f.ts) AS overl
 _HISTORY = """SELECT *, CASE type WHEN 'init' THEN 0 WHEN 'tare' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS turn,
   coalesce(end_ts, ts) AS sort_end, CAST(bytes_purchased - bytes_up - bytes_down AS BIGINT) AS net FROM (
   SELECT * FROM usage
-  UNION ALL SELECT range_start, range_end, user_id, 'tare', 0, 0, 0, 0 FROM counted WHERE overlaps >= 1
+  UNION ALL SELECT range_start, range_end, user_id, 'tare', 0, 0, 0, 0 FROM counted c WHERE c.overlaps >= 1
   UNION ALL SELECT min(ts) - INTERVAL 1 SECOND, NULL, user_id, 'init', 0, 0, 0, 0 FROM usage GROUP BY user_id)"""
 _ORDERED = "PARTITION BY user_id ORDER BY ts, turn, sort_end, row_id"
 _BALANCED = f"""SELECT *, greatest(0, -min(CASE WHEN type <> 'init' THEN raw END) OVER (PARTITION BY user_id)) AS off,
@@ -58,16 +58,12 @@ def _plain(i: Inputs):
     return i.flows.select("event_id", "user_id", "start_ts", "dest_ip")
 
 
-def _usage(i: Inputs):
-    return g.usage_events(i.served, i.sessions, i.activity)
-
-
 def _shares(i: Inputs):
     return g.credit_time_share(i.corrected[0], i.activity)
 
 
 def _overlaps(i: Inputs):
-    return g.likely_zero_ranges(_usage(i), min_failed=0)
+    return g.likely_zero_ranges(i.usage, min_failed=0)
 
 
 QUERIES = {
@@ -102,12 +98,12 @@ QUERIES = {
           count(*) FILTER (days_active > 30) AS active_over_30_days, count(*) FILTER (fraction_nonzero > 0.95 AND days_active > 30) AS mostly_credit_over_30_days FROM shares""",
               shares=_SHARES),
     ),
-    "usage_events": (query(_usage), using("served sessions users7", "SELECT * FROM usage", usage=_USAGE)),
+    "usage_events": (query(lambda i: i.usage), using("served sessions users7", "SELECT * FROM usage", usage=_USAGE)),
     "failed_flow_overlaps": (
         query(_overlaps), using("served sessions users7", "SELECT * FROM counted", usage=_USAGE, ranges=_RANGES, counted=_COUNTED),
     ),
     "data_balance": (
-        query(lambda i: g.data_balance(_usage(i), min_failed=1)),
+        query(lambda i: g.data_balance(i.usage, min_failed=1)),
         using("served sessions users7", f"""SELECT ts, end_ts, user_id, type, CAST(bytes_up AS BIGINT) AS bytes_up, CAST(bytes_down AS BIGINT) AS bytes_down,
           CAST(bytes_purchased AS BIGINT) AS bytes_purchased, CAST(net2 AS BIGINT) AS net_bytes,
           CAST(greatest(0, sum(net2) OVER ({_ORDERED} ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS balance, i AS user_hist_i FROM tared""",

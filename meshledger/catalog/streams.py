@@ -2,4 +2,40 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from meshledger.catalog.base import Inputs, query
+from meshledger.catalog.sql import using
+from meshledger.sources import derived
+from meshledger.streaming import live
+
+
+def _live_flows(i: Inputs):
+    events = live.as_stream(i.spark, i.sf_dir, "events", i.table("events").schema)
+    return derived.flows_of(events).select("event_id", "start_ts", "category", "bytes_up", "bytes_down")
+
+
+def _deduplicated(i: Inputs):
+    # Every flow arrives twice, from two feeds.
+    both = _live_flows(i).unionByName(_live_flows(i))
+    return live.run_to_end(live.dedup_stream(both, "start_ts", ["event_id"]), "dedup")
+
+
+def _binned(width: str):
+    def build(i: Inputs):
+        bins = live.binned_bytes_stream(_live_flows(i), "start_ts", ["category"], width)
+        return live.run_to_end(bins, "bins")
+
+    return query(build)
+
+
+# Only bins that the watermark has closed are sent out.
+_BINS = """SELECT * FROM (SELECT CAST(date_trunc('{0}', start_ts) AS TIMESTAMP) AS bin_start, category, CAST(sum(bytes_up) AS BIGINT) AS bytes_up,
+  CAST(sum(bytes_down) AS BIGINT) AS bytes_down FROM flows GROUP BY 1, 2)
+  WHERE bin_start + INTERVAL 1 {0} <= date_trunc('millisecond', (SELECT max(start_ts) FROM flows)) - INTERVAL 4 HOUR"""
+
+QUERIES = {
+    "live_deduplicated_flows": (
+        query(_deduplicated), using("flows", "SELECT event_id, start_ts, category, bytes_up, bytes_down FROM flows"),
+    ),
+    "live_daily_bytes": (_binned("1 day"), using("flows", _BINS.format("day"))),
+    "live_hourly_bytes": (_binned("1 hour"), using("flows", _BINS.format("hour"))),
+}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Address blocks that are not globally routable.
 NOT_GLOBAL_V4 = (
@@ -65,16 +67,25 @@ def v6_digits(ip: Column | str) -> Column:
     return F.when(text.contains(":") & (F.length(digits) == 32), digits)
 
 
-def is_local(ip: Column | str) -> Column:
-    """True for an address that is not globally routable."""
-    number, digits = v4_number(ip), v6_digits(ip)
-    local_v4 = F.lit(False)
-    for block in map(ipaddress.ip_network, NOT_GLOBAL_V4):
-        local_v4 = local_v4 | number.between(
-            int(block.network_address), int(block.broadcast_address)
-        )
-    local_v6 = F.lit(False)
-    for block in map(ipaddress.ip_network, NOT_GLOBAL_V6):
-        lo, hi = (f"{int(a):032x}" for a in (block.network_address, block.broadcast_address))
-        local_v6 = local_v6 | digits.between(lo, hi)
-    return F.when(_col(ip).contains(":"), local_v6).otherwise(local_v4)
+def _in_blocks(value: Column, blocks: Iterable[str], bound: Callable) -> Column:
+    tests = []
+    for block in map(ipaddress.ip_network, blocks):
+        lo, hi = bound(block.network_address), bound(block.broadcast_address)
+        tests.append(value.between(lo, hi))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def mark_local(df: DataFrame, ip: str = "dest_ip", out: str = "local") -> DataFrame:
+    """Add whether an address is not globally routable.
+
+    The address is turned into a number (v4) or 32 hex digits (v6) once, as a column of its
+    own, before it is compared with the blocks.
+    """
+    address = F.col(ip)
+    is_v6 = address.contains(":")
+    parsed = df.withColumns(
+        {"_v4": F.when(~is_v6, v4_number(address)), "_v6": F.when(is_v6, v6_digits(address))}
+    )
+    in_v4 = _in_blocks(F.col("_v4"), NOT_GLOBAL_V4, int)
+    in_v6 = _in_blocks(F.col("_v6"), NOT_GLOBAL_V6, lambda a: f"{int(a):032x}")
+    return parsed.withColumn(out, F.coalesce(in_v4, in_v6, F.lit(False))).drop("_v4", "_v6")

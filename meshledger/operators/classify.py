@@ -2,82 +2,76 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions import rules as R
-from meshledger.functions.addresses import is_local
+from meshledger.functions.addresses import mark_local
 
+# The rule tables become flat CASE expressions in SQL text: one parse instead of thousands of
+# calls into the JVM, and one flat branch list in the generated code.
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
 
-def _any_of(name: Column, marks) -> Column:
-    def one(mark) -> Column:
-        if isinstance(mark, tuple):
-            return reduce(lambda a, b: a & b, [name.contains(m) for m in mark])
-        return name.contains(mark)
 
-    return reduce(lambda a, b: a | b, [one(m) for m in marks])
+def _case(branches: list[tuple[str, str]], default: str) -> str:
+    """First branch that holds; tests and results are SQL text."""
+    whens = " ".join(f"WHEN {test} THEN {result}" for test, result in branches)
+    return f"CASE {whens} ELSE {default} END"
 
 
-def _first_match(pairs, default: Column) -> Column:
-    chain = default
-    for condition, value in reversed(list(pairs)):
-        chain = F.when(condition, value).otherwise(chain)
-    return chain
+def _any_of(name: str, marks) -> str:
+    def one(mark) -> str:
+        if isinstance(mark, tuple):
+            return "(" + " AND ".join(f"contains({name}, {_text(m)})" for m in mark) + ")"
+        return f"contains({name}, {_text(mark)})"
 
+    return "(" + " OR ".join(one(m) for m in marks) + ")"
 
-def _pattern_category(name: Column, patterns, renamed: dict, default: Column) -> Column:
+
+def _by_pattern(name: str, patterns, renamed: dict, default: str) -> str:
     """The last pattern that matches decides, so they are tried from the end."""
     tried = [
-        (name.rlike(pattern), F.lit(renamed.get(category, category)))
+        (f"{name} RLIKE r'{pattern}'", _text(renamed.get(category, category)))
         for pattern, category in reversed(patterns)
     ]
-    return _first_match(tried, default)
+    return _case(tried, default)
 
 
-def google_category(fqdn: Column | str) -> Column:
-    name = _col(fqdn)
+def _google(name: str) -> str:
     pattern, category = R.GOOGLE_FALLBACK
-    fallback = F.when(name.rlike(pattern), category).otherwise(R.NOT_MAPPED)
-    return _pattern_category(name, R.GOOGLE_PATTERNS, R.GOOGLE_RENAMED, fallback)
+    fallback = _case([(f"{name} RLIKE r'{pattern}'", _text(category))], _text(R.NOT_MAPPED))
+    return _by_pattern(name, R.GOOGLE_PATTERNS, R.GOOGLE_RENAMED, fallback)
 
 
-def facebook_category(fqdn: Column | str) -> Column:
-    return _pattern_category(
-        _col(fqdn), R.FACEBOOK_PATTERNS, R.FACEBOOK_RENAMED, F.lit(R.NOT_MAPPED)
-    )
+def _facebook(name: str) -> str:
+    return _by_pattern(name, R.FACEBOOK_PATTERNS, R.FACEBOOK_RENAMED, _text(R.NOT_MAPPED))
 
 
-def domain_class(fqdn: Column | str) -> tuple[Column, Column]:
-    """(organisation, category) of a domain as two expressions.
+def google_category(fqdn: str) -> Column:
+    return F.expr(_google(fqdn))
+
+
+def facebook_category(fqdn: str) -> Column:
+    return F.expr(_facebook(fqdn))
 
-    One search through the rule table gives the number of the deciding row; both columns are
-    looked up by that number.
-    """
-    name = _col(fqdn)
-    empty = name.isNull() | (name == "")
-    rule = _first_match(
-        [(_any_of(name, marks), F.lit(i)) for i, (_, _, marks) in enumerate(R.DOMAIN_RULES)],
-        F.lit(len(R.DOMAIN_RULES)),
-    )
-    names = [org for org, _, _ in R.DOMAIN_RULES] + [R.NOT_MAPPED]
-    kinds = [category for _, category, _ in R.DOMAIN_RULES] + [R.NOT_MAPPED]
 
-    def choose(google: Column, facebook: Column, by_rule: list[str]) -> Column:
-        return (
-            F.when(empty, R.NO_DNS)
-            .when(_any_of(name, R.GOOGLE_MARKS), google)
-            .when(_any_of(name, R.FACEBOOK_MARKS), facebook)
-            .otherwise(F.get(F.array(*[F.lit(v) for v in by_rule]), rule))
-        )
+def domain_class(fqdn: str) -> tuple[Column, Column]:
+    """(organisation, category) of the domain in column ``fqdn``."""
+
+    def choose(google: str, facebook: str, column: int) -> Column:
+        branches = [
+            (f"coalesce({fqdn}, '') = ''", _text(R.NO_DNS)),
+            (_any_of(fqdn, R.GOOGLE_MARKS), google),
+            (_any_of(fqdn, R.FACEBOOK_MARKS), facebook),
+            *[(_any_of(fqdn, rule[2]), _text(rule[column])) for rule in R.DOMAIN_RULES],
+        ]
+        return F.expr(_case(branches, _text(R.NOT_MAPPED)))
 
     return (
-        choose(F.lit("Google"), F.lit("Facebook"), names),
-        choose(google_category(name), facebook_category(name), kinds),
+        choose(_text("Google"), _text("Facebook"), 0),
+        choose(_google(fqdn), _facebook(fqdn), 1),
     )
 
 
@@ -94,19 +88,19 @@ def classify_domain(df: DataFrame, fqdn: str = "fqdn") -> DataFrame:
     )
 
 
-def address_class(ip: Column | str) -> tuple[Column, Column]:
-    address = _col(ip)
-    tests = [
-        reduce(lambda a, b: a | b, [getattr(address, how)(text) for text in texts])
-        for _, _, how, texts in R.ADDRESS_RULES
-    ]
-    org = _first_match(
-        zip(tests, [F.lit(rule[0]) for rule in R.ADDRESS_RULES]), F.lit(R.NO_DNS)
-    )
-    category = _first_match(
-        zip(tests, [F.lit(rule[1]) for rule in R.ADDRESS_RULES]), F.lit(R.NO_DNS)
-    )
-    return org, category
+def _address_test(ip: str, how: str, texts) -> str:
+    return "(" + " OR ".join(f"{how}({ip}, {_text(t)})" for t in texts) + ")"
+
+
+def address_class(ip: str) -> tuple[Column, Column]:
+    """(organisation, category) of the address in column ``ip``."""
+    tests = [_address_test(ip, how, texts) for _, _, how, texts in R.ADDRESS_RULES]
+
+    def choose(column: int) -> Column:
+        results = [_text(rule[column]) for rule in R.ADDRESS_RULES]
+        return F.expr(_case(list(zip(tests, results)), _text(R.NO_DNS)))
+
+    return choose(0), choose(1)
 
 
 def classify_ip(df: DataFrame, ip: str = "dest_ip") -> DataFrame:
@@ -114,15 +108,12 @@ def classify_ip(df: DataFrame, ip: str = "dest_ip") -> DataFrame:
     return df.withColumns({"org": org, "category": category})
 
 
-def protocol_name(protocol: Column | str, port: Column | str) -> Column:
-    proto, number = _col(protocol), _col(port)
-    chain = F.lit(R.OTHER_PROTOCOL)
-    for value, ports in R.PORT_NAMES.items():
-        named = _first_match(
-            [(number == p, F.lit(n)) for p, n in ports.items()], F.lit(R.OTHER_PORTS[value])
-        )
-        chain = F.when(proto == value, named).otherwise(chain)
-    return chain
+def protocol_name(protocol: str, port: str) -> Column:
+    by_protocol = []
+    for number, ports in R.PORT_NAMES.items():
+        named = [(f"{port} = {p}", _text(name)) for p, name in ports.items()]
+        by_protocol.append((f"{protocol} = {number}", _case(named, _text(R.OTHER_PORTS[number]))))
+    return F.expr(_case(by_protocol, _text(R.OTHER_PROTOCOL)))
 
 
 def is_call_setup(protocol: str = "protocol", port: str = "dest_port") -> Column:
@@ -132,11 +123,11 @@ def is_call_setup(protocol: str = "protocol", port: str = "dest_port") -> Column
 def classify_flows(flows: DataFrame) -> DataFrame:
     """Name first, then the call-setup port, then Facebook's addresses, then the local flag."""
     by_name = classify_domain(flows)
-    facebook_ip = _any_of(F.col("dest_ip"), R.ADDRESS_RULES[0][3])
+    facebook_ip = F.expr(_any_of("dest_ip", R.ADDRESS_RULES[0][3]))
     by_port = by_name.withColumn(
         "category", F.when(is_call_setup(), R.ICE).otherwise(F.col("category"))
     )
-    return by_port.withColumns(
+    by_address = by_port.withColumns(
         {
             "org": F.when((F.col("org") == R.NO_DNS) & facebook_ip, "Facebook").otherwise(
                 F.col("org")
@@ -144,9 +135,9 @@ def classify_flows(flows: DataFrame) -> DataFrame:
             "category": F.when(
                 (F.col("category") == R.NO_DNS) & facebook_ip, R.NOT_MAPPED
             ).otherwise(F.col("category")),
-            "local": is_local("dest_ip"),
         }
     )
+    return mark_local(by_address, "dest_ip", "local")
 
 
 def classify_remaining_by_ip(flows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meshledger.functions.addresses import is_local
+from meshledger.functions.addresses import mark_local
 from meshledger.functions.timebins import time_bucket
 from meshledger.operators.scans import last_known, ordered_scan, running_sum
 
@@ -57,9 +57,10 @@ def attach_fqdn(
 
     known = F.col("_name").isNotNull()
     if reverse_dns is not None:
-        hosts = reverse_dns.select(F.col("ip").alias("dest_ip"), F.col("host").alias("_host"))
+        known_hosts = mark_local(reverse_dns, "ip", "_local").where(~F.col("_local"))
+        hosts = known_hosts.select(F.col("ip").alias("dest_ip"), F.col("host").alias("_host"))
         scanned = scanned.join(hosts, "dest_ip", "left")
-        reverse = F.when(~is_local("dest_ip"), F.col("_host"))
+        reverse = F.col("_host")
     else:
         reverse = F.lit(None).cast("string")
     return scanned.select(

@@ -8,7 +8,7 @@ from meshledger.functions.timebins import hour_start, plus_seconds, seconds_betw
 from meshledger.operators.activity import eligible_users, members
 from meshledger.operators.calendar import trim
 from meshledger.operators.scans import (
-    following,
+    following_time,
     min_ahead,
     ordered_scan,
     running_max,
@@ -59,7 +59,11 @@ def negative_offsets(ledger: DataFrame) -> DataFrame:
 
 
 def correct_negative(ledger: DataFrame, window: StudyWindow | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lift negative histories to zero; returns (ledger with ``corrected``, early users)."""
+    """Lift negative histories to zero; returns (ledger with ``corrected``, early users).
+
+    The ledger is read by both results, so it is written once.
+    """
+    ledger = cut_lineage(ledger, "ledger")
     offsets = negative_offsets(ledger)
     lifted = (
         ledger.join(offsets, "user_id", "left")
@@ -82,7 +86,7 @@ def credit_time_share(
         ["user_id"],
         ["ts", "entry_id", "side"],
         time_bucket("ts", bucket_seconds),
-        {"next_ts": following("ts")},
+        {"next_ts": following_time("ts")},
     ).withColumn(
         "seconds", F.coalesce(seconds_between("ts", "next_ts"), F.lit(0.0)).cast("decimal(28,6)")
     )
@@ -216,7 +220,8 @@ def data_balance(
 
     Rows are ordered by time, type (init, tare, purchase, ext), end and row id. The running
     balance of a hot user is scanned in time buckets; the corrections are then found on a
-    table of (user, bucket, stretch between tares), and joined back on all three.
+    table of (user, bucket, stretch between tares), and joined back on all three. ``events`` is
+    read several times: pass a written table.
     """
     tares = likely_zero_ranges(events, min_failed, bucket_seconds).select(
         F.col("range_start").alias("ts"), F.col("range_end").alias("end_ts"), "user_id",

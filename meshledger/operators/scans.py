@@ -131,6 +131,26 @@ def following(value: Column | str) -> Running:
     )
 
 
+def previous_time(time: str) -> Running:
+    """As ``previous`` for the first order column itself: needs only a plain maximum."""
+    return Running(
+        summary=lambda order: F.max(time),
+        carry=lambda s, w: F.lag(s).over(w),
+        local=lambda w: F.lag(time).over(w),
+        merge=lambda carried, local: F.coalesce(local, carried),
+    )
+
+
+def following_time(time: str) -> Running:
+    """As ``following`` for the first order column itself: needs only a plain minimum."""
+    return Running(
+        summary=lambda order: F.min(time),
+        carry=lambda s, w: F.lead(s).over(w),
+        local=lambda w: F.lead(time).over(w),
+        merge=lambda carried, local: F.coalesce(local, carried),
+    )
+
+
 def key_total(value: Column | str) -> Running:
     """Sum over all rows of the key, on every row."""
     v = _c(value)

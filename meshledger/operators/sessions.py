@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions.timebins import seconds_between, time_bucket
-from meshledger.operators.scans import ordered_scan, previous, running_max, sessionize
+from meshledger.operators.scans import ordered_scan, previous, previous_time, running_max, sessionize
 from meshledger.operators.stats import cdf, quantiles
 from meshledger.study import SECONDS_PER_DAY
 
@@ -37,7 +37,7 @@ def consolidate_purchases(
         "amount_bytes", "amount_idr",
     )
     return ordered_scan(
-        sessions, ["user_id"], ["ts"], time_bucket("ts", bucket_seconds), {"_last": previous("ts")}
+        sessions, ["user_id"], ["ts"], time_bucket("ts", bucket_seconds), {"_last": previous_time("ts")}
     ).select(
         "ts", "kind", "user_id", "amount_bytes", "amount_idr",
         seconds_between("_last", "ts").alias("time_since_last_purchase"),

@@ -13,9 +13,11 @@ and keep a constant state.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions import rules as R
@@ -26,6 +28,9 @@ from meshledger.operators.scans import ordered_scan, running_max
 _TUPLE = ["user_id", "user_port", "dest_port", "protocol", "dest_ip"]
 _CLOSED = -(2**62)
 
+# The folds below travel to the workers with their code, so the package need not be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def unknown_peer() -> Column:
     unknown = F.col("category").isin(R.NO_DNS, R.NOT_MAPPED) & F.col("org").contains("Unknown")

@@ -36,7 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return flows_of(table(spark, sf_dir, "events"))
+
+
+def flows_of(events: DataFrame) -> DataFrame:
+    """Flows from an events table or an events stream."""
+    return events.selectExpr(
         "event_id",
         "ts AS start_ts",
         f"{_END} AS end_ts",
