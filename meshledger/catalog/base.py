@@ -16,6 +16,8 @@ from meshledger.sources import derived
 from meshledger.sources.derived import TEST_WINDOW
 
 SESSION_GAP_S = 86400
+# Far smaller than the default, so that the small test tables are cut into many buckets too.
+ROWS = 500
 
 
 class Inputs:
@@ -63,7 +65,7 @@ class Inputs:
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return log_gaps(self.all_served, tie=["event_id"])
+        return log_gaps(self.all_served, tie=["event_id"], rows_per_bucket=ROWS)
 
     @cached_property
     def gap_days(self) -> DataFrame:
@@ -95,7 +97,7 @@ class Inputs:
     @cached_property
     def sessions(self) -> DataFrame:
         return cut_lineage(
-            consolidate_purchases(self.tx, SESSION_GAP_S, tie=["event_id"]), "sessions"
+            consolidate_purchases(self.tx, SESSION_GAP_S, ["event_id"], ROWS), "sessions"
         )
 
     @cached_property
@@ -105,7 +107,7 @@ class Inputs:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return currency_ledger(self.tx)
+        return currency_ledger(self.tx, rows_per_bucket=ROWS)
 
     @cached_property
     def corrected(self) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.base import Inputs, query
+from meshledger.catalog.base import ROWS, Inputs, query
 from meshledger.catalog.sql import using
 from meshledger.functions import rules as R
 from meshledger.functions.addresses import mark_local
@@ -199,7 +199,7 @@ QUERIES = {
         _anonymized(149, R.AGGREGATED_ORG, "bytes_down"), using("flows", _RELABEL.format("bytes_down <> 0", 149, R.AGGREGATED_ORG)),
     ),
     "call_trace": (
-        query(lambda i: trace.trace_ice(_few_peers(i), 21600, 43200, 86400).select("event_id", "org", "category")),
+        query(lambda i: trace.trace_ice(_few_peers(i), 21600, 43200, ROWS).select("event_id", "org", "category")),
         _trace_sql(21600, 43200),
     ),
     "call_trace_one_minute": (

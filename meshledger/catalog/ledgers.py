@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.base import Inputs, query, rounded
+from meshledger.catalog.base import ROWS, Inputs, query
 from meshledger.catalog.sql import cdf_sql, secs, using
 from meshledger.operators import calendar as cal
 from meshledger.operators import dns as d
@@ -59,21 +59,21 @@ def _plain(i: Inputs):
 
 
 def _shares(i: Inputs):
-    return g.credit_time_share(i.corrected[0], i.activity)
+    return g.credit_time_share(i.corrected[0], i.activity, ROWS)
 
 
 def _overlaps(i: Inputs):
-    return g.likely_zero_ranges(i.usage, min_failed=0)
+    return g.likely_zero_ranges(i.usage, 0, ROWS)
 
 
 QUERIES = {
     "flows_with_domain": (
-        query(lambda i: d.attach_fqdn(_plain(i), i.dns, tie="event_id").drop("start_ts")),
+        query(lambda i: d.attach_fqdn(_plain(i), i.dns, tie="event_id", rows_per_bucket=ROWS).drop("start_ts")),
         using("flows dns", f"""SELECT event_id, user_id, dest_ip, coalesce(name, '') AS fqdn, CAST(n AS INTEGER) AS ambiguous_fqdn_count,
           CASE WHEN name IS NULL THEN 'none' ELSE 'user_dns_log' END AS fqdn_source FROM ({_NAMED})"""),
     ),
     "flows_with_domain_or_reverse": (
-        query(lambda i: d.attach_fqdn(_plain(i), i.dns, _reverse(i), tie="event_id").drop("start_ts")),
+        query(lambda i: d.attach_fqdn(_plain(i), i.dns, _reverse(i), tie="event_id", rows_per_bucket=ROWS).drop("start_ts")),
         using("flows dns", f"""SELECT event_id, user_id, dest_ip, CASE WHEN name IS NOT NULL THEN name WHEN dest_ip IN ('74.125.24.1', '23.248.162.7')
             THEN concat('host-', dest_ip) ELSE '' END AS fqdn,
           CAST(CASE WHEN name IS NOT NULL THEN n WHEN dest_ip IN ('74.125.24.1', '23.248.162.7') THEN 1 ELSE 0 END AS INTEGER) AS ambiguous_fqdn_count,
@@ -103,14 +103,14 @@ QUERIES = {
         query(_overlaps), using("served sessions users7", "SELECT * FROM counted", usage=_USAGE, ranges=_RANGES, counted=_COUNTED),
     ),
     "data_balance": (
-        query(lambda i: g.data_balance(i.usage, min_failed=1)),
+        query(lambda i: g.data_balance(i.usage, 1, ROWS)),
         using("served sessions users7", f"""SELECT ts, end_ts, user_id, type, CAST(bytes_up AS BIGINT) AS bytes_up, CAST(bytes_down AS BIGINT) AS bytes_down,
           CAST(bytes_purchased AS BIGINT) AS bytes_purchased, CAST(net2 AS BIGINT) AS net_bytes,
           CAST(greatest(0, sum(net2) OVER ({_ORDERED} ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS balance, i AS user_hist_i FROM tared""",
               usage=_USAGE, ranges=_RANGES, counted=_COUNTED, history=_HISTORY, balanced=_BALANCED, tared=_TARED),
     ),
     "hourly_data_ledger": (
-        query(lambda i: g.hourly_ledger(i.flows, i.tx)),
+        query(lambda i: g.hourly_ledger(i.flows, i.tx, rows_per_bucket=ROWS)),
         using("flows purchases", """SELECT user_id, ts, bytes, type, CAST(sum(bytes) OVER (PARTITION BY user_id ORDER BY ts, type, e ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance
           FROM (SELECT user_id, CAST(date_trunc('hour', start_ts) AS TIMESTAMP) AS ts, CAST(-sum(bytes_up + bytes_down) AS BIGINT) AS bytes, 'spend' AS type, 0 AS e FROM flows GROUP BY 1, 2
             UNION ALL SELECT user_id, ts, amount_bytes, 'topup', event_id FROM purchases)"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.base import Inputs, query, rounded
+from meshledger.catalog.base import ROWS, Inputs, query, rounded
 from meshledger.catalog.sql import cdf_sql, using
 from meshledger.operators import activity as act
 from meshledger.operators import sessions as ses
@@ -116,7 +116,7 @@ QUERIES = {
     ),
     "purchase_sessions": (query(lambda i: i.sessions), using("sessions", "SELECT * FROM sessions")),
     "purchase_sessions_one_minute": (
-        query(lambda i: ses.consolidate_purchases(i.tx, tie=["event_id"]).select("ts", "user_id", "amount_bytes", "amount_idr")),
+        query(lambda i: ses.consolidate_purchases(i.tx, tie=["event_id"], rows_per_bucket=ROWS).select("ts", "user_id", "amount_bytes", "amount_idr")),
         using("purchases", """SELECT min(ts) AS ts, user_id, CAST(sum(amount_bytes) AS BIGINT) AS amount_bytes, CAST(sum(amount_idr) AS BIGINT) AS amount_idr
           FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
             FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM purchases)) GROUP BY user_id, s"""),

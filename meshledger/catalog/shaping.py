@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.base import Inputs, query, rounded
+from meshledger.catalog.base import ROWS, Inputs, query, rounded
 from meshledger.catalog.sql import IN_OUTAGE, cdf_sql, secs, using, week_monday, week_sunday
 from meshledger.functions.timebins import day, month_end, week_ending
 from meshledger.operators import activity as act
@@ -183,13 +183,13 @@ QUERIES = {
         query(lambda i: rounded(stats.ols_significance(_pairs(i), "x", "y"), 6, "slope", "p_value", "r2")), None,
     ),
     "log_gaps": (
-        query(lambda i: ses.log_gaps(i.flows, tie=["event_id"])),
+        query(lambda i: ses.log_gaps(i.flows, tie=["event_id"], rows_per_bucket=ROWS)),
         using("flows", """SELECT gap_start, start_ts AS gap_end FROM (
           SELECT start_ts, lag(end_ts) OVER (ORDER BY start_ts, end_ts, event_id) AS gap_start FROM flows)
           WHERE start_ts > gap_start"""),
     ),
     "log_gaps_running_max": (
-        query(lambda i: ses.log_gaps(i.flows, "running_max", tie=["event_id"])),
+        query(lambda i: ses.log_gaps(i.flows, "running_max", ["event_id"], ROWS)),
         using("flows", """SELECT gap_start, start_ts AS gap_end FROM (
           SELECT start_ts, max(end_ts) OVER (ORDER BY start_ts, end_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_start FROM flows)
           WHERE start_ts > gap_start"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshledger import session
-from meshledger.catalog.base import Inputs, query
+from meshledger.catalog.base import ROWS, Inputs, query
 from meshledger.catalog.sql import FQDN, IP, END, PORT, PROTOCOL, using
 from meshledger.functions.timebins import day
 from meshledger.operators import routing
@@ -234,7 +234,7 @@ QUERIES = {
         query(lambda i: routing.coalesce_flows(
             i.flows.select("event_id", "start_ts", "end_ts", F.lit(0).alias("user_id"), "dest_ip",
                            F.lit(0).alias("user_port"), "dest_port", "protocol", "bytes_up", "bytes_down"),
-            tolerance_s=300, tie=["event_id"])),
+            tolerance_s=300, tie=["event_id"], rows_per_bucket=ROWS)),
         using("flows", """SELECT 0 AS user_id, dest_ip, 0 AS user_port, dest_port, protocol, min(start_ts) AS start_ts,
           arg_max(end_ts, (start_ts, end_ts, event_id)) AS end_ts, CAST(sum(bytes_up) AS BIGINT) AS bytes_up,
           CAST(sum(bytes_down) AS BIGINT) AS bytes_down, count(*) AS merged_flows

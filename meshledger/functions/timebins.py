@@ -55,6 +55,10 @@ def plus_seconds(ts: Column | str, seconds: int) -> Column:
     return _col(ts) + F.expr(f"make_dt_interval(0, 0, 0, {int(seconds)})")
 
 
+def seconds_since_epoch(ts: Column | str) -> Column:
+    return (_col(ts) - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)").cast("double")
+
+
 def time_bucket(ts: Column | str, seconds: int) -> Column:
     """Number of the fixed-length bucket a timestamp falls in; grows with time."""
     elapsed = (_col(ts) - F.expr(_EPOCH)).cast("bigint")

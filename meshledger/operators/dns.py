@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from meshledger.functions.addresses import mark_local
-from meshledger.functions.timebins import time_bucket
-from meshledger.operators.scans import last_known, ordered_scan, running_sum
+from meshledger.operators.scans import (
+    ROWS_PER_BUCKET,
+    by_time,
+    last_known,
+    ordered_scan,
+    running_sum,
+)
 
 
 def attach_fqdn(
@@ -15,7 +20,7 @@ def attach_fqdn(
     reverse_dns: DataFrame | None = None,
     only_dns_users: bool = True,
     tie: str | None = None,
-    bucket_seconds: int = 3600,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """As-of join: the domain of the user's latest answer for the address before the flow.
 
@@ -51,7 +56,7 @@ def attach_fqdn(
         stream,
         ["user_id", "dest_ip"],
         ["_at", "_turn", "_tie"],
-        time_bucket("_at", bucket_seconds),
+        by_time("_at", rows_per_bucket),
         {"_name": last_known("_domain"), "_count": running_sum("_new")},
     ).where(F.col("_turn") == 0)
 

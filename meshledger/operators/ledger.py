@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meshledger.functions.timebins import hour_start, plus_seconds, seconds_between, time_bucket
+from meshledger.functions.timebins import hour_start, plus_seconds, seconds_between
 from meshledger.operators.activity import eligible_users, members
 from meshledger.operators.calendar import trim
 from meshledger.operators.scans import (
+    ROWS_PER_BUCKET,
+    by_time,
+    by_value,
     following_time,
     min_ahead,
     ordered_scan,
     running_max,
     running_sum,
+    with_bucket,
 )
 from meshledger.session import cut_lineage
-from meshledger.study import SECONDS_PER_DAY, StudyWindow
+from meshledger.study import StudyWindow
 
 
 def ledger_entries(transactions: DataFrame, tie: str) -> DataFrame:
@@ -37,14 +41,14 @@ def ledger_entries(transactions: DataFrame, tie: str) -> DataFrame:
 
 
 def currency_ledger(
-    transactions: DataFrame, tie: str = "event_id", bucket_seconds: int = SECONDS_PER_DAY
+    transactions: DataFrame, tie: str = "event_id", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Ledger entries with each user's running balance."""
     return ordered_scan(
         ledger_entries(transactions, tie),
         ["user_id"],
         ["ts", "entry_id", "side"],
-        time_bucket("ts", bucket_seconds),
+        by_time("ts", rows_per_bucket),
         {"balance": running_sum("amount_idr")},
     )
 
@@ -77,7 +81,7 @@ def correct_negative(ledger: DataFrame, window: StudyWindow | None = None) -> tu
 
 
 def credit_time_share(
-    ledger: DataFrame, activity: DataFrame, bucket_seconds: int = SECONDS_PER_DAY
+    ledger: DataFrame, activity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Days with and without credit per eligible user, as a share of the active days."""
     users = eligible_users(activity)
@@ -85,7 +89,7 @@ def credit_time_share(
         ledger,
         ["user_id"],
         ["ts", "entry_id", "side"],
-        time_bucket("ts", bucket_seconds),
+        by_time("ts", rows_per_bucket),
         {"next_ts": following_time("ts")},
     ).withColumn(
         "seconds", F.coalesce(seconds_between("ts", "next_ts"), F.lit(0.0)).cast("decimal(28,6)")
@@ -137,7 +141,7 @@ def usage_events(
     return external.unionByName(bought)
 
 
-def possible_zero_ranges(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def possible_zero_ranges(events: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """For each purchase: from the end of the user's last successful flow to the purchase."""
     good = events.where((F.col("type") == "ext") & (F.col("bytes_down") > 0)).select(
         "user_id", F.col("end_ts").alias("at"), F.lit(0).alias("turn"),
@@ -152,7 +156,7 @@ def possible_zero_ranges(events: DataFrame, bucket_seconds: int = 3600) -> DataF
             stream,
             ["user_id"],
             ["at", "turn"],
-            time_bucket("at", bucket_seconds),
+            by_time("at", rows_per_bucket),
             {"range_start": running_max("good_end")},
         )
         .where((F.col("turn") == 1) & (F.col("range_start") < F.col("at")))
@@ -161,7 +165,7 @@ def possible_zero_ranges(events: DataFrame, bucket_seconds: int = 3600) -> DataF
 
 
 def overlap_counts(
-    ranges: DataFrame, intervals: DataFrame, bucket_seconds: int = 3600
+    ranges: DataFrame, intervals: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add ``overlaps``: how many of the user's intervals touch each closed range.
 
@@ -188,7 +192,7 @@ def overlap_counts(
         stream,
         ["user_id"],
         ["at", "turn"],
-        time_bucket("at", bucket_seconds),
+        by_time("at", rows_per_bucket),
         {"n_began": running_sum("began"), "n_ended": running_sum("ended")},
     )
     probes = counted.where(F.col("turn").isin(1, 2)).groupBy(
@@ -203,18 +207,18 @@ def overlap_counts(
 
 
 def likely_zero_ranges(
-    events: DataFrame, min_failed: int = 50, bucket_seconds: int = 3600
+    events: DataFrame, min_failed: int = 50, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Ranges in which at least ``min_failed`` external flows got nothing back."""
     failed = events.where((F.col("type") == "ext") & (F.col("bytes_down") <= 0)).select(
         "user_id", F.col("ts").alias("start_ts"), "end_ts"
     )
-    counted = overlap_counts(possible_zero_ranges(events, bucket_seconds), failed, bucket_seconds)
+    counted = overlap_counts(possible_zero_ranges(events, rows_per_bucket), failed, rows_per_bucket)
     return counted.where(F.col("overlaps") >= min_failed)
 
 
 def data_balance(
-    events: DataFrame, min_failed: int = 50, bucket_seconds: int = 3600
+    events: DataFrame, min_failed: int = 50, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Each user's data balance, set to zero where it must have been zero.
 
@@ -223,7 +227,7 @@ def data_balance(
     table of (user, bucket, stretch between tares), and joined back on all three. ``events`` is
     read several times: pass a written table.
     """
-    tares = likely_zero_ranges(events, min_failed, bucket_seconds).select(
+    tares = likely_zero_ranges(events, min_failed, rows_per_bucket).select(
         F.col("range_start").alias("ts"), F.col("range_end").alias("end_ts"), "user_id",
         F.lit("tare").alias("type"),
         *[F.lit(0).cast("bigint").alias(c) for c in ("bytes_up", "bytes_down", "bytes_purchased", "row_id")],
@@ -242,8 +246,8 @@ def data_balance(
         .withColumn("net_bytes", F.col("bytes_purchased") - F.col("bytes_up") - F.col("bytes_down"))
         .withColumn("sort_end", F.coalesce("end_ts", "ts"))
         .withColumn("tare_flag", (F.col("type") == "tare").cast("int"))
-        .withColumn("bucket", time_bucket("ts", bucket_seconds))
     )
+    rows = with_bucket(rows, by_time("ts", rows_per_bucket), "bucket")
     scanned = ordered_scan(
         rows,
         ["user_id"],
@@ -269,7 +273,7 @@ def data_balance(
         per_stretch,
         ["user_id"],
         ["stretch"],
-        F.floor(F.col("stretch") / F.lit(4096)),
+        by_value("stretch", rows_per_bucket),
         {"low_ahead": min_ahead("low")},
     )
     starts = per_stretch.groupBy("user_id").agg(
@@ -308,7 +312,10 @@ def data_balance(
 
 
 def hourly_ledger(
-    flows: DataFrame, transactions: DataFrame, tie: str = "event_id"
+    flows: DataFrame,
+    transactions: DataFrame,
+    tie: str = "event_id",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Bytes used per hour and bytes bought, with each user's running balance."""
     spends = (
@@ -325,6 +332,6 @@ def hourly_ledger(
         spends.unionByName(topups),
         ["user_id"],
         ["ts", "type", "entry_id"],
-        time_bucket("ts", SECONDS_PER_DAY),
+        by_time("ts", rows_per_bucket),
         {"balance": running_sum("bytes")},
     ).drop("entry_id")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions.timebins import time_bucket
-from meshledger.operators.scans import sessionize
+from meshledger.operators.scans import ROWS_PER_BUCKET, sessionize
 
 
 def flow_kind(prefix_user: str = "obfuscated", prefix_addr: str = "address") -> Column:
@@ -172,7 +172,10 @@ def dedup_dns(dns: DataFrame, slice_hours: int = 4) -> DataFrame:
 
 
 def coalesce_flows(
-    flows: DataFrame, tolerance_s: float = 1, bucket_seconds: int = 3600, tie: Sequence[str] = ()
+    flows: DataFrame,
+    tolerance_s: float = 1,
+    tie: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Merge flows of one 5-tuple that start within ``tolerance_s`` of the end of the one before."""
     keys = ["user_id", "dest_ip", "user_port", "dest_port", "protocol"]
@@ -182,7 +185,7 @@ def coalesce_flows(
         return F.abs(gap) > F.lit(tolerance_s)
 
     order = ["start_ts", "end_ts", *tie]
-    runs = sessionize(flows, keys, order, "end_ts", apart, bucket_seconds, out="run")
+    runs = sessionize(flows, keys, order, "end_ts", apart, rows_per_bucket, out="run")
     return (
         runs.groupBy(*keys, "run")
         .agg(

@@ -1,13 +1,15 @@
 """Ordered (running) computations that survive a hot key.
 
 A plain ``Window.partitionBy(key).orderBy(time)`` puts the whole history of one key in one
-task. Here each key is cut into buckets of the order column (time or value), so the rows of
-one key spread over many tasks:
+task. Here the order column (time or value) is cut into buckets, so the rows of one key spread
+over many tasks:
 
-1. every bucket is scanned by itself (``Window.partitionBy(key, bucket)``),
-2. a one-row summary per bucket (partial aggregates, combined before the shuffle) is scanned
-   along the buckets of the key; its size is bounded by the calendar, not by the rows,
-3. the carried value is joined back on (key, bucket) and merged with the local one.
+1. the cut points follow the data (``Cut``): a bucket holds about the same number of rows of
+   the whole table, so neither a hot key nor a busy hour makes a large (key, bucket) group,
+2. every bucket is scanned by itself (``Window.partitionBy(key, bucket)``),
+3. a one-row summary per bucket (partial aggregates, combined before the shuffle) is scanned
+   along the buckets of the key; it has one row per bucket, not per row,
+4. the carried value is joined back on (key, bucket) and merged with the local one.
 
 Keys must not be null; rows with a null key are left out, as in a group-by that drops nulls.
 """
@@ -20,12 +22,61 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from meshledger.functions.timebins import time_bucket
+from meshledger.functions.timebins import seconds_since_epoch, time_bucket, value_bucket
 
+# Rows of the whole table per bucket; small enough for one task to sort in memory.
+ROWS_PER_BUCKET = 1_000_000
+_SLOT_SECONDS = 300
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _ALL_AFTER = (1, Window.unboundedFollowing)
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How to cut an order column into buckets of about ``rows`` rows.
+
+    ``slot`` is a coarse bin of the order column (its number of values is bounded: five-minute
+    slots of the calendar, or logarithmic bins of a value), ``position`` the column as a number.
+    """
+
+    slot: Column
+    position: Column
+    rows: int = ROWS_PER_BUCKET
+
+
+def by_time(ts: str, rows: int = ROWS_PER_BUCKET) -> Cut:
+    return Cut(time_bucket(ts, _SLOT_SECONDS), seconds_since_epoch(ts), rows)
+
+
+def by_value(value: str, rows: int = ROWS_PER_BUCKET) -> Cut:
+    return Cut(value_bucket(value), F.col(value).cast("double"), rows)
+
+
+def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
+    """Add a bucket number that never falls along the order column.
+
+    Rows are counted per slot; inside a slot the count is taken to grow evenly from its least
+    to its greatest position. A crowded slot is thereby split, and quiet ones are merged.
+    """
+    counted = (
+        df.select(cut.slot.alias("_slot"), cut.position.alias("_at"))
+        .where(F.col("_slot").isNotNull())
+        .groupBy("_slot")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    )
+    # One row per slot, bounded as said above: small enough for one window and a broadcast.
+    before = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(*_ALL_BEFORE))
+    slots = counted.withColumn("_before", F.coalesce(before, F.lit(0)))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    share = F.coalesce((cut.position - F.col("_lo")) / width, F.lit(0.0))
+    number = F.floor((F.col("_before") + F.col("_n") * share) / F.lit(float(cut.rows)))
+    return (
+        df.withColumn("_slot", cut.slot)
+        .join(F.broadcast(slots), "_slot")
+        .select(*df.columns, number.cast("bigint").alias(out))
+    )
+
+
 @dataclass(frozen=True)
 class Running:
     """How one output column is summarised per bucket, carried and merged."""
@@ -168,22 +219,23 @@ def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    cut: Cut | Column,
     outputs: dict[str, Running],
 ) -> DataFrame:
     """Add one running column per entry of ``outputs``.
 
-    ``order`` must be a total order within a key and ``bucket`` must never fall along it.
-    With no keys the summary is one row per bucket for the whole table.
+    ``order`` must be a total order within a key, and ``cut`` a cut of its first column (or a
+    ready bucket column). With no keys the summary is one row per bucket for the whole table.
     """
     keys = list(keys)
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
-    cut = df.where(present).withColumn("_bucket", bucket)
+    rows = df.where(present)
+    rows = with_bucket(rows, cut) if isinstance(cut, Cut) else rows.withColumn("_bucket", cut)
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     along = Window.partitionBy(*keys).orderBy("_bucket")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
 
-    summary = cut.groupBy(*keys, "_bucket").agg(
+    summary = rows.groupBy(*keys, "_bucket").agg(
         *[spec.summary(rank).alias(f"_s_{name}") for name, spec in outputs.items()]
     )
     carried = summary.select(
@@ -191,7 +243,7 @@ def ordered_scan(
         "_bucket",
         *[spec.carry(f"_s_{name}", along).alias(f"_c_{name}") for name, spec in outputs.items()],
     )
-    local = cut.select(
+    local = rows.select(
         "*", *[spec.local(inside).alias(f"_l_{name}") for name, spec in outputs.items()]
     )
     merged = local.join(carried, [*keys, "_bucket"])
@@ -211,7 +263,7 @@ def sessionize(
     order: Sequence[str],
     previous_value: str,
     starts_new: Callable[[Column, Column], Column],
-    bucket_seconds: int,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
     out: str = "session",
 ) -> DataFrame:
     """Name each row's session by the order columns of the session's first row.
@@ -229,8 +281,7 @@ def sessionize(
     rank = F.struct(*order)
 
     local = (
-        df.where(present)
-        .withColumn("_bucket", time_bucket(stamp, bucket_seconds))
+        with_bucket(df.where(present), by_time(stamp, rows_per_bucket))
         .withColumn("_before", F.lag(previous_value).over(inside))
         .withColumn("_opens", F.when(starts_new(F.col("_before"), F.col(stamp)), rank))
         .withColumn(

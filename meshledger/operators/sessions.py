@@ -6,8 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshledger.functions.timebins import seconds_between, time_bucket
-from meshledger.operators.scans import ordered_scan, previous, previous_time, running_max, sessionize
+from meshledger.functions.timebins import seconds_between
+from meshledger.operators.scans import (
+    ROWS_PER_BUCKET,
+    by_time,
+    ordered_scan,
+    previous,
+    previous_time,
+    running_max,
+    sessionize,
+)
 from meshledger.operators.stats import cdf, quantiles
 from meshledger.study import SECONDS_PER_DAY
 
@@ -16,7 +24,7 @@ def consolidate_purchases(
     transactions: DataFrame,
     gap_s: int = 60,
     tie: Sequence[str] = ("amount_bytes", "amount_idr"),
-    bucket_seconds: int = SECONDS_PER_DAY,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Purchases of one user less than ``gap_s`` after the one before become one session.
 
@@ -28,7 +36,7 @@ def consolidate_purchases(
         return seconds_between(last, ts) >= F.lit(float(gap_s))
 
     purchases = transactions.where(F.col("kind") == "purchase")
-    rows = sessionize(purchases, ["user_id"], ["ts", *tie], "ts", apart, bucket_seconds)
+    rows = sessionize(purchases, ["user_id"], ["ts", *tie], "ts", apart, rows_per_bucket)
     sessions = rows.groupBy("user_id", "session").agg(
         F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr")
     )
@@ -37,7 +45,7 @@ def consolidate_purchases(
         "amount_bytes", "amount_idr",
     )
     return ordered_scan(
-        sessions, ["user_id"], ["ts"], time_bucket("ts", bucket_seconds), {"_last": previous_time("ts")}
+        sessions, ["user_id"], ["ts"], by_time("ts", rows_per_bucket), {"_last": previous_time("ts")}
     ).select(
         "ts", "kind", "user_id", "amount_bytes", "amount_idr",
         seconds_between("_last", "ts").alias("time_since_last_purchase"),
@@ -68,7 +76,7 @@ def log_gaps(
     flows: DataFrame,
     mode: str = "previous",
     tie: Sequence[str] = (),
-    bucket_seconds: int = 3600,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Stretches with no flow: a flow that starts after the end of the one before.
 
@@ -83,7 +91,7 @@ def log_gaps(
         flows,
         [],
         ["start_ts", "end_ts", *tie],
-        time_bucket("start_ts", bucket_seconds),
+        by_time("start_ts", rows_per_bucket),
         {"_before": before},
     )
     return scanned.where(F.col("start_ts") > F.col("_before")).select(

@@ -10,8 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from meshledger.functions.timebins import value_bucket
-from meshledger.operators.scans import key_total, ordered_scan, running_sum
+from meshledger.operators.scans import by_value, key_total, ordered_scan, running_sum
 
 
 def value_distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -25,7 +24,7 @@ def value_distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> D
         counts,
         keys,
         [value],
-        value_bucket(value),
+        by_value(value),
         {"n_up_to": running_sum("n"), "n_total": key_total("n")},
     )
 

@@ -21,9 +21,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions import rules as R
-from meshledger.functions.timebins import time_bucket
 from meshledger.operators.classify import is_call_setup
-from meshledger.operators.scans import ordered_scan, running_max
+from meshledger.operators.scans import (
+    ROWS_PER_BUCKET,
+    by_time,
+    ordered_scan,
+    running_max,
+    with_bucket,
+)
 
 _TUPLE = ["user_id", "user_port", "dest_port", "protocol", "dest_ip"]
 _CLOSED = -(2**62)
@@ -111,7 +116,7 @@ def _bucket_effects(folded: DataFrame) -> DataFrame:
 
 
 def traced_cohorts(
-    flows: DataFrame, setup_validity_s: int = 60, chain_validity_s: int = 5, bucket_seconds: int = 3600
+    flows: DataFrame, setup_validity_s: int = 60, chain_validity_s: int = 5, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """The (5-tuple, start) cohorts that are reached by a call setup."""
     marked = flows.select(
@@ -128,13 +133,12 @@ def traced_cohorts(
         cohorts,
         ["user_id", "user_port"],
         ["start_ts", "turn", "dest_port", "protocol", "dest_ip", "open_class"],
-        time_bucket("start_ts", bucket_seconds),
+        by_time("start_ts", rows_per_bucket),
         {"setup_ts": running_max(F.when(F.col("setup"), F.col("start_ts")))},
     ).where(~F.col("setup") & F.col("open_class"))
     timed = seeded.select(
         *_TUPLE,
         "start_ts",
-        time_bucket("start_ts", bucket_seconds).alias("bucket"),
         micros("start_ts").alias("start_us"),
         (micros("end_ts") + F.lit(chain_validity_s * 1_000_000)).alias("end_us"),
         F.coalesce(micros("start_ts") - micros("setup_ts") < validity, F.lit(False)).alias("seed"),
@@ -144,6 +148,7 @@ def traced_cohorts(
         timed.where("seed").groupBy(*_TUPLE).agg(F.min("start_us").alias("first_seed_us"))
     )
     timed = timed.join(first_seed, _TUPLE).where("start_us >= first_seed_us").drop("first_seed_us")
+    timed = with_bucket(timed, by_time("start_ts", rows_per_bucket), "bucket")
 
     columns = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in timed.schema.fields
@@ -178,12 +183,12 @@ def trace_ice(
     flows: DataFrame,
     setup_validity_s: int = 60,
     chain_validity_s: int = 5,
-    bucket_seconds: int = 3600,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
     collapse_duplicates: bool = True,
 ) -> DataFrame:
     """Relabel flows that belong to a call. Exact repeats of a flow collapse, unless told not to."""
     base = flows.dropDuplicates() if collapse_duplicates else flows
-    cohorts = traced_cohorts(base, setup_validity_s, chain_validity_s, bucket_seconds)
+    cohorts = traced_cohorts(base, setup_validity_s, chain_validity_s, rows_per_bucket)
     joined = base.join(cohorts, [*_TUPLE, "start_ts"], "left")
     hit = F.coalesce("in_call", F.lit(False)) & ~is_call_setup()
     peer, service = hit & unknown_peer(), hit & ~unknown_peer() & generic_service()
