@@ -17,7 +17,7 @@ from meshledger.sources.derived import TEST_WINDOW
 
 SESSION_GAP_S = 86400
 # Far smaller than the default, so that the small test tables are cut into many buckets too.
-ROWS = 500
+ROWS = 2000
 
 
 class Inputs:
@@ -88,16 +88,16 @@ class Inputs:
 
     @cached_property
     def grouped(self) -> DataFrame:
-        return users.user_category_org_bytes(self.served)
+        return cut_lineage(users.user_category_org_bytes(self.served), "grouped")
 
     @cached_property
     def user_days(self) -> DataFrame:
-        return users.user_day_bytes(self.served)
+        return cut_lineage(users.user_day_bytes(self.served), "user-days")
 
     @cached_property
     def sessions(self) -> DataFrame:
         return cut_lineage(
-            consolidate_purchases(self.tx, SESSION_GAP_S, ["event_id"], ROWS), "sessions"
+            consolidate_purchases(self.tx, SESSION_GAP_S, ["event_id"], ROWS), "timed-sessions"
         )
 
     @cached_property

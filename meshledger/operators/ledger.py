@@ -213,7 +213,8 @@ def likely_zero_ranges(
     failed = events.where((F.col("type") == "ext") & (F.col("bytes_down") <= 0)).select(
         "user_id", F.col("ts").alias("start_ts"), "end_ts"
     )
-    counted = overlap_counts(possible_zero_ranges(events, rows_per_bucket), failed, rows_per_bucket)
+    ranges = cut_lineage(possible_zero_ranges(events, rows_per_bucket), "ranges")
+    counted = overlap_counts(ranges, failed, rows_per_bucket)
     return counted.where(F.col("overlaps") >= min_failed)
 
 
@@ -227,7 +228,7 @@ def data_balance(
     table of (user, bucket, stretch between tares), and joined back on all three. ``events`` is
     read several times: pass a written table.
     """
-    tares = likely_zero_ranges(events, min_failed, rows_per_bucket).select(
+    tares = cut_lineage(likely_zero_ranges(events, min_failed, rows_per_bucket), "tares").select(
         F.col("range_start").alias("ts"), F.col("range_end").alias("end_ts"), "user_id",
         F.lit("tare").alias("type"),
         *[F.lit(0).cast("bigint").alias(c) for c in ("bytes_up", "bytes_down", "bytes_purchased", "row_id")],

@@ -17,6 +17,7 @@ from meshledger.operators.scans import (
     sessionize,
 )
 from meshledger.operators.stats import cdf, quantiles
+from meshledger.session import cut_lineage
 from meshledger.study import SECONDS_PER_DAY
 
 
@@ -44,6 +45,7 @@ def consolidate_purchases(
         F.col("session.ts").alias("ts"), F.lit("purchase").alias("kind"), "user_id",
         "amount_bytes", "amount_idr",
     )
+    sessions = cut_lineage(sessions, "sessions")
     return ordered_scan(
         sessions, ["user_id"], ["ts"], by_time("ts", rows_per_bucket), {"_last": previous_time("ts")}
     ).select(

@@ -11,15 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshledger.operators.scans import by_value, key_total, ordered_scan, running_sum
+from meshledger.session import cut_lineage
 
 
 def value_distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, value) -> n, number of rows up to the value, number of rows in all."""
+    """(keys, value) -> n, number of rows up to the value, number of rows in all.
+
+    The counts are written once, as the scan reads them from several sides.
+    """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = cut_lineage(counts, "values")
     return ordered_scan(
         counts,
         keys,

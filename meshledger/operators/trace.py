@@ -29,6 +29,7 @@ from meshledger.operators.scans import (
     running_max,
     with_bucket,
 )
+from meshledger.session import cut_lineage
 
 _TUPLE = ["user_id", "user_port", "dest_port", "protocol", "dest_ip"]
 _CLOSED = -(2**62)
@@ -128,6 +129,7 @@ def traced_cohorts(
     cohorts = marked.groupBy(*_TUPLE, "start_ts", "setup", "open_class").agg(
         F.max("end_ts").alias("end_ts")
     ).withColumn("turn", F.when(F.col("setup"), 0).otherwise(1))
+    cohorts = cut_lineage(cohorts, "cohorts")
     validity = F.lit(setup_validity_s * 1_000_000)
     seeded = ordered_scan(
         cohorts,
@@ -143,6 +145,7 @@ def traced_cohorts(
         (micros("end_ts") + F.lit(chain_validity_s * 1_000_000)).alias("end_us"),
         F.coalesce(micros("start_ts") - micros("setup_ts") < validity, F.lit(False)).alias("seed"),
     )
+    timed = cut_lineage(timed, "seeds")
     # Only tuples with a seed, from their first seed on, can change.
     first_seed = (
         timed.where("seed").groupBy(*_TUPLE).agg(F.min("start_us").alias("first_seed_us"))
@@ -158,6 +161,7 @@ def traced_cohorts(
         .sortWithinPartitions(*_TUPLE, "bucket", "start_us")
         .mapInPandas(_fold_inside, f"{columns}, reached boolean, stretch_us bigint")
     )
+    folded = cut_lineage(folded, "reached")
     effects = _bucket_effects(folded)
     keys = ", ".join(
         f"{f.name} {f.dataType.simpleString()}"

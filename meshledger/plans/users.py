@@ -22,6 +22,7 @@ from meshledger.plans.traffic import (
     total_bytes,
     value_cdf_by_type,
 )
+from meshledger.session import cut_lineage
 from meshledger.study import StudyWindow
 
 
@@ -49,6 +50,7 @@ def user_share_of_category(
     totals = totals.join(users, "user_id").withColumn(
         "user_daily", F.col("user_total") / F.col("days_online")
     )
+    totals = cut_lineage(totals, "totals")
     ranked = with_rank(totals, "user_daily", "user_rank")
     order = sort_order(grouped, dimension).select(dimension, F.col("rank").alias("dimension_rank"))
     per_day = F.col("bytes_total") / F.col("days_online")
@@ -78,7 +80,7 @@ def quantile_shares(
     totals = totals.join(users, "user_id").withColumn(
         "daily", F.col("user_total") / F.col("days_online")
     )
-    ranked = with_rank(totals, "daily", "rank_daily")
+    ranked = cut_lineage(with_rank(cut_lineage(totals, "totals"), "daily", "rank_daily"), "ranks")
     binned = rank_bins(ranked, "rank_daily", "quantile", bins)
     joined = parts.join(binned, "user_id")
     order = sort_order(grouped, dimension).select(dimension, "rank")
@@ -199,6 +201,7 @@ def uplink_ratio(flows: DataFrame, activity: DataFrame) -> DataFrame:
             "dl_ratio": F.col("bytes_down") / F.nullif(F.col("bytes_total"), F.lit(0)),
         }
     ).withColumn("mb_avg_per_online_day", F.col("bytes_avg_per_online_day") / MB)
+    joined = cut_lineage(joined, "totals")
     ranked = with_rank(joined, "bytes_total", "rank_total")
     return with_rank(ranked, "bytes_avg_per_online_day", "rank_daily")
 
