@@ -26,7 +26,7 @@ from meshledger.functions.timebins import seconds_since_epoch, time_bucket, valu
 
 # Rows of the whole table per bucket; small enough for one task to sort in memory.
 ROWS_PER_BUCKET = 1_000_000
-_SLOT_SECONDS = 300
+_SLOT_SECONDS = 60
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _ALL_AFTER = (1, Window.unboundedFollowing)
 
@@ -35,7 +35,7 @@ _ALL_AFTER = (1, Window.unboundedFollowing)
 class Cut:
     """How to cut an order column into buckets of about ``rows`` rows.
 
-    ``slot`` is a coarse bin of the order column (its number of values is bounded: five-minute
+    ``slot`` is a coarse bin of the order column (its number of values is bounded: one-minute
     slots of the calendar, or logarithmic bins of a value), ``position`` the column as a number.
     """
 

@@ -31,7 +31,10 @@ def events():
 
 @pytest.fixture(scope="module")
 def table(spark, events):
-    rows = [tuple(r) for r in events.astype(object).where(events.notna(), None).itertuples(index=False)]
+    rows = [
+        (int(r.k), r.ts.to_pydatetime(), int(r.id), int(r.v), None if pd.isna(r.maybe) else int(r.maybe))
+        for r in events.itertuples(index=False)
+    ]
     return spark.createDataFrame(rows, "k bigint, ts timestamp_ntz, id bigint, v bigint, maybe bigint")
 
 
