@@ -32,6 +32,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "id", F.coalesce("id", F.lit(NO_ID)).alias("rank"), F.xxhash64("text").alias("key"), "text")
 
 
+def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows whose id and text ``bad`` (id, key) names."""
+    names = store(bad.select(F.coalesce("id", F.lit(NO_ID)).alias("bad_rank"), F.col("key").alias("bad_key")).distinct(), "rejected")
+    rank = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(names, (rank == names["bad_rank"]) & (key == names["bad_key"]), "left_anti")
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files; they outlive lost executors."""
     spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from meshledger.llm import exact_dedup
+from meshledger.llm import decontaminate, exact_dedup, html_text, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_html_text": html_text.op8_html_text,
+    "op10_token_ids": token_files.op10_token_ids,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
