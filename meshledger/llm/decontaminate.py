@@ -10,7 +10,6 @@ their hash is looked up among all word runs of that length.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

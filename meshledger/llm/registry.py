@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from meshledger.llm import decontaminate, exact_dedup, html_text, simhash, token_files, toxicity
+from meshledger.llm import (
+    decontaminate, exact_dedup, html_text, simhash, substring_dedup, suffix_repeats, token_files, toxicity,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_html_text": html_text.op8_html_text,
+    "op9_suffix_dedup": suffix_repeats.op9_suffix_dedup,
     "op10_token_ids": token_files.op10_token_ids,
 }
 ORACLES = {

@@ -2,8 +2,8 @@
 
 Learning is online and per coordinate; L1 keeps almost all of the 2^DIM_BITS weights at zero, so the
 model is a short list that is broadcast. The labelled rows, at most MAX_ROWS of them (those with the
-smallest hash of their id), are dealt to SHARDS tasks; each task runs FTRL over its rows from the
-common state, the states are averaged by coordinate, and the next round starts from the average.
+smallest hash of their id), are dealt to shards of about SHARD_ROWS; each task runs FTRL over its
+rows from the common state, the states are averaged by coordinate, and the next round starts from the average.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from meshledger.llm import common
 from meshledger.llm.decontaminate import IS_WORD, LOWER
 
-DIM_BITS, MAX_ROWS, SHARDS, ROUNDS = 20, 24_000, 8, 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.0, 0.5
-THRESHOLD = 0.7
+DIM_BITS, MAX_ROWS, SHARD_ROWS, ROUNDS = 20, 24_000, 3000, 3
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.0
+THRESHOLD, STEMS = 0.7, (4, 5, 6)
 
 #: Odd multipliers that tell a word's place in a bigram or skip-gram.
 HERE, NEXT, SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -29,8 +29,9 @@ HERE, NEXT, SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4
 def features(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row of each feature, index of each feature) of a block of texts.
 
-    Features are the words (runs of letters and digits, A-Z lower-cased), the pairs of neighbours
-    and the pairs with one word between; index 0 is left to the constant.
+    Features are the words (runs of letters and digits, A-Z lower-cased), their stems (the first
+    STEMS bytes of longer words, so that inflected forms meet), the pairs of neighbours and the
+    pairs with one word between; index 0 is left to the constant.
     """
     for row, end, data, offsets in common.text_blocks(column):
         data = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
@@ -38,10 +39,14 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray
         h = common.span_hashes(data, begin, stop, 1)
         owner = np.repeat(np.arange(end - row), np.diff(first))
         near, far = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
-        hashes = np.concatenate([
-            h, common.mix(h[:-1] * HERE + h[1:] * NEXT)[near], common.mix(h[:-2] * HERE + h[2:] * SKIP)[far]])
-        index = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-        yield row, end, np.concatenate([owner, owner[:-1][near], owner[:-2][far]]), np.maximum(index, 1)
+        hashes = [h, common.mix(h[:-1] * HERE + h[1:] * NEXT)[near], common.mix(h[:-2] * HERE + h[2:] * SKIP)[far]]
+        owners = [owner, owner[:-1][near], owner[:-2][far]]
+        for size in STEMS:
+            longer = np.flatnonzero(stop - begin > size)
+            hashes.append(common.span_hashes(data, begin[longer], begin[longer] + size, 2))
+            owners.append(owner[longer])
+        index = (np.concatenate(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+        yield row, end, np.concatenate(owners), np.maximum(index, 1)
 
 
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -62,7 +67,7 @@ def _run_shard(index: list[np.ndarray], labels: list[int], z: np.ndarray, n: np.
         n[own] += g * g
 
 
-def train(rows: DataFrame, bits: int = DIM_BITS, rounds: int = ROUNDS, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+def train(rows: DataFrame, bits: int = DIM_BITS, rounds: int = ROUNDS, shards: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(indices, weights) of the nonzero weights. ``rows`` (order, text, label) is bounded by the caller."""
     spark = rows.sparkSession
     dealt = common.store(rows.withColumn("shard", F.pmod("order", F.lit(shards)))
@@ -138,7 +143,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")))
     order = F.xxhash64("id", F.lit("toxicity"))
     sample = common.store(marks.withColumn("order", order).orderBy("order", "id").limit(max_rows), "toxicity-sample")
-    model = train(rows.join(F.broadcast(sample), "id").select("order", "text", "label"))
+    shards = max(1, sample.count() // SHARD_ROWS)
+    model = train(rows.join(F.broadcast(sample), "id").select("order", "text", "label"), shards=shards)
     return score(rows, model).select(
         "id", "key", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
