@@ -1,12 +1,44 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: toxic documents go, one of each near-duplicate group stays, documents with
+benchmark passages go, the rest is mixed to target weights and written as token ids.
+
+Each stage works on all that the one before it kept and calls one operator of the llm folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshledger.llm import decontaminate, mixing, simhash, token_files, toxicity
 from meshledger.session import scratch_path
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_civil(spark, docs, sf_dir)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(spark, docs, sf_dir)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(spark, docs, sf_dir)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.resample(spark, docs, sf_dir)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_table(spark, docs, sf_dir)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("token_ids", token_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Most stages cannot be written in SQL (a trained model, fitted rates, fingerprints).
+#: SQL cannot express a trained model, fitted rates or token ids.
 ORACLE_SQL = None

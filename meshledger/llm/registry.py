@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from meshledger.llm import (
-    decontaminate, exact_dedup, html_text, simhash, substring_dedup, suffix_repeats, token_files, toxicity,
+    brown_lm, decontaminate, exact_dedup, html_text, mixing, simhash, substring_dedup, suffix_repeats, token_files, toxicity,
 )
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,

@@ -149,7 +149,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id, unchanged.
 
-    Rows that repeat this id with another text go; rows repeated with id and text both stay once.
+    Rows that repeat this id with another text go; of rows that repeat id and text one stays.
     """
     found = near_duplicates(docs)
     keep = found.groupBy("component").agg(F.min(F.struct("rank", "key")).alias("first")).select(
@@ -157,4 +157,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = common.store(keep, "kept")
     rank = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(keep, (rank == keep["keep_rank"]) & (key == keep["keep_key"]), "left_semi")
+    kept = docs.join(keep, (rank == keep["keep_rank"]) & (key == keep["keep_key"]), "left_semi")
+    # only a table with repeated rows pays for a shuffle of its texts
+    repeated = found.groupBy("rank", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
