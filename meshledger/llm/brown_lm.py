@@ -190,7 +190,7 @@ def best_class(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: floa
     rest[at] -= right
     rest[:, at] -= left
     rest[at, at] -= own
-    rows, columns = rest.sum(axis=1), rest.sum(axis=0)
+    rows, columns = rest.sum(axis=1) + left, rest.sum(axis=0) + right
     gain = (_entropy_term(rest + right) - _entropy_term(rest)).sum(axis=1)
     gain += (_entropy_term(rest + left[:, None]) - _entropy_term(rest)).sum(axis=0)
     d = np.diagonal(rest)
@@ -285,7 +285,7 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     ``log_counts`` sums log10(count + 1) over the tokens, ``log_model`` all other terms of the model.
     """
     spark = rows.sparkSession
-    n = common.parts(spark, common.input_megabytes(rows), 24)
+    n = common.parts(spark, common.text_megabytes(rows), 40)
     buckets = n * repeats.SPREAD
     sent = spark.sparkContext.broadcast(model)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,12 +41,16 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: s
     return docs.join(names, (rank == names["bad_rank"]) & (key == names["bad_key"]), "left_anti")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files; they outlive lost executors."""
+def store(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files; they outlive lost executors.
+
+    ``large``: its shuffles are worth freeing before the next step makes its own.
+    """
     spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     del df
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -58,7 +63,11 @@ def discard(stored: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at some later collection."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at some later collection.
+
+    The session's listeners let go of a finished plan within a second.
+    """
+    time.sleep(1)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -68,12 +77,12 @@ def parts(spark: SparkSession, megabytes: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(megabytes / each) + 1)
 
 
-def input_megabytes(df: DataFrame) -> float:
-    """Size of the plan's inputs as the optimizer estimates it (for files: their bytes)."""
-    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+def text_megabytes(rows: DataFrame) -> float:
+    """Size of all texts, counted: a plan's own estimate may be far off after joins or for tables without files."""
+    return float(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with at most ``limit`` bytes, one row at least."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32) if len(column) else np.zeros(1, np.int32)

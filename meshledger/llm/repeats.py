@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from meshledger.llm import common
 
+#: Megabytes of text for each shuffle partition (``n`` below).
+SHARE = 12
 #: Bytes of text whose anchors are settled together before they leave a task.
 BLOCK = 16 << 20
 #: Buckets per shuffle partition; a bucket of a block is one row.
@@ -54,7 +56,7 @@ def unpacked(rows: list[dict], columns: dict[str, str]) -> dict[str, np.ndarray]
     return {name: np.frombuffer(b"".join(r[name] for r in rows), kind) for name, kind in columns.items()}
 
 
-def record_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+def record_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for row in rows:
         held.append(row)
@@ -73,24 +75,24 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def by_rank(rank: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((pos, rank))
-    rank, pos = rank[order], pos[order]
-    cuts = group_starts(rank)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
-        yield int(rank[a]), pack(pos[a:b], "<u4")
+def place(rank: np.ndarray, buckets: np.uint64) -> np.ndarray:
+    """The bucket that all that is found about a row meets in."""
+    return (common.mix(rank.astype(np.int64).view(np.uint64)) % buckets).astype(np.int64)
 
 
 ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("rank", pa.binary()), ("pos", pa.binary()),
-                         ("own", pa.int64())])
+                         ("done", pa.bool_())])
 FLAGS = pa.schema([("rank", pa.int64()), ("pos", pa.binary())])
 
 
-def flagged(rows: DataFrame, anchors: Anchors) -> DataFrame:
-    """(rank, pos): packed positions of anchors whose hash occurs in two documents at least; a rank may have several rows."""
-    n = common.parts(rows.sparkSession, common.input_megabytes(rows), 14)
+def flagged(rows: DataFrame, anchors: Anchors, n: int) -> DataFrame:
+    """(rank, pos): packed positions of anchors whose hash occurs in two documents at least, one row per rank."""
     buckets = np.uint64(n * SPREAD)
 
+    def told(rank: np.ndarray, pos: np.ndarray) -> Iterator[dict]:
+        for row in packed(place(rank, buckets), {"rank": (rank, "<i8"), "pos": (pos, "<u4")}):
+            yield row | {"h": b"", "done": True}
+
     def settle(found: list) -> Iterator[dict]:
         rank, pos, h = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h, kind="stable")
@@ -98,16 +100,15 @@ def flagged(rows: DataFrame, anchors: Anchors) -> DataFrame:
         starts = group_starts(h)
         if not len(starts):
             return
-        sizes = np.diff(np.r_[starts, len(h)])
         repeated = np.minimum.reduceat(rank, starts) != np.maximum.reduceat(rank, starts)
-        each = np.repeat(repeated, sizes)
-        for own, at in by_rank(rank[each], pos[each]):
-            yield {"bucket": own % int(buckets), "h": b"", "rank": b"", "pos": at, "own": own}
-        told = starts[repeated]
-        h_ = np.concatenate([h[~each], h[told]])
-        columns = {"h": (h_, "<u8"), "rank": (np.concatenate([rank[~each], rank[told]]), "<i8"),
-                   "pos": (np.concatenate([pos[~each], np.full(len(told), KNOWN)]), "<u4")}
-        yield from packed((h_ % buckets).astype(np.int64), columns)
+        each = np.repeat(repeated, np.diff(np.r_[starts, len(h)]))
+        yield from told(rank[each], pos[each])
+        known = starts[repeated]
+        h_ = np.concatenate([h[~each], h[known]])
+        columns = {"h": (h_, "<u8"), "rank": (np.concatenate([rank[~each], rank[known]]), "<i8"),
+                   "pos": (np.concatenate([pos[~each], np.full(len(known), KNOWN)]), "<u4")}
+        for row in packed((h_ % buckets).astype(np.int64), columns):
+            yield row | {"done": False}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         found, size = [], 0
@@ -127,8 +128,8 @@ def flagged(rows: DataFrame, anchors: Anchors) -> DataFrame:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["own"] is not None:
-                    yield {"rank": row["own"], "pos": row["pos"]}
+                if row["done"]:
+                    yield row
                 else:
                     held.append(row)
         if not held:
@@ -138,28 +139,33 @@ def flagged(rows: DataFrame, anchors: Anchors) -> DataFrame:
         order = np.argsort(x["h"], kind="stable")
         h, rank, pos = x["h"][order], x["rank"][order], x["pos"][order]
         starts = group_starts(h)
-        sizes = np.diff(np.r_[starts, len(h)])
         repeated = np.minimum.reduceat(rank, starts) != np.maximum.reduceat(rank, starts)
         repeated |= np.maximum.reduceat(pos, starts) == KNOWN
-        each = np.repeat(repeated, sizes) & (pos != KNOWN)
-        for own, at in by_rank(rank[each], pos[each]):
-            yield {"rank": own, "pos": at}
+        each = np.repeat(repeated, np.diff(np.r_[starts, len(h)])) & (pos != KNOWN)
+        yield from told(rank[each], pos[each])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held = [row for batch in batches for row in batch.to_pylist()]
+        x = unpacked(held, {"rank": "<i8", "pos": "<u4"})
+        del held
+        order = np.lexsort((x["pos"], x["rank"]))
+        rank, pos = x["rank"][order], x["pos"][order]
+        cuts = group_starts(rank)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+            yield {"rank": int(rank[a]), "pos": pack(pos[a:b], "<u4")}
 
-    sent = (rows.select("rank", "text")
-            .mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), "bucket int, h binary, rank binary, pos binary, own long")
-            .repartition(n, "bucket"))
-    return common.store(sent.mapInArrow(lambda it: record_batches(compare(it), FLAGS), "rank long, pos binary"), "flagged")
+    kinds = "bucket int, h binary, rank binary, pos binary, done boolean"
+    sent = rows.select("rank", "text").mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), kinds).repartition(n, "bucket")
+    told_ = sent.mapInArrow(lambda it: record_batches(compare(it), ANCHOR_ROWS), kinds).select("bucket", "rank", "pos").repartition(n, "bucket")
+    return common.store(told_.mapInArrow(lambda it: record_batches(gather(it), FLAGS), "rank long, pos binary"), "flagged", large=True)
 
 
 REGION_TYPE = "r1 long, r2 long, rank long, key long, start long, windows long, body binary"
 REGION_ROWS = pa.schema([(n, pa.int64()) for n in ("r1", "r2", "rank", "key", "start", "windows")] + [("body", pa.binary())])
 
 
-def regions(rows: DataFrame, flags: DataFrame, cut: Regions) -> DataFrame:
+def regions(rows: DataFrame, flags: DataFrame, cut: Regions, n: int) -> DataFrame:
     """Rows (rank, key, start, windows, body): regions to compare, and with a null body spans of repeats."""
-    n = common.parts(rows.sparkSession, common.input_megabytes(rows), 14)
-    marked = flags.groupBy("rank").agg(F.collect_list("pos").alias("pos"))
-
     def settle(held: dict) -> Iterator[dict]:
         for (r1, r2), (body, found) in held.items():
             least = min(found)[0]
@@ -173,7 +179,7 @@ def regions(rows: DataFrame, flags: DataFrame, cut: Regions) -> DataFrame:
         for batch in batches:
             rank, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, end, data, offsets in common.text_blocks(batch.column(2)):
-                flags_ = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in batch.column(3).slice(row, end - row).to_pylist()]
+                flags_ = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(3).slice(row, end - row).to_pylist()]
                 found = list(cut(data, offsets, flags_))
                 if not found:
                     continue
@@ -200,53 +206,81 @@ def regions(rows: DataFrame, flags: DataFrame, cut: Regions) -> DataFrame:
                         row["body"] = None
                 yield row
 
-    found = (rows.select("rank", "key", "text").join(marked, "rank").select("rank", "key", "text", "pos")
+    found = (rows.select("rank", "key", "text").join(flags, "rank").select("rank", "key", "text", "pos")
              .mapInArrow(lambda it: record_batches(cut_out(it), REGION_ROWS), REGION_TYPE))
     # spans go where their row's id leads, so that a hot region's spans do not follow its hash
-    place = F.when(F.col("body").isNull(), F.xxhash64("rank", "start")).otherwise(F.col("r1"))
-    sorted_ = found.withColumn("place", place).repartition(n, "place").sortWithinPartitions("place", "r1", "r2", "rank").drop("place")
+    to = F.when(F.col("body").isNull(), F.xxhash64("rank", "start")).otherwise(F.col("r1"))
+    sorted_ = found.withColumn("place", to).repartition(n, "place").sortWithinPartitions("place", "r1", "r2", "rank").drop("place")
     return sorted_.mapInArrow(lambda it: record_batches(first_of_equals(it), REGION_ROWS), REGION_TYPE)
 
 
-SPAN_TYPE = "rank long, key long, starts binary, counts binary"
-SPAN_ROWS = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
+SPAN_TYPE = "bucket int, rank binary, key binary, start binary, count binary"
+SPANS = {"rank": "<i8", "key": "<i8", "start": "<u4", "count": "<u4"}
+SPAN_ROWS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in SPANS)])
+GATHERED = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
 
-def span_rows(rank: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[dict]:
-    """Packed spans, one row for each (rank, key); neighbouring and overlapping spans are joined."""
+def joined(rank: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans in order, those that touch or overlap made one."""
     order = np.lexsort((start, key, rank))
-    rank, key, start, stop = rank[order], key[order], start[order], (start + count)[order]
-    cuts = group_starts(rank, key)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
-        s, e = start[a:b], np.maximum.accumulate(stop[a:b])
-        new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-        ends = np.r_[e[new[1:] - 1], e[-1]]
-        yield {"rank": int(rank[a]), "key": int(key[a]), "starts": pack(s[new], "<u4"), "counts": pack(ends - s[new], "<u4")}
+    rank, key, start = rank[order], key[order], start[order].astype(np.int64)
+    first = group_starts(rank, key)
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    reach = np.maximum.accumulate(group << 34 | start + count[order].astype(np.int64))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[1:] << 34 | start[1:]) > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.r_[at[1:], len(order)] - 1
+    return rank[at], key[at], start[at], (reach[last] & ((1 << 34) - 1)) - start[at] if len(at) else start
 
 
-def whole_spans(found: DataFrame) -> DataFrame:
+def span_rows(rank: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: np.uint64) -> Iterator[dict]:
+    """Spans of repeats, packed by the bucket of their row."""
+    if len(rank):
+        found = joined(rank, key, start, count)
+        yield from packed(place(found[0], buckets), dict(zip(SPANS, zip(found, SPANS.values()))))
+
+
+def whole_spans(found: DataFrame, n: int) -> DataFrame:
     """Spans of the regions that are repeats as a whole."""
+    buckets = np.uint64(n * SPREAD)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield from span_rows(*(batch.column(i).to_numpy() for i in range(4)))
+            yield from span_rows(*(batch.column(i).to_numpy() for i in range(4)), buckets)
 
     return (found.where("body IS NULL").select("rank", "key", "start", "windows")
             .mapInArrow(lambda it: record_batches(work(it), SPAN_ROWS), SPAN_TYPE))
 
 
+def gather_spans(spans: DataFrame, n: int) -> DataFrame:
+    """(rank, key, starts, counts): one row for each row of the input that has repeats."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held = [row for batch in batches for row in batch.to_pylist()]
+        x = unpacked(held, SPANS)
+        del held
+        if not len(x["rank"]):
+            return
+        rank, key, start, count = joined(*x.values())
+        cuts = group_starts(rank, key)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+            yield {"rank": int(rank[a]), "key": int(key[a]), "starts": pack(start[a:b], "<u4"), "counts": pack(count[a:b], "<u4")}
+
+    return spans.repartition(n, "bucket").mapInArrow(
+        lambda it: record_batches(gather(it), GATHERED), "rank long, key long, starts binary, counts binary")
+
+
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``rows`` (id, rank, key, text) with the arrays of their packed starts and counts, null without repeats."""
-    mine = spans.groupBy("rank", "key").agg(F.collect_list(F.struct("starts", "counts")).alias("spans"))
-    return rows.join(mine, ["rank", "key"], "left").select("id", "text", "spans")
+    """(id, text, starts, counts) of every row, the packed spans null where there is no repeat."""
+    return rows.join(spans, ["rank", "key"], "left").select("id", "text", "starts", "counts")
 
 
-def covered(spans: list | None, length: int, window: int) -> np.ndarray | None:
+def covered(starts: bytes | None, counts: bytes | None, length: int, window: int) -> np.ndarray | None:
     """Which of ``length`` units lie in a repeated window; None if there is none."""
-    if not spans:
+    if not starts:
         return None
-    start = np.frombuffer(b"".join(s["starts"] for s in spans), "<u4").astype(np.int64)
-    count = np.frombuffer(b"".join(s["counts"] for s in spans), "<u4").astype(np.int64)
+    start, count = (np.frombuffer(x, "<u4").astype(np.int64) for x in (starts, counts))
     edge = np.zeros(length + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + count + window - 1, -1)

@@ -53,7 +53,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, flags: list[np.ndarray]) -> Itera
 
 
 COLUMNS = {"w1": "<u8", "w2": "<u8", "rank": "<i8", "key": "<i8", "start": "<u4"}
-WINDOW_ROWS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in COLUMNS] + [("own", pa.binary())])
+WINDOW_ROWS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in COLUMNS] + [("count", pa.binary())])
 
 
 def _smallest(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -69,12 +69,12 @@ def compare(found: DataFrame, n: int) -> DataFrame:
     """Spans of repeats among the windows of the regions: all windows with a smaller rank in their group."""
     buckets = np.uint64(n * repeats.SPREAD)
 
+    def spans(x: dict, repeat: np.ndarray) -> Iterator[dict]:
+        yield from repeats.span_rows(x["rank"][repeat], x["key"][repeat], x["start"][repeat], np.ones(int(repeat.sum()), np.int64), buckets)
+
     def settle(held: list) -> Iterator[dict]:
         x, repeat, _ = _smallest({c: np.concatenate([h[i] for h in held]) for i, c in enumerate(COLUMNS)})
-        if repeat.any():
-            for row in repeats.span_rows(*(x[c][repeat].astype(np.int64) for c in ("rank", "key", "start")), np.ones(int(repeat.sum()), np.int64)):
-                yield {"bucket": row["rank"] % int(buckets), "rank": repeats.pack(np.array([row["rank"]]), "<i8"),
-                       "key": repeats.pack(np.array([row["key"]]), "<i8"), "start": row["starts"], "own": row["counts"]}
+        yield from spans(x, repeat)
         columns = {c: (x[c][~repeat], kind) for c, kind in COLUMNS.items()}
         yield from repeats.packed((columns["w1"][0] % buckets).astype(np.int64), columns)
 
@@ -101,17 +101,17 @@ def compare(found: DataFrame, n: int) -> DataFrame:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["own"] is not None:
-                    yield {"rank": int(np.frombuffer(row["rank"], "<i8")[0]), "key": int(np.frombuffer(row["key"], "<i8")[0]),
-                           "starts": row["start"], "counts": row["own"]}
+                if row["count"] is not None:
+                    yield row
                 else:
                     held.append(row)
         if held:
-            x, repeat, _ = _smallest(repeats.unpacked(held, COLUMNS))
-            if repeat.any():
-                yield from repeats.span_rows(*(x[c][repeat].astype(np.int64) for c in ("rank", "key", "start")), np.ones(int(repeat.sum()), np.int64))
+            x = repeats.unpacked(held, COLUMNS)
+            del held
+            x, repeat, _ = _smallest(x)
+            yield from spans(x, repeat)
 
-    kinds = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "own binary"])
+    kinds = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "count binary"])
     sent = (found.where("body IS NOT NULL").select("rank", "key", "start", "body")
             .mapInArrow(lambda it: repeats.record_batches(windows(it), WINDOW_ROWS), kinds).repartition(n, "bucket"))
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
@@ -122,9 +122,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(0, batch.num_rows, 1000):
             part = batch.slice(row, 1000)
             words, removed, texts = [], [], []
-            for text, spans in zip(part.column(1), part.column(2)):
-                own = text.as_py().encode().split()
-                gone = repeats.covered(spans.as_py(), len(own), WINDOW)
+            for text, starts, counts in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                own = text.encode().split()
+                gone = repeats.covered(starts, counts, len(own), WINDOW)
                 words.append(len(own))
                 removed.append(0 if gone is None else int(gone.sum()))
                 texts.append(b" ".join(own if gone is None else [w for w, g in zip(own, gone.tolist()) if not g]).decode())
@@ -140,11 +140,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too) never remove each other's words. Shorter texts than a window keep all words.
     """
     rows = common.texts(docs, id_col, text_col)
-    n = common.parts(rows.sparkSession, common.input_megabytes(rows), 14)
-    flags = repeats.flagged(rows, anchors)
-    found = common.store(repeats.regions(rows, flags, cut), "regions")
+    n = common.parts(rows.sparkSession, common.text_megabytes(rows), repeats.SHARE)
+    flags = repeats.flagged(rows, anchors, n)
+    found = common.store(repeats.regions(rows, flags, cut, n), "regions", large=True)
     common.discard(flags)
-    spans = common.store(repeats.whole_spans(found).unionByName(compare(found, n)), "spans")
+    spans = repeats.whole_spans(found, n).unionByName(compare(found, n))
+    spans = common.store(repeats.gather_spans(spans, n), "spans", large=True)
     common.discard(found)
     return repeats.with_spans(rows, spans).mapInArrow(_remove, "id long, n_words long, n_removed long, text string")
 

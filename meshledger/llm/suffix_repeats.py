@@ -195,8 +195,8 @@ def repeat_spans(data: np.ndarray, piece_end: np.ndarray, windows: np.ndarray, r
 
 
 COLUMNS = {"size": "<u4", "windows": "<u4", "rank": "<i8", "key": "<i8", "start": "<u4"}
-PIECE_ROWS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in COLUMNS), ("body", pa.binary()), ("own", pa.binary())])
-PIECE_TYPE = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "body binary, own binary"])
+PIECE_ROWS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in COLUMNS), ("body", pa.binary()), ("count", pa.binary())])
+PIECE_TYPE = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "body binary, count binary"])
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,9 +253,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
         first = repeats.group_starts(r1[order], r2[order])
         least = np.repeat(rank[order][first], np.diff(np.r_[first, len(order)]))
         later = order[rank[order] > least]
-        for row in repeats.span_rows(rank[later], key[later], start[later], count[later]) if len(later) else ():
-            yield {"bucket": row["rank"] % int(buckets), "rank": repeats.pack(np.array([row["rank"]]), "<i8"),
-                   "key": repeats.pack(np.array([row["key"]]), "<i8"), "start": row["starts"], "own": row["counts"]}
+        yield from repeats.span_rows(rank[later], key[later], start[later], count[later], buckets)
         stay = order[rank[order] == least]
         bucket = (h[stay] % buckets).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
@@ -287,9 +285,8 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["own"] is not None:
-                    yield {"rank": int(np.frombuffer(row["rank"], "<i8")[0]), "key": int(np.frombuffer(row["key"], "<i8")[0]),
-                           "starts": row["start"], "counts": row["own"]}
+                if row["count"] is not None:
+                    yield row
                 else:
                     held.append(row)
         if held:
@@ -297,8 +294,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
             data = np.frombuffer(b"".join(r["body"] for r in held), np.uint8)
             del held
             piece, off, count = repeat_spans(data, np.cumsum(x["size"].astype(np.int64)), x["windows"].astype(np.int64), x["rank"])
-            if len(piece):
-                yield from repeats.span_rows(x["rank"][piece], x["key"][piece], x["start"][piece].astype(np.int64) + off, count)
+            yield from repeats.span_rows(x["rank"][piece], x["key"][piece], x["start"][piece].astype(np.int64) + off, count, buckets)
 
     sent = _bodies(found).mapInArrow(lambda it: repeats.record_batches(deal(it), PIECE_ROWS), PIECE_TYPE).repartition(n, "bucket")
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
@@ -310,9 +306,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(0, batch.num_rows, 1000):
             part = batch.slice(row, 1000)
             sizes, removed, runs, kept = [], [], [], []
-            for text, spans in zip(part.column(1), part.column(2)):
-                own = text.as_py().encode()
-                gone = repeats.covered(spans.as_py(), len(own), WINDOW)
+            for text, starts, counts in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                own = text.encode()
+                gone = repeats.covered(starts, counts, len(own), WINDOW)
                 sizes.append(len(own))
                 removed.append(0 if gone is None else int(gone.sum()))
                 runs.append(0 if gone is None else int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
@@ -328,11 +324,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     remove each other's bytes. Matches never cross documents.
     """
     rows = common.texts(docs, id_col, text_col)
-    n = common.parts(rows.sparkSession, common.input_megabytes(rows), 14)
-    flags = repeats.flagged(rows, anchors)
-    found = common.store(repeats.regions(rows, flags, cut), "regions")
+    n = common.parts(rows.sparkSession, common.text_megabytes(rows), repeats.SHARE)
+    flags = repeats.flagged(rows, anchors, n)
+    found = common.store(repeats.regions(rows, flags, cut, n), "regions", large=True)
     common.discard(flags)
-    spans = common.store(repeats.whole_spans(found).unionByName(compare(found, n, hot)), "spans")
+    spans = repeats.whole_spans(found, n).unionByName(compare(found, n, hot))
+    spans = common.store(repeats.gather_spans(spans, n), "spans", large=True)
     common.discard(found)
     return repeats.with_spans(rows, spans).mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

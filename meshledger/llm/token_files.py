@@ -140,8 +140,8 @@ def shards(rows: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids: int
         if names:
             yield shard()
 
-    size = common.input_megabytes(rows)
-    return (rows.select("rank", "text", "key").repartitionByRange(common.parts(spark, size, 32), "rank", "key")
+    size = common.text_megabytes(rows)
+    return (rows.select("rank", "text", "key").repartitionByRange(common.parts(spark, size, 48), "rank", "key")
             .sortWithinPartitions("rank", "key").select("rank", "text")
             .mapInArrow(work, "part int, shard int, ids binary, n_ids long, payload binary"))
 
