@@ -1,9 +1,10 @@
 """A Brown class-based bigram model: P(text) = product of P(class | class before) P(word | class).
 
 Words with at least UNIT_SHARE of all tokens (a list of bounded length) are units of their own, all
-others are pooled by their ending into POOLS units. Exchange clustering deals the units to CLASSES:
-each round every unit of one half, in a distributed pass over the bigram counts, looks for the class
-that raises the mutual information of neighbouring classes most, with the class table of the round.
+others are pooled by their ending into POOLS units. Exchange clustering deals the units to CLASSES.
+Its passes over the bigram counts are distributed: for a slice of the units at a time they count the
+neighbours by class. With these few numbers a unit each, the units of the slice then move, one after
+the other, to the class that raises the mutual information of neighbouring classes most.
 Every word of the corpus so has a class; its emission probability uses its own count.
 
 Counts cover all training texts. Words with at least KNOWN_SHARE of all tokens (a bounded list, too)
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meshledger.llm import common, repeats
 
-CLASSES, POOLS, ROUNDS = 96, 512, 8
+CLASSES, POOLS, ROUNDS, SLICES = 64, 512, 3, 6
 UNIT_SHARE, KNOWN_SHARE = 5e-5, 1e-6
 #: Pseudo-count of the class unigram in a class transition.
 BACKOFF = 5.0
@@ -177,6 +178,17 @@ def _entropy_term(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def move(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: float, at: int, to: int) -> None:
+    """Carry a unit's pairs over to another class, in place."""
+    for target, sign in ((at, -1), (to, 1)):
+        table[target] += sign * right
+        table[:, target] += sign * left
+        # pairs of the unit with itself are in right and left under its old class, and belong under the new
+        table[target, at] -= sign * own
+        table[at, target] -= sign * own
+        table[target, target] += sign * own
+
+
 def best_class(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: float, at: int) -> int:
     """The class for a unit of class ``at`` that makes sum N log N over class pairs, less both margins, largest.
 
@@ -201,6 +213,9 @@ def best_class(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: floa
     return best if gain[best] > gain[at] + 1e-9 else at
 
 
+_MOVES = pa.schema([("unit", pa.int64()), ("own", pa.float64()), ("right", pa.list_(pa.float64())), ("left", pa.list_(pa.float64()))])
+
+
 def exchange(neighbours: DataFrame, sizes: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, counts of class pairs) after some rounds of distributed exchange."""
     spark = neighbours.sparkSession
@@ -225,34 +240,36 @@ def exchange(neighbours: DataFrame, sizes: np.ndarray, classes: int = CLASSES, r
         table[found["at"].to_numpy()] = found["n"].to_numpy()
         return table.reshape(classes, classes)
 
-    table = class_pairs()
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((of_unit, table))
+    for turn in range(rounds * SLICES):
+        if turn % SLICES == 0:
+            table = class_pairs()
+        sent = spark.sparkContext.broadcast(of_unit)
 
-        def work(batches: Iterator[pa.RecordBatch], half=turn % 2, sent=sent) -> Iterator[pa.RecordBatch]:
-            of_unit, table = sent.value
-            moved, to = [], []
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                found = []
                 for u, after, n_after, before, n_before in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
-                    if (u * 2654435761 >> 8) % 2 != half:
-                        continue
                     right, left, own = np.zeros(classes), np.zeros(classes), 0.0
                     if after.is_valid:
                         v, n = after.values.to_numpy(), n_after.values.to_numpy()
-                        right, own = np.bincount(of_unit[v], n, classes), float(n[v == u].sum())
+                        right, own = np.bincount(sent.value[v], n, classes), float(n[v == u].sum())
                     if before.is_valid:
-                        left = np.bincount(of_unit[before.values.to_numpy()], n_before.values.to_numpy(), classes)
-                    best = best_class(table, right, left, own, int(of_unit[u]))
-                    if best != of_unit[u]:
-                        moved.append(u)
-                        to.append(best)
-            yield pa.RecordBatch.from_arrays([pa.array(moved, pa.int64()), pa.array(to, pa.int64())], ["unit", "to"])
-
-        found = neighbours.mapInArrow(work, "unit long, to long").toArrow()
-        of_unit = of_unit.copy()
-        of_unit[found["unit"].to_numpy()] = found["to"].to_numpy()
-        table = class_pairs()
-    return of_unit, table
+                        left = np.bincount(sent.value[before.values.to_numpy()], n_before.values.to_numpy(), classes)
+                    found.append({"unit": u, "own": own, "right": right.tolist(), "left": left.tolist()})
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, _MOVES)
+
+        seen = (neighbours.where(F.pmod(F.xxhash64("unit"), F.lit(SLICES)) == turn % SLICES)
+                .mapInArrow(work, "unit long, own double, right array<double>, left array<double>").toArrow())
+        sizes_ = sizes[seen["unit"].to_numpy()]
+        for k in np.argsort(-sizes_, kind="stable").tolist():
+            u, own = seen["unit"][k].as_py(), seen["own"][k].as_py()
+            right, left = (np.array(seen[c][k].as_py()) for c in ("right", "left"))
+            at, best = int(of_unit[u]), best_class(table, right, left, own, int(of_unit[u]))
+            if best != at:
+                move(table, right, left, own, at, best)
+                of_unit[u] = best
+    return of_unit, class_pairs()
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:

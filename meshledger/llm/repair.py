@@ -20,27 +20,28 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC, HEADER = b"RPG1", "<4s6I"
-ROUNDS, LEAST, SLOT_BITS = 4, 8, 20
+ROUNDS, LEAST, SLOT_BITS = 4, 8, 18
 
 
 def _replace(seq: np.ndarray, last: np.ndarray, next_id: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One round: (symbols, document-last flags, new rules); the most frequent pairs go first."""
-    wide = np.uint64
-    pairs = seq[:-1].astype(wide) << wide(32) | seq[1:].astype(wide)
-    pairs[last[:-1]] = np.iinfo(np.uint64).max
+    wide, half = (np.uint32, 16) if next_id + room <= 1 << 16 else (np.uint64, 32)  # two symbols in one number
+    never = np.iinfo(wide).max  # no pair: its symbols would both be the largest
+    pairs = seq[:-1].astype(wide) << wide(half) | seq[1:].astype(wide)
+    pairs[last[:-1]] = never
     ordered = np.sort(pairs)
     cuts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     kinds, counts = ordered[cuts], np.diff(np.r_[cuts, len(ordered)])
-    often = np.flatnonzero((counts >= LEAST) & (kinds != np.iinfo(np.uint64).max))
+    often = np.flatnonzero((counts >= LEAST) & (kinds != never))
     often = often[np.argsort(-counts[often], kind="stable")][:room]
-    slots = lambda x: ((x * wide(0x9E3779B97F4A7C15)) >> wide(64 - SLOT_BITS)).astype(np.int64)
+    slots = lambda x: (x * wide(0x9E3779B97F4A7C15 >> (64 - 2 * half) | 1)) >> wide(2 * half - SLOT_BITS)
     # two pairs in one slot: the more frequent one stays, the other waits for the next round
     _, first = np.unique(slots(kinds[often]), return_index=True)
     chosen = kinds[often[np.sort(first)]]
-    keys, names = np.full(1 << SLOT_BITS, np.iinfo(np.uint64).max), np.zeros(1 << SLOT_BITS, np.uint32)
+    keys, names = np.full(1 << SLOT_BITS, never), np.zeros(1 << SLOT_BITS, np.uint32)
     keys[slots(chosen)], names[slots(chosen)] = chosen, next_id + np.arange(len(chosen), dtype=np.uint32)
     at = slots(pairs)
-    hit = np.flatnonzero((keys[at] == pairs) & (pairs != np.iinfo(np.uint64).max))
+    hit = np.flatnonzero((keys[at] == pairs) & (pairs != never))
     if len(hit):  # of overlapping pairs every other one, from the left
         begins = np.r_[True, hit[1:] != hit[:-1] + 1]
         number = np.arange(len(hit))
@@ -50,7 +51,7 @@ def _replace(seq: np.ndarray, last: np.ndarray, next_id: int, room: int) -> tupl
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
         seq, last = seq[stay], last[stay]
-    rules = np.stack([chosen >> wide(32), chosen & wide(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    rules = np.stack([chosen >> wide(half), chosen & wide((1 << half) - 1)], axis=1).astype(np.uint32)
     return seq, last, rules
 
 

@@ -7,9 +7,9 @@ of about SHARD_IDS ids (one document at least). Spark commits the shards as rows
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -23,15 +23,27 @@ from meshledger.llm import common, repair
 from meshledger.session import scratch_path
 
 END_ID, SHARD_IDS, KNOWN_WORDS = 2, 1 << 20, 500_000
-#: A full stop or comma after a letter or digit and before white space is always a token of its own.
-STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+
+
+class _Places(dict):
+    """Numbers words in the order they come; new ones wait in ``new`` for their ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
 
 
 class WordIds:
     """Ids of texts by a table of words met so far; the tokenizer encodes each new word once.
 
     Valid for tokenizers that lower-case, drop white space and never merge across it. Strings of
-    special tokens are left to the tokenizer as they stand. The table is emptied when it is full.
+    special tokens are left to the tokenizer as they stand. When the table is full, words that came once are
+    forgotten.
     """
 
     def __init__(self, definition: str) -> None:
@@ -44,49 +56,82 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Places()
         self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        n, lengths = len(self.known), np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
-        while len(self.first) < n + len(words):
-            self.first, self.count = np.r_[self.first, self.first], np.r_[self.count, self.count]
-        while len(self.flat) < self.used + len(flat):
-            self.flat = np.r_[self.flat, self.flat]
-        self.first[n:n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.count[n:n + len(words)] = lengths
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words))))
+        self.uses, self.used = np.zeros(1024, np.int64), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]  # letters only: one word for the tokenizer, too
-        for a in range(0, len(plain), 2048):
-            own = plain[a:a + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in own)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+    def _shrink(self) -> None:
+        """Forget the words that came only once; all of them if that does not halve the table."""
+        words = [w for w, n in zip(self.known, self.uses.tolist()) if n > 1]
+        ids = [self.flat[a:a + n] for a, n in zip(*(x[:len(self.known)][self.uses[:len(self.known)] > 1].tolist() for x in (self.first, self.count)))]
+        self.clear()
+        if len(words) <= KNOWN_WORDS // 2:
+            self.known.update(zip(words, range(len(words))))
+            self._add([x.tolist() for x in ids])
+
+    def _add(self, ids: list[list[int]]) -> None:
+        """Ids of the last words of the table, in their order."""
+        n, lengths = len(self.known) - len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        while len(self.first) < n + len(ids):
+            self.first, self.count, self.uses = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.first, self.count, self.uses))
+        while len(self.flat) < self.used + total:
+            self.flat = np.r_[self.flat, self.flat]
+        self.first[n:n + len(ids)] = self.used + np.cumsum(lengths) - lengths
+        self.count[n:n + len(ids)] = lengths
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.used += total
+
+    def _encode_new(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words."""
+        found, plain, rest = {}, [], []
+        for w in words:  # of letters only: one word for the tokenizer, too
+            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
+        for a in range(0, len(plain), 4096):
+            own = plain[a:a + 4096]
+            ids = self.tokenizer.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(self.ends_word[np.array(ids, np.int64)]) + 1).tolist()
             if len(cuts) == len(own):
-                self._add([words[k] for k in own], [x.tolist() for x in np.split(ids, cuts[:-1])])
-        rest = [k for k in range(len(words)) if words[k] not in self.known]
+                found.update(zip(own, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
+            else:
+                rest += own
         if rest:
-            found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
-            self._add([words[k] for k in rest], [x.ids for x in found])
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            found.update(zip(rest, (x.ids for x in encoded)))
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, asked = self.known, {b".", b","}
+        old = len(known) - len(words)
+        bare = []
+        for w in words:
+            # a full stop or comma after an ASCII letter or digit is a token of its own
+            if w[-1] in b".," and w[-2:-1].isalnum() and b"<|" not in w:
+                w = w[:-1]
+                bare.append(w)
+            else:
+                bare.append(None)
+            asked.add(w)
+        ids = {}
+        for w in bare:
+            if w is not None and 0 <= (at := dict.get(known, w, -1)) < old:
+                ids[w] = self.flat[self.first[at]:self.first[at] + self.count[at]].tolist()
+        ids |= self._encode_new([w for w in asked if w not in ids])
+        self._add([ids[w] if x is None else ids[x] + ids[w[-1:]] for w, x in zip(words, bare)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         words, counts = [], [0]
         for text in texts:
-            body = text if b"<|" in text else STOP.sub(rb" \1", text.lower())
-            words += body.split()
+            words += (text if b"<|" in text else text.lower()).split()
             counts.append(len(words))
         if len(self.known) > KNOWN_WORDS:
-            self.clear()
-        if new := set(words).difference(self.known):
-            self._learn(sorted(new))
+            self._shrink()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        self.uses[:len(self.known)] += np.bincount(at, minlength=len(self.known))
         lengths = self.count[at]
         ends = np.r_[0, np.cumsum(lengths)]
         ids = self.flat[np.repeat(self.first[at] - ends[:-1], lengths) + np.arange(ends[-1])]

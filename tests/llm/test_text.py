@@ -197,6 +197,11 @@ def test_best_class_equals_the_objective():
             tries.append(objective(to))
         best = brown_lm.best_class(table, right, left, pairs[u, u], int(of[u]))
         assert math.isclose(tries[best], max(tries), abs_tol=1e-6)
+        brown_lm.move(table, right.astype(float), left.astype(float), pairs[u, u], int(of[u]), best)
+        of[u] = best
+        want = np.zeros((classes, classes))
+        np.add.at(want, (of[:, None], of[None, :]), pairs)
+        assert np.allclose(table, want)
 
 
 def test_toxicity_held_out(spark):
