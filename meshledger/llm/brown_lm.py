@@ -378,7 +378,7 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield from texts_out(rank[cut], key[cut], np.add.reduceat(value, cut), np.add.reduceat(known, cut), np.zeros(len(cut), np.int64))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for a in range(0, batch.num_rows, 64) for r in batch.slice(a, 64).to_pylist()):
                 if row["kind"] == TEXTS:
                     yield row
                     continue
@@ -398,13 +398,10 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield from out()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            held += batch.to_pylist()
-        if not held:
-            return
-        x = repeats.unpacked(held, {c: SENT_KINDS[c] for c in ("rank", "key", "value", "known", "tokens")})
-        del held
+        for held in repeats.buckets_of(batches):
+            yield sums_of(repeats.unpacked(held, {c: SENT_KINDS[c] for c in ("rank", "key", "value", "known", "tokens")}))
+
+    def sums_of(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         order = np.lexsort((x["key"], x["rank"]))
         x = {c: v[order] for c, v in x.items()}
         cut = repeats.group_starts(x["rank"], x["key"])
@@ -412,7 +409,7 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         # rows that repeat id and text bring their sums each; all are alike, so the sums are shared out
         copies = np.add.reduceat(model_part.astype(np.int64), cut)
         total = lambda v: np.add.reduceat(v, cut)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(x["rank"][cut]), pa.array(x["key"][cut]), pa.array(total(np.where(model_part, x["tokens"], 0)) // copies),
              pa.array(total(np.where(model_part, 0, x["known"])) // copies), pa.array(total(np.where(model_part, 0.0, x["value"])) / copies),
              pa.array(total(np.where(model_part, x["value"], 0.0)) / copies)],
@@ -423,7 +420,7 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
              .unionByName(rare.select("word", "n").mapInArrow(lambda it: repeats.record_batches(send_counts(it), SENT_ROWS, 200), SENT_TYPE)))
     looked = (parts.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
               .mapInArrow(lambda it: repeats.record_batches(look_up(it), SENT_ROWS, 200), SENT_TYPE))
-    return looked.repartition(n, "bucket").mapInArrow(
+    return looked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         add_up, "rank long, key long, n_tokens long, n_known long, log_counts double, log_model double")
 
 

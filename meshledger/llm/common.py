@@ -65,11 +65,12 @@ def discard(stored: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now, not at some later collection.
 
-    The session's listeners let go of a finished plan within a second.
+    The session's listeners let go of a finished plan within a second or two.
     """
-    time.sleep(1)
-    gc.collect()
-    spark._jvm.System.gc()
+    for wait in (1, 2):
+        time.sleep(wait)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def parts(spark: SparkSession, megabytes: float, each: float) -> int:

@@ -30,7 +30,7 @@ from meshledger.llm import common
 #: Megabytes of text for each shuffle partition (``n`` below).
 SHARE = 12
 #: Bytes of text whose anchors are settled together before they leave a task.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Buckets per shuffle partition; a bucket of a block is one row.
 SPREAD = 8
 KNOWN = np.uint32(0xFFFFFFFF)
@@ -67,6 +67,20 @@ def record_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 500) ->
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one bucket after the other, of partitions sorted by bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            for row in batch.slice(at, 64).to_pylist():
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """First positions of runs of equal keys in sorted arrays."""
     new = np.ones(len(keys[0]), bool)
@@ -125,38 +139,31 @@ def flagged(rows: DataFrame, anchors: Anchors, n: int) -> DataFrame:
             yield from settle(found)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["done"]:
-                    yield row
-                else:
-                    held.append(row)
-        if not held:
-            return
-        x = unpacked(held, {"h": "<u8", "rank": "<i8", "pos": "<u4"})
-        del held
-        order = np.argsort(x["h"], kind="stable")
-        h, rank, pos = x["h"][order], x["rank"][order], x["pos"][order]
-        starts = group_starts(h)
-        repeated = np.minimum.reduceat(rank, starts) != np.maximum.reduceat(rank, starts)
-        repeated |= np.maximum.reduceat(pos, starts) == KNOWN
-        each = np.repeat(repeated, np.diff(np.r_[starts, len(h)])) & (pos != KNOWN)
-        yield from told(rank[each], pos[each])
+        for held in buckets_of(batches):
+            yield from (row for row in held if row["done"])
+            x = unpacked([row for row in held if not row["done"]], {"h": "<u8", "rank": "<i8", "pos": "<u4"})
+            if not len(x["h"]):
+                continue
+            order = np.argsort(x["h"], kind="stable")
+            h, rank, pos = x["h"][order], x["rank"][order], x["pos"][order]
+            starts = group_starts(h)
+            repeated = np.minimum.reduceat(rank, starts) != np.maximum.reduceat(rank, starts)
+            repeated |= np.maximum.reduceat(pos, starts) == KNOWN
+            each = np.repeat(repeated, np.diff(np.r_[starts, len(h)])) & (pos != KNOWN)
+            yield from told(rank[each], pos[each])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held = [row for batch in batches for row in batch.to_pylist()]
-        x = unpacked(held, {"rank": "<i8", "pos": "<u4"})
-        del held
-        order = np.lexsort((x["pos"], x["rank"]))
-        rank, pos = x["rank"][order], x["pos"][order]
-        cuts = group_starts(rank)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
-            yield {"rank": int(rank[a]), "pos": pack(pos[a:b], "<u4")}
+        for held in buckets_of(batches):
+            x = unpacked(held, {"rank": "<i8", "pos": "<u4"})
+            order = np.lexsort((x["pos"], x["rank"]))
+            rank, pos = x["rank"][order], x["pos"][order]
+            cuts = group_starts(rank)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+                yield {"rank": int(rank[a]), "pos": pack(pos[a:b], "<u4")}
 
     kinds = "bucket int, h binary, rank binary, pos binary, done boolean"
-    sent = rows.select("rank", "text").mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), kinds).repartition(n, "bucket")
-    told_ = sent.mapInArrow(lambda it: record_batches(compare(it), ANCHOR_ROWS), kinds).select("bucket", "rank", "pos").repartition(n, "bucket")
+    sent = rows.select("rank", "text").mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), kinds).repartition(n, "bucket").sortWithinPartitions("bucket")
+    told_ = sent.mapInArrow(lambda it: record_batches(compare(it), ANCHOR_ROWS), kinds).select("bucket", "rank", "pos").repartition(n, "bucket").sortWithinPartitions("bucket")
     return common.store(told_.mapInArrow(lambda it: record_batches(gather(it), FLAGS), "rank long, pos binary"), "flagged", large=True)
 
 
@@ -190,7 +197,7 @@ def regions(rows: DataFrame, flags: DataFrame, cut: Regions, n: int) -> DataFram
                     at = int(row + owner[k])
                     held.setdefault((x, y), (body[a[k]:b[k]], []))[1].append((int(rank[at]), int(key[at]), int(start[k]), int(windows[k])))
                 size += int((b - a).sum())
-                if size >= BLOCK // 2:
+                if size >= BLOCK:
                     yield from settle(held)
                     held, size = {}, 0
         yield from settle(held)
@@ -198,7 +205,7 @@ def regions(rows: DataFrame, flags: DataFrame, cut: Regions, n: int) -> DataFram
     def first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         before, least = None, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
                 if row["body"] is not None:
                     if (row["r1"], row["r2"]) != before:
                         before, least = (row["r1"], row["r2"]), row["rank"]
@@ -257,17 +264,13 @@ def gather_spans(spans: DataFrame, n: int) -> DataFrame:
     """(rank, key, starts, counts): one row for each row of the input that has repeats."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held = [row for batch in batches for row in batch.to_pylist()]
-        x = unpacked(held, SPANS)
-        del held
-        if not len(x["rank"]):
-            return
-        rank, key, start, count = joined(*x.values())
-        cuts = group_starts(rank, key)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
-            yield {"rank": int(rank[a]), "key": int(key[a]), "starts": pack(start[a:b], "<u4"), "counts": pack(count[a:b], "<u4")}
+        for held in buckets_of(batches):
+            rank, key, start, count = joined(*unpacked(held, SPANS).values())
+            cuts = group_starts(rank, key)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+                yield {"rank": int(rank[a]), "key": int(key[a]), "starts": pack(start[a:b], "<u4"), "counts": pack(count[a:b], "<u4")}
 
-    return spans.repartition(n, "bucket").mapInArrow(
+    return spans.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         lambda it: record_batches(gather(it), GATHERED), "rank long, key long, starts binary, counts binary")
 
 

@@ -98,22 +98,15 @@ def compare(found: DataFrame, n: int) -> DataFrame:
             yield from settle(held)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["count"] is not None:
-                    yield row
-                else:
-                    held.append(row)
-        if held:
-            x = repeats.unpacked(held, COLUMNS)
-            del held
-            x, repeat, _ = _smallest(x)
+        for held in repeats.buckets_of(batches):
+            yield from (row for row in held if row["count"] is not None)
+            x, repeat, _ = _smallest(repeats.unpacked([row for row in held if row["count"] is None], COLUMNS))
             yield from spans(x, repeat)
 
     kinds = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "count binary"])
     sent = (found.where("body IS NOT NULL").select("rank", "key", "start", "body")
-            .mapInArrow(lambda it: repeats.record_batches(windows(it), WINDOW_ROWS), kinds).repartition(n, "bucket"))
+            .mapInArrow(lambda it: repeats.record_batches(windows(it), WINDOW_ROWS), kinds)
+            .repartition(n, "bucket").sortWithinPartitions("bucket"))
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
 
 

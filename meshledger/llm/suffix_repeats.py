@@ -282,21 +282,18 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
             yield from settle(held)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["count"] is not None:
-                    yield row
-                else:
-                    held.append(row)
-        if held:
+        for rows in repeats.buckets_of(batches):
+            yield from (row for row in rows if row["count"] is not None)
+            held = [row for row in rows if row["count"] is None]
+            if not held:
+                continue
             x = repeats.unpacked(held, COLUMNS)
             data = np.frombuffer(b"".join(r["body"] for r in held), np.uint8)
-            del held
             piece, off, count = repeat_spans(data, np.cumsum(x["size"].astype(np.int64)), x["windows"].astype(np.int64), x["rank"])
             yield from repeats.span_rows(x["rank"][piece], x["key"][piece], x["start"][piece].astype(np.int64) + off, count, buckets)
 
-    sent = _bodies(found).mapInArrow(lambda it: repeats.record_batches(deal(it), PIECE_ROWS), PIECE_TYPE).repartition(n, "bucket")
+    sent = _bodies(found).mapInArrow(lambda it: repeats.record_batches(deal(it), PIECE_ROWS), PIECE_TYPE)
+    sent = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
 
 
