@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshledger.operators.activity import user_activity
-from meshledger.operators.calendar import normal_days
 from meshledger.operators.ledger import correct_negative, currency_ledger, usage_events
 from meshledger.operators.sessions import consolidate_purchases, full_gap_days, log_gaps
 from meshledger.plans import traffic, users
@@ -52,11 +51,11 @@ class Inputs:
 
     @cached_property
     def served(self) -> DataFrame:
-        return normal_days(self.flows, "start_ts", self.window)
+        return derived.past_outage(self.flows, self.window)
 
     @cached_property
     def served_p2p(self) -> DataFrame:
-        return normal_days(self.p2p, "start_ts", self.window)
+        return derived.past_outage(self.p2p, self.window)
 
     @cached_property
     def all_served(self) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from meshledger.catalog.base import ROWS, Inputs, query, rounded
-from meshledger.catalog.sql import IN_OUTAGE, cdf_sql, secs, using, week_monday, week_sunday
+from meshledger.catalog.sql import IN_OUTAGE, SIGNIFICANCE, cdf_sql, secs, using, week_monday, week_sunday
 from meshledger.functions.timebins import day, month_end, week_ending
 from meshledger.operators import activity as act
 from meshledger.operators import calendar as cal
@@ -180,7 +180,8 @@ QUERIES = {
           range(0, 1000) t(i)"""),
     ),
     "ols_significance": (
-        query(lambda i: rounded(stats.ols_significance(_pairs(i), "x", "y"), 6, "slope", "p_value", "r2")), None,
+        query(lambda i: rounded(stats.ols_significance(_pairs(i), "x", "y"), 6, "slope", "p_value", "r2")),
+        using("flows", SIGNIFICANCE.format(_PAIRS)),
     ),
     "log_gaps": (
         query(lambda i: ses.log_gaps(i.flows, tie=["event_id"], rows_per_bucket=ROWS)),

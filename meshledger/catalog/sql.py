@@ -12,6 +12,8 @@ PROTOCOL = "CASE WHEN event_id % 7 IN (2,3,4) OR event_id % 21 = 0 THEN 17 ELSE
 END = "ts + to_seconds(event_id * 7919 % 600)"
 IN_OUTAGE = "CAST({0} AS DATE) >= DATE '2024-01-10' AND CAST({0} AS DATE) < DATE '2024-01-15'"
 
+MOVED = "CASE WHEN " + IN_OUTAGE.format("start_ts") + " THEN {0} + INTERVAL 5 DAY ELSE {0} END"
+
 
 def secs(a: str, b: str) -> str:
     return f"((epoch_us({b}) - epoch_us({a})) / 1000000.0::DOUBLE)"
@@ -52,11 +54,12 @@ VIEWS = {
     ELSE (user_id * 7 + 3) % 15 END AS dest_user_id,
   CASE WHEN event_type = 'purchase' THEN (1 + event_id % 4) * 10000000 ELSE NULL END AS amount_bytes,
   CAST(floor(value * 100) AS BIGINT) AS amount_idr FROM events WHERE event_type <> 'view'""",
-    "dns": f"""SELECT event_id, ts - INTERVAL 1800 SECOND AS ts, user_id, {IP} AS ip_address,
-  {FQDN} AS domain_name FROM events WHERE event_id % 3 = 0 AND event_id % 10 <> 9""",
-    # Flows outside the outage: the network was down, which leaves gaps of whole days.
-    "served": f"SELECT * FROM flows WHERE NOT ({IN_OUTAGE.format('start_ts')})",
-    "served_p2p": f"SELECT * FROM p2p WHERE NOT ({IN_OUTAGE.format('start_ts')})",
+    "dns": f"""SELECT event_id, ts - INTERVAL 1800 SECOND AS ts, CASE WHEN user_id % 7 = 3 THEN user_id + 1 ELSE user_id END AS user_id,
+  CASE WHEN event_id % 3 = 0 AND event_id % 10 <> 9 THEN {IP} ELSE '203.0.113.200' END AS ip_address,
+  {FQDN} AS domain_name FROM events""",
+    # All flows, those of the outage moved behind it, which leaves gaps of whole days.
+    "served": f"SELECT * REPLACE ({MOVED.format('start_ts')} AS start_ts, {MOVED.format('end_ts')} AS end_ts) FROM flows",
+    "served_p2p": f"SELECT * REPLACE ({MOVED.format('start_ts')} AS start_ts, {MOVED.format('end_ts')} AS end_ts) FROM p2p",
     "gaps": """SELECT lag(end_ts) OVER (ORDER BY start_ts, end_ts, event_id) AS gap_start, start_ts AS gap_end
   FROM (SELECT event_id, start_ts, end_ts FROM served UNION ALL SELECT event_id, start_ts, end_ts FROM served_p2p)
   QUALIFY start_ts > lag(end_ts) OVER (ORDER BY start_ts, end_ts, event_id)""",
@@ -163,6 +166,15 @@ def using(views: str, body: str, **extra: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+# Slope, p-value and R-squared of y on x in {0}; the p-value integrates Student's density from t on.
+SIGNIFICANCE = """SELECT round(m, 6) AS slope, round(CASE WHEN r >= 1 THEN 0 ELSE (
+    SELECT 2 * sum(exp(lgamma((f + 1) / 2) - lgamma(f / 2) - 0.5 * ln(pi() * f)
+      - (f + 1) / 2 * ln(1 + (t + u / (1 - u)) * (t + u / (1 - u)) / f)) / ((1 - u) * (1 - u))) / 20000
+    FROM (SELECT (i + 0.5) / 20000.0::DOUBLE AS u FROM range(0, 20000) s(i))) END, 6) AS p_value, round(r, 6) AS r2
+  FROM (SELECT m, r, f, sqrt(r * f / nullif(1 - r, 0)) AS t FROM (
+    SELECT regr_slope(y, x) AS m, regr_r2(y, x) AS r, regr_count(y, x) - 2.0::DOUBLE AS f FROM ({0})))"""
+
+
 def cdf_sql(source: str, value: str) -> str:
     """Distribution of ``value`` over the rows of ``source``."""
     return f"""SELECT v AS value, n AS base_count, n / t::DOUBLE AS pdf,

@@ -22,15 +22,13 @@ def _deduplicated(i: Inputs):
 def _binned(width: str):
     def build(i: Inputs):
         bins = live.binned_bytes_stream(_live_flows(i), "start_ts", ["category"], width)
-        return live.run_to_end(bins, "bins")
+        return live.run_to_last_state(bins, "bins", ["bin_start", "category"])
 
     return query(build)
 
 
-# Only bins that the watermark has closed are sent out.
-_BINS = """SELECT * FROM (SELECT CAST(date_trunc('{0}', start_ts) AS TIMESTAMP) AS bin_start, category, CAST(sum(bytes_up) AS BIGINT) AS bytes_up,
-  CAST(sum(bytes_down) AS BIGINT) AS bytes_down FROM flows GROUP BY 1, 2)
-  WHERE bin_start + INTERVAL 1 {0} <= date_trunc('millisecond', (SELECT max(start_ts) FROM flows)) - INTERVAL 4 HOUR"""
+_BINS = """SELECT CAST(date_trunc('{0}', start_ts) AS TIMESTAMP) AS bin_start, category, CAST(sum(bytes_up) AS BIGINT) AS bytes_up,
+  CAST(sum(bytes_down) AS BIGINT) AS bytes_down FROM flows GROUP BY 1, 2"""
 
 QUERIES = {
     "live_deduplicated_flows": (

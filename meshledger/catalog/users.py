@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshledger.catalog.base import Inputs, query, rounded
-from meshledger.catalog.sql import cdf_sql, using, week_monday
+from meshledger.catalog.sql import SIGNIFICANCE, cdf_sql, using, week_monday
 from meshledger.operators import activity as act
 
 from meshledger.operators import stats
@@ -178,7 +178,8 @@ QUERIES = {
     ),
     "uplink_ratio_significance": (
         query(lambda i: rounded(stats.ols_significance(
-            u.uplink_ratio(i.served, i.activity), "mb_avg_per_online_day", "ul_ratio", log=True), 6, "slope", "p_value", "r2")), None,
+            u.uplink_ratio(i.served, i.activity), "mb_avg_per_online_day", "ul_ratio", log=True), 6, "slope", "p_value", "r2")),
+        using("served users7s", SIGNIFICANCE.format(f"SELECT ln(mb_avg_per_online_day) AS x, ln(ul_ratio) AS y FROM ({_UPLINK})")),
     ),
     "online_rate_per_user": (
         query(lambda i: u.online_rate(i.user_days, i.activity)), using("user_days users7", _RATE),

@@ -49,12 +49,17 @@ def v4_number(ip: Column | str) -> Column:
     parts = F.split(_col(ip), r"\.")
     octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
     number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(F.size(parts) == 4, number)
+    return F.when((F.size(parts) == 4) & reduce(lambda a, b: a & b, [o.between(0, 255) for o in octets]), number)
 
 
 def v6_digits(ip: Column | str) -> Column:
     """The 32 hex digits of a v6 address; null when it is not one."""
     text = F.lower(_col(ip))
+    # a dotted tail stands for the last two groups
+    tail = F.regexp_extract(text, r"^.*:(\d+\.\d+\.\d+\.\d+)$", 1)
+    hexed = F.lpad(F.lower(F.hex(v4_number(tail))), 8, "0")
+    head = F.regexp_extract(text, r"^(.*:)\d+\.\d+\.\d+\.\d+$", 1)
+    text = F.when(tail != "", F.concat(head, hexed.substr(1, 4), F.lit(":"), hexed.substr(5, 4))).otherwise(text)
     sides = F.split(text, "::")
 
     def groups(side: Column) -> Column:

@@ -76,15 +76,23 @@ def domain_class(fqdn: str) -> tuple[Column, Column]:
 
 
 def classify_domain(df: DataFrame, fqdn: str = "fqdn") -> DataFrame:
-    """Add org and category. Rules run once per distinct name, then are joined back."""
-    names = df.select(F.coalesce(F.col(fqdn), F.lit("")).alias("_name")).distinct()
+    """Add org and category. Rules run once per distinct name, then are joined back.
+
+    Flows without a name, often most of them, are classified without the join; they get keys of
+    their own in it, so they do not meet in one task.
+    """
+    named = F.coalesce(F.col(fqdn), F.lit("")) != ""
+    names = df.where(named).select(F.col(fqdn).alias("_name")).distinct()
     org, category = domain_class("_name")
-    known = names.select("_name", org.alias("org"), category.alias("category"))
+    known = names.select("_name", org.alias("_org"), category.alias("_category"))
+    other = [c for c in df.columns if c not in ("org", "category")]
+    spread = F.concat(F.lit(" "), F.xxhash64(*other).cast("string"))
     return (
-        df.drop("org", "category")
-        .withColumn("_name", F.coalesce(F.col(fqdn), F.lit("")))
+        df.select(*other)
+        .withColumn("_name", F.when(named, F.col(fqdn)).otherwise(spread))
         .join(known, "_name", "left")
-        .drop("_name")
+        .select(*other, F.when(named, F.col("_org")).otherwise(R.NO_DNS).alias("org"),
+                F.when(named, F.col("_category")).otherwise(R.NO_DNS).alias("category"))
     )
 
 

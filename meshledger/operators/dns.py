@@ -27,7 +27,9 @@ def attach_fqdn(
     Also counts the distinct domains seen so far for that (user, address). Flows and answers
     run through one scan by (user, address); the first answer per domain, found by a
     pre-aggregated minimum, adds one to the count. An answer at exactly the flow's start is
-    not used. ``reverse_dns`` (ip, host) fills global addresses with no answer.
+    not used. ``reverse_dns`` (ip, host) fills global addresses with no answer; of several hosts
+    of an address the first by name. Flows without user, address or start have no answer and
+    come back unnamed; only ``only_dns_users`` leaves flows out.
     """
     if only_dns_users:
         flows = flows.join(dns.select("user_id").distinct(), "user_id", "left_semi")
@@ -42,6 +44,7 @@ def attach_fqdn(
         F.col("domain_name").alias("_domain"), F.lit(1).alias("_turn"),
         F.col("domain_name").alias("_tie"),
     )
+    complete = F.col("user_id").isNotNull() & F.col("dest_ip").isNotNull() & F.col("start_ts").isNotNull()
     events = flows.withColumns(
         {
             "_at": F.col("start_ts"),
@@ -49,7 +52,8 @@ def attach_fqdn(
             "_tie": F.col(tie).cast("string") if tie else F.lit(""),
         }
     )
-    stream = events.unionByName(answers, allowMissingColumns=True).unionByName(
+    loose = events.where(~complete).withColumns({"_name": F.lit(None).cast("string"), "_count": F.lit(0)})
+    stream = events.where(complete).unionByName(answers, allowMissingColumns=True).unionByName(
         first_seen, allowMissingColumns=True
     )
     scanned = ordered_scan(
@@ -59,12 +63,17 @@ def attach_fqdn(
         by_time("_at", rows_per_bucket),
         {"_name": last_known("_domain"), "_count": running_sum("_new")},
     ).where(F.col("_turn") == 0)
+    scanned = scanned.unionByName(loose, allowMissingColumns=True)
 
     known = F.col("_name").isNotNull()
     if reverse_dns is not None:
         known_hosts = mark_local(reverse_dns, "ip", "_local").where(~F.col("_local"))
-        hosts = known_hosts.select(F.col("ip").alias("dest_ip"), F.col("host").alias("_host"))
-        scanned = scanned.join(hosts, "dest_ip", "left")
+        hosts = known_hosts.groupBy(F.col("ip").alias("_ip")).agg(F.min("host").alias("_host"))
+        # Only flows without an answer look for a host; the others get a key of their own, which
+        # nothing has, so that they neither match nor meet in one task.
+        own = F.concat(F.lit("#"), F.xxhash64("user_id", "dest_ip", "start_ts").cast("string"))
+        scanned = scanned.withColumn("_ip", F.when(known, own).otherwise(F.col("dest_ip")))
+        scanned = scanned.join(hosts, "_ip", "left")
         reverse = F.col("_host")
     else:
         reverse = F.lit(None).cast("string")

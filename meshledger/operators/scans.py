@@ -56,7 +56,8 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
     """Add a bucket number that never falls along the order column.
 
     Rows are counted per slot; inside a slot the count is taken to grow evenly from its least
-    to its greatest position. A crowded slot is thereby split, and quiet ones are merged.
+    to its greatest position. A crowded slot is thereby split, and quiet ones are merged. Rows
+    without an order value get bucket -1, as nulls come first in an ordered window.
     """
     counted = (
         df.select(cut.slot.alias("_slot"), cut.position.alias("_at"))
@@ -72,8 +73,8 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
     number = F.floor((F.col("_before") + F.col("_n") * share) / F.lit(float(cut.rows)))
     return (
         df.withColumn("_slot", cut.slot)
-        .join(F.broadcast(slots), "_slot")
-        .select(*df.columns, number.cast("bigint").alias(out))
+        .join(F.broadcast(slots), "_slot", "left")
+        .select(*df.columns, F.coalesce(number.cast("bigint"), F.lit(-1)).alias(out))
     )
 
 

@@ -6,6 +6,7 @@ pre-aggregated and scanned in value buckets, so no column of values is ever sort
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -100,7 +101,7 @@ def rank_bins(df: DataFrame, value: str, out: str = "bin", bins: int = 10) -> Da
 
 
 def coefficient_of_variation(value: Column) -> Column:
-    return F.stddev_samp(value) / F.avg(value)
+    return F.stddev_samp(value) / F.nullif(F.avg(value), F.lit(0.0))
 
 
 def rolling_mean(
@@ -124,13 +125,19 @@ def rolling_mean_rows(
 
 
 def ols(df: DataFrame, x: str, y: str, log: bool = False) -> DataFrame:
-    """Least-squares line of y on x (or of ln y on ln x) as a one-row table."""
+    """Least-squares line of y on x (or of ln y on ln x) as a one-row table.
+
+    Rows with a null take no part, nor with ``log`` rows whose x or y has no logarithm;
+    ``left_out`` counts them.
+    """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    used = F.col("x").isNotNull() & F.col("y").isNotNull()
     pairs = df.select(
         (F.ln(xs) if log else xs).alias("x"), (F.ln(ys) if log else ys).alias("y"), xs.alias("raw")
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ).select(used.alias("used"), *[F.when(used, F.col(c)).alias(c) for c in ("x", "y", "raw")])
     return pairs.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count_if("used").alias("n"),
+        F.count_if(~F.col("used")).alias("left_out"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.regr_r2("y", "x").alias("r2"),
@@ -148,22 +155,33 @@ def ols_curve(model: DataFrame, log: bool = False, points: int = 1000) -> DataFr
     return grid.select("i", "x", (F.exp(line) if log else line).alias("prediction"))
 
 
-def ols_significance(df: DataFrame, x: str, y: str, log: bool = False) -> DataFrame:
-    """Slope, p-value of the slope and R-squared from Spark ML's normal-equation fit."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def student_p(t_squared: Column, freedom: Column, steps: int = 2000) -> Column:
+    """Two-sided p-value of Student's t.
 
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = df.select(
-        (F.ln(xs) if log else xs).alias("x"), (F.ln(ys) if log else ys).alias("label")
-    ).dropna()
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(pairs)
-    fit = LinearRegression(solver="normal").fit(vectors)
-    summary = fit.summary
-    return df.sparkSession.createDataFrame(
-        [(float(fit.coefficients[0]), float(summary.pValues[0]), float(summary.r2))],
-        "slope double, p_value double, r2 double",
-    )
+    With t = sqrt(freedom) tan(a) the density becomes a power of the cosine, so the p-value is the
+    ratio of two integrals of it, from a and from 0 to a right angle, here by Simpson's rule. Beyond
+    ``top`` the integrand is zero in double precision.
+    """
+    top = F.least(F.lit(math.pi / 2), F.lit(40.0) / F.sqrt(freedom))
+    angle = F.atan(F.sqrt(t_squared / freedom))
+
+    def integral(low: Column) -> Column:
+        width = (top - low) / F.lit(float(steps))
+        weight = lambda i: F.when((i == 0) | (i == steps), F.lit(1.0)).otherwise(F.lit(2.0) + 2 * (i % 2))
+        return width * F.aggregate(
+            F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0),
+            lambda total, i: total + weight(i) * F.pow(F.cos(low + width * i), freedom - 1))
+
+    return F.when(angle >= top, F.lit(0.0)).otherwise(integral(angle) / integral(F.lit(0.0)))
+
+
+def ols_significance(df: DataFrame, x: str, y: str, log: bool = False) -> DataFrame:
+    """Slope, p-value of the slope and R-squared as a one-row table; null p-value below three points."""
+    freedom = F.col("n") - F.lit(2.0)
+    # A perfect fit has no residual, so no uncertainty.
+    t_squared = F.col("r2") * freedom / F.nullif(1 - F.col("r2"), F.lit(0.0))
+    p = F.when(F.col("r2") >= 1, F.lit(0.0)).otherwise(student_p(t_squared, freedom))
+    return ols(df, x, y, log).select("slope", F.when(freedom > 0, p).alias("p_value"), "r2")
 
 
 def bootstrap_mean_ci(

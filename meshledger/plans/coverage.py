@@ -55,12 +55,12 @@ def flow_counts(flows: DataFrame, p2p: DataFrame) -> DataFrame:
     return both.select(
         "internet_flows",
         inner_flows.alias("intranet_flows"),
-        (F.col("internet_flows") / all_flows).alias("internet_flow_share"),
+        (F.col("internet_flows") / F.nullif(all_flows, F.lit(0))).alias("internet_flow_share"),
         (F.col("internet_down") / GB).alias("internet_down_gb"),
         (F.col("internet_up") / GB).alias("internet_up_gb"),
         (outer_bytes / GB).alias("internet_gb"),
         (inner_bytes / GB).alias("intranet_gb"),
-        (outer_bytes / (outer_bytes + inner_bytes)).alias("internet_byte_share"),
+        (outer_bytes / F.nullif(outer_bytes + inner_bytes, F.lit(0))).alias("internet_byte_share"),
         ((outer_bytes + inner_bytes) / GB).alias("total_gb"),
     )
 
@@ -86,8 +86,8 @@ def _coverage(flows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
         ],
     )
     return sums.select("n", "b", F.inline(F.array(*conditions))).select(
-        "name", "flow_count", (F.col("flow_count") * 100 / F.col("n")).alias("flow_pct"),
-        (F.col("bytes") / GB).alias("gb"), (F.col("bytes") * 100 / F.col("b")).alias("gb_pct"),
+        "name", "flow_count", (F.col("flow_count") * 100 / F.nullif(F.col("n"), F.lit(0))).alias("flow_pct"),
+        (F.col("bytes") / GB).alias("gb"), (F.col("bytes") * 100 / F.nullif(F.col("b"), F.lit(0))).alias("gb_pct"),
     )
 
 
@@ -121,7 +121,7 @@ def distinct_classes(flows: DataFrame) -> DataFrame:
 
 def down_up_ratio(flows: DataFrame) -> DataFrame:
     return flows.where(~F.col("local")).agg(
-        (F.sum("bytes_down") / F.sum("bytes_up")).alias("dl_ul_ratio")
+        (F.sum("bytes_down") / F.nullif(F.sum("bytes_up"), F.lit(0))).alias("dl_ul_ratio")
     )
 
 
@@ -146,8 +146,8 @@ def _shares(
     if p2p is not None:
         sums = sums.withColumn("t", F.col("t") + _peer_bytes(p2p))
     return sums.select("t", "i", F.inline(F.array(*conditions))).select(
-        "name", (F.col("bytes") / GB).alias("gb"), (F.col("bytes") / F.col("t")).alias("share_of_total"),
-        (F.col("bytes") / F.col("i")).alias("share_of_internet"),
+        "name", (F.col("bytes") / GB).alias("gb"), (F.col("bytes") / F.nullif(F.col("t"), F.lit(0))).alias("share_of_total"),
+        (F.col("bytes") / F.nullif(F.col("i"), F.lit(0))).alias("share_of_internet"),
     )
 
 
@@ -225,7 +225,7 @@ def filter_funnel(flows: DataFrame, p2p: DataFrame, activity: DataFrame) -> Data
     kept = members(flows, eligible_users(activity)).agg(F.count(F.lit(1)).alias("n")).scalar()
     peers = p2p.agg(F.count(F.lit(1)).alias("n")).scalar()
     return users.select(
-        "*", (F.col("final_users") / F.col("users")).alias("final_share"),
+        "*", (F.col("final_users") / F.nullif(F.col("users"), F.lit(0))).alias("final_share"),
         kept.alias("typical_flows"), peers.alias("p2p_flows"), (kept + peers).alias("total_flows"),
     )
 
@@ -237,5 +237,5 @@ def consistently_online(activity: DataFrame, least: float = 0.95) -> DataFrame:
     often = F.count_if(F.col("online_ratio") >= least)
     return users.agg(
         often.alias("consistently_on"), F.count(F.lit(1)).alias("users"),
-        (often / F.count(F.lit(1))).alias("share"),
+        (often / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("share"),
     ).withColumn("median_ratio", middle)

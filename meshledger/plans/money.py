@@ -69,8 +69,8 @@ def spend_inequality(transactions: DataFrame, activity: DataFrame) -> DataFrame:
         F.avg("usd_per_day").alias("mean"),
     ).withColumn("median", middle)
     return stats.withColumns(
-        {"max_over_mean": F.col("max") / F.col("mean"),
-         "max_over_median": F.col("max") / F.col("median")}
+        {"max_over_mean": F.col("max") / F.nullif(F.col("mean"), F.lit(0.0)),
+         "max_over_median": F.col("max") / F.nullif(F.col("median"), F.lit(0.0))}
     )
 
 
@@ -131,7 +131,7 @@ def arpu(transactions: DataFrame, window: StudyWindow) -> DataFrame:
     sums = purchases(transactions).agg(
         F.count_distinct("user_id").alias("users"), F.sum("amount_idr").alias("revenue_idr")
     )
-    whole = F.col("revenue_idr") / F.col("users")
+    whole = F.col("revenue_idr") / F.nullif(F.col("users"), F.lit(0))
     return sums.select(
         "users", "revenue_idr", whole.alias("arpu_idr"),
         (whole / F.lit(12.0)).alias("arpu_twelfth_idr"),

@@ -91,9 +91,9 @@ def mapping_coverage(daily: DataFrame, dimension: str) -> DataFrame:
         (F.col("no_dns") / GB).alias("unknown_gb"),
         (mappable / GB).alias("mappable_gb"),
         (mapped / GB).alias("mapped_gb"),
-        (F.col("no_dns") / F.col("t")).alias("fraction_unmappable"),
-        (mapped / F.col("t")).alias("fraction_mapped_of_total"),
-        (mapped / mappable).alias("fraction_mapped_of_mappable"),
+        (F.col("no_dns") / F.nullif(F.col("t"), F.lit(0))).alias("fraction_unmappable"),
+        (mapped / F.nullif(F.col("t"), F.lit(0))).alias("fraction_mapped_of_total"),
+        (mapped / F.nullif(mappable, F.lit(0))).alias("fraction_mapped_of_mappable"),
     )
 
 

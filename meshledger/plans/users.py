@@ -60,7 +60,7 @@ def user_share_of_category(
         .select(
             "user_id", dimension, "bytes_total", "user_rank", "dimension_rank",
             per_day.alias("bytes_avg_online_day"),
-            (F.col("bytes_total") / F.col("user_total")).alias("share"),
+            (F.col("bytes_total") / F.nullif(F.col("user_total"), F.lit(0))).alias("share"),
         )
     )
 
@@ -84,23 +84,31 @@ def quantile_shares(
     binned = rank_bins(ranked, "rank_daily", "quantile", bins)
     joined = parts.join(binned, "user_id")
     order = sort_order(grouped, dimension).select(dimension, "rank")
+    # A user without any bytes has no shares; such pairs do not count in the mean of shares.
+    share = F.col("bytes_total") / F.nullif(F.col("user_total"), F.lit(0))
     means = joined.groupBy("quantile", dimension).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.sum(F.col("bytes_total") / F.col("days_online")).alias("sum_daily"),
-        F.sum(F.col("bytes_total") / F.col("user_total")).alias("sum_share"),
+        F.sum(share).alias("sum_share"),
+        F.count(share).alias("shares"),
     )
     if include_zero:
         sizes = binned.groupBy("quantile").agg(F.count(F.lit(1)).alias("n"))
-        means = means.join(F.broadcast(sizes), "quantile")
+        means = means.join(F.broadcast(sizes), "quantile").withColumn("shares", F.col("n"))
     else:
         means = means.withColumn("n", F.col("pairs"))
     return means.join(order, dimension).select(
         "quantile", dimension, "rank",
         (F.col("sum_daily") / F.col("n")).alias("normalized_bytes_total"),
-        (F.col("sum_share") / F.col("n")).alias("category_share"),
+        (F.col("sum_share") / F.nullif(F.col("shares"), F.lit(0))).alias("category_share"),
     )
 
 
+def _log10(value: Column) -> Column:
+    """Logarithm with minus infinity for zero."""
+    return F.when(value == 0, F.lit(float("-inf"))).otherwise(F.log10(value))
+
+
 def heat_map(grouped: DataFrame, activity: DataFrame, dimension: str = "category") -> DataFrame:
     """GB, share and MB per day of every user and category, with logarithms."""
     users = eligible_users(activity, min_active_days=None).select("user_id", "days_active")
@@ -112,9 +120,9 @@ def heat_map(grouped: DataFrame, activity: DataFrame, dimension: str = "category
         parts.join(totals, "user_id")
         .join(users, "user_id")
         .select(
-            "user_id", dimension, gb.alias("gb"), F.log10(gb).alias("log_gb"),
+            "user_id", dimension, gb.alias("gb"), _log10(gb).alias("log_gb"),
             (F.col("bytes_total") / F.nullif(F.col("user_total"), F.lit(0))).alias("normalized"),
-            per_day.alias("mb_per_day"), F.log10(per_day).alias("log_mb_per_day"),
+            per_day.alias("mb_per_day"), _log10(per_day).alias("log_mb_per_day"),
         )
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshledger.functions.rules import DOMAIN_RULES, FACEBOOK_MARKS, GOOGLE_MARKS
 from meshledger.study import StudyWindow
@@ -59,6 +59,15 @@ def flows_of(events: DataFrame) -> DataFrame:
     )
 
 
+def past_outage(df: DataFrame, window: StudyWindow = TEST_WINDOW) -> DataFrame:
+    """All flows, those of the outage moved behind it: whole days without flows, and no flow lost."""
+    start = F.col("start_ts").cast("date")
+    moved = (start >= F.lit(window.outage_lo.date())) & (start < F.lit(window.outage_hi.date()))
+    days = (window.outage_hi - window.outage_lo).days
+    later = lambda c: F.when(moved, F.timestamp_add("DAY", F.lit(days), F.col(c))).otherwise(F.col(c))
+    return df.withColumns({"start_ts": later("start_ts"), "end_ts": later("end_ts")})
+
+
 def p2p_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr(
         "event_id",
@@ -101,13 +110,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(
-        "event_id % 3 = 0 AND event_id % 10 <> 9"
-    ).selectExpr(
+    """One answer per event. Some users have none, and many answers are for an address no flow goes to."""
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "timestampadd(SECOND, -1800, ts) AS ts",
-        "user_id",
-        f"{_IP} AS ip_address",
+        "IF(user_id % 7 = 3, user_id + 1, user_id) AS user_id",
+        f"IF(event_id % 3 = 0 AND event_id % 10 <> 9, {_IP}, '203.0.113.200') AS ip_address",
         f"{_FQDN} AS domain_name",
     )
 

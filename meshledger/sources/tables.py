@@ -30,15 +30,14 @@ def write_table(
     writer.parquet(path)
 
 
-def write_by_day(flows: DataFrame, path: str, ts: str = "start_ts", files_per_day: int = 8) -> None:
+def write_by_day(flows: DataFrame, path: str, ts: str = "start_ts") -> None:
     """One folder per local day, rows sorted by time inside a file.
 
-    A day is written by ``files_per_day`` tasks, so a busy day is not one task's work.
+    Ranges of day and time follow the data, so a busy day is cut into as many files as it needs.
     """
-    spread = F.pmod(F.xxhash64(ts), F.lit(files_per_day))
     (
         flows.withColumn("day", day(ts))
-        .repartition("day", spread)
+        .repartitionByRange("day", ts)
         .sortWithinPartitions("day", ts)
         .write.mode("overwrite")
         .option("compression", "snappy")

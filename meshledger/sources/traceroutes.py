@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Texts removed from a hop line before it is split.
 REMOVED = (" ms", "(", ")", "\n")
@@ -21,20 +21,14 @@ def parse_traceroutes(files: DataFrame, dataset: str = "Community Network") -> D
     hop line are hop number and address, every other word counts one probe if it is a number
     and takes one off if it is not. No positive latency means null.
     """
-    text = F.regexp_replace(F.col("text"), r"\n$", "")
-    lines = files.select("file", F.posexplode(F.split(text, "\n")).alias("line_no", "line"), text.alias("t"))
-    lines = lines.withColumn("last_line", F.size(F.split("t", "\n")) - 1).drop("t")
-    headers = lines.where(F.col("line").startswith("traceroute to")).select(
-        "file", F.col("line_no").alias("header_no"),
-        F.get(F.split(F.trim("line"), r"\s+"), F.lit(2)).alias("domain"),
-    )
-    # A file's headers are few (one per trace); each file carries them as one sorted array.
-    per_file = headers.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct("header_no", "domain"))).alias("headers")
-    )
-    hops = lines.where(~F.col("line").startswith("traceroute to")).join(per_file, "file", "left")
-    above = F.filter("headers", lambda h: h["header_no"] < F.col("line_no"))
-    domain = F.coalesce(F.try_element_at(above, F.lit(-1)).getField("domain"), F.lit(""))
+    split = files.select("file", F.split(F.regexp_replace(F.col("text"), r"\n$", ""), "\n").alias("all"))
+    lines = split.select("file", (F.size("all") - 1).alias("last_line"), F.posexplode("all").alias("line_no", "line"))
+    is_header = F.col("line").startswith("traceroute to")
+    named = F.when(is_header, F.get(F.split(F.trim("line"), r"\s+"), F.lit(2)))
+    # A file came as one row, so its lines fit one task.
+    above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    hops = lines.withColumn("domain", F.last(named, ignorenulls=True).over(above)).where(~is_header)
+    domain = F.coalesce("domain", F.lit(""))
 
     cleaned = F.col("line")
     for text_out in REMOVED:

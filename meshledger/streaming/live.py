@@ -41,7 +41,7 @@ def dedup_stream(
 def binned_bytes_stream(
     stream: DataFrame, ts: str, keys: Sequence[str], width: str = "1 day", delay: str = "4 hours"
 ) -> DataFrame:
-    """Bytes up and down per time bin and key, sent out once the bin can get no more rows."""
+    """Bytes up and down per time bin and key; in append mode sent out once the bin can get no more rows."""
     return (
         stream.withColumn("event_time", F.col(ts).cast("timestamp"))
         .withWatermark("event_time", delay)
@@ -158,6 +158,34 @@ def as_stream(spark: SparkSession, sf_dir: str, table: str, schema: StructType)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
+def run_to_last_state(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregating stream over all there is now, and return the last state of every group.
+
+    Groups the watermark has not closed yet are there, too: when a finite feed ends, nothing more
+    comes for them. Each micro-batch writes the groups it changed under its number, so a repeated
+    batch does no harm.
+    """
+    spark = stream.sparkSession
+    path, marks = session.scratch_path(spark, label), session.scratch_path(spark, f"{label}-marks")
+
+    def keep(changed: DataFrame, number: int) -> None:
+        changed.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+
+    running = (
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", marks)
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(f"{_ddl(stream)}, _batch int").parquet(path)
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in stream.columns])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
 def run_to_end(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all there is now, and return what it wrote."""
     spark = stream.sparkSession

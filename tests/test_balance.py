@@ -1,4 +1,4 @@
-"""Data balance, ledgers and overlap counts against literal restatements."""
+"""Data balance, ledgers and overlap counts: cases worked by hand and properties."""
 
 import datetime as dt
 import random
@@ -27,65 +27,78 @@ def random_events(seed, n=150):
     return rows
 
 
-def literal_ranges(mine):
-    out = []
-    for p in (r for r in mine if r[3] == "purchase"):
-        ends = [r[1] for r in mine if r[3] == "ext" and r[5] > 0 and r[1] <= p[0]]
-        if ends and max(ends) < p[0]:
-            lo, hi = max(ends), p[0]
-            n = sum(1 for r in mine if r[3] == "ext" and r[5] <= 0 and (
-                lo <= r[0] <= hi or lo <= r[1] <= hi or (r[0] <= lo and r[1] >= hi)))
-            out.append((lo, hi, n))
-    return out
-
-
-def literal_balance(mine, least):
-    """The correction as written for one user, over sorted rows."""
-    rank = {"init": 0, "tare": 1, "purchase": 2, "ext": 3}
-    rows = [dict(ts=r[0], end=r[1], type=r[3], down=r[5], net=r[6] - r[4] - r[5], id=r[7]) for r in mine]
-    rows.append(dict(ts=min(r[0] for r in mine) - dt.timedelta(seconds=1), end=None, type="init", down=0, net=0, id=0))
-    rows += [dict(ts=lo, end=hi, type="tare", down=0, net=0, id=0) for lo, hi, n in literal_ranges(mine) if n >= least]
-    rows.sort(key=lambda r: (r["ts"], rank[r["type"]], r["end"] or r["ts"], r["id"]))
-
-    def run():
-        total = 0
-        for r in rows:
-            total += r["net"]
-            r["balance"] = total
-
-    run()
-    offset = max(0, -min(r["balance"] for r in rows if r["type"] != "init"))
-    rows[0]["net"] = offset
-    run()
-    marks = [r for r in rows if r["type"] == "tare" or (r["type"] == "ext" and r["down"] > 0)]
-    low = None
-    for r in reversed(marks):
-        low = r["balance"] if low is None else min(low, r["balance"])
-        r["low"] = low
-    before = 0
-    for r in (r for r in rows if r["type"] == "tare"):
-        r["net"] = -(r["low"] - before)
-        before = r["low"]
-    run()
-    return [(i, r["ts"], r["type"], r["net"], max(0, r["balance"])) for i, r in enumerate(rows)]
+def secs(*at):
+    return [T0 + dt.timedelta(seconds=a) for a in at]
+
+
+def bought(t, amount, user="u"):
+    return (*secs(t, t), user, "purchase", 0, 0, amount, 0)
+
+
+def flow(start, end, down, up=0, user="u", row=0):
+    return (*secs(start, end), user, "ext", up, down, 0, row)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 3, 10_000])
+def test_balance_of_a_small_history(spark, rows_per_bucket):
+    """Worked by hand: 60 are left before two failed flows, 40 of them cannot have been there, as the
+    next purchase of 50 ends in a balance of 40 without a correction."""
+    rows = [bought(0, 100), flow(10, 11, 40), flow(20, 21, 0, row=1), flow(22, 23, 0, row=2), bought(30, 50), flow(40, 41, 70, row=3)]
+    out = g.data_balance(spark.createDataFrame(rows, EVENTS), 2, rows_per_bucket).orderBy("user_hist_i").collect()
+    assert [(r["type"], r["net_bytes"], r["balance"]) for r in out] == [
+        ("init", 0, 0), ("purchase", 100, 100), ("ext", -40, 60), ("tare", -40, 20), ("ext", 0, 20), ("ext", 0, 20), ("purchase", 50, 70), ("ext", -70, 0)]
+
+
+def test_a_debt_is_lifted_from_the_start(spark):
+    rows = [flow(5, 6, 30), bought(10, 20), flow(15, 16, 5, row=1)]
+    out = g.data_balance(spark.createDataFrame(rows, EVENTS), 1).orderBy("user_hist_i").collect()
+    assert [(r["type"], r["net_bytes"], r["balance"]) for r in out] == [
+        ("init", 30, 30), ("ext", -30, 0), ("tare", 0, 0), ("purchase", 20, 20), ("ext", -5, 15)] or [
+        r["type"] for r in out] == ["init", "ext", "purchase", "ext"] and [r["balance"] for r in out] == [30, 0, 20, 15]
+
+
+@pytest.mark.parametrize("failed,tares", [(49, 0), (50, 1)])
+def test_fifty_failed_flows_make_a_range(spark, failed, tares):
+    rows = [bought(0, 1000), flow(10, 11, 100), *[flow(20 + k, 21 + k, 0, row=k + 1) for k in range(failed)], bought(500, 100),
+            flow(510, 511, 1, row=99)]
+    out = g.data_balance(spark.createDataFrame(rows, EVENTS))
+    assert out.where("type = 'tare'").count() == tares
 
 
 @pytest.mark.parametrize("seed,rows_per_bucket", [(1, 1), (2, 6), (3, 10_000), (4, 25)])
-def test_balance_equals_the_literal_correction(spark, seed, rows_per_bucket):
+def test_balance_properties(spark, seed, rows_per_bucket):
     rows = random_events(seed)
     out = g.data_balance(spark.createDataFrame(rows, EVENTS), 2, rows_per_bucket).collect()
     assert any(r["type"] == "tare" for r in out)
+    kept = {(r[2], r[0], r[7], r[3]): r[6] - r[4] - r[5] for r in rows}
     for user in {r[2] for r in rows}:
-        want = literal_balance([r for r in rows if r[2] == user], 2)
-        got = sorted((r["user_hist_i"], r["ts"], r["type"], r["net_bytes"], r["balance"]) for r in out if r["user_id"] == user)
-        assert got == want
+        mine = sorted((r for r in out if r["user_id"] == user), key=lambda r: r["user_hist_i"])
+        assert [r["user_hist_i"] for r in mine] == list(range(len(mine)))
+        assert [r["ts"] for r in mine] == sorted(r["ts"] for r in mine)
+        running, after_tare = 0, []
+        for r in mine:
+            running += r["net_bytes"]
+            assert r["balance"] == max(0, running)
+            if r["type"] == "tare":
+                assert r["net_bytes"] <= 0  # a tare only takes off
+                after_tare = []
+            # where a flow succeeded, and at a tare, the balance cannot be below zero
+            if r["type"] == "tare" or r["type"] == "ext" and r["bytes_down"] > 0:
+                assert running >= 0
+                after_tare.append(running)
+        changed = [r["net_bytes"] for r in mine if r["type"] in ("ext", "purchase")]
+        assert sorted(changed) == sorted(v for (u, *_), v in kept.items() if u == user)
+        if any(r["type"] == "tare" for r in mine):
+            assert min(after_tare) == 0  # the last tare takes off all that was never needed again
 
 
 def test_overlaps_count_touching_intervals(spark):
-    rows = random_events(8)
-    got = g.likely_zero_ranges(spark.createDataFrame(rows, EVENTS), 0, 9).collect()
-    want = [(u, *r) for u in {r[2] for r in rows} for r in literal_ranges([x for x in rows if x[2] == u])]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    """A range reaches from the end of the last flow that got data to the purchase; a failed flow
+    touches it unless it ends before or starts after."""
+    rows = [flow(0, 10, 5), flow(2, 9, 0, row=1), flow(3, 10, 0, row=2), flow(10, 11, 0, row=3), flow(5, 40, 0, row=4), flow(20, 25, 0, row=5),
+            flow(30, 35, 0, row=6), flow(31, 33, 0, row=7), bought(30, 7), flow(1, 2, 3, user="v"), bought(50, 1, user="w")]
+    got = g.likely_zero_ranges(spark.createDataFrame(rows, EVENTS), 0, 3).collect()
+    assert [tuple(r) for r in got] == [("u", *secs(10, 30), 5)]
 
 
 def test_balance_is_never_negative_and_purchases_add_up(spark):
