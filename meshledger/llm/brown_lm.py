@@ -303,7 +303,7 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     n = common.parts(spark, common.text_megabytes(rows), 40)
-    buckets = n * repeats.SPREAD
+    buckets = n
     sent = spark.sparkContext.broadcast(model)
 
     def texts_out(rank, key, value, known, tokens) -> Iterator[dict]:
@@ -418,9 +418,9 @@ def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     rare = counts.where(F.col("n") < max(KNOWN_SHARE * model.tokens, 2))
     parts = (rows.select("rank", "key", "text").mapInArrow(lambda it: repeats.record_batches(read(it), SENT_ROWS, 200), SENT_TYPE)
              .unionByName(rare.select("word", "n").mapInArrow(lambda it: repeats.record_batches(send_counts(it), SENT_ROWS, 200), SENT_TYPE)))
-    looked = (parts.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    looked = (parts.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
               .mapInArrow(lambda it: repeats.record_batches(look_up(it), SENT_ROWS, 200), SENT_TYPE))
-    return looked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return looked.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         add_up, "rank long, key long, n_tokens long, n_known long, log_counts double, log_model double")
 
 

@@ -10,7 +10,8 @@
 Groups may be huge (a passage in a third of all documents), so every task first settles what it can
 see itself: of equal hashes, regions or windows inside one block of rows only the one with the
 smallest rank goes on, and the others are flagged or spans at once. What meets in one task is then
-bounded by the number of blocks. Hashes travel as packed arrays by bucket, not as rows.
+bounded by the number of blocks. Hashes travel as packed arrays, one row for each block and
+partition it has something for (`repartitionById`), not as rows of their own.
 
 Rows are named by ``rank`` and ``key`` (see `common.texts`); a row is smaller than another if its
 rank is. Rows that share an id never make each other repeats.
@@ -31,8 +32,6 @@ from meshledger.llm import common
 SHARE = 12
 #: Bytes of text whose anchors are settled together before they leave a task.
 BLOCK = 8 << 20
-#: Buckets per shuffle partition; a bucket of a block is one row.
-SPREAD = 8
 KNOWN = np.uint32(0xFFFFFFFF)
 
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -101,7 +100,7 @@ FLAGS = pa.schema([("rank", pa.int64()), ("pos", pa.binary())])
 
 def flagged(rows: DataFrame, anchors: Anchors, n: int) -> DataFrame:
     """(rank, pos): packed positions of anchors whose hash occurs in two documents at least, one row per rank."""
-    buckets = np.uint64(n * SPREAD)
+    buckets = np.uint64(n)
 
     def told(rank: np.ndarray, pos: np.ndarray) -> Iterator[dict]:
         for row in packed(place(rank, buckets), {"rank": (rank, "<i8"), "pos": (pos, "<u4")}):
@@ -162,8 +161,8 @@ def flagged(rows: DataFrame, anchors: Anchors, n: int) -> DataFrame:
                 yield {"rank": int(rank[a]), "pos": pack(pos[a:b], "<u4")}
 
     kinds = "bucket int, h binary, rank binary, pos binary, done boolean"
-    sent = rows.select("rank", "text").mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), kinds).repartition(n, "bucket").sortWithinPartitions("bucket")
-    told_ = sent.mapInArrow(lambda it: record_batches(compare(it), ANCHOR_ROWS), kinds).select("bucket", "rank", "pos").repartition(n, "bucket").sortWithinPartitions("bucket")
+    sent = rows.select("rank", "text").mapInArrow(lambda it: record_batches(sample(it), ANCHOR_ROWS), kinds).repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    told_ = sent.mapInArrow(lambda it: record_batches(compare(it), ANCHOR_ROWS), kinds).select("bucket", "rank", "pos").repartitionById(n, "bucket").sortWithinPartitions("bucket")
     return common.store(told_.mapInArrow(lambda it: record_batches(gather(it), FLAGS), "rank long, pos binary"), "flagged", large=True)
 
 
@@ -250,7 +249,7 @@ def span_rows(rank: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.nd
 
 def whole_spans(found: DataFrame, n: int) -> DataFrame:
     """Spans of the regions that are repeats as a whole."""
-    buckets = np.uint64(n * SPREAD)
+    buckets = np.uint64(n)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -270,7 +269,7 @@ def gather_spans(spans: DataFrame, n: int) -> DataFrame:
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
                 yield {"rank": int(rank[a]), "key": int(key[a]), "starts": pack(start[a:b], "<u4"), "counts": pack(count[a:b], "<u4")}
 
-    return spans.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return spans.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         lambda it: record_batches(gather(it), GATHERED), "rank long, key long, starts binary, counts binary")
 
 

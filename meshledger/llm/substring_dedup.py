@@ -67,7 +67,7 @@ def _smallest(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
 
 def compare(found: DataFrame, n: int) -> DataFrame:
     """Spans of repeats among the windows of the regions: all windows with a smaller rank in their group."""
-    buckets = np.uint64(n * repeats.SPREAD)
+    buckets = np.uint64(n)
 
     def spans(x: dict, repeat: np.ndarray) -> Iterator[dict]:
         yield from repeats.span_rows(x["rank"][repeat], x["key"][repeat], x["start"][repeat], np.ones(int(repeat.sum()), np.int64), buckets)
@@ -106,7 +106,7 @@ def compare(found: DataFrame, n: int) -> DataFrame:
     kinds = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "count binary"])
     sent = (found.where("body IS NOT NULL").select("rank", "key", "start", "body")
             .mapInArrow(lambda it: repeats.record_batches(windows(it), WINDOW_ROWS), kinds)
-            .repartition(n, "bucket").sortWithinPartitions("bucket"))
+            .repartitionById(n, "bucket").sortWithinPartitions("bucket"))
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
 
 

@@ -26,6 +26,8 @@ from meshledger.llm import common, repeats
 
 WINDOW, GRAM = 50, 16
 SEGMENT = 8 << 20
+#: Suffix arrays that a task sorts one after the other.
+PARTS = 4
 #: A gram is split if it has more pieces than this and than a HOT_LIST-th of all pieces.
 HOT, HOT_LIST = 20_000, 50_000
 
@@ -244,7 +246,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """Spans of repeats among the windows of the regions."""
     spark = found.sparkSession
     split = spark.sparkContext.broadcast(hot_grams(found, hot))
-    buckets = np.uint64(n * repeats.SPREAD)
+    buckets = np.uint64(n)
 
     def settle(held: list) -> Iterator[dict]:
         rank, key, start, count, h, r1, r2 = (np.concatenate([x[i] for x in held]) for i in range(7))
@@ -255,7 +257,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
         later = order[rank[order] > least]
         yield from repeats.span_rows(rank[later], key[later], start[later], count[later], buckets)
         stay = order[rank[order] == least]
-        bucket = (h[stay] % buckets).astype(np.int64)
+        bucket = (h[stay] % np.uint64(n * PARTS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         stay, bucket = stay[by], bucket[by]
         columns = {"size": count[stay] + WINDOW - 1, "windows": count[stay], "rank": rank[stay], "key": key[stay], "start": start[stay]}
@@ -293,7 +295,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
             yield from repeats.span_rows(x["rank"][piece], x["key"][piece], x["start"][piece].astype(np.int64) + off, count, buckets)
 
     sent = _bodies(found).mapInArrow(lambda it: repeats.record_batches(deal(it), PIECE_ROWS), PIECE_TYPE)
-    sent = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
+    sent = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(lambda it: repeats.record_batches(judge(it), repeats.SPAN_ROWS), repeats.SPAN_TYPE)
 
 
