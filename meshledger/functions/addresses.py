@@ -39,6 +39,9 @@ NOT_GLOBAL_V6 = (
     "fe80::/10",
 )
 
+#: Four decimal numbers of up to 255.
+OCTETS = r"^((25[0-5]|2[0-4]\d|1\d\d|\d?\d)(\.(?=\d)|$)){4}$"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,9 +50,8 @@ def _col(c: Column | str) -> Column:
 def v4_number(ip: Column | str) -> Column:
     """Dotted address as a number; null when it is not a v4 address."""
     parts = F.split(_col(ip), r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when((F.size(parts) == 4) & reduce(lambda a, b: a & b, [o.between(0, 255) for o in octets]), number)
+    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, part: total * 256 + part.try_cast("bigint"))
+    return F.when(_col(ip).rlike(OCTETS), number)
 
 
 def v6_digits(ip: Column | str) -> Column:

@@ -67,8 +67,9 @@ def attach_fqdn(
 
     known = F.col("_name").isNotNull()
     if reverse_dns is not None:
-        known_hosts = mark_local(reverse_dns, "ip", "_local").where(~F.col("_local"))
-        hosts = known_hosts.groupBy(F.col("ip").alias("_ip")).agg(F.min("host").alias("_host"))
+        # A column, not a filter: a filter would repeat the address test for every block of its list.
+        outside = mark_local(reverse_dns, "ip", "_local").select(F.col("ip").alias("_ip"), F.when(~F.col("_local"), F.col("host")).alias("_host"))
+        hosts = outside.groupBy("_ip").agg(F.min("_host").alias("_host"))
         # Only flows without an answer look for a host; the others get a key of their own, which
         # nothing has, so that they neither match nor meet in one task.
         own = F.concat(F.lit("#"), F.xxhash64("user_id", "dest_ip", "start_ts").cast("string"))
