@@ -112,19 +112,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, offsets)
 
 
-@lru_cache(maxsize=8)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 3
-    step = np.full(size + 1, base, np.uint64)
-    back = np.full(size + 1, pow(base, -1, 1 << 64), np.uint64)
-    step[0] = back[0] = 1
-    return values, np.multiply.accumulate(step), np.multiply.accumulate(back)
+#: Odd base of the rolling hashes; seeds differ in the values of the bytes.
+BASE = 0xA0761D6478BD642F
 
 
-def _table(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _powers(seed, 1 << max(16, int(size).bit_length()))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``size`` of each; the longest so far are kept."""
+    if len(_POWERS[0]) <= size:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            table = np.full((1 << max(16, size.bit_length())) + 1, base, np.uint64)
+            table[0] = 1
+            _POWERS[k] = np.multiply.accumulate(table)
+    return _POWERS
+
+
+@lru_cache(maxsize=64)
+def _values(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,10 +142,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hashes of ``units[start:end]``; units are bytes, or 64-bit values such as word hashes."""
-    values, step, back = _table(seed, len(units))
+    """64-bit hashes of ``units[start:end]``; units are bytes, or 64-bit values such as word hashes
+    (whose own seed then tells hashes apart)."""
+    step, back = _powers(len(units))
     total = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((values[units] if units.dtype == np.uint8 else units) * step[:len(units)], out=total[1:])
+    np.cumsum((_values(seed)[units] if units.dtype == np.uint8 else units) * step[:len(units)], out=total[1:])
     # the length enters by the seed of the mix, so that runs of zero units differ
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 

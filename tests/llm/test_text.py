@@ -265,3 +265,17 @@ def test_mixing_without_labels_or_rows(spark):
     assert mixing.mix(corpus.frame(spark, []), labels, {"a": 1.0}).count() == 0
     got = mixing.mix(corpus.frame(spark, corpus.rows()[:20]), labels, {"a": 0.5, "b": 0.5}, budget=1.0).collect()
     assert len(got) == 20 and all(r.p_a == r.p_b == 0.5 for r in got)
+
+
+def test_span_hashes_tell_spans_apart():
+    from meshledger.llm import common
+
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 100, 70_000).astype(np.uint8)
+    start = np.arange(len(data) - 12)
+    for seed in (1, 2):
+        h = common.span_hashes(data, start, start + 12, seed)
+        kinds = {data[i:i + 12].tobytes() for i in start}
+        assert len(kinds) == len(np.unique(h)) == len({(data[i:i + 12].tobytes(), int(x)) for i, x in zip(start, h)})
+    zeros = np.zeros(100, np.uint8)
+    assert len(np.unique(common.span_hashes(zeros, np.zeros(100, int), np.arange(1, 101), 3))) == 100
