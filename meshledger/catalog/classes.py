@@ -119,8 +119,12 @@ def classified(i: Inputs):
 
 
 def _few_peers(i: Inputs):
-    # Few users and addresses, so that 5-tuples repeat and calls chain.
-    return classified(i).withColumns({
+    return few_peers(classified(i))
+
+
+def few_peers(flows):
+    """Few users and addresses, so that 5-tuples repeat and calls chain."""
+    return flows.withColumns({
         "user_id": F.col("user_id") % 10, "user_port": F.lit(40000),
         "dest_ip": F.when(F.col("event_id") % 2 == 0, "23.248.162.7").otherwise("74.125.24.1"),
     })
@@ -142,7 +146,7 @@ _TRACE = f"""WITH RECURSIVE {{views}}, classified AS ({CLASSIFIED}), few AS ({_F
   FROM (SELECT *, event_id IN (SELECT event_id FROM hit) AS h FROM kinds)"""
 
 
-def _trace_sql(setup: int, chain: int) -> str:
+def trace_sql(setup: int, chain: int) -> str:
     views = using("flows", "").removeprefix("WITH ").strip()
     return _TRACE.format(views=views, setup=setup, chain=chain)
 
@@ -200,9 +204,9 @@ QUERIES = {
     ),
     "call_trace": (
         query(lambda i: trace.trace_ice(_few_peers(i), 21600, 43200, ROWS).select("event_id", "org", "category")),
-        _trace_sql(21600, 43200),
+        trace_sql(21600, 43200),
     ),
     "call_trace_one_minute": (
-        query(lambda i: trace.trace_ice(_few_peers(i)).select("event_id", "org", "category")), _trace_sql(60, 5),
+        query(lambda i: trace.trace_ice(_few_peers(i)).select("event_id", "org", "category")), trace_sql(60, 5),
     ),
 }

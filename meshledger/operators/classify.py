@@ -128,9 +128,16 @@ def is_call_setup(protocol: str = "protocol", port: str = "dest_port") -> Column
     return (F.col(protocol) == 17) & (F.col(port) == 3478)
 
 
-def classify_flows(flows: DataFrame) -> DataFrame:
-    """Name first, then the call-setup port, then Facebook's addresses, then the local flag."""
-    by_name = classify_domain(flows)
+def classify_flows(flows: DataFrame, per_name: bool = True) -> DataFrame:
+    """Name first, then the call-setup port, then Facebook's addresses, then the local flag.
+
+    Without ``per_name`` the rules run on every row, as they must on a stream.
+    """
+    if per_name:
+        by_name = classify_domain(flows)
+    else:
+        org, category = domain_class("fqdn")
+        by_name = flows.withColumns({"org": org, "category": category})
     facebook_ip = F.expr(_any_of("dest_ip", R.ADDRESS_RULES[0][3]))
     by_port = by_name.withColumn(
         "category", F.when(is_call_setup(), R.ICE).otherwise(F.col("category"))
