@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from meshledger import catalog
 from oracle import compare, connect
 
 # Joins that pair every row with every row, and Python run row by row.
@@ -14,13 +15,13 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = catalog.queries()[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [node for node in NEVER if node in plan]
     assert "MapInPandas" not in plan or name.startswith("call_trace")
-    sql = entry.oracle_sql().get(name)
+    sql = catalog.oracle_sql().get(name)
     if sql is None:
         assert df.count() > 0
     else:
@@ -32,5 +33,9 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_every_query_has_a_sql():
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
