@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from meshledger.llm import common, repair
 from meshledger.session import scratch_path
 
-END_ID, SHARD_IDS, KNOWN_WORDS = 2, 1 << 20, 500_000
+END_ID, SHARD_IDS, KNOWN_WORDS = 2, 1 << 19, 400_000
 
 
 class _Places(dict):
