@@ -9,9 +9,9 @@ from meshledger.llm import common
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(fp, component): smallest ``rank`` of all nodes reachable over ``links`` (a, b).
+    """(fp, root, component): smallest fp and smallest ``rank`` of all nodes reachable over ``links`` (a, b).
 
-    ``nodes`` has one row (fp, rank) per node; nodes without links are their own component. Every
+    ``root`` names the component; ranks may repeat, so ``component`` need not. ``nodes`` has one row (fp, rank) per node; nodes without links are their own component. Every
     step groups the links by node and hangs neighbours on the smallest; links only ever get fewer
     or flatter, and each table is written to the shared folder, so lineage stays one step long. The
     number of steps grows with the logarithm of the longest path.
@@ -38,4 +38,4 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     # every node now hangs on the smallest fingerprint of its component
     roots = nodes.join(edges.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rank", F.coalesce("v", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min("rank").alias("component"))
-    return roots.join(best, "root").select("fp", "component")
+    return roots.join(best, "root").select("fp", "root", "component")

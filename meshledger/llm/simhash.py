@@ -127,17 +127,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, crowd:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: id, rank, key, fp (bigint), component (smallest id reachable).
+    """One row per document: id, rank, key, fp (bigint), root (smallest fp reachable), component (smallest id reachable).
 
     Null texts are empty; a text without words has fingerprint zero and is linked like any other. A
-    null id ranks last: the component is null only where no reachable document has an id.
+    null id ranks last: the component is null only where no reachable document has an id. Unlinked
+    groups may share a component, by null or repeated ids; they differ in their root.
     """
     rows = common.store(fingerprints(common.texts(docs, id_col, text_col), shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("rank").alias("rank"))
     linked = common.store(links(rows.select("fp").distinct(), max_bits), "links")
     classes = components(linked, nodes)
     return rows.join(classes, "fp", "left").select(
-        "id", "rank", "key", "fp", F.nullif(F.col("component"), F.lit(common.NO_ID)).alias("component"))
+        "id", "rank", "key", "fp", "root", F.nullif(F.col("component"), F.lit(common.NO_ID)).alias("component"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,12 +148,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id, unchanged.
+    """Pipeline stage: of each group of linked documents the one with the smallest id, unchanged.
 
-    Rows that repeat this id with another text go; of rows that repeat id and text one stays.
+    In a group, rows that repeat this id with another text go; of rows that repeat id and text one stays.
+    Null and repeated ids do not make unlinked documents a group.
     """
     found = near_duplicates(docs)
-    keep = found.groupBy("component").agg(F.min(F.struct("rank", "key")).alias("first")).select(
+    keep = found.groupBy("root").agg(F.min(F.struct("rank", "key")).alias("first")).select(
         F.col("first.rank").alias("keep_rank"), F.col("first.key").alias("keep_key"))
     keep = common.store(keep, "kept")
     rank = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID))

@@ -106,6 +106,16 @@ def test_components_of_a_path(spark):
     assert got == {**{k: -40 for k in range(41)}, 100: 5, 101: 5, 200: 9}
 
 
+def test_keep_one_of_each_group_of_linked_texts(spark):
+    """Null ids and an id repeated over unlinked texts are no links: one of every group stays."""
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (" ".join(f"w{k}" for k in rng.integers(0, 10 ** 6, 30)) for _ in range(5))
+    assert all((simhash_of(x) ^ simhash_of(y)).bit_count() > 2 for x in (a, b, c, d, e) for y in (a, b, c, d, e) if x != y)
+    found = [(None, a), (None, b), (None, b.upper()), (7, c), (7, d), (9, d), (8, e), (None, e)]
+    got = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(spark, corpus.frame(spark, found), "").collect()]
+    assert corpus.ordered(got) == corpus.ordered([(None, a), (None, b), (7, c), (7, d), (8, e)])
+
+
 def test_word_windows(spark):
     found = corpus.rows()
     want = [(i, len(own), int(gone.sum()), " ".join(w.decode() for w, g in zip(own, gone) if not g))
