@@ -82,6 +82,44 @@ def test_main_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+PROSE = "A sentence of the article that is long enough to count as content. " * 4
+TITLED = f"<h1>Title</h1><p>{PROSE}</p><p>Short end.</p>"
+TITLED_TEXT = f"Title\n{PROSE.strip()}\nShort end."
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='container has-sidebar'", "div class='no-sidebar'", "div class='layout-top-nav'", "div class='sidebar'", "div class='page menu'",
+    "div id=comments", "div class='modal' role=dialog", "form id=aspnetForm action=x", "div hidden", "div class=banner", "aside", "div class='site-header'"])
+def test_wrappers_of_an_article_do_not_hide_it(wrapper):
+    tag = wrapper.split()[0]
+    assert html_text.main_text(f"<body><{wrapper}><nav><a href=x>Home</a></nav><article>{TITLED}</article></{tag}></body>") == TITLED_TEXT
+    assert html_text.main_text(f"<{wrapper}><div><main>{TITLED}<div class=ad>Buy this</div></main></div></{tag}><footer>bye</footer>") == TITLED_TEXT
+
+
+@pytest.mark.parametrize("inner", [
+    "section id='related-work'", "section id='social-impact'", "div class='notice-period'", "div class='page-header'", "section class='share-of-votes'",
+    "span class='menu-engineering'"])
+def test_names_that_only_hold_a_listed_word_are_content(inner):
+    tag = inner.split()[0]
+    page = f"<article><h1 class='page-header'>Title</h1><p>{PROSE}</p><{inner}>More of it.</{tag}><p>End.</p></article>"
+    assert html_text.main_text(page) == f"Title\n{PROSE.strip()}\nMore of it.\nEnd."
+
+
+def test_page_wide_forms_and_marked_elements_with_most_of_the_text():
+    aside = f"<div class='sidebar'><a href=x>Other</a></div><p>{PROSE}</p>"
+    assert html_text.main_text(f"<form method=post><input type=hidden><div><h2>Head</h2><p>{PROSE}</p>{aside}</div></form>") == "\n".join(
+        ["Head", PROSE.strip(), PROSE.strip()])
+    assert html_text.main_text(f"<article><h1>Title</h1><section id='related'><p>{PROSE}</p></section></article>") == f"Title\n{PROSE.strip()}"
+    # neither pushes out what stands beside it
+    assert html_text.main_text(f"<div id=post><p>{PROSE}</p></div><div class=widget><p>{PROSE * 3}</p></div>").startswith(PROSE.strip() + "\n")
+    assert html_text.main_text(f"<div id=post><p>{PROSE}</p></div><div class=comments><p>{PROSE * 3}</p></div>") == PROSE.strip()
+    assert html_text.main_text(f"<main><p>{PROSE}</p></main><aside><p>{PROSE * 3}</p></aside>") == PROSE.strip()
+    assert html_text.main_text(f"<div class='menu'><h2>Head</h2><p>{PROSE}</p></div>") == f"Head\n{PROSE.strip()}"
+    teasers = "<article><p>Another story.</p></article>" * 3
+    assert html_text.main_text(f"<main><article>{TITLED}</article><div class='related-posts'>{teasers}</div></main>") == TITLED_TEXT
+    assert html_text.main_text(f"<p>before <span class=ad>Buy</span> after {PROSE}</p>") == f"before\nafter {PROSE.strip()}"
+
+
 def test_very_long_and_broken_pages():
     assert html_text.main_text("<div>" * 3000 + "deep text") == "deep text"
     assert len(html_text.main_text("<article>" + "<p>" + "long words " * 200_000)) == len("long words " * 200_000) - 1
