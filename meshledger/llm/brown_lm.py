@@ -1,15 +1,18 @@
 """A Brown class-based bigram model: P(text) = product of P(class | class before) P(word | class).
 
 Words with at least UNIT_SHARE of all tokens (a list of bounded length) are units of their own, all
-others are pooled by their ending into POOLS units. Exchange clustering deals the units to CLASSES.
+others are first pooled by their ending into POOLS units. Exchange clustering deals the units to CLASSES.
 Its passes over the bigram counts are distributed: for a slice of the units at a time they count the
 neighbours by class. With these few numbers a unit each, the units of the slice then move, one after
-the other, to the class that raises the mutual information of neighbouring classes most.
+the other, to the class that raises the mutual information of neighbouring classes most, until hardly
+any moves. Then each pooled word that occurs EVIDENCE times, however large the corpus, gets the class that is best
+for its own neighbours by the same objective, against the finished table of class pairs; this pass is
+distributed by word. Rarer words keep the class of their pool. Class pairs are then counted again.
 Every word of the corpus so has a class; its emission probability uses its own count.
 
 Counts cover all training texts. Words with at least KNOWN_SHARE of all tokens (a bounded list, too)
-are broadcast with their counts; the counts of all others are joined to the texts that hold them, by
-buckets of words sent as packed arrays.
+are broadcast with their counts and classes; the counts and classes of all others are joined to their
+places in the texts, by buckets of words sent as packed arrays.
 """
 
 from __future__ import annotations
@@ -27,13 +30,19 @@ from pyspark.sql import functions as F
 
 from meshledger.llm import common, repeats
 
-CLASSES, POOLS, ROUNDS, SLICES = 64, 512, 3, 6
+CLASSES, POOLS, ROUNDS, SLICES = 64, 512, 30, 6
+#: The exchange ends with a round that moves less than this share of the tokens, or after ROUNDS.
+SETTLED = 1e-3
+#: Occurrences from which a pooled word has a class of its own.
+EVIDENCE = 10
 UNIT_SHARE, KNOWN_SHARE = 5e-5, 1e-6
 #: Pseudo-count of the class unigram in a class transition.
 BACKOFF = 5.0
 #: The token that ends every text; no word holds a space.
 END = b" "
 BLOCK = 16 << 20
+#: The class of a neighbour that is not listed.
+OPEN = 255
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -104,11 +113,16 @@ class Model:
         return at, unit
 
 
+def known_least(model: Model) -> float:
+    """Occurrences from which a word is listed."""
+    return max(KNOWN_SHARE * model.tokens, 2)
+
+
 def frequent_words(counts: DataFrame) -> Model:
     """Totals and the frequent words; both lists are bounded by one over their share."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     model = Model(tokens=int(total.n or 0), words=int(total.v))
-    listed = counts.where(F.col("n") >= max(KNOWN_SHARE * model.tokens, 2)).toArrow()
+    listed = counts.where(F.col("n") >= known_least(model)).toArrow()
     words, n = listed["word"].to_pylist(), listed["n"].to_numpy().astype(np.float64)
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in order], n[order]
@@ -217,7 +231,7 @@ _MOVES = pa.schema([("unit", pa.int64()), ("own", pa.float64()), ("right", pa.li
 
 
 def exchange(neighbours: DataFrame, sizes: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, counts of class pairs) after some rounds of distributed exchange."""
+    """(class of each unit, counts of class pairs) after rounds of distributed exchange, until hardly any unit moves."""
     spark = neighbours.sparkSession
     of_unit = np.zeros(len(sizes), np.int64)
     of_unit[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes)) % classes
@@ -242,7 +256,9 @@ def exchange(neighbours: DataFrame, sizes: np.ndarray, classes: int = CLASSES, r
 
     for turn in range(rounds * SLICES):
         if turn % SLICES == 0:
-            table = class_pairs()
+            if turn and moved < SETTLED * sizes.sum():
+                break
+            table, moved = class_pairs(), 0.0
         sent = spark.sparkContext.broadcast(of_unit)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -269,158 +285,315 @@ def exchange(neighbours: DataFrame, sizes: np.ndarray, classes: int = CLASSES, r
             if best != at:
                 move(table, right, left, own, at, best)
                 of_unit[u] = best
+                moved += float(sizes[u])
     return of_unit, class_pairs()
 
 
+ENTRY_ROWS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "sizes", "code", "count"))])
+
+
+def word_classes(train: DataFrame, model: Model, table: np.ndarray, n: int) -> DataFrame:
+    """(word, n, cls) of every pooled word: with EVIDENCE the best class for its neighbours, else that of its pool.
+
+    Each word is tried by itself against ``table``, with the classes its neighbours' units have.
+    """
+    sent, width = train.sparkSession.sparkContext.broadcast((model, table)), 2 * CLASSES + 1
+
+    def out(held: dict[bytes, int], codes: list[np.ndarray]) -> Iterator[dict]:
+        if not held:
+            return
+        code, count = np.unique(np.concatenate(codes), return_counts=True)
+        words = list(held)
+        name = np.array([zlib.crc32(w) % n for w in words])
+        size, order, at = np.bincount(code // width, minlength=len(words)), np.argsort(name, kind="stable"), 0
+        for row in repeats.packed(name[code // width], {"code": (code % width, "u1"), "count": (count, "<u4")}):
+            own = order[np.searchsorted(name[order], row["bucket"]):np.searchsorted(name[order], row["bucket"], side="right")]
+            yield row | {"words": b"\n".join(words[i] for i in own.tolist()), "sizes": repeats.pack(size[own], "<u4")}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        m = sent.value[0]
+        end = int(m.of_unit[m.unit[m.known[END]]])
+        held, codes, size = {}, [], 0
+        for batch in batches:
+            for _, _, data, offsets in common.text_blocks(batch.column(0)):
+                words, _ = _tokens(data, offsets)
+                _, unit = m.units_of(words)
+                cls = m.of_unit[unit]
+                pooled = np.flatnonzero(unit < POOLS)
+                places = np.fromiter((held.setdefault(words[i], len(held)) for i in pooled.tolist()), np.int64, len(pooled))
+                # the end before the block's first text is the end of its last
+                codes += [places * width + np.roll(cls, -1)[pooled], places * width + CLASSES + np.r_[end, cls][pooled]]
+                twice = np.flatnonzero((np.r_[pooled[1:], pooled[:1] + len(words)] == pooled + 1) & (np.roll(places, -1) == places))
+                codes.append(places[twice] * width + 2 * CLASSES)
+                size += len(data)
+                if size >= BLOCK:
+                    yield from out(held, codes)
+                    held, codes, size = {}, [], 0
+        yield from out(held, codes)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, pairs = sent.value
+        for rows in repeats.buckets_of(batches):
+            held: dict[bytes, int] = {}
+            places = np.concatenate([np.repeat([held.setdefault(w, len(held)) for w in row["words"].split(b"\n")], np.frombuffer(row["sizes"], "<u4"))
+                                     for row in rows])
+            x = repeats.unpacked(rows, {"code": "u1", "count": "<u4"})
+            code, which = np.unique(places * width + x["code"], return_inverse=True)
+            count = np.bincount(which, x["count"])
+            owner, code = code // width, code % width
+            words = list(held)
+            total = np.bincount(owner, np.where((code >= CLASSES) & (code < 2 * CLASSES), count, 0), len(words))
+            cls = np.array([m.of_unit[_pool(w)] for w in words], np.int64)
+            cut = np.searchsorted(owner, np.arange(len(words) + 1))
+            for i in np.flatnonzero(total >= EVIDENCE).tolist():
+                own = np.zeros(width)
+                own[code[cut[i]:cut[i + 1]]] = count[cut[i]:cut[i + 1]]
+                cls[i] = best_class(pairs, own[:CLASSES], own[CLASSES:2 * CLASSES], own[-1], int(cls[i]))
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[a:a + 50_000], pa.binary()), pa.array(total[a:a + 50_000].astype(np.int64)),
+                                                  pa.array(cls[a:a + 50_000].astype(np.int32))], ["word", "n", "cls"])
+
+    entries = train.select("text").mapInArrow(lambda it: repeats.record_batches(read(it), ENTRY_ROWS, 200),
+                                              "bucket int, words binary, sizes binary, code binary, count binary")
+    found = entries.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(choose, "word binary, n long, cls int")
+    return common.store(found, "word-classes", large=True)
+
+
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts, learned from ``train`` (text)."""
+    """The model and the table (word, n, cls) of all words, learned from ``train`` (text).
+
+    ``cls`` is null for the units.
+    """
     counts = common.store(word_counts(train), "word-counts")
     model = frequent_words(counts)
     if not model.tokens:
-        return model, counts
-    n, v = unit_sizes(counts, model)
+        return model, counts.withColumn("cls", F.lit(0))
+    spark = train.sparkSession
+    n, _ = unit_sizes(counts, model)
     neighbours = unit_bigrams(train, model)
     model.of_unit, table = exchange(neighbours, n)
     common.discard(neighbours)
-    tokens = np.bincount(model.of_unit, n, CLASSES)
-    words = np.bincount(model.of_unit, v, CLASSES)
+    parts = common.parts(spark, common.text_megabytes(train), 40)
+    classed = word_classes(train, model, table, parts)
+    # listed words with evidence are units of their own from here on
+    own = model.units - POOLS
+    listed = classed.where((F.col("n") >= known_least(model)) & (F.col("n") >= EVIDENCE)).select("word", "cls").toArrow()
+    at = np.array([model.known[w] for w in listed["word"].to_pylist()], np.int64)
+    model.of_unit = np.r_[model.of_unit, np.zeros(len(model.known) - own, np.int64)]
+    model.of_unit[POOLS + at] = listed["cls"].to_numpy()
+    model.unit[at] = POOLS + at
+    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in classed.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r.cls], words[r.cls] = r.n, r.v
+    tokens += np.bincount(model.of_unit[POOLS:POOLS + own], n[POOLS:POOLS + own], CLASSES)
+    words += np.bincount(model.of_unit[POOLS:POOLS + own], minlength=CLASSES)
+    table = class_pairs(train, model, classed, parts)
     prior = (tokens + 1) / (tokens.sum() + CLASSES)
     model.log_move = np.log10((table + BACKOFF * prior) / (table.sum(axis=1, keepdims=True) + BACKOFF))
     model.log_total = np.log10(tokens + words + 1)
-    return model, counts
+    units = counts.where(F.col("n") >= UNIT_SHARE * model.tokens).join(classed.select("word"), "word", "left_anti")
+    return model, classed.unionByName(units.withColumn("cls", F.lit(None).cast("int")))
 
 
-SENT_KINDS = {"words": "binary", "sizes": "<u4", "rank": "<i8", "key": "<i8", "value": "<f8", "known": "<i8", "tokens": "<i8"}
+SENT_KINDS = {"words": "binary", "sizes": "<u4", "rank": "<i8", "key": "<i8", "value": "<f8", "known": "<i8", "tokens": "<i8",
+              "pos": "<u4", "left": "u1", "right": "u1", "cls": "u1"}
 SENT_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in SENT_KINDS)])
 SENT_TYPE = ", ".join(["bucket int, kind int", *(f"{c} binary" for c in SENT_KINDS)])
-COUNTS, TOKENS, TEXTS = 0, 1, 2
+#: Rows of words with their counts and classes, of words at their places, of places with class and count, of sums.
+COUNTS, TOKENS, PLACES, SUMS = 0, 1, 2, 3
+PLACE = {c: SENT_KINDS[c] for c in ("rank", "key", "pos", "left", "right", "cls", "tokens")}
 
 
-def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(rank, key, n_tokens, n_known, log_counts, log_model) of every text.
+def resolved(rows: DataFrame, sent, words: DataFrame, n: int, direct) -> DataFrame:
+    """PLACES and SUMS rows by buckets of texts, for ``rows`` (rank, key, text).
 
-    ``log_counts`` sums log10(count + 1) over the tokens, ``log_model`` all other terms of the model.
+    Every token that is not listed gives a place: its position, its class and count by the table
+    ``words`` (word, n, cls), and the classes of its neighbours, OPEN where they are not listed.
+    ``direct`` turns the listed tokens of a block into rows of sums.
     """
-    spark = rows.sparkSession
-    n = common.parts(spark, common.text_megabytes(rows), 40)
-    buckets = n
-    sent = spark.sparkContext.broadcast(model)
+    model = sent.value
 
-    def texts_out(rank, key, value, known, tokens) -> Iterator[dict]:
-        name = (common.mix(rank.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        for row in repeats.packed(name, {"rank": (rank, "<i8"), "key": (key, "<i8"), "value": (value, "<f8"),
-                                         "known": (known, "<i8"), "tokens": (tokens, "<i8")}):
-            yield row | {"kind": TEXTS}
+    def text_bucket(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return (common.mix(rank.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
-    def rare_out(held: dict[bytes, list[int]], rank: list, key: list) -> Iterator[dict]:
+    def rare_out(held: dict[bytes, list[int]], found: list) -> Iterator[dict]:
         by: dict[int, list[bytes]] = {}
         for word in held:
-            by.setdefault(zlib.crc32(word) % buckets, []).append(word)
-        rank, key = np.concatenate(rank), np.concatenate(key)
-        for bucket, words in by.items():
-            at = np.concatenate([np.array(held[w], np.int64) for w in words])
-            yield {"bucket": bucket, "kind": TOKENS, "words": b"\n".join(words), "sizes": repeats.pack(np.array([len(held[w]) for w in words]), "<u4"),
-                   "rank": repeats.pack(rank[at], "<i8"), "key": repeats.pack(key[at], "<i8")}
+            by.setdefault(zlib.crc32(word) % n, []).append(word)
+        columns = [np.concatenate(x) for x in zip(*found)]
+        for bucket, own in by.items():
+            at = np.concatenate([np.array(held[w], np.int64) for w in own])
+            yield {"bucket": bucket, "kind": TOKENS, "words": b"\n".join(own), "sizes": repeats.pack(np.array([len(held[w]) for w in own]), "<u4"),
+                   **{c: repeats.pack(x[at], SENT_KINDS[c]) for c, x in zip(("rank", "key", "pos", "left", "right"), columns)}}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         m = sent.value
-        held, ranks, keys, size, seen = {}, [], [], 0, 0
+        held, found, size, seen = {}, [], 0, 0
         for batch in batches:
             rank, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, end, data, offsets in common.text_blocks(batch.column(2)):
-                words, first = _tokens(data, offsets)
+                tokens, first = _tokens(data, offsets)
                 owner = np.repeat(np.arange(end - row), np.diff(first))
-                tokens = np.diff(first)
                 if m.tokens:
-                    at, unit = m.units_of(words)
-                    cls = m.of_unit[unit]
-                    start = m.of_unit[m.unit[m.known[END]]]
-                    before = np.r_[start, cls[:-1]]  # a text begins after the end of another, so with the end's class
-                    inner = m.log_move[before, cls] - m.log_total[cls]
-                    value = np.where(at >= 0, m.log_count[np.maximum(at, 0)], 0.0)
+                    at, unit = m.units_of(tokens)
+                    cls = np.where(at >= 0, m.of_unit[unit], OPEN)
+                    start = int(m.of_unit[m.unit[m.known[END]]])
                 else:
-                    at, inner, value = np.full(len(words), -1), np.zeros(len(words)), np.zeros(len(words))
+                    at, cls, start = np.full(len(tokens), -1), np.full(len(tokens), OPEN), OPEN
+                before, after = np.r_[start, cls[:-1]], np.r_[cls[1:], OPEN]  # a text begins after the end of another, so with the end's class
                 rare = np.flatnonzero(at < 0)
-                for i, k in zip(rare.tolist(), (owner[rare] + seen).tolist()):
-                    held.setdefault(words[i], []).append(k)
-                ranks.append(rank[row:end])
-                keys.append(key[row:end])
-                seen += end - row
-                # the two sums travel in one column: first those of counts, then those of the model
-                yield from texts_out(np.tile(rank[row:end], 2), np.tile(key[row:end], 2),
-                                     np.r_[np.bincount(owner, value, end - row), np.bincount(owner, inner, end - row)],
-                                     np.r_[np.bincount(owner, at >= 0, end - row).astype(np.int64), np.full(end - row, -1)], np.tile(tokens, 2))
+                for i, k in zip(rare.tolist(), range(seen, seen + len(rare))):
+                    held.setdefault(tokens[i], []).append(k)
+                seen += len(rare)
+                found.append((rank[row:end][owner[rare]], key[row:end][owner[rare]], rare - first[owner[rare]], before[rare], after[rare]))
+                name = text_bucket(rank[row:end], key[row:end])
+                yield from direct(m, name, rank[row:end], key[row:end], owner, at, before, cls)
                 size += len(data)
                 if size >= BLOCK:
-                    yield from rare_out(held, ranks, keys)
-                    held, ranks, keys, size, seen = {}, [], [], 0, 0
+                    yield from rare_out(held, found)
+                    held, found, size, seen = {}, [], 0, 0
         if held:
-            yield from rare_out(held, ranks, keys)
+            yield from rare_out(held, found)
 
     def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            by: dict[int, tuple[list, list]] = {}
-            for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = by.setdefault(zlib.crc32(word) % buckets, ([], []))
-                own[0].append(word)
-                own[1].append(k)
-            for bucket, (words, k) in by.items():
-                yield {"bucket": bucket, "kind": COUNTS, "words": b"\n".join(words), "tokens": repeats.pack(np.array(k), "<i8")}
+            by: dict[int, tuple[list, list, list]] = {}
+            for word, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                own = by.setdefault(zlib.crc32(word) % n, ([], [], []))
+                for x, y in zip(own, (word, k, c)):
+                    x.append(y)
+            for bucket, (own, k, c) in by.items():
+                yield {"bucket": bucket, "kind": COUNTS, "words": b"\n".join(own), "tokens": repeats.pack(np.array(k), "<i8"), "cls": repeats.pack(np.array(c), "u1")}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bucket, table, held = -1, {}, []
-
-        def out() -> Iterator[dict]:
-            rank, key, value, known = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((key, rank))
-            rank, key, value, known = rank[order], key[order], value[order], known[order]
-            cut = repeats.group_starts(rank, key)
-            yield from texts_out(rank[cut], key[cut], np.add.reduceat(value, cut), np.add.reduceat(known, cut), np.zeros(len(cut), np.int64))
-
+        m = sent.value
+        bucket, table = -1, {}
         for batch in batches:
             for row in (r for a in range(0, batch.num_rows, 64) for r in batch.slice(a, 64).to_pylist()):
-                if row["kind"] == TEXTS:
+                if row["kind"] == SUMS:
                     yield row
                     continue
                 if row["bucket"] != bucket:
                     bucket, table = row["bucket"], {}
-                words = row["words"].split(b"\n")
+                own = row["words"].split(b"\n")
                 if row["kind"] == COUNTS:
-                    table.update(zip(words, np.frombuffer(row["tokens"], "<i8").tolist()))
+                    table.update(zip(own, zip(np.frombuffer(row["tokens"], "<i8").tolist(), np.frombuffer(row["cls"], "u1").tolist())))
                     continue
-                count = np.array([table.get(w, 0) for w in words], np.float64)
-                each = np.repeat(count, np.frombuffer(row["sizes"], "<u4"))
-                held.append((np.frombuffer(row["rank"], "<i8"), np.frombuffer(row["key"], "<i8"), np.log10(each + 1), (each > 0).astype(np.int64)))
-                if sum(len(x[0]) for x in held) > 1 << 20:
-                    yield from out()
-                    held = []
-        if held:
-            yield from out()
+                hits = [table.get(w) or (0, int(m.of_unit[_pool(w)]) if m.tokens else 0) for w in own]
+                count, cls = np.repeat(np.array(hits, np.int64), np.frombuffer(row["sizes"], "<u4"), axis=0).T
+                x = {c: np.frombuffer(row[c], SENT_KINDS[c]) for c in ("rank", "key", "pos", "left", "right")} | {"cls": cls, "tokens": count}
+                for out in repeats.packed(text_bucket(x["rank"], x["key"]), {c: (x[c], kind) for c, kind in PLACE.items()}):
+                    yield out | {"kind": PLACES}
+
+    rare = words.where(F.col("n") < known_least(model)).select("word", "n", "cls")
+    parts = (rows.select("rank", "key", "text").mapInArrow(lambda it: repeats.record_batches(read(it), SENT_ROWS, 200), SENT_TYPE)
+             .unionByName(rare.mapInArrow(lambda it: repeats.record_batches(send_counts(it), SENT_ROWS, 200), SENT_TYPE)))
+    looked = (parts.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
+              .mapInArrow(lambda it: repeats.record_batches(look_up(it), SENT_ROWS, 200), SENT_TYPE))
+    return looked.repartitionById(n, "bucket").sortWithinPartitions("bucket")
+
+
+def places_of(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The places of a bucket in order, each once; how often it came; and the class before it."""
+    x = repeats.unpacked([r for r in rows if r["kind"] == PLACES], PLACE)
+    order = np.lexsort((x["pos"], x["key"], x["rank"]))
+    x = {c: v[order] for c, v in x.items()}
+    cut = repeats.group_starts(x["rank"], x["key"], x["pos"])
+    copies = np.diff(np.r_[cut, len(order)])
+    x = {c: v[cut] for c, v in x.items()}
+    x["cls"] = x["cls"].astype(np.int64)
+    before = x["left"].astype(np.int64)
+    # next to a place before it in the same text, whose class is known by now
+    follows = np.flatnonzero(before[1:] == OPEN) + 1 if len(cut) else cut
+    follows = follows[(x["rank"][follows] == x["rank"][follows - 1]) & (x["key"][follows] == x["key"][follows - 1])]
+    before[follows] = x["cls"][follows - 1]
+    return x, copies, before
+
+
+def class_pairs(train: DataFrame, model: Model, words: DataFrame, n: int) -> np.ndarray:
+    """Counts of neighbouring classes over ``train`` (text), with the classes of all words."""
+    spark, cells = train.sparkSession, CLASSES * CLASSES
+    sent = spark.sparkContext.broadcast(model)
+
+    def direct(m, name, rank, key, owner, at, before, cls) -> Iterator[dict]:
+        both = (before != OPEN) & (cls != OPEN)
+        pair, count = np.unique(before[both] * CLASSES + cls[both], return_counts=True)
+        yield {"bucket": int(name[0]), "kind": SUMS, "tokens": repeats.pack(pair, "<i8"), "known": repeats.pack(count, "<i8")}
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(cells)
         for held in repeats.buckets_of(batches):
-            yield sums_of(repeats.unpacked(held, {c: SENT_KINDS[c] for c in ("rank", "key", "value", "known", "tokens")}))
+            sums = repeats.unpacked([r for r in held if r["kind"] == SUMS], {"tokens": "<i8", "known": "<i8"})
+            table += np.bincount(sums["tokens"], sums["known"], cells)
+            x, copies, before = places_of(held)
+            known, last = before != OPEN, x["right"] != OPEN
+            table += np.bincount(before[known] * CLASSES + x["cls"][known], copies[known], cells)
+            table += np.bincount(x["cls"][last] * CLASSES + x["right"][last], copies[last], cells)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["at", "n"])
+
+    rows = train.select(F.monotonically_increasing_id().alias("rank"), F.lit(0).cast("long").alias("key"), "text")
+    found = resolved(rows, sent, words, n, direct).mapInArrow(add_up, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    common.release(spark)
+    table = np.zeros(cells)
+    table[found["at"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(CLASSES, CLASSES)
+
+
+def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(rank, key, n_tokens, n_known, log_counts, log_model) of every text.
 
-    def sums_of(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        order = np.lexsort((x["key"], x["rank"]))
-        x = {c: v[order] for c, v in x.items()}
-        cut = repeats.group_starts(x["rank"], x["key"])
+    ``log_counts`` sums log10(count + 1) over the tokens, ``log_model`` all other terms of the model.
+    """
+    spark = rows.sparkSession
+    n = common.parts(spark, common.text_megabytes(rows), 40)
+    sent = spark.sparkContext.broadcast(model)
+
+    def direct(m, name, rank, key, owner, at, before, cls) -> Iterator[dict]:
+        listed, texts = at >= 0, len(rank)
+        both = listed & (before != OPEN)
+        inner = np.zeros(len(at))
+        inner[both] = m.log_move[before[both], cls[both]]
+        inner[listed] -= m.log_total[cls[listed]]
+        value = np.zeros(len(at))
+        value[listed] = m.log_count[at[listed]]
+        # the two sums travel in one column: first those of counts, then those of the model
+        columns = {"rank": np.tile(rank, 2), "key": np.tile(key, 2), "value": np.r_[np.bincount(owner, value, texts), np.bincount(owner, inner, texts)],
+                   "known": np.r_[np.bincount(owner, listed, texts).astype(np.int64), np.full(texts, -1)],
+                   "tokens": np.tile(np.bincount(owner, minlength=texts), 2)}
+        for row in repeats.packed(np.tile(name, 2), {c: (x, SENT_KINDS[c]) for c, x in columns.items()}):
+            yield row | {"kind": SUMS}
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for held in repeats.buckets_of(batches):
+            x, _, before = places_of(held)
+            inner = -m.log_total[x["cls"]]
+            known, last = before != OPEN, x["right"] != OPEN
+            inner[known] += m.log_move[before[known], x["cls"][known]]
+            inner[last] += m.log_move[x["cls"][last], x["right"][last]]
+            yield sums_of(repeats.unpacked([r for r in held if r["kind"] == SUMS], {c: SENT_KINDS[c] for c in ("rank", "key", "value", "known", "tokens")}),
+                          x, inner)
+
+    def sums_of(x: dict[str, np.ndarray], places: dict[str, np.ndarray], inner: np.ndarray) -> pa.RecordBatch:
+        rank, key = np.r_[x["rank"], places["rank"]], np.r_[x["key"], places["key"]]
+        order = np.lexsort((key, rank))
+        cut = repeats.group_starts(rank[order], key[order])
+        none = np.zeros(len(inner))
         model_part = x["known"] < 0
-        # rows that repeat id and text bring their sums each; all are alike, so the sums are shared out
-        copies = np.add.reduceat(model_part.astype(np.int64), cut)
-        total = lambda v: np.add.reduceat(v, cut)
+        total = lambda of_sums, of_places: np.add.reduceat(np.r_[of_sums, of_places][order], cut)
+        # rows that repeat id and text bring their sums each; all are alike, so the sums are shared out. Places come once
+        copies = total(model_part.astype(np.int64), none.astype(np.int64))
+        shared = lambda of_sums, of_places: total(of_sums, none) / copies + total(np.zeros(len(model_part)), of_places)
+        whole = lambda of_sums, of_places: np.rint(shared(of_sums, of_places)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(x["rank"][cut]), pa.array(x["key"][cut]), pa.array(total(np.where(model_part, x["tokens"], 0)) // copies),
-             pa.array(total(np.where(model_part, 0, x["known"])) // copies), pa.array(total(np.where(model_part, 0.0, x["value"])) / copies),
-             pa.array(total(np.where(model_part, x["value"], 0.0)) / copies)],
+            [pa.array(rank[order][cut]), pa.array(key[order][cut]), pa.array(whole(np.where(model_part, x["tokens"], 0), none)),
+             pa.array(whole(np.where(model_part, 0, x["known"]), places["tokens"] > 0)),
+             pa.array(shared(np.where(model_part, 0.0, x["value"]), np.log10(places["tokens"] + 1.0))),
+             pa.array(shared(np.where(model_part, x["value"], 0.0), inner))],
             ["rank", "key", "n_tokens", "n_known", "log_counts", "log_model"])
 
-    rare = counts.where(F.col("n") < max(KNOWN_SHARE * model.tokens, 2))
-    parts = (rows.select("rank", "key", "text").mapInArrow(lambda it: repeats.record_batches(read(it), SENT_ROWS, 200), SENT_TYPE)
-             .unionByName(rare.select("word", "n").mapInArrow(lambda it: repeats.record_batches(send_counts(it), SENT_ROWS, 200), SENT_TYPE)))
-    looked = (parts.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
-              .mapInArrow(lambda it: repeats.record_batches(look_up(it), SENT_ROWS, 200), SENT_TYPE))
-    return looked.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return resolved(rows, sent, counts, n, direct).mapInArrow(
         add_up, "rank long, key long, n_tokens long, n_known long, log_counts double, log_model double")
 
 

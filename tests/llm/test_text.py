@@ -212,6 +212,44 @@ def test_class_model_is_a_distribution(spark):
     assert (mass <= 1 + 1e-9).all()
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.5 / 60])
+def test_pooled_words_get_the_class_of_their_neighbours(spark, monkeypatch, share):
+    """Words too rare for units, listed or not, stand where one of two units stands: they get the class of that unit."""
+    monkeypatch.setattr(brown_lm, "UNIT_SHARE", 3 / 60)
+    monkeypatch.setattr(brown_lm, "KNOWN_SHARE", share)
+    rng = random.Random(4)
+    rare = {k: [f"{k}{x}same" for x in range(30)] for k in "pq"}
+    sides = {"p": ("left", "mid"), "q": ("west", "far")}
+    texts = []
+    for _ in range(120):
+        kinds = [rng.choice("pq") for _ in range(20)]
+        texts.append(" ".join(f"{sides[k][0]} {rng.choice([f'{k}unit', rng.choice(rare[k])])} {sides[k][1]}" for k in kinds))
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, words = brown_lm.fit(train)
+    found = {bytes(r.word).decode(): r for r in words.collect()}
+    cls = {w: r.cls for w, r in found.items()}
+    unit = lambda w: int(model.of_unit[model.units_of([w])[1][0]])
+    often = {k: [w for w in rare[k] if found[w].n >= brown_lm.EVIDENCE] for k in "pq"}
+    assert all(len(often[k]) > 20 and {cls[w] for w in often[k]} == {unit(f"{k}unit".encode())} for k in "pq")
+    assert unit(b"punit") != unit(b"qunit")
+    # pairs of classes are counted with these classes, and scores use them
+    of = lambda w: cls[w.decode()] if cls.get(w.decode()) is not None else unit(w)
+    table, count = np.zeros((brown_lm.CLASSES,) * 2), Counter()
+    split = [[*t.encode().split(), b" "] for t in texts]
+    for w in split:
+        count.update(w)
+        for a, b in zip([b" ", *w], w):
+            table[of(a), of(b)] += 1
+    tokens = np.bincount([of(w) for w in count], list(count.values()), brown_lm.CLASSES)
+    move = (table + brown_lm.BACKOFF * (tokens + 1) / (tokens.sum() + brown_lm.CLASSES)) / (table.sum(axis=1, keepdims=True) + brown_lm.BACKOFF)
+    assert np.allclose(10 ** model.log_move, move)
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "rank long, key long, text string")
+    got = {r["rank"]: r for r in brown_lm.scores(rows, model, words).collect()}
+    for k, w in enumerate(split):
+        want = sum(math.log10(move[of(a), of(b)]) - model.log_total[of(b)] for a, b in zip([b" ", *w], w))
+        assert math.isclose(got[k].log_model, want, rel_tol=1e-9) and got[k].n_known == got[k].n_tokens == len(w)
+
+
 def test_best_class_equals_the_objective():
     rng = np.random.default_rng(5)
     units, classes = 9, 4
