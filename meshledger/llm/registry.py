@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from meshledger.llm import (
-    brown_lm, decontaminate, exact_dedup, html_text, mixing, simhash, substring_dedup, suffix_repeats, token_files, toxicity,
+    brown_lm, decontaminate, exact_dedup, hard_negatives, html_text, mixing, secret_scan, simhash, substring_dedup,
+    suffix_repeats, token_files, toxicity, whitening,
 )
 
 QUERIES = {
@@ -17,8 +18,13 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_suffix_dedup": suffix_repeats.op9_suffix_dedup,
     "op10_token_ids": token_files.op10_token_ids,
+    "op11_secrets": secret_scan.op11_secrets,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_secrets": secret_scan.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
