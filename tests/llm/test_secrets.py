@@ -17,6 +17,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 def planted():
     rng = random.Random(3)
     drawn = "".join(rng.choice(LETTERS[:62]) for _ in range(40))
+    words = " ".join("".join(rng.choice(("con", "fig_", "ta", "ble", "re", "quest", "User", "na", "me", "in", "dex")) for _ in range(4)) for _ in range(3000))
     other = base64.b64encode(rng.randbytes(33)).decode()
     return drawn, [
         (700, "𝔘nicode 漢 before api_key = 'abc.DEF-123' and after"), (701, "PassWord:token secret=short token:a.b=c"), (702, "password=token:abcdefgh"),
@@ -24,7 +25,7 @@ def planted():
         (705, "f" * 23 + " " + "0123456789abcdef" * 2 + "ZZ secret"), (706, "see " + drawn + ", " + other + " and the_usual_identifier_of_the_loop"),
         (707, f'token = "{hashlib.sha1(b"x").hexdigest()}"'), (708, drawn + "=" + drawn), (709, "ſecret=abcdefgh secret\u00a0= abcdefgh secret = abcdefgh"),
         (710, " ".join(f"token={k:06d}" for k in range(3000))), (711, "a" * 40_000), (712, "word " * 9 + "secretsecret=aaaaaaaaaaaaaaaaaaaa"),
-        (713, "x_token=" + drawn[:5] + " " + drawn[5:30]), (714, "internationalization_of_the_configuration")]
+        (713, "x_token=" + drawn[:5] + " " + drawn[5:30]), (715, words), (714, "internationalization_of_the_configuration")]
 
 
 def base_of(text):
