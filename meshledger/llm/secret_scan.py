@@ -127,10 +127,12 @@ def _codes(value: Column) -> Column:
 def fit(samples: DataFrame) -> list[float]:
     """Log likelihood ratio of each character by the one before: row 0 for the first character of a string.
 
-    ``samples`` has (value, random); characters outside ALPHABET are left out. Without any sample all ratios are 0.
+    ``samples`` has (value, random). A string counts each of its transitions once, so one long or
+    monotonous string does not outweigh the rest; characters outside ALPHABET are left out. Without any sample all ratios are 0.
     """
     codes = samples.select("random", F.filter(_codes(F.col("value")), lambda c: c > 0).alias("codes"))
-    pairs = codes.select("random", F.explode(F.zip_with(F.slice(F.concat(F.array(F.lit(0)), "codes"), F.lit(1), F.size("codes")), "codes", lambda p, c: F.struct(p.alias("before"), c.alias("code")))).alias("pair"))
+    pairs = codes.select("random", F.explode(F.array_distinct(F.zip_with(
+        F.slice(F.concat(F.array(F.lit(0)), "codes"), F.lit(1), F.size("codes")), "codes", lambda p, c: F.struct(p.alias("before"), c.alias("code"))))).alias("pair"))
     counts = {(r.random, r.before, r.code): r.n for r in pairs.groupBy("random", "pair.before", "pair.code").agg(F.count("*").alias("n")).collect()}
 
     shares = {}
@@ -153,15 +155,16 @@ def score(value: Column, ratios: list[float]) -> Column:
     return F.aggregate(_codes(value), start, step, lambda a: a["sum"])
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, n_random, base, added.
 
     ``base`` and ``added`` are arrays of (start, kind, stop); the base spans always stay, the added
-    ones overlap none of them. Null and empty texts have no spans, repeated rows and ids are rows of
+    ones overlap none of them. ``samples`` has (value, random); by default they are taken from the table
+    (`labelled`), whose own unlabelled secrets then count as ordinary, which only a small table feels. Null and empty texts have no spans, repeated rows and ids are rows of
     their own, a null id stays null, other columns are not read. An empty table gives no rows.
     """
     scanned = common.store(scan(docs, id_col, text_col), "secret-scan")
-    ratios = fit(labelled(docs, scanned, text_col))
+    ratios = fit(labelled(docs, scanned, text_col) if samples is None else samples)
     added = F.transform(F.filter("runs", lambda r: score(r.value, ratios) >= margin),
                         lambda r: F.struct(r.start.alias("start"), F.lit(3).alias("kind"), r.stop.alias("stop")))
     count = lambda k: F.size(F.filter("base", lambda b: b.kind == k)).cast("long")
@@ -207,7 +210,7 @@ WITH docs AS (
   UNION ALL SELECT rtrim(base64(unhex(sha256(text))), '='), TRUE FROM sampled
   UNION ALL SELECT value, TRUE FROM (SELECT DISTINCT value FROM base WHERE length(value) >= {LONG} ORDER BY md5(value) LIMIT {VALUES})
 ), pairs AS (
-  SELECT random, CASE WHEN i = 1 THEN '' ELSE substr(value, i - 1, 1) END AS before, substr(value, i, 1) AS code
+  SELECT DISTINCT random, value, CASE WHEN i = 1 THEN '' ELSE substr(value, i - 1, 1) END AS before, substr(value, i, 1) AS code
   FROM (SELECT random, value, unnest(range(1, length(value) + 1)) AS i FROM samples)
 ), letters AS (
   SELECT substr('{ALPHABET}', i::INT, 1) AS code FROM range(1, {SIZE + 1}) AS t(i)
