@@ -110,7 +110,7 @@ class Inputs:
 
     @cached_property
     def corrected(self) -> tuple[DataFrame, DataFrame]:
-        return correct_negative(self.ledger, self.window)
+        return correct_negative(currency_ledger(self.tx, rows_per_bucket=ROWS, with_next=True), self.window)
 
 
 def query(build):

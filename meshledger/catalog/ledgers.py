@@ -59,7 +59,7 @@ def _plain(i: Inputs):
 
 
 def _shares(i: Inputs):
-    return g.credit_time_share(i.corrected[0], i.activity, ROWS)
+    return g.credit_time_share(i.corrected[0], i.activity)
 
 
 def _overlaps(i: Inputs):
@@ -86,7 +86,7 @@ QUERIES = {
           (SELECT user_id FROM dns WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-04')"""),
     ),
     "currency_ledger": (query(lambda i: i.ledger), using("ledger", "SELECT ts, kind, entry_id, side, user_id, amount_idr, balance FROM ledger")),
-    "currency_ledger_corrected": (query(lambda i: i.corrected[0]), using("lifted", "SELECT * FROM lifted")),
+    "currency_ledger_corrected": (query(lambda i: i.corrected[0].drop("next_ts")), using("lifted", "SELECT * FROM lifted")),
     "early_registered_users": (query(lambda i: i.corrected[1]), using("offsets", "SELECT user_id FROM offsets")),
     "credit_time_share": (query(_shares), using("lifted users7", _SHARES)),
     "credit_time_distribution": (

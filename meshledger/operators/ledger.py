@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from meshledger.functions.timebins import hour_start, plus_seconds, seconds_between
+from meshledger.functions.timebins import hour_start, moment, plus_seconds, seconds_between
 from meshledger.operators.activity import eligible_users, members
 from meshledger.operators.calendar import trim
 from meshledger.operators.scans import (
@@ -41,15 +41,17 @@ def ledger_entries(transactions: DataFrame, tie: str) -> DataFrame:
 
 
 def currency_ledger(
-    transactions: DataFrame, tie: str = "event_id", rows_per_bucket: int = ROWS_PER_BUCKET
+    transactions: DataFrame, tie: str = "event_id", rows_per_bucket: int = ROWS_PER_BUCKET,
+    with_next: bool = False,
 ) -> DataFrame:
-    """Ledger entries with each user's running balance."""
+    """Ledger entries with each user's running balance; ``with_next`` adds the time of the next entry."""
+    following = {"next_ts": following_time("ts")} if with_next else {}
     return ordered_scan(
         ledger_entries(transactions, tie),
         ["user_id"],
         ["ts", "entry_id", "side"],
         by_time("ts", rows_per_bucket),
-        {"balance": running_sum("amount_idr")},
+        {"balance": running_sum("amount_idr"), **following},
     )
 
 
@@ -65,9 +67,9 @@ def negative_offsets(ledger: DataFrame) -> DataFrame:
 def correct_negative(ledger: DataFrame, window: StudyWindow | None = None) -> tuple[DataFrame, DataFrame]:
     """Lift negative histories to zero; returns (ledger with ``corrected``, early users).
 
-    The ledger is read by both results, so it is written once.
+    Both results read the exchange of the ledger's scan. With a window, entries outside it go, also
+    as next entries.
     """
-    ledger = cut_lineage(ledger, "ledger")
     offsets = negative_offsets(ledger)
     lifted = (
         ledger.join(offsets, "user_id", "left")
@@ -77,21 +79,19 @@ def correct_negative(ledger: DataFrame, window: StudyWindow | None = None) -> tu
     )
     if window is not None:
         lifted = trim(lifted, "ts", window)
+        if "next_ts" in lifted.columns:
+            inside = F.col("next_ts") < moment(window.hi)
+            lifted = lifted.withColumn("next_ts", F.when(inside, F.col("next_ts")))
     return lifted, offsets.select("user_id")
 
 
-def credit_time_share(
-    ledger: DataFrame, activity: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """Days with and without credit per eligible user, as a share of the active days."""
+def credit_time_share(ledger: DataFrame, activity: DataFrame) -> DataFrame:
+    """Days with and without credit per eligible user, as a share of the active days.
+
+    ``ledger`` has ``next_ts`` (``currency_ledger(with_next=True)``) and ``corrected``.
+    """
     users = eligible_users(activity)
-    timed = ordered_scan(
-        ledger,
-        ["user_id"],
-        ["ts", "entry_id", "side"],
-        by_time("ts", rows_per_bucket),
-        {"next_ts": following_time("ts")},
-    ).withColumn(
+    timed = ledger.withColumn(
         "seconds", F.coalesce(seconds_between("ts", "next_ts"), F.lit(0.0)).cast("decimal(28,6)")
     )
     shares = timed.groupBy("user_id").agg(
@@ -173,20 +173,16 @@ def overlap_counts(
     the number started up to hi less the number ended before lo: two running counts over one
     stream of events, and no range join.
     """
-    one = F.lit(1)
-    began = intervals.select("user_id", F.col("start_ts").alias("at"), F.lit(0).alias("turn"),
-                             one.alias("began"))
-    ended = intervals.select("user_id", F.col("end_ts").alias("at"), F.lit(3).alias("turn"),
-                             one.alias("ended"))
+    def both(first: str, turn: int, second: str, other: int) -> Column:
+        """Two events of one row, so that neither input is read twice."""
+        return F.inline(F.array(*[
+            F.struct(F.col(at).alias("at"), F.lit(t).alias("turn")) for at, t in ((first, turn), (second, other))]))
+
     # At equal times: begins, then questions at range ends, then at range starts, then ends.
-    at_hi = ranges.select("user_id", F.col("range_end").alias("at"), F.lit(1).alias("turn"),
-                          "range_start", "range_end")
-    at_lo = ranges.select("user_id", F.col("range_start").alias("at"), F.lit(2).alias("turn"),
-                          "range_start", "range_end")
-    stream = (
-        began.unionByName(ended, allowMissingColumns=True)
-        .unionByName(at_hi, allowMissingColumns=True)
-        .unionByName(at_lo, allowMissingColumns=True)
+    edges = intervals.select("user_id", both("start_ts", 0, "end_ts", 3))
+    questions = ranges.select("user_id", "range_start", "range_end", both("range_end", 1, "range_start", 2))
+    stream = edges.unionByName(questions, allowMissingColumns=True).withColumns(
+        {"began": (F.col("turn") == 0).cast("int"), "ended": (F.col("turn") == 3).cast("int")}
     )
     counted = ordered_scan(
         stream,
@@ -213,8 +209,7 @@ def likely_zero_ranges(
     failed = events.where((F.col("type") == "ext") & (F.col("bytes_down") <= 0)).select(
         "user_id", F.col("ts").alias("start_ts"), "end_ts"
     )
-    ranges = cut_lineage(possible_zero_ranges(events, rows_per_bucket), "ranges")
-    counted = overlap_counts(ranges, failed, rows_per_bucket)
+    counted = overlap_counts(possible_zero_ranges(events, rows_per_bucket), failed, rows_per_bucket)
     return counted.where(F.col("overlaps") >= min_failed)
 
 

@@ -185,7 +185,8 @@ def coalesce_flows(
         return F.abs(gap) > F.lit(tolerance_s)
 
     order = ["start_ts", "end_ts", *tie]
-    runs = sessionize(flows, keys, order, "end_ts", apart, rows_per_bucket, out="run")
+    used = flows.select(*dict.fromkeys([*keys, *order, "bytes_up", "bytes_down"]))
+    runs = sessionize(used, keys, order, "end_ts", apart, rows_per_bucket, out="run")
     return (
         runs.groupBy(*keys, "run")
         .agg(

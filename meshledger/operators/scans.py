@@ -6,9 +6,9 @@ over many tasks:
 
 1. the cut points follow the data (``Cut``): a bucket holds about the same number of rows of
    the whole table, so neither a hot key nor a busy hour makes a large (key, bucket) group,
-2. every bucket is scanned by itself (``Window.partitionBy(key, bucket)``),
-3. a one-row summary per bucket (partial aggregates, combined before the shuffle) is scanned
-   along the buckets of the key; it has one row per bucket, not per row,
+2. the rows are dealt by (key, bucket) in one exchange, which the steps below all read (``dealt``),
+   and every bucket is scanned by itself (``Window.partitionBy(key, bucket)``),
+3. a one-row summary per bucket is scanned along the buckets of the key; it has one row per bucket, not per row,
 4. the carried value is joined back on (key, bucket) and merged with the local one.
 
 Keys must not be null; rows with a null key are left out, as in a group-by that drops nulls.
@@ -65,7 +65,8 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
         .groupBy("_slot")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     )
-    # One row per slot, bounded as said above: small enough for one window and a broadcast.
+    # One row per slot, bounded as said above: small enough for one window. How it is joined is left
+    # to adaptive execution, which knows its size.
     before = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(*_ALL_BEFORE))
     slots = counted.withColumn("_before", F.coalesce(before, F.lit(0)))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
@@ -73,7 +74,7 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
     number = F.floor((F.col("_before") + F.col("_n") * share) / F.lit(float(cut.rows)))
     return (
         df.withColumn("_slot", cut.slot)
-        .join(F.broadcast(slots), "_slot", "left")
+        .join(slots, "_slot", "left")
         .select(*df.columns, F.coalesce(number.cast("bigint"), F.lit(-1)).alias(out))
     )
 
@@ -216,6 +217,20 @@ def key_total(value: Column | str) -> Running:
     )
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` in one exchange by (keys, _bucket) for all that reads them.
+
+    A reader that needs fewer columns would get an exchange of its own, as columns are pruned below
+    it. So the columns travel as one, in an array, whose parts are not pruned; all readers then have
+    the same exchange, which Spark runs once (``ReusedExchange``). Callers leave out the columns they
+    do not need.
+    """
+    dealt_by = [*keys, "_bucket"]
+    rest = [c for c in rows.columns if c not in dealt_by]
+    packed = rows.select(*dealt_by, F.array(F.struct(*rest)).alias("_row")).repartition(*dealt_by)
+    return packed.select(*dealt_by, *[F.element_at("_row", 1)[c].alias(c) for c in rest])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -227,11 +242,13 @@ def ordered_scan(
 
     ``order`` must be a total order within a key, and ``cut`` a cut of its first column (or a
     ready bucket column). With no keys the summary is one row per bucket for the whole table.
+    ``df`` is read once for the rows, with all its columns, and with a ``Cut`` once more for its slots.
     """
     keys = list(keys)
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
     rows = df.where(present)
     rows = with_bucket(rows, cut) if isinstance(cut, Cut) else rows.withColumn("_bucket", cut)
+    rows = dealt(rows, keys)
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     along = Window.partitionBy(*keys).orderBy("_bucket")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -266,13 +283,15 @@ def sessionize(
     starts_new: Callable[[Column, Column], Column],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     out: str = "session",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Name each row's session by the order columns of the session's first row.
 
     A row opens a session when it is the first of its key or when
     ``starts_new(previous row's value, this row's first order column)`` holds. The chain of
     rows is followed through buckets of time, so a long session or a hot key is never held
-    in one task.
+    in one task. ``bucket`` names a column that gets the row's bucket, which later scans in the same
+    order can take as their cut.
     """
     keys = list(keys)
     stamp = order[0]
@@ -282,7 +301,7 @@ def sessionize(
     rank = F.struct(*order)
 
     local = (
-        with_bucket(df.where(present), by_time(stamp, rows_per_bucket))
+        dealt(with_bucket(df.where(present), by_time(stamp, rows_per_bucket)), keys)
         .withColumn("_before", F.lag(previous_value).over(inside))
         .withColumn("_opens", F.when(starts_new(F.col("_before"), F.col(stamp)), rank))
         .withColumn(
@@ -311,5 +330,6 @@ def sessionize(
         ).alias("_open_before"),
     )
     return local.join(carried, [*keys, "_bucket"]).select(
-        *df.columns, F.coalesce("_open_here", "_open_before").alias(out)
+        *df.columns, F.coalesce("_open_here", "_open_before").alias(out),
+        *([F.col("_bucket").alias(bucket)] if bucket else []),
     )

@@ -17,7 +17,6 @@ from meshledger.operators.scans import (
     sessionize,
 )
 from meshledger.operators.stats import cdf, quantiles
-from meshledger.session import cut_lineage
 from meshledger.study import SECONDS_PER_DAY
 
 
@@ -37,17 +36,19 @@ def consolidate_purchases(
         return seconds_between(last, ts) >= F.lit(float(gap_s))
 
     purchases = transactions.where(F.col("kind") == "purchase")
-    rows = sessionize(purchases, ["user_id"], ["ts", *tie], "ts", apart, rows_per_bucket)
+    purchases = purchases.select(*dict.fromkeys(["user_id", "ts", *tie, "amount_bytes", "amount_idr"]))
+    rows = sessionize(purchases, ["user_id"], ["ts", *tie], "ts", apart, rows_per_bucket, bucket="bucket")
     sessions = rows.groupBy("user_id", "session").agg(
-        F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr")
+        F.sum("amount_bytes").alias("amount_bytes"), F.sum("amount_idr").alias("amount_idr"),
+        F.min("bucket").alias("bucket"),
     )
     sessions = sessions.select(
         F.col("session.ts").alias("ts"), F.lit("purchase").alias("kind"), "user_id",
-        "amount_bytes", "amount_idr",
+        "amount_bytes", "amount_idr", "bucket",
     )
-    sessions = cut_lineage(sessions, "sessions")
+    # A session lies in the bucket of its first purchase, so its cut is known already.
     return ordered_scan(
-        sessions, ["user_id"], ["ts"], by_time("ts", rows_per_bucket), {"_last": previous_time("ts")}
+        sessions, ["user_id"], ["ts"], F.col("bucket"), {"_last": previous_time("ts")}
     ).select(
         "ts", "kind", "user_id", "amount_bytes", "amount_idr",
         seconds_between("_last", "ts").alias("time_since_last_purchase"),
@@ -90,7 +91,7 @@ def log_gaps(
         "running_max": running_max("end_ts", strict=True),
     }[mode]
     scanned = ordered_scan(
-        flows,
+        flows.select("start_ts", "end_ts", *tie),
         [],
         ["start_ts", "end_ts", *tie],
         by_time("start_ts", rows_per_bucket),

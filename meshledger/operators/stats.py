@@ -12,20 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshledger.operators.scans import by_value, key_total, ordered_scan, running_sum
-from meshledger.session import cut_lineage
 
 
 def value_distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, value) -> n, number of rows up to the value, number of rows in all.
 
-    The counts are written once, as the scan reads them from several sides.
+    The counts are the result of one aggregate, which the cut and the scan both read.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = cut_lineage(counts, "values")
+    # True of every count; it keeps ``n`` in the plan of the cut, too, so that both share one exchange.
+    counts = counts.where(F.col("n") > 0)
     return ordered_scan(
         counts,
         keys,
@@ -72,6 +72,14 @@ def quantiles(
     return grouped.agg(*ends).select(*keys, *result)
 
 
+def _rank(descending: bool, share: bool) -> Column:
+    """Rank of a value from its distribution; ties take the lowest, ``share`` divides by the row count."""
+    place = (
+        F.col("n_total") - F.col("n_up_to") if descending else F.col("n_up_to") - F.col("n")
+    ) + F.lit(1)
+    return place / F.col("n_total") if share else place
+
+
 def with_rank(
     df: DataFrame, value: str, out: str, descending: bool = False, share: bool = False
 ) -> DataFrame:
@@ -79,14 +87,26 @@ def with_rank(
 
     Rows whose value is null get no rank.
     """
-    place = (
-        F.col("n_total") - F.col("n_up_to") if descending else F.col("n_up_to") - F.col("n")
-    ) + F.lit(1)
-    rank = place / F.col("n_total") if share else place
-    table = value_distribution(df, value).select(value, rank.alias(out))
+    table = value_distribution(df, value).select(value, _rank(descending, share).alias(out))
     return df.join(table, value, "left").select(*df.columns, out)
 
 
+def with_ranks(df: DataFrame, values: dict[str, str], descending: bool = False, share: bool = False) -> DataFrame:
+    """As ``with_rank`` for several columns (rank: value) by one scan; the values are compared as double.
+
+    The values of all columns are one long table, scanned per column, so ``df`` is read once for all
+    ranks and once for the rows.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(out).alias("_rank_of"), F.col(value).cast("double").alias("_value")) for out, value in values.items()])))
+    table = value_distribution(long, "_value", ["_rank_of"]).select("_rank_of", "_value", _rank(descending, share).alias("_r"))
+    ranked = df
+    for out, value in values.items():
+        own = table.where(F.col("_rank_of") == out).select(F.col("_value").alias(f"_at_{out}"), F.col("_r").alias(out))
+        ranked = ranked.join(own, F.col(value).cast("double") == F.col(f"_at_{out}"), "left").drop(f"_at_{out}")
+    return ranked.select(*df.columns, *values)
+
+
 def rank_bins(df: DataFrame, value: str, out: str = "bin", bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins of a column, closed on the left; the last takes the maximum."""
     v = F.col(value).cast("double")

@@ -11,7 +11,7 @@ from meshledger.functions.timebins import day, month_end, week_ending
 from meshledger.operators.activity import eligible_users, online_ratio
 from meshledger.operators.calendar import calendar, normal_days
 from meshledger.operators.classify import k_anonymize
-from meshledger.operators.stats import rank_bins, rolling_mean_rows, with_rank
+from meshledger.operators.stats import rank_bins, rolling_mean_rows, with_rank, with_ranks
 from meshledger.plans.traffic import (
     GB,
     MB,
@@ -50,7 +50,6 @@ def user_share_of_category(
     totals = totals.join(users, "user_id").withColumn(
         "user_daily", F.col("user_total") / F.col("days_online")
     )
-    totals = cut_lineage(totals, "totals")
     ranked = with_rank(totals, "user_daily", "user_rank")
     order = sort_order(grouped, dimension).select(dimension, F.col("rank").alias("dimension_rank"))
     per_day = F.col("bytes_total") / F.col("days_online")
@@ -80,7 +79,8 @@ def quantile_shares(
     totals = totals.join(users, "user_id").withColumn(
         "daily", F.col("user_total") / F.col("days_online")
     )
-    ranked = cut_lineage(with_rank(cut_lineage(totals, "totals"), "daily", "rank_daily"), "ranks")
+    # One row per user, read for the bins' ends and for the bins.
+    ranked = cut_lineage(with_rank(totals, "daily", "rank_daily"), "ranks")
     binned = rank_bins(ranked, "rank_daily", "quantile", bins)
     joined = parts.join(binned, "user_id")
     order = sort_order(grouped, dimension).select(dimension, "rank")
@@ -209,9 +209,9 @@ def uplink_ratio(flows: DataFrame, activity: DataFrame) -> DataFrame:
             "dl_ratio": F.col("bytes_down") / F.nullif(F.col("bytes_total"), F.lit(0)),
         }
     ).withColumn("mb_avg_per_online_day", F.col("bytes_avg_per_online_day") / MB)
+    # One row per user, read for the ranks and for the rows.
     joined = cut_lineage(joined, "totals")
-    ranked = with_rank(joined, "bytes_total", "rank_total")
-    return with_rank(ranked, "bytes_avg_per_online_day", "rank_daily")
+    return with_ranks(joined, {"rank_total": "bytes_total", "rank_daily": "bytes_avg_per_online_day"})
 
 
 def online_rate(user_days: DataFrame, activity: DataFrame) -> DataFrame:
