@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from meshledger.functions.timebins import seconds_since_epoch, time_bucket, value_bucket
@@ -27,6 +28,11 @@ from meshledger.functions.timebins import seconds_since_epoch, time_bucket, valu
 # Rows of the whole table per bucket; small enough for one task to sort in memory.
 ROWS_PER_BUCKET = 1_000_000
 _SLOT_SECONDS = 60
+# Time slots: minutes as far as EXACT minutes from REFERENCE (about two years before and after),
+# beyond that COARSE slots for each doubling of the distance. Whatever the time stamps are, there are
+# at most 2 * (EXACT + 13 * COARSE), about 2.5 million slots.
+REFERENCE = "2024-01-01"
+EXACT, COARSE = 1 << 20, 1 << 14
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _ALL_AFTER = (1, Window.unboundedFollowing)
 
@@ -35,8 +41,8 @@ _ALL_AFTER = (1, Window.unboundedFollowing)
 class Cut:
     """How to cut an order column into buckets of about ``rows`` rows.
 
-    ``slot`` is a coarse bin of the order column (its number of values is bounded: one-minute
-    slots of the calendar, or logarithmic bins of a value), ``position`` the column as a number.
+    ``slot`` is a coarse bin of the order column whose number of values is bounded (``time_slot``, or
+    logarithmic bins of a value), ``position`` the column as a number.
     """
 
     slot: Column
@@ -44,8 +50,18 @@ class Cut:
     rows: int = ROWS_PER_BUCKET
 
 
+def time_slot(ts: str) -> Column:
+    """Number of the minute, or of a wider slot far from REFERENCE; never falls along ``ts``."""
+    minutes = time_bucket(ts, _SLOT_SECONDS) - F.lit(int(pd.Timestamp(REFERENCE).timestamp()) // _SLOT_SECONDS)
+    far = F.abs(minutes)
+    octave = F.floor(F.log2(far / F.lit(float(EXACT))))
+    beyond = F.floor((far / (F.lit(float(EXACT)) * F.pow(F.lit(2.0), octave)) - 1) * COARSE)
+    number = F.when(far < EXACT, far).otherwise(EXACT + octave * COARSE + beyond)
+    return F.when(minutes < 0, -number).otherwise(number).cast("bigint")
+
+
 def by_time(ts: str, rows: int = ROWS_PER_BUCKET) -> Cut:
-    return Cut(time_bucket(ts, _SLOT_SECONDS), seconds_since_epoch(ts), rows)
+    return Cut(time_slot(ts), seconds_since_epoch(ts), rows)
 
 
 def by_value(value: str, rows: int = ROWS_PER_BUCKET) -> Cut:
@@ -65,8 +81,7 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
         .groupBy("_slot")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     )
-    # One row per slot, bounded as said above: small enough for one window. How it is joined is left
-    # to adaptive execution, which knows its size.
+    # One row per slot: by the bound of ``Cut`` small enough for one window and a broadcast.
     before = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(*_ALL_BEFORE))
     slots = counted.withColumn("_before", F.coalesce(before, F.lit(0)))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
@@ -74,7 +89,7 @@ def with_bucket(df: DataFrame, cut: Cut, out: str = "_bucket") -> DataFrame:
     number = F.floor((F.col("_before") + F.col("_n") * share) / F.lit(float(cut.rows)))
     return (
         df.withColumn("_slot", cut.slot)
-        .join(slots, "_slot", "left")
+        .join(F.broadcast(slots), "_slot", "left")
         .select(*df.columns, F.coalesce(number.cast("bigint"), F.lit(-1)).alias(out))
     )
 

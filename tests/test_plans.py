@@ -32,9 +32,15 @@ def test_a_scan_reads_its_rows_through_one_exchange(spark, sf_dir):
     assert sorted("value" in x for x in narrow) == [False, True]
 
 
-def test_slots_are_joined_without_a_forced_broadcast(spark, sf_dir):
-    logical = Inputs(spark, sf_dir).gaps._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
+def test_time_slots_are_bounded_and_in_order(spark):
+    """Minutes near the reference, logarithmic slots beyond, for any time stamp."""
+    near = spark.sql("select explode(sequence(timestamp_ntz'2023-12-30', timestamp_ntz'2024-01-02', interval 20 second)) as ts")
+    wide = spark.sql("select make_timestamp_ntz(y, 1 + y * 7 % 12, 1, y % 24, 0, 0) as ts from (select explode(sequence(1, 9999)) as y)")
+    rows = near.unionByName(wide).select("ts", scans.time_slot("ts").alias("slot")).orderBy("ts").collect()
+    slots = [r.slot for r in rows]
+    assert slots == sorted(slots) and max(map(abs, slots)) < scans.EXACT + 13 * scans.COARSE
+    minutes = {r.ts.replace(second=0): r.slot for r in rows if r.ts.year in (2023, 2024)}
+    assert len(set(minutes.values())) == len(minutes)
 
 
 def test_ranks_share_one_table_of_values(spark, sf_dir):
