@@ -4,12 +4,14 @@ A naive Bayes classifier over hashed words, learned from a labelled table, gives
 membership in each domain. A document with n tokens and posteriors p is then a vector x = n p of
 expected tokens by domain. Nonnegative rates r, one per document, shall make the weighted sum of all
 x equal the target totals. They are fitted by projected gradient steps on the squared residual,
-measured by the inverse of M = sum x x':
+measured by the inverse of M = sum x x' over the documents whose rate is above zero, the others
+being held by their bound:
 
     r <- max(0, r + x' inv(M) (target - sum r x))
 
-The sum is one distributed aggregate per step; only vectors and matrices over the few domains are on
-the driver. The steps so far are one expression of x, so nothing is written between them.
+Both sums are one distributed aggregate per step; only vectors and matrices over the few domains are
+on the driver. The steps so far are one expression of x, so nothing is written between them. They end
+when the totals match; a fit that cannot match them says so by its residual.
 """
 
 from __future__ import annotations
@@ -22,7 +24,12 @@ from meshledger.llm import common
 
 #: Words are hashed to so many features; their weights are broadcast.
 FEATURES, SMOOTHING = 1 << 16, 0.5
-STEPS, TOLERANCE = 40, 1e-9
+#: Most steps, and the residual, as a share of the largest target, at which a fit is done.
+STEPS, TOLERANCE = 60, 1e-9
+#: Most labelled documents that the classifier is fitted on; their ids and domains are broadcast.
+LABELLED = 20_000
+#: Repeats of one row that are written from one array; rows with more are dealt first.
+COPIES = 1_000
 
 #: Domains of the driver's labels, and the share of all tokens each shall have.
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
@@ -50,7 +57,8 @@ def log_odds(rows: DataFrame, labels: DataFrame, domains: list[str]) -> DataFram
 
     At most FEATURES rows. Features that no labelled document has are absent, that is zero.
     """
-    marked = rows.join(labels.withColumnRenamed("id", "label_id"), F.col("id") == F.col("label_id")).select("rank", "key", "text", "domain")
+    # at most LABELLED rows of labels, so texts stay where they are
+    marked = rows.join(F.broadcast(labels.withColumnRenamed("id", "label_id")), F.col("id") == F.col("label_id")).select("text", "domain")
     seen = marked.select("domain", F.explode(words(F.col("text"))).alias("word")).groupBy(_feature(F.col("word")).alias("feature")).agg(
         *[F.count(F.when(F.col("domain") == d, True)).alias(f"n{k}") for k, d in enumerate(domains)])
     seen = common.store(seen, "domain-words")
@@ -63,12 +71,14 @@ def log_odds(rows: DataFrame, labels: DataFrame, domains: list[str]) -> DataFram
 def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rank, key, n_tokens, p0 ... pk) of every document.
 
-    ``labels`` has (id, domain); rows without either do not count. The sum of log odds is divided by
+    ``labels`` has (id, domain); rows without either do not count, and of more than LABELLED ids those
+    of smallest hash are learned from. The sum of log odds is divided by
     the root of the number of words, so that long texts stay soft. Without any label all domains are
     as likely as each other.
     """
     rows = common.texts(docs, id_col, text_col)
     labels = labels.where(F.col("id").isNotNull() & F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
+    labels = labels.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     labels = common.store(labels, "domain-labels")
     known = {r.domain: r.n for r in labels.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = [np.log((known.get(d, 0) + 1) / (sum(known.values()) + len(domains))) for d in domains]
@@ -87,30 +97,37 @@ def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     return found.select("id", "rank", "key", "copies", "n_tokens", *[(p / sum(powers[1:], powers[0])).alias(f"p{i}") for i, p in enumerate(powers)])
 
 
-def fit_rates(found: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
-    """Expression of the rate over the columns n_tokens and p0 ... pk of ``found``.
+def fit_rates(found: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Column, float]:
+    """Expression of the rate over the columns n_tokens and p0 ... pk of ``found``, and the residual.
 
     ``targets`` are token totals by domain. Rows with ``copies`` count so often. Domains no document
-    can belong to are left as they are; with no tokens at all every rate is 1.
+    can belong to are left as they are; with no tokens at all every rate is 1. The residual is the
+    largest miss of a total as a share of the largest target: up to ``tolerance`` if the fit is done,
+    more if the totals cannot be reached (a target for a domain nothing belongs to) or the steps ran out.
     """
     k = range(len(targets))
     x = [F.col("n_tokens") * F.col(f"p{i}") for i in k]
-    pairs = found.agg(*[F.sum(F.col("copies") * x[i] * x[j]).alias(f"m{i}_{j}") for i in k for j in k]).first()
-    inverse = np.linalg.pinv(np.array([[float(pairs[f"m{i}_{j}"] or 0) for j in k] for i in k]), rcond=1e-10)
-    rate, want = F.lit(1.0), np.array(targets, float)
-    for _ in range(steps):
-        sums = found.agg(*[F.sum(F.col("copies") * rate * x[i]).alias(f"t{i}") for i in k]).first()
-        residual = want - np.array([float(sums[i] or 0) for i in k])
-        if np.abs(residual).max() <= tolerance * max(np.abs(want).max(), 1.0):
+    want = np.array(targets, float)
+    rate, best = F.lit(1.0), (F.lit(1.0), np.inf)
+    for _ in range(steps + 1):
+        free = F.col("copies") * F.when(rate > 0, 1.0).otherwise(0.0)
+        sums = found.agg(*[F.sum(F.col("copies") * rate * x[i]).alias(f"t{i}") for i in k],
+                         *[F.sum(free * x[i] * x[j]).alias(f"m{i}_{j}") for i in k for j in k if i <= j]).first()
+        miss = want - np.array([float(sums[f"t{i}"] or 0) for i in k])
+        residual = float(np.abs(miss).max() / max(np.abs(want).max(), 1.0)) if len(want) else 0.0
+        if residual < best[1]:
+            best = rate, residual
+        if residual <= tolerance:
             break
-        step = inverse @ residual
+        inverse = np.linalg.pinv(np.array([[float(sums[f"m{min(i, j)}_{max(i, j)}"] or 0) for j in k] for i in k]), rcond=1e-10, hermitian=True)
+        step = inverse @ miss
         rate = F.greatest(F.lit(0.0), rate + sum((x[i] * float(step[i]) for i in k[1:]), x[0] * float(step[0])))
-    return rate
+    return best
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = BUDGET,
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, rank, key, n_tokens, one column of posteriors per domain, rate.
+    """One row per document: id, rank, key, n_tokens, one column of posteriors per domain, rate, residual.
 
     ``labels`` has (id, domain), ``targets`` the share of tokens of each domain; the total is
     ``budget`` times the tokens there are. Null and empty texts have no tokens and keep rate 1, as
@@ -120,10 +137,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
     found = common.store(memberships(docs, labels, domains, id_col, text_col), "memberships")
     total = found.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] or 0
     scale = budget * total / (sum(targets.values()) or 1.0)
-    rate = fit_rates(found, [targets[d] * scale for d in domains])
-    return found.withColumn("rate", rate).select(
-        "id", "rank", "key", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    rate, residual = fit_rates(found, [targets[d] * scale for d in domains])
+    rated = found.select("id", "rank", "key", "n_tokens", "copies", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
+                         rate.alias("rate"), F.lit(residual).alias("residual"))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("copy")
+    few = rated.where(F.col("copies") <= COPIES).select("*", times(F.col("copies")))
+    # a row that repeats very often is first cut into parts of COPIES repeats, which are dealt over the tasks
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int"))).alias("part")
+    many = rated.where(F.col("copies") > COPIES).select("*", part).repartition("key", "part")
+    many = many.select("*", times(F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES))).drop("part")
+    return few.unionByName(many).drop("copy", "copies")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +173,5 @@ def resample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rank = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NO_ID))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(times.where("mix_times > 0"), (rank == times["mix_rank"]) & (key == times["mix_key"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_copy")).drop("mix_copy")
+    again = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
+    return again.select("doc.*")

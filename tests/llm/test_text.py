@@ -329,11 +329,53 @@ def test_mixing_equals_projected_gradient(spark):
     found = spark.createDataFrame([(int(a), 1, *map(float, b)) for a, b in zip(n, p)], "n_tokens long, copies long, p0 double, p1 double, p2 double")
     want = np.array([n.sum() * 0.9, n.sum() * 0.05, n.sum() * 0.05])
     x, r = n[:, None] * p, np.ones(60)
-    inverse = np.linalg.pinv(x.T @ x, rcond=1e-10)
     for _ in range(mixing.STEPS):
-        r = np.maximum(0, r + x @ (inverse @ (want - x.T @ r)))
-    got = found.select(mixing.fit_rates(found, want.tolist()).alias("r")).collect()
-    assert np.allclose(sorted(g.r for g in got), sorted(r), atol=1e-6)
+        free = x[r > 0]
+        r = np.maximum(0, r + x @ (np.linalg.pinv(free.T @ free, rcond=1e-10) @ (want - x.T @ r)))
+    rate, residual = mixing.fit_rates(found, want.tolist())
+    got = np.array([g.r for g in found.select(rate.alias("r")).collect()])
+    assert residual <= mixing.TOLERANCE and np.allclose(sorted(got), sorted(r), atol=1e-6)
+
+
+def test_mixing_says_when_targets_cannot_be_met(spark):
+    found = spark.createDataFrame([(10, 1, 1.0, 0.0), (20, 3, 1.0, 0.0)], "n_tokens long, copies long, p0 double, p1 double")
+    assert abs(mixing.fit_rates(found, [50.0, 100.0])[1] - 1.0) < 1e-9
+    assert mixing.fit_rates(found, [50.0, 0.0])[1] <= mixing.TOLERANCE
+
+
+def test_mixing_targets_of_the_test_table(spark):
+    got = mixing.op2_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    domains = sorted(mixing.TARGETS)
+    totals = [(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in domains]
+    want = [mixing.BUDGET * got["n_tokens"].sum() * mixing.TARGETS[d] for d in domains]
+    assert np.allclose(totals, want, rtol=1e-6) and got["residual"].max() <= mixing.TOLERANCE
+
+
+def test_mixing_posteriors_by_restatement(spark):
+    import xxhash
+
+    rng = random.Random(4)
+    found = [(k, " ".join(rng.choice(("alpha beta gamma" if k % 3 else "delta Beta omega").split()) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(70, None), (71, "new")]
+    known = {k: "a" if k % 3 else "b" for k in range(0, 60, 2)}
+    feature = lambda w: xxhash.xxh64(w.lower().encode(), seed=42).intdigest() % mixing.FEATURES
+    words = {k: [feature(w) for w in (t or "").split()] for k, t in found}
+    prior = {d: np.log((sum(v == d for v in known.values()) + 1) / (len(known) + 2)) for d in "ab"}
+    seen = {d: [w for k, v in known.items() if v == d for w in words[k]] for d in "ab"}
+    logs = {w: {d: np.log((seen[d].count(w) + mixing.SMOOTHING) / (len(seen[d]) + mixing.SMOOTHING * mixing.FEATURES)) for d in "ab"} for w in {*seen["a"], *seen["b"]}}
+    got = mixing.mix(corpus.frame(spark, found), spark.createDataFrame(list(known.items()), "id long, domain string"), {"a": 0.5, "b": 0.5}).collect()
+    for r in got:
+        own = words[r.id]
+        s = {d: prior[d] + sum(logs[w][d] - sum(logs[w].values()) / 2 for w in own if w in logs) / max(len(own), 1) ** 0.5 for d in "ab"}
+        assert abs(r.p_a - 1 / (1 + np.exp(s["b"] - s["a"]))) < 1e-9
+
+
+def test_mixing_of_many_repeats_and_labels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "LABELLED", 3)
+    found = [(1, "alpha beta")] * 50 + [(k, "gamma") for k in range(2, 9)]
+    labels = spark.createDataFrame([(k, "a" if k < 3 else "b") for k in range(9)], "id long, domain string")
+    got = mixing.mix(corpus.frame(spark, found), labels, {"a": 0.5, "b": 0.5}).collect()
+    assert sorted(r.id for r in got) == sorted(i for i, _ in found)
 
 
 def test_mixing_without_labels_or_rows(spark):
