@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from meshledger.catalog.base import ROWS, Inputs, query
 from meshledger.catalog.sql import using
 from meshledger.functions import rules as R
-from meshledger.functions.addresses import mark_local
+from meshledger.functions.addresses import NOT_GLOBAL_V4, NOT_GLOBAL_V6, mark_local
 from meshledger.operators import classify as c
 from meshledger.operators import trace
 from meshledger.sources import derived
@@ -98,10 +99,6 @@ def _number(dotted: str) -> str:
 
 
 def _blocks(n: str) -> str:
-    import ipaddress
-
-    from meshledger.functions.addresses import NOT_GLOBAL_V4
-
     nets = map(ipaddress.ip_network, NOT_GLOBAL_V4)
     return " OR ".join(f"{n} BETWEEN {int(b.network_address)} AND {int(b.broadcast_address)}" for b in nets)
 
@@ -162,6 +159,38 @@ def _anonymized(k: int, label: str = R.ANONYMIZED_ORG, zero: str | None = None):
 _RELABEL = """SELECT event_id, user_id, CASE WHEN org IN (SELECT org FROM flows WHERE {0} GROUP BY org HAVING count(DISTINCT user_id) < {1})
   THEN '{2}' ELSE org END AS org FROM flows"""
 
+# Addresses of every form, by event: v4; v6 in full, shortened, with a dotted tail, in capitals; no address.
+_GROUPS = ("fc12", "fe80", "2001", "2606", "0100", "2a00", "febf", "fec0", "0000", "01ff")
+_HEX4 = "lpad(lower(hex(event_id * {} % 65536)), 4, '0')"
+_MIXED_V4 = "concat({})".format(", '.', ".join(f"CAST(event_id * {m} % 256 AS STRING)" for m in (7, 13, 3, 11)))
+_MIXED = f"""CASE event_id % 6 WHEN 0 THEN {_MIXED_V4}
+  WHEN 1 THEN concat({{head}}, ':', {_HEX4.format(7919)}, ':0000:', {_HEX4.format(31)}, ':0:0:1:', {_HEX4.format(17)})
+  WHEN 2 THEN concat({{head}}, '::', lower(hex(event_id % 65536))) WHEN 3 THEN concat('::ffff:', {_MIXED_V4})
+  WHEN 4 THEN upper(concat({{head}}, ':', lower(hex(event_id % 32)), '::')) ELSE 'host.example.org' END"""
+_SPARK_HEAD = f"element_at(array({', '.join(map(repr, _GROUPS))}), CAST(event_id % {len(_GROUPS)} + 1 AS INT))"
+_DUCK_HEAD = f"([{', '.join(map(repr, _GROUPS))}])[event_id % {len(_GROUPS)} + 1]"
+_V4_PARTS = [f"event_id * {m} % 256" for m in (7, 13, 3, 11)]
+_V4_NUMBER = "(" + " + ".join(f"({p}) * {256 ** (3 - k)}" for k, p in enumerate(_V4_PARTS)) + ")"
+_V4_HEX = " || ".join(f"lpad(lower(hex({p})), 2, '0')" for p in _V4_PARTS)
+
+
+def _mixed(i: Inputs):
+    return i.table("events").selectExpr("event_id", _MIXED.format(head=_SPARK_HEAD) + " AS ip")
+
+
+def _in_v6(x: str) -> str:
+    nets = map(ipaddress.ip_network, NOT_GLOBAL_V6)
+    return "(" + " OR ".join(f"{x} BETWEEN '{int(n.network_address):032x}' AND '{int(n.broadcast_address):032x}'" for n in nets) + ")"
+
+
+# The oracle knows the digits from how the address was made, and tests every block.
+_MIXED_SQL = f"""SELECT event_id, ip, coalesce(CASE WHEN event_id % 6 = 0 THEN {_blocks(_V4_NUMBER)} ELSE {_in_v6('digits')} END, false) AS local
+FROM (SELECT event_id, {_MIXED.format(head=_DUCK_HEAD).replace('STRING', 'VARCHAR')} AS ip, CASE event_id % 6
+    WHEN 1 THEN {_DUCK_HEAD} || {_HEX4.format(7919)} || '0000' || {_HEX4.format(31)} || '000000000001' || {_HEX4.format(17)}
+    WHEN 2 THEN {_DUCK_HEAD} || repeat('0', 24) || lpad(lower(hex(event_id % 65536)), 4, '0')
+    WHEN 3 THEN repeat('0', 20) || 'ffff' || {_V4_HEX}
+    WHEN 4 THEN {_DUCK_HEAD} || lpad(lower(hex(event_id % 32)), 4, '0') || repeat('0', 24) END AS digits FROM events)"""
+
 QUERIES = {
     "domain_classes": (
         query(lambda i: c.classify_domain(derived.named_domains(i.spark, i.sf_dir))),
@@ -189,6 +218,9 @@ QUERIES = {
         query(lambda i: mark_local(i.table("events").selectExpr("event_id", f"{_SPARK_OCTETS} AS ip"), "ip")),
         f"SELECT event_id, ip, {_blocks(_number('ip'))} AS local FROM (SELECT event_id, {_OCTETS} AS ip FROM events)",
     ),
+    "local_addresses_mixed": (
+        query(lambda i: mark_local(_mixed(i), "ip").select("event_id", "ip", "local")), _MIXED_SQL,
+    ),
     "classified_flows": (
         query(lambda i: classified(i).select("event_id", "org", "category", "local")),
         using("flows", "SELECT event_id, org, category, local FROM classified", classified=CLASSIFIED),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ipaddress
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,25 +73,41 @@ def v6_digits(ip: Column | str) -> Column:
     return F.when(text.contains(":") & (F.length(digits) == 32), digits)
 
 
-def _in_blocks(value: Column, blocks: Iterable[str], bound: Callable) -> Column:
-    tests = []
-    for block in map(ipaddress.ip_network, blocks):
-        lo, hi = bound(block.network_address), bound(block.broadcast_address)
-        tests.append(value.between(lo, hi))
-    return reduce(lambda a, b: a | b, tests)
+def intervals(blocks: Iterable[str]) -> list[tuple[int, int]]:
+    """First and last address of the blocks as sorted, disjoint intervals; nested and touching blocks are one."""
+    merged: list[tuple[int, int]] = []
+    for net in sorted(map(ipaddress.ip_network, blocks)):
+        lo, hi = int(net.network_address), int(net.broadcast_address)
+        if merged and lo <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def inside(value: Column, spans: list[tuple[int, int]], bound: Callable) -> Column:
+    """Whether a value lies in one of sorted, disjoint intervals: a search tree of comparisons, not a test per interval."""
+    if not spans:
+        return F.when(value.isNotNull(), F.lit(False))
+    if len(spans) == 1:
+        return value.between(F.lit(bound(spans[0][0])), F.lit(bound(spans[0][1])))
+    middle = len(spans) // 2
+    left, right = inside(value, spans[:middle], bound), inside(value, spans[middle:], bound)
+    return F.when(value < F.lit(bound(spans[middle][0])), left).when(value.isNotNull(), right)
 
 
 def mark_local(df: DataFrame, ip: str = "dest_ip", out: str = "local") -> DataFrame:
     """Add whether an address is not globally routable.
 
     The address is turned into a number (v4) or 32 hex digits (v6) once, as a column of its
-    own, before it is compared with the blocks.
+    own, and then looked up in the sorted intervals of the blocks. A text that is no address is not
+    local, a null neither.
     """
     address = F.col(ip)
     is_v6 = address.contains(":")
     parsed = df.withColumns(
         {"_v4": F.when(~is_v6, v4_number(address)), "_v6": F.when(is_v6, v6_digits(address))}
     )
-    in_v4 = _in_blocks(F.col("_v4"), NOT_GLOBAL_V4, int)
-    in_v6 = _in_blocks(F.col("_v6"), NOT_GLOBAL_V6, lambda a: f"{int(a):032x}")
+    in_v4 = inside(F.col("_v4"), intervals(NOT_GLOBAL_V4), int)
+    in_v6 = inside(F.col("_v6"), intervals(NOT_GLOBAL_V6), lambda a: f"{a:032x}")
     return parsed.withColumn(out, F.coalesce(in_v4, in_v6, F.lit(False))).drop("_v4", "_v6")

@@ -35,10 +35,30 @@ def purchase_ranges(transactions: DataFrame) -> DataFrame:
 def count_days_inside(
     df: DataFrame, days: DataFrame, lo: str, hi: str, out: str, column: str = "day"
 ) -> DataFrame:
-    """Add how many of ``days`` (a table no longer than the calendar) begin inside [lo, hi]."""
-    listed = days.agg(F.transform(F.collect_set(column), lambda d: d.cast("timestamp_ntz")))
-    inside = F.filter("_days", lambda d: (d >= F.col(lo)) & (d <= F.col(hi)))
-    return df.withColumn("_days", listed.scalar()).withColumn(out, F.size(inside)).drop("_days")
+    """Add how many of the distinct ``days`` begin inside [lo, hi].
+
+    The count is that of the days up to hi less that of the days before lo, both looked up in one
+    running count over the calendar from the first to the last of ``days``; dates outside it take the
+    count at its ends.
+    """
+    ends = days.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+    calendar = ends.select(F.explode(F.sequence(F.date_sub("first", 1), F.col("last"))).alias("_day"))
+    listed = days.select(F.col(column).alias("_day")).distinct().withColumn("_is", F.lit(1))
+    # One row per day of the calendar bounds this window.
+    upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    running = calendar.join(listed, "_day", "left").select("_day", F.sum(F.coalesce("_is", F.lit(0))).over(upto).alias("_n"))
+    first, last = ends.select("first").scalar(), ends.select("last").scalar()
+
+    def at(date: Column) -> Column:
+        return F.least(F.greatest(date, F.date_sub(first, 1)), last)
+
+    # a day that begins at lo counts, one that began before does not
+    before = F.date_sub(F.to_date(lo), F.when(F.col(lo) == F.to_date(lo).cast("timestamp_ntz"), 1).otherwise(0))
+    ranged = df.withColumns({"_lo": at(before), "_hi": at(F.to_date(hi))})
+    for side in ("_lo", "_hi"):
+        ranged = ranged.join(running.select(F.col("_day").alias(side), F.col("_n").alias(f"{side}_n")), side, "left")
+    number = F.greatest(F.col("_hi_n") - F.col("_lo_n"), F.lit(0)).cast("int")
+    return ranged.select(*df.columns, F.when(F.col(lo).isNull() | F.col(hi).isNull(), None).otherwise(F.coalesce(number, F.lit(0))).alias(out))
 
 
 def user_activity(
