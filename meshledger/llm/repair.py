@@ -1,14 +1,17 @@
 """Re-Pair grammars of token ids: the layout of one shard, and reading any part of it back.
 
-A shard holds whole documents. Frequent pairs of neighbouring symbols are replaced by nonterminals,
-again and again; no pair spans two documents, so each document is a run of symbols of its own. The
-end id that every document carries is not stored. All numbers are little-endian:
-
-    4s magic "RPG1", u32 base (first nonterminal), u32 end id, u32 rules, u32 symbols, u32 documents,
-    u32 bytes per symbol (2 or 4)
-    symbols[2 * rules]   left and right symbol of each rule
+A shard holds whole documents. Pairs of neighbouring symbols are replaced by nonterminals, round after
+round, until no pair occurs often enough to pay for its rule; no pair spans two documents, so each
+document is a run of symbols of its own. A round replaces all frequent pairs at once: where they
+overlap, every other one from the left, and rules that end up with too few uses are taken back. Symbols
+take as many bits as the largest one needs. The end id that every document carries is not stored. All
+numbers are little-endian:
+
+    4s magic "RPG2", u32 base (first nonterminal), u32 end id, u32 rules, u32 symbols, u32 documents,
+    u32 bits per symbol
+    symbols[2 * rules]   left and right symbol of each rule, bit-packed, filled to a whole byte
     u32[rules]           expansion length of each rule in ids
-    symbols[symbols]     the documents, one after the other
+    symbols[symbols]     the documents, one after the other, packed likewise
     u32[documents + 1]   first symbol of each document
 """
 
@@ -19,66 +22,105 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, HEADER = b"RPG1", "<4s6I"
-ROUNDS, LEAST, SLOT_BITS = 4, 8, 18
-
-
-def _replace(seq: np.ndarray, last: np.ndarray, next_id: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: (symbols, document-last flags, new rules); the most frequent pairs go first."""
-    wide, half = (np.uint32, 16) if next_id + room <= 1 << 16 else (np.uint64, 32)  # two symbols in one number
-    never = np.iinfo(wide).max  # no pair: its symbols would both be the largest
-    pairs = seq[:-1].astype(wide) << wide(half) | seq[1:].astype(wide)
-    pairs[last[:-1]] = never
-    ordered = np.sort(pairs)
-    cuts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    kinds, counts = ordered[cuts], np.diff(np.r_[cuts, len(ordered)])
-    often = np.flatnonzero((counts >= LEAST) & (kinds != never))
-    often = often[np.argsort(-counts[often], kind="stable")][:room]
-    slots = lambda x: (x * wide(0x9E3779B97F4A7C15 >> (64 - 2 * half) | 1)) >> wide(2 * half - SLOT_BITS)
-    # two pairs in one slot: the more frequent one stays, the other waits for the next round
-    _, first = np.unique(slots(kinds[often]), return_index=True)
-    chosen = kinds[often[np.sort(first)]]
-    keys, names = np.full(1 << SLOT_BITS, never), np.zeros(1 << SLOT_BITS, np.uint32)
-    keys[slots(chosen)], names[slots(chosen)] = chosen, next_id + np.arange(len(chosen), dtype=np.uint32)
-    at = slots(pairs)
-    hit = np.flatnonzero((keys[at] == pairs) & (pairs != never))
-    if len(hit):  # of overlapping pairs every other one, from the left
-        begins = np.r_[True, hit[1:] != hit[:-1] + 1]
+MAGIC, HEADER = b"RPG2", "<4s6I"
+#: Uses that pay for a rule: it costs two symbols of 16 to 20 bits and a length of 32.
+LEAST = 5
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def pack(symbols: np.ndarray, bits: int) -> bytes:
+    """Symbols of ``bits`` bits each, the highest bit first, one after the other."""
+    out = [np.zeros(0, np.uint8)]
+    step = 1 << 15  # a multiple of 8, so all blocks but the last end with a byte
+    for a in range(0, len(symbols), step):
+        wide = symbols[a:a + step].astype(">u4").view(np.uint8).reshape(-1, 4)
+        out.append(np.packbits(np.unpackbits(wide, axis=1)[:, 32 - bits:]))
+    return np.concatenate(out).tobytes()
+
+
+def unpack(data: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The first ``count`` symbols of packed bytes."""
+    out = np.zeros(count, np.uint32)
+    step = 1 << 15
+    for a in range(0, count, step):
+        n = min(step, count - a)
+        own = np.unpackbits(data[a * bits // 8:(a * bits + n * bits + 7) // 8])[:n * bits].reshape(n, bits)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, 32 - bits:] = own
+        out[a:a + n] = np.packbits(wide, axis=1).view(">u4").ravel()
+    return out
+
+
+def _frequent(pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Distinct pairs with LEAST or more uses, the most frequent first; ``pair`` is False where a document ends."""
+    bits = max(10, int(len(pairs)).bit_length() + 1)
+    slots = (pairs * _MULTIPLIER) >> np.uint64(64 - bits)
+    # a slot's count bounds that of each pair in it, so most rare pairs are never sorted
+    some = pairs[pair & (np.bincount(slots[pair].astype(np.int64), minlength=1 << bits) >= LEAST)[slots.astype(np.int64)]]
+    some.sort()
+    cuts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[cuts, len(some)])
+    often = np.flatnonzero(counts >= LEAST)
+    return some[cuts[often[np.argsort(-counts[often], kind="stable")]]]
+
+
+def _round(seq: np.ndarray, last: np.ndarray, next_id: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: (symbols, document-last flags, new rules); ``alone``: of the most frequent pair that pays only."""
+    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
+    chosen = _frequent(pairs, ~last[:-1])
+    for group in ([chosen[k:k + 1] for k in range(len(chosen))] if alone else [chosen]):
+        ordered = np.sort(group)
+        place = np.minimum(np.searchsorted(ordered, pairs), max(len(ordered) - 1, 0))
+        hit = np.flatnonzero((ordered[place] == pairs) & ~last[:-1]) if len(ordered) else np.zeros(0, np.int64)
+        # of pairs that overlap every other one, from the left
+        begins = np.r_[True, hit[1:] != hit[:-1] + 1][:len(hit)]
         number = np.arange(len(hit))
         hit = hit[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0]
-        seq, last = seq.copy(), last.copy()
-        seq[hit], last[hit] = names[at[hit]], last[hit + 1]
-        stay = np.ones(len(seq), bool)
+        uses = np.bincount(place[hit], minlength=len(ordered))
+        pays = uses >= LEAST
+        if not pays.any():
+            continue
+        hit = hit[pays[place[hit]]]
+        names = (next_id + np.cumsum(pays) - 1).astype(np.uint32)
+        seq, last, stay = seq.copy(), last.copy(), np.ones(len(seq), bool)
+        seq[hit], last[hit] = names[place[hit]], last[hit + 1]
         stay[hit + 1] = False
-        seq, last = seq[stay], last[stay]
-    rules = np.stack([chosen >> wide(half), chosen & wide((1 << half) - 1)], axis=1).astype(np.uint32)
-    return seq, last, rules
+        kept = ordered[pays]
+        rules = np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        return seq[stay], last[stay], rules
+    return seq, last, np.zeros((0, 2), np.uint32)
 
 
-def encode(ids: np.ndarray, first: np.ndarray, base: int, end_id: int) -> bytes:
-    """A shard from the ids of its documents, ``ids[first[k]:first[k + 1]]``, end ids left out; ids are below ``base``."""
-    seq = ids.astype(np.uint32)
-    full = np.diff(first) > 0
+def grammar(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, symbols, first symbol of each document and the end)."""
+    seq, full = ids.astype(np.uint32), np.diff(first) > 0
     last = np.zeros(len(seq), bool)
     last[first[1:][full] - 1] = True
-    rules, limit = np.zeros((0, 2), np.uint32), max(0, (1 << 16) - base) or 1 << 16
-    for left in range(ROUNDS, 0, -1):
-        if len(seq) < 2 or limit <= len(rules):
-            break
-        seq, last, more = _replace(seq, last, base + len(rules), (limit - len(rules)) // left)
-        rules = np.concatenate([rules, more])
+    rules = [np.zeros((0, 2), np.uint32)]
+    count = 0
+    while len(seq) > 1:
+        seq, last, more = _round(seq, last, base + count, False)
+        if not len(more):  # what overlaps spoilt for all at once may still pay alone
+            seq, last, more = _round(seq, last, base + count, True)
         if not len(more):
             break
-    lengths = np.ones(base + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[base + k] = lengths[a] + lengths[b]
+        rules.append(more)
+        count += len(more)
     counts = np.zeros(len(first) - 1, np.int64)
     counts[full] = np.diff(np.r_[0, np.flatnonzero(last) + 1])
-    size = 2 if base + len(rules) <= 1 << 16 else 4
-    kind = f"<u{size}"
+    return np.concatenate(rules), seq, np.r_[0, np.cumsum(counts)]
+
+
+def encode(ids: np.ndarray, first: np.ndarray, base: int, end_id: int) -> bytes:
+    """A shard from the ids of its documents, ``ids[first[k]:first[k + 1]]``, end ids left out; ids are below ``base``."""
+    rules, seq, starts = grammar(ids, first, base)
+    lengths = [1] * base
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    bits = max(1, (base + len(rules) - 1).bit_length())
     return b"".join([
-        struct.pack(HEADER, MAGIC, base, end_id, len(rules), len(seq), len(first) - 1, size), rules.astype(kind).tobytes(),
-        lengths[base:].astype("<u4").tobytes(), seq.astype(kind).tobytes(), np.r_[0, np.cumsum(counts)].astype("<u4").tobytes()])
+        struct.pack(HEADER, MAGIC, base, end_id, len(rules), len(seq), len(first) - 1, bits), pack(rules.ravel(), bits),
+        np.array(lengths[base:], "<u4").tobytes(), pack(seq, bits), starts.astype("<u4").tobytes()])
 
 
 @dataclass
@@ -94,14 +136,24 @@ class Shard:
 
     @classmethod
     def read(cls, data: bytes) -> Shard:
-        magic, base, end_id, rules, symbols, documents, size = struct.unpack_from(HEADER, data)
+        magic, base, end_id, rules, symbols, documents, bits = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        at, out = struct.calcsize(HEADER), []
-        for count, kind in ((2 * rules, f"<u{size}"), (rules, "<u4"), (symbols, f"<u{size}"), (documents + 1, "<u4")):
-            out.append(np.frombuffer(data, kind, count, at))
-            at += out[-1].nbytes
-        return cls(base, end_id, out[0].reshape(-1, 2), np.r_[np.ones(base, np.int64), out[1].astype(np.int64)], out[2], out[3])
+        at, raw = struct.calcsize(HEADER), np.frombuffer(data, np.uint8)
+
+        def packed(count: int) -> np.ndarray:
+            nonlocal at
+            own, at = raw[at:], at + (count * bits + 7) // 8
+            return unpack(own, count, bits)
+
+        def numbers(count: int) -> np.ndarray:
+            nonlocal at
+            own, at = np.frombuffer(data, "<u4", count, at), at + 4 * count
+            return own
+
+        pairs, lengths = packed(2 * rules).reshape(-1, 2), numbers(rules)
+        own = packed(symbols)
+        return cls(base, end_id, pairs, np.r_[np.ones(base, np.int64), lengths.astype(np.int64)], own, numbers(documents + 1))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of a run of symbols: nonterminals are opened level by level."""

@@ -7,6 +7,7 @@ of about SHARD_IDS ids (one document at least). Spark commits the shards as rows
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,16 +39,38 @@ class _Places(dict):
         return place
 
 
+#: Fixed value: the words of a tokenizer whose texts may be encoded word by word.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def goes_by_words(definition: str) -> bool:
+    """Whether a tokenizer gives a text the ids of its words (between white space), one after the other.
+
+    That is known of tokenizers that normalise by nothing but NFC, lower case and one space for white
+    space, keep WORD_PATTERN only, and mark the end of a word.
+    """
+    known = json.loads(definition)
+    listed = lambda part, name: (part or {}).get(name) or ([part] if part else [])
+    normal, cut = listed(known.get("normalizer"), "normalizers"), listed(known.get("pre_tokenizer"), "pretokenizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
+    split = cut[0] if cut else {}
+    return (plain and any(n["type"] == "Lowercase" for n in normal) and split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_PATTERN}
+            and split.get("behavior") == "Removed" and split.get("invert") is True
+            and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in cut[1:])
+            and known["model"].get("end_of_word_suffix") == "</w>")
+
+
 class WordIds:
     """Ids of texts by a table of words met so far; the tokenizer encodes each new word once.
 
-    Valid for tokenizers that lower-case, drop white space and never merge across it. Strings of
+    This is for tokenizers of `goes_by_words`; with any other one whole texts are encoded. Strings of
     special tokens are left to the tokenizer as they stand. When the table is full, words that came once are
     forgotten.
     """
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
+        self.by_words = goes_by_words(definition)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends_word = np.zeros(self.size, bool)
@@ -121,9 +144,17 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
+        if not self.by_words:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
         words, counts = [], [0]
         for text in texts:
-            words += (text if b"<|" in text else text.lower()).split()
+            if b"<|" in text:
+                words += text.split()
+            elif text.isascii():
+                words += text.lower().split()
+            else:  # a capital may compose with the marks behind it before it is lower-cased
+                words += [w.lower() if w.isascii() else w for w in text.split()]
             counts.append(len(words))
         if len(self.known) > KNOWN_WORDS:
             self._shrink()

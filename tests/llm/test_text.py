@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import json
 import os
 import random
 import re
@@ -146,6 +147,51 @@ def test_repair_shrinks_repeats():
     assert len(repair.encode(ids, np.array([0, len(ids)]), 49408, 2)) < len(ids)
 
 
+def test_repair_runs_to_its_end():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 49_000, 500)
+    shard = repair.Shard.read(repair.encode(np.tile(passage, 7), np.array([0, 3500]), 49408, 2))
+    assert shard.lengths.max() >= 500 and len(shard.symbols) <= 7
+    # random repeats over more rules than 16 bits have room for: no pair is left that would pay
+    words = [rng.integers(0, 49_000, 3) for _ in range(20_000)]
+    ids = np.concatenate([words[k] for k in rng.integers(0, 20_000, 150_000)])
+    rules, seq, first = repair.grammar(ids, np.array([0, len(ids)]), 49408)
+    assert 49408 + len(rules) > 1 << 16
+    pairs, counts = np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)
+    assert counts[pairs[0] != pairs[1]].max() < repair.LEAST
+    read = repair.Shard.read(repair.encode(ids, np.array([0, len(ids)]), 49408, 2))
+    assert (read.documents()[0][:-1] == ids).all()
+
+
+@pytest.mark.parametrize("bits", [1, 5, 16, 17, 32])
+def test_packed_symbols(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 7, 8, 9, 70_001):
+        symbols = rng.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
+        data = np.frombuffer(repair.pack(symbols, bits), np.uint8)
+        assert len(data) == (n * bits + 7) // 8 and (repair.unpack(data, n, bits) == symbols).all()
+
+
+def test_ids_of_words_are_those_of_the_text():
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    marks = [c + m + rest for c in "JHTWYAEZ" for m in "\u030c\u0331\u0308\u030a\u0301\u0327" for rest in ("", " a", "B c")]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        definition = Path(public_tokenizers.path(name)).read_text()
+        assert token_files.goes_by_words(definition) == by_words
+        tokenizer, encoder = Tokenizer.from_str(definition), token_files.WordIds(definition)
+        texts = [*marks, *(t or "" for _, t in corpus.rows()), "\u0130stanbul \u212aELVIN \u00c5 A\u030a <|endoftext|>A\u0301"]
+        flat, first = encoder.encode([t.encode() for t in texts])
+        for k, t in enumerate(texts):
+            assert flat[first[k]:first[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    other = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    other["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    assert not token_files.goes_by_words(json.dumps(other))
+
+
 def test_token_files(spark, tmp_path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
