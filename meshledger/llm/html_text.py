@@ -7,8 +7,8 @@ or whose id is that of an advert, a sidebar, comments and the like are marked; w
 the marks are lifted from elements that turn out to be wrappers of the content (`_marked`), and lines
 of elements still marked are left out. The text-to-tag ratio of the lines is smoothed with a Gaussian and lines above the
 standard deviation are the content cluster. The region is the innermost article or main element that
-holds most of that cluster, with all its lines, however short; a page without such an element gives
-the lines from the first to the last of the cluster inside the innermost element that holds it.
+holds most of that cluster, with all its lines, however short; several top articles that hold about as
+much as each other are one region. A page without such an element gives the lines from the first to the last of the cluster inside the innermost element that holds it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("script style noscript template iframe object svg math canvas audio video "
                   "button select textarea input title head".split())
 ARTICLE = frozenset(("article", "main"))
+#: What may stand in a head and in a select; any other block ends one whose end tag is left out.
+IN_HEAD = frozenset("base link meta noscript script style template title head".split())
+IN_SELECT = frozenset("option optgroup hr script template select".split())
 #: Opening one of these ends an open element of the listed names, as their end tags may be left out.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 #: How sure a mark is: LOOSE ones may sit on a wrapper, NAMED and TAGGED ones hardly ever do.
@@ -38,7 +41,7 @@ MARKED_TAGS = {"form": LOOSE, "aside": LOOSE, "dialog": LOOSE, "nav": TAGGED, "f
 MARKED_ROLES = {"complementary": LOOSE, "search": LOOSE, "form": LOOSE, "dialog": LOOSE, "alertdialog": LOOSE, "alert": NAMED,
                 "navigation": TAGGED, "banner": TAGGED, "contentinfo": TAGGED, "menu": TAGGED, "menubar": TAGGED}
 _SIDE = r"(?:(?:site|main|page|top|bottom|left|right|primary|secondary|global|mobile|post|article|entry|user|google)[_-]+)?"
-_PART = r"(?:[_-]+(?:list|area|section|box|bar|block|panel|slot|unit|links?|items?|buttons?|icons?|form|text|title|thread|count|message))?"
+_PART = r"(?:[_-]+(?:list|area|section|box|bar|block|panel|slot|unit|links?|items?|buttons?|icons?|form|text|title|thread|count|message|body|wrap(?:per)?|meta|author))?"
 #: Whole class names and ids: a listed word alone, or in a compound of a place before or a part behind.
 NAMES = {
     NAMED: re.compile(
@@ -71,7 +74,8 @@ class PageLines(HTMLParser):
         self.text, self.heading = [], False
 
     def _mark(self, tag: str, attrs: list) -> int:
-        if tag in ARTICLE or tag in ("body", "html"):
+        nested = tag == "article" and any(name == "article" for name, _, _ in self.stack)  # such as a reader's comment
+        if tag in ARTICLE and not nested or tag in ("body", "html"):
             return 0
         found = dict(attrs)
         marks = [MARKED_TAGS.get(tag, 0), MARKED_ROLES.get((found.get("role") or "").lower(), 0)]
@@ -90,6 +94,12 @@ class PageLines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if tag not in INLINE and tag not in VOID:
+            for at in range(len(self.stack) - 1, 0, -1):
+                name = self.stack[at][0]
+                if name == "head" and tag not in IN_HEAD or name == "select" and tag not in IN_SELECT:
+                    self._close(at)
+                    break
         if tag in VOID:
             if tag == "hr":
                 self._end_line()
@@ -203,8 +213,23 @@ def _marked(page: PageLines) -> tuple[np.ndarray, list[int]]:
     return left, bare
 
 
+def _equal_articles(page: PageLines, held: np.ndarray) -> list[int]:
+    """Articles in no other article that hold at least SHARE of what the fullest of them holds."""
+    article = np.array([name == "article" for name in page.names])
+    below = np.zeros(len(held), bool)
+    for k in range(1, len(held)):
+        up = page.parents[k]
+        below[k] = below[up] or article[up]
+    tops = [k for k in np.flatnonzero(article & ~below).tolist() if held[k] > 0]
+    return [k for k in tops if held[k] >= SHARE * max(held[t] for t in tops)]
+
+
 def main_text(html: str | None) -> str:
-    """The main text, blocks joined by line feeds; empty for null, empty or text-free pages."""
+    """The main text, blocks joined by line feeds; empty for null, empty or text-free pages.
+
+    A head or select whose end tag is left out ends at the next block that cannot stand in it. An
+    article inside an article is left out if its names are those of a comment or the like.
+    """
     page = PageLines()
     page.feed(html or "")
     page.close()
@@ -229,7 +254,12 @@ def main_text(html: str | None) -> str:
     part = _below(page, part)
     region = max(articles or [k for k in most if not part[k] and page.names[k] not in ("p", "li", "td", "pre", "blockquote")] or [0])
     inside = np.zeros(len(page.parents), bool)
-    inside[region] = True
+    equal = _equal_articles(page, held)
+    if len(equal) > 1 and sum(held[k] for k in equal) >= SHARE * held[0]:
+        articles = equal
+        inside[equal] = True
+    else:
+        inside[region] = True
     inside = _below(page, inside)
     kept = np.array([inside[owner] for _, _, owner, _ in lines])
     if not articles:

@@ -3,7 +3,7 @@
 A shard holds whole documents. Pairs of neighbouring symbols are replaced by nonterminals, round after
 round, until no pair occurs often enough to pay for its rule; no pair spans two documents, so each
 document is a run of symbols of its own. A round replaces all frequent pairs at once: where they
-overlap, every other one from the left, and rules that end up with too few uses are taken back. Symbols
+overlap, the more frequent one, and a pair left with too few uses waits for the next round. Symbols
 take as many bits as the largest one needs. The end id that every document carries is not stored. All
 numbers are little-endian:
 
@@ -51,44 +51,71 @@ def unpack(data: np.ndarray, count: int, bits: int) -> np.ndarray:
     return out
 
 
-def _frequent(pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Distinct pairs with LEAST or more uses, the most frequent first; ``pair`` is False where a document ends."""
+def _frequent(pairs: np.ndarray) -> np.ndarray:
+    """Distinct pairs with LEAST or more uses, the most frequent first; a pair of one symbol overlaps itself and counts half."""
     bits = max(10, int(len(pairs)).bit_length() + 1)
-    slots = (pairs * _MULTIPLIER) >> np.uint64(64 - bits)
+    slots = ((pairs * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)
     # a slot's count bounds that of each pair in it, so most rare pairs are never sorted
-    some = pairs[pair & (np.bincount(slots[pair].astype(np.int64), minlength=1 << bits) >= LEAST)[slots.astype(np.int64)]]
+    some = pairs[(np.bincount(slots, minlength=1 << bits) >= LEAST)[slots]]
     some.sort()
     cuts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[cuts, len(some)])
     often = np.flatnonzero(counts >= LEAST)
-    return some[cuts[often[np.argsort(-counts[often], kind="stable")]]]
-
-
-def _round(seq: np.ndarray, last: np.ndarray, next_id: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: (symbols, document-last flags, new rules); ``alone``: of the most frequent pair that pays only."""
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    chosen = _frequent(pairs, ~last[:-1])
-    for group in ([chosen[k:k + 1] for k in range(len(chosen))] if alone else [chosen]):
-        ordered = np.sort(group)
-        place = np.minimum(np.searchsorted(ordered, pairs), max(len(ordered) - 1, 0))
-        hit = np.flatnonzero((ordered[place] == pairs) & ~last[:-1]) if len(ordered) else np.zeros(0, np.int64)
-        # of pairs that overlap every other one, from the left
-        begins = np.r_[True, hit[1:] != hit[:-1] + 1][:len(hit)]
-        number = np.arange(len(hit))
-        hit = hit[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0]
-        uses = np.bincount(place[hit], minlength=len(ordered))
-        pays = uses >= LEAST
-        if not pays.any():
-            continue
-        hit = hit[pays[place[hit]]]
-        names = (next_id + np.cumsum(pays) - 1).astype(np.uint32)
-        seq, last, stay = seq.copy(), last.copy(), np.ones(len(seq), bool)
-        seq[hit], last[hit] = names[place[hit]], last[hit + 1]
-        stay[hit + 1] = False
-        kept = ordered[pays]
-        rules = np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        return seq[stay], last[stay], rules
-    return seq, last, np.zeros((0, 2), np.uint32)
+    kinds, counts = some[cuts[often]], counts[often]
+    same = (kinds >> np.uint64(32)) == (kinds & np.uint64(0xFFFFFFFF))
+    return kinds[np.argsort(-np.where(same, (counts + 1) // 2, counts), kind="stable")]
+
+
+def _round(seq: np.ndarray, last: np.ndarray, next_id: int, fresh: int, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One round: (symbols, document-last flags, new rules, pairs that wait for the next round).
+
+    Only pairs with a symbol of the last round (from ``fresh`` on) and those that wait can be frequent:
+    the uses of all others have become fewer since they were counted. Of overlapping uses that of the
+    more frequent pair stands, so the most frequent pair has all of its own, and a round without a
+    rule is the last one.
+    """
+    new = seq >= fresh
+    ask = new[:-1] | new[1:]
+    if len(waiting):
+        begins, ends = np.zeros(next_id, bool), np.zeros(next_id, bool)
+        begins[(waiting >> np.uint64(32)).astype(np.int64)] = True
+        ends[(waiting & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        ask |= begins[seq[:-1]] & ends[seq[1:]]
+    hit = np.flatnonzero(ask & ~last[:-1])
+    pairs = seq[hit].astype(np.uint64) << np.uint64(32) | seq[hit + 1].astype(np.uint64)
+    chosen = _frequent(pairs)
+    if not len(chosen):
+        return seq, last, np.zeros((0, 2), np.uint32), chosen
+    order = np.argsort(chosen)
+    ordered = chosen[order]
+    # a table of slots spares most positions the search
+    slots = ((pairs * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[((chosen * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)] = True
+    some = maybe[slots]
+    hit, pairs = hit[some], pairs[some]
+    place = np.minimum(np.searchsorted(ordered, pairs), len(ordered) - 1)
+    found = ordered[place] == pairs
+    hit, rank = hit[found], order[place[found]]  # rank 0 is the most frequent pair
+    next_to = np.diff(hit) == 1
+    beaten = np.zeros(len(hit), bool)
+    beaten[1:] |= next_to & (rank[:-1] < rank[1:])
+    beaten[:-1] |= next_to & (rank[1:] < rank[:-1])
+    hit, rank = hit[~beaten], rank[~beaten]
+    # what still overlaps is a run of one symbol: every other pair, from the left
+    first = np.r_[True, hit[1:] != hit[:-1] + 1]
+    number = np.arange(len(hit))
+    taken = (number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0
+    hit, rank = hit[taken], rank[taken]
+    pays = np.bincount(rank, minlength=len(chosen)) >= LEAST
+    hit, rank = hit[pays[rank]], rank[pays[rank]]
+    names = (next_id + np.cumsum(pays) - 1).astype(np.uint32)
+    seq, last, stay = seq.copy(), last.copy(), np.ones(len(seq), bool)
+    seq[hit], last[hit] = names[rank], last[hit + 1]
+    stay[hit + 1] = False
+    kept = chosen[pays]
+    rules = np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return seq[stay], last[stay], rules, chosen[~pays]
 
 
 def grammar(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,16 +123,14 @@ def grammar(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray,
     seq, full = ids.astype(np.uint32), np.diff(first) > 0
     last = np.zeros(len(seq), bool)
     last[first[1:][full] - 1] = True
-    rules = [np.zeros((0, 2), np.uint32)]
-    count = 0
+    rules, waiting = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint64)
+    fresh, next_id = 0, base
     while len(seq) > 1:
-        seq, last, more = _round(seq, last, base + count, False)
-        if not len(more):  # what overlaps spoilt for all at once may still pay alone
-            seq, last, more = _round(seq, last, base + count, True)
+        seq, last, more, waiting = _round(seq, last, next_id, fresh, waiting)
         if not len(more):
             break
         rules.append(more)
-        count += len(more)
+        fresh, next_id = next_id, next_id + len(more)
     counts = np.zeros(len(first) - 1, np.int64)
     counts[full] = np.diff(np.r_[0, np.flatnonzero(last) + 1])
     return np.concatenate(rules), seq, np.r_[0, np.cumsum(counts)]

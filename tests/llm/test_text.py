@@ -121,6 +121,19 @@ def test_page_wide_forms_and_marked_elements_with_most_of_the_text():
     assert html_text.main_text(f"<p>before <span class=ad>Buy</span> after {PROSE}</p>") == f"before\nafter {PROSE.strip()}"
 
 
+def test_left_out_end_tags_and_several_articles():
+    text = PROSE.strip()
+    assert html_text.main_text(f"<head><title>T</title><meta charset=u><body><article><p>{PROSE}</article>") == text
+    assert html_text.main_text(f"<head><title>T</title><article><p>{PROSE}</article>") == text
+    assert html_text.main_text(f"<body><article><p>{PROSE}</p><select><option>a<option>b<p>{PROSE}</p></article>") == f"{text}\n{text}"
+    two = f"<article><p>one {PROSE}</p></article><article><p>two {PROSE}</p></article>"
+    assert html_text.main_text(f"<body>{two}</body>") == f"one {text}\ntwo {text}"
+    assert html_text.main_text(f"<body><main>{two}</main></body>") == f"one {text}\ntwo {text}"
+    comment = f"<article class='comment-body'><p>I say {PROSE}</p></article>"
+    assert html_text.main_text(f"<article><p>{PROSE}</p><p>{PROSE}</p>{comment}</article>") == f"{text}\n{text}"
+    assert html_text.main_text(f"<article><p>{PROSE}</p></article><article><p>Short teaser.</p></article>") == text
+
+
 def test_very_long_and_broken_pages():
     assert html_text.main_text("<div>" * 3000 + "deep text") == "deep text"
     assert len(html_text.main_text("<article>" + "<p>" + "long words " * 200_000)) == len("long words " * 200_000) - 1
