@@ -8,6 +8,7 @@ of about SHARD_IDS ids (one document at least). Spark commits the shards as rows
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -43,6 +44,10 @@ class _Places(dict):
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: A capital that may compose with the mark behind it, which must happen before it is lower-cased.
+COMPOSES = re.compile(rb"[A-Z][\x80-\xff]")
+
+
 def goes_by_words(definition: str) -> bool:
     """Whether a tokenizer gives a text the ids of its words (between white space), one after the other.
 
@@ -151,10 +156,10 @@ class WordIds:
         for text in texts:
             if b"<|" in text:
                 words += text.split()
-            elif text.isascii():
+            elif text.isascii() or not COMPOSES.search(text):
                 words += text.lower().split()
-            else:  # a capital may compose with the marks behind it before it is lower-cased
-                words += [w.lower() if w.isascii() else w for w in text.split()]
+            else:
+                words += [w if COMPOSES.search(w) else w.lower() for w in text.split()]
             counts.append(len(words))
         if len(self.known) > KNOWN_WORDS:
             self._shrink()
