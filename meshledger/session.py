@@ -28,13 +28,13 @@ def build_session(app_name: str = "meshledger", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster the executors
-    would not see it.
+    Where it is unset, as in tests, a local master gets one folder of the session; on a cluster, whose
+    executors would not see a machine's own folder, that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     fallback = tempfile.mkdtemp(prefix="meshledger-")
     spark.conf.set("spark.checkpoint.dir", fallback)
