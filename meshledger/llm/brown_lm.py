@@ -12,7 +12,8 @@ Every word of the corpus so has a class; its emission probability uses its own c
 
 Counts cover all training texts. Words with at least KNOWN_SHARE of all tokens (a bounded list, too)
 are broadcast with their counts and classes; the counts and classes of all others are joined to their
-places in the texts, by buckets of words sent as packed arrays.
+places in the texts, by buckets of words sent as packed arrays. That is done once: every text is then
+stored as one byte for the class of each token, from which class pairs and scores are counted.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ def frequent_words(counts: DataFrame) -> Model:
     """Totals and the frequent words; both lists are bounded by one over their share."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     model = Model(tokens=int(total.n or 0), words=int(total.v))
-    listed = counts.where(F.col("n") >= known_least(model)).toArrow()
+    listed = counts.where((F.col("n") >= known_least(model)) | (F.col("word") == F.lit(END))).toArrow()
     words, n = listed["word"].to_pylist(), listed["n"].to_numpy().astype(np.float64)
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in order], n[order]
@@ -217,8 +218,9 @@ def best_class(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: floa
     rest[:, at] -= left
     rest[at, at] -= own
     rows, columns = rest.sum(axis=1) + left, rest.sum(axis=0) + right
-    gain = (_entropy_term(rest + right) - _entropy_term(rest)).sum(axis=1)
-    gain += (_entropy_term(rest + left[:, None]) - _entropy_term(rest)).sum(axis=0)
+    after, before = np.flatnonzero(right), np.flatnonzero(left)
+    gain = (_entropy_term(rest[:, after] + right[after]) - _entropy_term(rest[:, after])).sum(axis=1)
+    gain += (_entropy_term(rest[before] + left[before, None]) - _entropy_term(rest[before])).sum(axis=0)
     d = np.diagonal(rest)
     gain += _entropy_term(d + right + left + own) - _entropy_term(d + right) - _entropy_term(d + left) + _entropy_term(d)
     more_rows, more_columns = right.sum() + own, left.sum() + own
@@ -305,9 +307,10 @@ def word_classes(train: DataFrame, model: Model, table: np.ndarray, n: int) -> D
         code, count = np.unique(np.concatenate(codes), return_counts=True)
         words = list(held)
         name = np.array([zlib.crc32(w) % n for w in words])
-        size, order, at = np.bincount(code // width, minlength=len(words)), np.argsort(name, kind="stable"), 0
+        size, order = np.bincount(code // width, minlength=len(words)), np.argsort(name, kind="stable")
+        cuts = np.searchsorted(name[order], np.arange(n + 1))
         for row in repeats.packed(name[code // width], {"code": (code % width, "u1"), "count": (count, "<u4")}):
-            own = order[np.searchsorted(name[order], row["bucket"]):np.searchsorted(name[order], row["bucket"], side="right")]
+            own = order[cuts[row["bucket"]]:cuts[row["bucket"] + 1]]
             yield row | {"words": b"\n".join(words[i] for i in own.tolist()), "sizes": repeats.pack(size[own], "<u4")}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -359,21 +362,22 @@ def word_classes(train: DataFrame, model: Model, table: np.ndarray, n: int) -> D
     return common.store(found, "word-classes", large=True)
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n, cls) of all words, learned from ``train`` (text).
+def fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table (word, n, cls) of all words, and the class strings of all texts (`class_strings`).
 
-    ``cls`` is null for the units.
+    Learned from those ``rows`` (rank, key, text, train) whose ``train`` is true. ``cls`` is null for the units.
     """
+    spark, train = rows.sparkSession, rows.where("train").select("text")
+    parts = common.parts(spark, common.text_megabytes(rows), 40)
     counts = common.store(word_counts(train), "word-counts")
     model = frequent_words(counts)
     if not model.tokens:
-        return model, counts.withColumn("cls", F.lit(0))
-    spark = train.sparkSession
+        words = counts.withColumn("cls", F.lit(0))
+        return model, words, class_strings(rows, model, words, parts)
     n, _ = unit_sizes(counts, model)
     neighbours = unit_bigrams(train, model)
     model.of_unit, table = exchange(neighbours, n)
     common.discard(neighbours)
-    parts = common.parts(spark, common.text_megabytes(train), 40)
     classed = word_classes(train, model, table, parts)
     # listed words with evidence are units of their own from here on
     own = model.units - POOLS
@@ -387,214 +391,233 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         tokens[r.cls], words[r.cls] = r.n, r.v
     tokens += np.bincount(model.of_unit[POOLS:POOLS + own], n[POOLS:POOLS + own], CLASSES)
     words += np.bincount(model.of_unit[POOLS:POOLS + own], minlength=CLASSES)
-    table = class_pairs(train, model, classed, parts)
+    strings = class_strings(rows, model, classed, parts)
+    table = class_pairs(strings)
     prior = (tokens + 1) / (tokens.sum() + CLASSES)
     model.log_move = np.log10((table + BACKOFF * prior) / (table.sum(axis=1, keepdims=True) + BACKOFF))
     model.log_total = np.log10(tokens + words + 1)
     units = counts.where(F.col("n") >= UNIT_SHARE * model.tokens).join(classed.select("word"), "word", "left_anti")
-    return model, classed.unionByName(units.withColumn("cls", F.lit(None).cast("int")))
+    return model, classed.unionByName(units.withColumn("cls", F.lit(None).cast("int"))), strings
 
 
-SENT_KINDS = {"words": "binary", "sizes": "<u4", "rank": "<i8", "key": "<i8", "value": "<f8", "known": "<i8", "tokens": "<i8",
-              "pos": "<u4", "left": "u1", "right": "u1", "cls": "u1"}
+#: Rows of words with their counts and classes, of words at their places, of places with class and count, of texts.
+COUNTS, TOKENS, PLACES, TEXTS = 0, 1, 2, 3
+SENT_KINDS = {"words": "binary", "sizes": "<u4", "rank": "<i8", "key": "<i8", "pos": "<u4", "cls": "u1", "n": "<i8", "copies": "<u4",
+              "tokens": "<u4", "known": "<u4", "value": "<f8"}
 SENT_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in SENT_KINDS)])
 SENT_TYPE = ", ".join(["bucket int, kind int", *(f"{c} binary" for c in SENT_KINDS)])
-#: Rows of words with their counts and classes, of words at their places, of places with class and count, of sums.
-COUNTS, TOKENS, PLACES, SUMS = 0, 1, 2, 3
-PLACE = {c: SENT_KINDS[c] for c in ("rank", "key", "pos", "left", "right", "cls", "tokens")}
+PLACE = {c: SENT_KINDS[c] for c in ("rank", "key", "pos", "cls", "n")}
+TEXT = {c: SENT_KINDS[c] for c in ("rank", "key", "copies", "tokens", "known", "value")}
+#: Places that a bucket of words holds before it sends them on; words that are sent together.
+GATHERED_PLACES, SENT_WORDS = 1 << 20, 200_000
+STRING_TYPE = "rank long, key long, copies long, n_tokens long, n_known long, log_counts double, cls binary"
 
 
-def resolved(rows: DataFrame, sent, words: DataFrame, n: int, direct) -> DataFrame:
-    """PLACES and SUMS rows by buckets of texts, for ``rows`` (rank, key, text).
+def class_strings(rows: DataFrame, model: Model, words: DataFrame, n: int) -> DataFrame:
+    """(rank, key, copies, n_tokens, n_known, log_counts, cls): every text of ``rows`` (rank, key, text, train) as the classes of its tokens.
 
-    Every token that is not listed gives a place: its position, its class and count by the table
-    ``words`` (word, n, cls), and the classes of its neighbours, OPEN where they are not listed.
-    ``direct`` turns the listed tokens of a block into rows of sums.
+    Rows that agree in rank and key are one; ``copies`` counts those to learn from. ``log_counts`` sums
+    log10(count + 1) over the tokens. Classes and counts of listed words are broadcast; all others
+    are sent to the bucket of their word, where they meet the table ``words`` (word, n, cls), and from there
+    to the bucket of their text: one row for each two buckets, whatever the number of blocks.
     """
-    model = sent.value
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    least = known_least(model)
 
     def text_bucket(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
         return (common.mix(rank.view(np.uint64) ^ key.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
-    def rare_out(held: dict[bytes, list[int]], found: list) -> Iterator[dict]:
-        by: dict[int, list[bytes]] = {}
-        for word in held:
-            by.setdefault(zlib.crc32(word) % n, []).append(word)
-        columns = [np.concatenate(x) for x in zip(*found)]
-        for bucket, own in by.items():
-            at = np.concatenate([np.array(held[w], np.int64) for w in own])
-            yield {"bucket": bucket, "kind": TOKENS, "words": b"\n".join(own), "sizes": repeats.pack(np.array([len(held[w]) for w in own]), "<u4"),
-                   **{c: repeats.pack(x[at], SENT_KINDS[c]) for c, x in zip(("rank", "key", "pos", "left", "right"), columns)}}
+    def rare_out(held: dict[bytes, int], found: list) -> Iterator[dict]:
+        if not held:
+            return
+        words_, place = list(held), np.concatenate([x[0] for x in found])
+        columns = dict(zip(("rank", "key", "pos"), (np.concatenate(x) for x in list(zip(*found))[1:])))
+        name, size = np.array([zlib.crc32(w) % n for w in words_]), np.bincount(place, minlength=len(words_))
+        order = np.argsort(name, kind="stable")
+        turn = np.empty(len(order), np.int64)
+        turn[order] = np.arange(len(order))
+        at = np.argsort(turn[place], kind="stable")
+        cuts = np.searchsorted(name[order], np.arange(n + 1))
+        ends = np.r_[0, np.cumsum(size[order])][cuts]
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            own, tokens = order[cuts[bucket]:cuts[bucket + 1]], at[ends[bucket]:ends[bucket + 1]]
+            yield {"bucket": bucket, "kind": TOKENS, "words": b"\n".join([words_[i] for i in own.tolist()]), "sizes": repeats.pack(size[own], "<u4"),
+                   **{c: repeats.pack(x[tokens], SENT_KINDS[c]) for c, x in columns.items()}}
+
+    def texts_out(m: Model, rank: np.ndarray, key: np.ndarray, train: np.ndarray, at: np.ndarray, cls: np.ndarray, first: np.ndarray) -> Iterator[dict]:
+        listed, value = at >= 0, np.zeros(len(at))
+        value[listed] = m.log_count[at[listed]]
+        x = {"rank": rank, "key": key, "copies": train, "tokens": np.diff(first), "known": np.add.reduceat(listed.astype(np.int64), first[:-1]),
+             "value": np.add.reduceat(value, first[:-1])}
+        # of rows that agree in rank and key one text goes on
+        order = np.lexsort((key, rank))
+        starts = repeats.group_starts(rank[order], key[order])
+        stay = order[starts]
+        x = {c: v[stay] for c, v in x.items()} | {"copies": np.add.reduceat(train[order].astype(np.int64), starts)}
+        name = text_bucket(x["rank"], x["key"])
+        by = np.argsort(name, kind="stable")
+        cuts = np.searchsorted(name[by], np.arange(n + 1))
+        body = cls.astype(np.uint8).tobytes()
+        for row in repeats.packed(name, {c: (v, SENT_KINDS[c]) for c, v in x.items()}):
+            own = stay[by[cuts[row["bucket"]]:cuts[row["bucket"] + 1]]].tolist()
+            yield row | {"kind": TEXTS, "cls": b"".join([body[first[k]:first[k + 1]] for k in own])}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         m = sent.value
-        held, found, size, seen = {}, [], 0, 0
+        held, found, size = {}, [], 0
         for batch in batches:
-            rank, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rank, key, train = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             for row, end, data, offsets in common.text_blocks(batch.column(2)):
                 tokens, first = _tokens(data, offsets)
-                owner = np.repeat(np.arange(end - row), np.diff(first))
                 if m.tokens:
                     at, unit = m.units_of(tokens)
                     cls = np.where(at >= 0, m.of_unit[unit], OPEN)
-                    start = int(m.of_unit[m.unit[m.known[END]]])
+                    rare = np.flatnonzero(at < 0)
+                    place = np.array([held.setdefault(tokens[i], len(held)) for i in rare.tolist()], np.int64)
+                    owner = np.searchsorted(first, rare, side="right") - 1
+                    found.append((place, rank[row + owner], key[row + owner], rare - first[owner]))
                 else:
-                    at, cls, start = np.full(len(tokens), -1), np.full(len(tokens), OPEN), OPEN
-                before, after = np.r_[start, cls[:-1]], np.r_[cls[1:], OPEN]  # a text begins after the end of another, so with the end's class
-                rare = np.flatnonzero(at < 0)
-                for i, k in zip(rare.tolist(), range(seen, seen + len(rare))):
-                    held.setdefault(tokens[i], []).append(k)
-                seen += len(rare)
-                found.append((rank[row:end][owner[rare]], key[row:end][owner[rare]], rare - first[owner[rare]], before[rare], after[rare]))
-                name = text_bucket(rank[row:end], key[row:end])
-                yield from direct(m, name, rank[row:end], key[row:end], owner, at, before, cls)
+                    at, cls = np.full(len(tokens), -1), np.zeros(len(tokens), np.int64)
+                yield from texts_out(m, rank[row:end], key[row:end], train[row:end], at, cls, first)
                 size += len(data)
                 if size >= BLOCK:
                     yield from rare_out(held, found)
-                    held, found, size, seen = {}, [], 0, 0
-        if held:
-            yield from rare_out(held, found)
+                    held, found, size = {}, [], 0
+        yield from rare_out(held, found)
 
     def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[dict]:
+            own = [w for b in held for w in b.column(0).to_pylist()]
+            k, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+            name = np.array([zlib.crc32(w) % n for w in own])
+            order = np.argsort(name, kind="stable")
+            cuts = np.searchsorted(name[order], np.arange(n + 1))
+            for row in repeats.packed(name, {"n": (k, "<i8"), "cls": (c, "u1")}):
+                yield row | {"kind": COUNTS, "words": b"\n".join([own[i] for i in order[cuts[row["bucket"]]:cuts[row["bucket"] + 1]].tolist()])}
+
+        held, size = [], 0
         for batch in batches:
-            by: dict[int, tuple[list, list, list]] = {}
-            for word, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                own = by.setdefault(zlib.crc32(word) % n, ([], [], []))
-                for x, y in zip(own, (word, k, c)):
-                    x.append(y)
-            for bucket, (own, k, c) in by.items():
-                yield {"bucket": bucket, "kind": COUNTS, "words": b"\n".join(own), "tokens": repeats.pack(np.array(k), "<i8"), "cls": repeats.pack(np.array(c), "u1")}
+            held.append(batch)
+            size += batch.num_rows
+            if size >= SENT_WORDS:
+                yield from out(held)
+                held, size = [], 0
+        if size:
+            yield from out(held)
+
+    def places_out(held: list[dict[str, np.ndarray]]) -> Iterator[dict]:
+        if held:
+            x = {c: np.concatenate([h[c] for h in held]) for c in PLACE}
+            for row in repeats.packed(text_bucket(x["rank"], x["key"]), {c: (x[c], kind) for c, kind in PLACE.items()}):
+                yield row | {"kind": PLACES}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         m = sent.value
-        bucket, table = -1, {}
+        bucket, table, parts, counts, held, size = -1, {}, [], None, [], 0
         for batch in batches:
             for row in (r for a in range(0, batch.num_rows, 64) for r in batch.slice(a, 64).to_pylist()):
-                if row["kind"] == SUMS:
+                if row["kind"] == TEXTS:
                     yield row
                     continue
+                if row["bucket"] != bucket or size >= GATHERED_PLACES:
+                    yield from places_out(held)
+                    held, size = [], 0
                 if row["bucket"] != bucket:
-                    bucket, table = row["bucket"], {}
+                    # what no table row names ends the arrays, and is found at -1
+                    bucket, table, parts, counts = row["bucket"], {}, [], None
                 own = row["words"].split(b"\n")
                 if row["kind"] == COUNTS:
-                    table.update(zip(own, zip(np.frombuffer(row["tokens"], "<i8").tolist(), np.frombuffer(row["cls"], "u1").tolist())))
+                    table.update(zip(own, range(len(table), len(table) + len(own))))
+                    parts.append((np.frombuffer(row["n"], "<i8"), np.frombuffer(row["cls"], "u1")))
                     continue
-                hits = [table.get(w) or (0, int(m.of_unit[_pool(w)]) if m.tokens else 0) for w in own]
-                count, cls = np.repeat(np.array(hits, np.int64), np.frombuffer(row["sizes"], "<u4"), axis=0).T
-                x = {c: np.frombuffer(row[c], SENT_KINDS[c]) for c in ("rank", "key", "pos", "left", "right")} | {"cls": cls, "tokens": count}
-                for out in repeats.packed(text_bucket(x["rank"], x["key"]), {c: (x[c], kind) for c, kind in PLACE.items()}):
-                    yield out | {"kind": PLACES}
-
-    rare = words.where(F.col("n") < known_least(model)).select("word", "n", "cls")
-    parts = (rows.select("rank", "key", "text").mapInArrow(lambda it: repeats.record_batches(read(it), SENT_ROWS, 200), SENT_TYPE)
+                if counts is None:
+                    counts = tuple(np.concatenate([*x, np.zeros(1, np.int64)]).astype(np.int64) for x in (zip(*parts) if parts else ((), ())))
+                at = np.fromiter((table.get(w, -1) for w in own), np.int64, len(own))
+                k, cls = counts[0][at], counts[1][at]
+                for i in np.flatnonzero(at < 0).tolist():
+                    cls[i] = m.of_unit[_pool(own[i])]
+                each = np.frombuffer(row["sizes"], "<u4")
+                held.append({c: np.frombuffer(row[c], SENT_KINDS[c]) for c in ("rank", "key", "pos")} | {"cls": np.repeat(cls, each), "n": np.repeat(k, each)})
+                size += int(each.sum())
+        yield from places_out(held)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in repeats.buckets_of(batches):
+            texts, body = [r for r in held if r["kind"] == TEXTS], []
+            x = repeats.unpacked(texts, TEXT)
+            cls = np.frombuffer(b"".join(r["cls"] for r in texts), "u1").copy()
+            first = np.r_[0, np.cumsum(x["tokens"], dtype=np.int64)]
+            # rows of one rank and key met in several blocks: the first has the string
+            ranks, keys = np.unique(x["rank"]), np.unique(x["key"])
+            code = lambda rank, key: np.searchsorted(ranks, rank) * len(keys) + np.searchsorted(keys, key)
+            codes, stay, which = np.unique(code(x["rank"], x["key"]), return_index=True, return_inverse=True)
+            copies = np.bincount(which, x["copies"], len(codes)).astype(np.int64)
+            value, known = np.zeros(len(cls)), np.zeros(len(cls), bool)
+            for row in held:
+                if row["kind"] == PLACES:
+                    p = repeats.unpacked([row], PLACE)
+                    at = first[stay[np.searchsorted(codes, code(p["rank"], p["key"]))]] + p["pos"]
+                    cls[at], value[at], known[at] = p["cls"], np.log10(p["n"] + 1.0), p["n"] > 0
+            more, listed = (np.add.reduceat(v, first[:-1])[stay] for v in (value, known.astype(np.int64)))
+            x = {c: v[stay] for c, v in x.items()}
+            body = cls.tobytes()
+            for a in range(0, len(stay), 2000):
+                b = slice(a, a + 2000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x["rank"][b]), pa.array(x["key"][b]), pa.array(copies[b]), pa.array(x["tokens"][b].astype(np.int64)),
+                     pa.array(x["known"][b] + listed[b]), pa.array(x["value"][b] + more[b]), pa.array([body[first[k]:first[k + 1]] for k in stay[b].tolist()], pa.binary())],
+                    ["rank", "key", "copies", "n_tokens", "n_known", "log_counts", "cls"])
+
+    rare = words.where((F.col("n") < least) & F.col("cls").isNotNull()).select("word", "n", "cls")
+    parts = (rows.select("rank", "key", "text", "train").mapInArrow(lambda it: repeats.record_batches(read(it), SENT_ROWS, 200), SENT_TYPE)
              .unionByName(rare.mapInArrow(lambda it: repeats.record_batches(send_counts(it), SENT_ROWS, 200), SENT_TYPE)))
     looked = (parts.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
               .mapInArrow(lambda it: repeats.record_batches(look_up(it), SENT_ROWS, 200), SENT_TYPE))
-    return looked.repartitionById(n, "bucket").sortWithinPartitions("bucket")
-
-
-def places_of(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """The places of a bucket in order, each once; how often it came; and the class before it."""
-    x = repeats.unpacked([r for r in rows if r["kind"] == PLACES], PLACE)
-    order = np.lexsort((x["pos"], x["key"], x["rank"]))
-    x = {c: v[order] for c, v in x.items()}
-    cut = repeats.group_starts(x["rank"], x["key"], x["pos"])
-    copies = np.diff(np.r_[cut, len(order)])
-    x = {c: v[cut] for c, v in x.items()}
-    x["cls"] = x["cls"].astype(np.int64)
-    before = x["left"].astype(np.int64)
-    # next to a place before it in the same text, whose class is known by now
-    follows = np.flatnonzero(before[1:] == OPEN) + 1 if len(cut) else cut
-    follows = follows[(x["rank"][follows] == x["rank"][follows - 1]) & (x["key"][follows] == x["key"][follows - 1])]
-    before[follows] = x["cls"][follows - 1]
-    return x, copies, before
-
-
-def class_pairs(train: DataFrame, model: Model, words: DataFrame, n: int) -> np.ndarray:
-    """Counts of neighbouring classes over ``train`` (text), with the classes of all words."""
-    spark, cells = train.sparkSession, CLASSES * CLASSES
-    sent = spark.sparkContext.broadcast(model)
-
-    def direct(m, name, rank, key, owner, at, before, cls) -> Iterator[dict]:
-        both = (before != OPEN) & (cls != OPEN)
-        pair, count = np.unique(before[both] * CLASSES + cls[both], return_counts=True)
-        yield {"bucket": int(name[0]), "kind": SUMS, "tokens": repeats.pack(pair, "<i8"), "known": repeats.pack(count, "<i8")}
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    strings = looked.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(assemble, STRING_TYPE)
+    return common.store(strings, "class-strings", large=True)
+
+
+def _steps(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, first token of each text) over the class strings of a batch; a text begins after an end."""
+    texts = batch.column(column).to_pylist()
+    cls = np.frombuffer(b"".join(texts), "u1").astype(np.int64)
+    # each text ends with the end, so the end's class stands before the next one
+    before = np.roll(cls, 1)
+    return before, cls, np.cumsum([0, *map(len, texts)])
+
+
+def class_pairs(strings: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes over the texts to learn from."""
+    cells = CLASSES * CLASSES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells)
-        for held in repeats.buckets_of(batches):
-            sums = repeats.unpacked([r for r in held if r["kind"] == SUMS], {"tokens": "<i8", "known": "<i8"})
-            table += np.bincount(sums["tokens"], sums["known"], cells)
-            x, copies, before = places_of(held)
-            known, last = before != OPEN, x["right"] != OPEN
-            table += np.bincount(before[known] * CLASSES + x["cls"][known], copies[known], cells)
-            table += np.bincount(x["cls"][last] * CLASSES + x["right"][last], copies[last], cells)
+        for batch in batches:
+            before, cls, first = _steps(batch, 1)
+            table += np.bincount(before * CLASSES + cls, np.repeat(batch.column(0).to_numpy(), np.diff(first)), cells)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["at", "n"])
 
-    rows = train.select(F.monotonically_increasing_id().alias("rank"), F.lit(0).cast("long").alias("key"), "text")
-    found = resolved(rows, sent, words, n, direct).mapInArrow(add_up, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    common.release(spark)
+    found = strings.select("copies", "cls").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells)
     table[found["at"].to_numpy()] = found["n"].to_numpy()
     return table.reshape(CLASSES, CLASSES)
 
 
-def scores(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(rank, key, n_tokens, n_known, log_counts, log_model) of every text.
+def scores(strings: DataFrame, model: Model) -> DataFrame:
+    """(rank, key, n_tokens, n_known, log_counts, log_model) of every text; ``log_model`` sums all terms of the model but the counts."""
+    sent = strings.sparkSession.sparkContext.broadcast((model.log_move, model.log_total))
 
-    ``log_counts`` sums log10(count + 1) over the tokens, ``log_model`` all other terms of the model.
-    """
-    spark = rows.sparkSession
-    n = common.parts(spark, common.text_megabytes(rows), 40)
-    sent = spark.sparkContext.broadcast(model)
-
-    def direct(m, name, rank, key, owner, at, before, cls) -> Iterator[dict]:
-        listed, texts = at >= 0, len(rank)
-        both = listed & (before != OPEN)
-        inner = np.zeros(len(at))
-        inner[both] = m.log_move[before[both], cls[both]]
-        inner[listed] -= m.log_total[cls[listed]]
-        value = np.zeros(len(at))
-        value[listed] = m.log_count[at[listed]]
-        # the two sums travel in one column: first those of counts, then those of the model
-        columns = {"rank": np.tile(rank, 2), "key": np.tile(key, 2), "value": np.r_[np.bincount(owner, value, texts), np.bincount(owner, inner, texts)],
-                   "known": np.r_[np.bincount(owner, listed, texts).astype(np.int64), np.full(texts, -1)],
-                   "tokens": np.tile(np.bincount(owner, minlength=texts), 2)}
-        for row in repeats.packed(np.tile(name, 2), {c: (x, SENT_KINDS[c]) for c, x in columns.items()}):
-            yield row | {"kind": SUMS}
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for held in repeats.buckets_of(batches):
-            x, _, before = places_of(held)
-            inner = -m.log_total[x["cls"]]
-            known, last = before != OPEN, x["right"] != OPEN
-            inner[known] += m.log_move[before[known], x["cls"][known]]
-            inner[last] += m.log_move[x["cls"][last], x["right"][last]]
-            yield sums_of(repeats.unpacked([r for r in held if r["kind"] == SUMS], {c: SENT_KINDS[c] for c in ("rank", "key", "value", "known", "tokens")}),
-                          x, inner)
-
-    def sums_of(x: dict[str, np.ndarray], places: dict[str, np.ndarray], inner: np.ndarray) -> pa.RecordBatch:
-        rank, key = np.r_[x["rank"], places["rank"]], np.r_[x["key"], places["key"]]
-        order = np.lexsort((key, rank))
-        cut = repeats.group_starts(rank[order], key[order])
-        none = np.zeros(len(inner))
-        model_part = x["known"] < 0
-        total = lambda of_sums, of_places: np.add.reduceat(np.r_[of_sums, of_places][order], cut)
-        # rows that repeat id and text bring their sums each; all are alike, so the sums are shared out. Places come once
-        copies = total(model_part.astype(np.int64), none.astype(np.int64))
-        shared = lambda of_sums, of_places: total(of_sums, none) / copies + total(np.zeros(len(model_part)), of_places)
-        whole = lambda of_sums, of_places: np.rint(shared(of_sums, of_places)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rank[order][cut]), pa.array(key[order][cut]), pa.array(whole(np.where(model_part, x["tokens"], 0), none)),
-             pa.array(whole(np.where(model_part, 0, x["known"]), places["tokens"] > 0)),
-             pa.array(shared(np.where(model_part, 0.0, x["value"]), np.log10(places["tokens"] + 1.0))),
-             pa.array(shared(np.where(model_part, x["value"], 0.0), inner))],
-            ["rank", "key", "n_tokens", "n_known", "log_counts", "log_model"])
-
-    return resolved(rows, sent, counts, n, direct).mapInArrow(
-        add_up, "rank long, key long, n_tokens long, n_known long, log_counts double, log_model double")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_move, log_total = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                before, cls, first = _steps(batch, 5)
+                inner = np.add.reduceat(log_move[before, cls] - log_total[cls], first[:-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(inner)], ["rank", "key", "n_tokens", "n_known", "log_counts", "log_model"])
+
+    return strings.select("rank", "key", "n_tokens", "n_known", "log_counts", "cls").mapInArrow(
+        work, "rank long, key long, n_tokens long, n_known long, log_counts double, log_model double")
 
 
 def brown_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -604,8 +627,8 @@ def brown_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     training text both scores give every token 1 of 1 (zero).
     """
     rows = common.texts(docs, id_col, text_col)
-    model, counts = fit(rows.where(~held_out(F.col("id"))).select("text"))
-    found = scores(rows, model, counts)
+    model, _, strings = fit(rows.withColumn("train", ~held_out(F.col("id"))))
+    found = scores(strings, model)
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.words + 1))
     return rows.select("id", "rank", "key").join(found, ["rank", "key"]).select(
         "id", held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),

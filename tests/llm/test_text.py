@@ -262,8 +262,8 @@ def test_language_model_learns_order(spark):
 
 def test_class_model_is_a_distribution(spark):
     found = corpus.rows()
-    train = spark.createDataFrame([(t or "",) for _, t in found], "text string")
-    model, counts = brown_lm.fit(train)
+    train = spark.createDataFrame([(k, k, t or "", True) for k, (_, t) in enumerate(found)], "rank long, key long, text string, train boolean")
+    model, counts, _ = brown_lm.fit(train)
     assert np.allclose((10 ** model.log_move).sum(axis=1), 1)
     words = counts.collect()
     _, unit = model.units_of([bytes(r.word) for r in words])
@@ -283,8 +283,8 @@ def test_pooled_words_get_the_class_of_their_neighbours(spark, monkeypatch, shar
     for _ in range(120):
         kinds = [rng.choice("pq") for _ in range(20)]
         texts.append(" ".join(f"{sides[k][0]} {rng.choice([f'{k}unit', rng.choice(rare[k])])} {sides[k][1]}" for k in kinds))
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, words = brown_lm.fit(train)
+    train = spark.createDataFrame([(k, k, t, True) for k, t in enumerate(texts)], "rank long, key long, text string, train boolean")
+    model, words, strings = brown_lm.fit(train)
     found = {bytes(r.word).decode(): r for r in words.collect()}
     cls = {w: r.cls for w, r in found.items()}
     unit = lambda w: int(model.of_unit[model.units_of([w])[1][0]])
@@ -302,13 +302,21 @@ def test_pooled_words_get_the_class_of_their_neighbours(spark, monkeypatch, shar
     tokens = np.bincount([of(w) for w in count], list(count.values()), brown_lm.CLASSES)
     move = (table + brown_lm.BACKOFF * (tokens + 1) / (tokens.sum() + brown_lm.CLASSES)) / (table.sum(axis=1, keepdims=True) + brown_lm.BACKOFF)
     assert np.allclose(10 ** model.log_move, move)
-    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "rank long, key long, text string")
-    got = {r["rank"]: r for r in brown_lm.scores(rows, model, words).collect()}
+    got = {r["rank"]: r for r in brown_lm.scores(strings, model).collect()}
     for k, w in enumerate(split):
         want = sum(math.log10(move[of(a), of(b)]) - model.log_total[of(b)] for a, b in zip([b" ", *w], w))
         assert math.isclose(got[k].log_model, want, rel_tol=1e-9) and got[k].n_known == got[k].n_tokens == len(w)
 
 
+def test_language_model_of_one_text_and_of_repeated_rows(spark):
+    """One short text has too few tokens to list any; repeated rows count as often as they come."""
+    one = brown_lm.brown_lm(corpus.frame(spark, [(2, "a b")])).first()
+    assert (one.n_tokens, one.n_known, one.train_tokens) == (3, 3, 3) and math.isfinite(one.score)
+    many = brown_lm.brown_lm(corpus.frame(spark, [(2, "a b"), (2, "a b"), (2, "a b"), (3, "b c")])).collect()
+    assert len(many) == 4 and {r.train_tokens for r in many} == {12}
+    assert len({(r.n_known, round(r.score, 9)) for r in many if r.id == 2}) == 1
+
+
 def test_best_class_equals_the_objective():
     rng = np.random.default_rng(5)
     units, classes = 9, 4
