@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,16 +173,22 @@ REGION_ROWS = pa.schema([(n, pa.int64()) for n in ("r1", "r2", "rank", "key", "s
 
 def regions(rows: DataFrame, flags: DataFrame, cut: Regions, n: int) -> DataFrame:
     """Rows (rank, key, start, windows, body): regions to compare, and with a null body spans of repeats."""
-    def settle(held: dict) -> Iterator[dict]:
-        for (r1, r2), (body, found) in held.items():
-            least = min(found)[0]
-            for rank, key, start, windows in found:
-                yield {"r1": r1, "r2": r2, "rank": rank, "key": key, "start": start, "windows": windows,
-                       "body": body if rank == least else None}
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: dict[tuple[int, int], tuple[bytes, list]] = {}
-        size = 0
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        r1, r2, rank, key, start, windows = (np.concatenate([x[i] for x in held]) for i in range(6))
+        body = [b for x in held for b in x[6]]
+        order = np.lexsort((rank, r2, r1))
+        first = group_starts(r1[order], r2[order])
+        least = np.repeat(rank[order][first], np.diff(np.r_[first, len(order)]))
+        keep = rank[order] == least
+        for a in range(0, len(order), 2000):
+            at = order[a:a + 2000]
+            bodies = pa.array([body[i] if k else None for i, k in zip(at.tolist(), keep[a:a + 2000].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (r1, r2, rank, key, start, windows)), bodies], schema=REGION_ROWS)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             rank, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, end, data, offsets in common.text_blocks(batch.column(2)):
@@ -190,34 +197,41 @@ def regions(rows: DataFrame, flags: DataFrame, cut: Regions, n: int) -> DataFram
                 if not found:
                     continue
                 owner, start, windows, a, b = (np.array(x, np.int64) for x in zip(*found))
-                r1, r2 = (common.span_hashes(data, a, b, seed).view(np.int64).tolist() for seed in (101, 102))
+                r1, r2 = (common.span_hashes(data, a, b, seed).view(np.int64) for seed in (101, 102))
                 body = data.tobytes()
-                for k, (x, y) in enumerate(zip(r1, r2)):
-                    at = int(row + owner[k])
-                    held.setdefault((x, y), (body[a[k]:b[k]], []))[1].append((int(rank[at]), int(key[at]), int(start[k]), int(windows[k])))
+                held.append((r1, r2, rank[row + owner], key[row + owner], start, windows, [body[x:y] for x, y in zip(a.tolist(), b.tolist())]))
                 size += int((b - a).sum())
                 if size >= BLOCK:
                     yield from settle(held)
-                    held, size = {}, 0
+                    held, size = [], 0
         yield from settle(held)
 
-    def first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, least = None, 0
         for batch in batches:
-            for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
-                if row["body"] is not None:
-                    if (row["r1"], row["r2"]) != before:
-                        before, least = (row["r1"], row["r2"]), row["rank"]
-                    if row["rank"] > least:
-                        row["body"] = None
-                yield row
+            at = np.flatnonzero(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                r1, r2, rank = (batch.column(i).to_numpy()[at] for i in range(3))
+                first = group_starts(r1, r2)
+                lowest = rank[first]
+                if before == (r1[0], r2[0]):
+                    lowest[0] = least
+                before, least = (r1[-1], r2[-1]), lowest[-1]
+                later = at[rank > np.repeat(lowest, np.diff(np.r_[first, len(at)]))]
+                if len(later):
+                    keep = np.ones(batch.num_rows, bool)
+                    keep[later] = False
+                    body = batch.column(6)
+                    body = pc.if_else(pa.array(keep), body, pa.scalar(None, body.type))
+                    batch = pa.RecordBatch.from_arrays([*batch.columns[:6], body], names=batch.schema.names)
+            yield batch
 
     found = (rows.select("rank", "key", "text").join(flags, "rank").select("rank", "key", "text", "pos")
-             .mapInArrow(lambda it: record_batches(cut_out(it), REGION_ROWS), REGION_TYPE))
+             .mapInArrow(cut_out, REGION_TYPE))
     # spans go where their row's id leads, so that a hot region's spans do not follow its hash
     to = F.when(F.col("body").isNull(), F.xxhash64("rank", "start")).otherwise(F.col("r1"))
     sorted_ = found.withColumn("place", to).repartition(n, "place").sortWithinPartitions("place", "r1", "r2", "rank").drop("place")
-    return sorted_.mapInArrow(lambda it: record_batches(first_of_equals(it), REGION_ROWS), REGION_TYPE)
+    return sorted_.mapInArrow(first_of_equals, REGION_TYPE)
 
 
 SPAN_TYPE = "bucket int, rank binary, key binary, start binary, count binary"

@@ -175,11 +175,22 @@ def maximal_repeats(shared: np.ndarray, before: np.ndarray, least: int) -> Itera
 
 
 def repeat_spans(data: np.ndarray, piece_end: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first window, windows) of all occurrences of maximal repeats that have one of smaller rank."""
+    """(piece, first window, windows) of all occurrences of maximal repeats that have one of smaller rank.
+
+    Suffixes whose first WINDOW bytes, by their hash, stand under one rank only are not sorted: they are in no
+    interval with others, or in one without a smaller rank.
+    """
     piece_start = np.r_[0, piece_end[:-1]]
     piece = np.repeat(np.arange(len(windows)), windows)
     off = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = piece_start[piece] + off
+    h = common.span_hashes(data, start, start + WINDOW, 43)
+    order = np.argsort(h, kind="stable")
+    first, owner = repeats.group_starts(h[order]), rank[piece[order]]
+    if len(first):
+        mixed = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        keep = np.sort(order[np.repeat(mixed, np.diff(np.r_[first, len(order)]))])
+        piece, off, start = piece[keep], off[keep], start[keep]
     order, shared = suffix_array(data, start, piece_end[piece])
     piece, off, start = piece[order], off[order], start[order]
     before = np.where(off > 0, data[start - 1].astype(np.int64), -1 - np.arange(len(start)))
