@@ -5,6 +5,7 @@ Tables carry wall-clock times; the watermark runs on their UTC reading.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator, Sequence
 from itertools import groupby
@@ -12,7 +13,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from meshledger import session
@@ -186,8 +187,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all there is now, and return what it wrote."""
+def _written_to_end(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
     spark = stream.sparkSession
     path, marks = session.scratch_path(spark, label), session.scratch_path(spark, f"{label}-marks")
     running = (
@@ -195,4 +195,29 @@ def run_to_end(stream: DataFrame, label: str) -> DataFrame:
         .option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path), running
+
+
+def run_to_end(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream over all there is now, and return what it wrote."""
+    return _written_to_end(stream, label)[0]
+
+
+def run_counted(stream: DataFrame, label: str) -> tuple[DataFrame, dict[str, int]]:
+    """Run a deduplicating stream over all there is now: what it wrote, and where its rows went.
+
+    ``rows_in`` are those read, ``late`` those that came behind the watermark and were dropped,
+    ``repeats`` those dropped as repeats; ``rows_in`` = rows written + ``late`` + ``repeats`` where
+    nothing before the deduplication filters. Raises if the session no longer holds the progress of every
+    micro-batch (``spark.sql.streaming.numRecentProgressUpdates``), as counts would then lack some.
+    """
+    written, running = _written_to_end(stream, label)
+    reports = [json.loads(p.json) for p in running.recentProgress]
+    if reports and {p["batchId"] for p in reports} != set(range(reports[-1]["batchId"] + 1)):
+        raise RuntimeError("progress of some micro-batches is gone: raise spark.sql.streaming.numRecentProgressUpdates")
+    states = [state for p in reports for state in p["stateOperators"]]
+    return written, {
+        "rows_in": sum(p["numInputRows"] for p in reports),
+        "late": sum(state["numRowsDroppedByWatermark"] for state in states),
+        "repeats": sum(state.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for state in states),
+    }
