@@ -3,7 +3,8 @@
 Learning is online and per coordinate; L1 keeps almost all of the 2^DIM_BITS weights at zero, so the
 model is a short list that is broadcast. The labelled rows, at most MAX_ROWS of them (those with the
 smallest hash of their id), are dealt to shards of about SHARD_ROWS; each task runs FTRL over its
-rows from the common state, the states are averaged by coordinate, and the next round starts from the average.
+rows from the common state. Each coordinate then becomes the average over the shards that met it, so that
+a word of few shards isn't held back by the others, and the next round starts from there.
 """
 
 from __future__ import annotations
@@ -91,14 +92,16 @@ def train(rows: DataFrame, bits: int = DIM_BITS, rounds: int = ROUNDS, shards: i
                             own[0][state.value[0]], own[1][state.value[0]] = state.value[1], state.value[2]
                         seen = np.unique(index[order[cuts[k]:cuts[k + 1]]])
                         _run_shard([np.append(seen, 0)], [int(label[row + k])], *shards_[int(shard[row + k])])
+            common_n = np.zeros(1 << bits)
+            common_n[state.value[0]] = state.value[2]
             for z_, n_ in shards_.values():
-                at = np.flatnonzero(n_)
+                at = np.flatnonzero(n_ != common_n)  # every gradient adds to n
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z_[at]), pa.array(n_[at])], ["i", "z", "n"])
 
         states = (dealt.select("shard", "text", "label").mapInArrow(work, "i long, z double, n double")
-                  .groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))).toArrow()
+                  .groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))).toArrow()
         at = states["i"].to_numpy()
-        z[at], n[at] = states["z"].to_numpy() / shards, states["n"].to_numpy() / shards
+        z[at], n[at] = states["z"].to_numpy(), states["n"].to_numpy()
         state.unpersist()
         common.release(spark)
     common.discard(dealt)
