@@ -370,20 +370,6 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(corpus.frame(spark, []), labels).count() == 0
 
 
-def test_coordinates_are_averaged_over_the_shards_that_met_them(spark):
-    """Shards without a word in common: after a round each word has the weight its own shard gives it."""
-    kind = "order long, text string, label int"
-    rows = [(k, f"word{k % 4} {'mean' if k % 8 < 4 else 'kind'}{k % 4}", int(k % 8 < 4)) for k in range(400)]
-    at, w = toxicity.train(spark.createDataFrame(rows, kind), rounds=1, shards=4)
-    got = dict(zip(at.tolist(), w.tolist()))
-    want = {}
-    for shard in range(4):
-        at, w = toxicity.train(spark.createDataFrame([r for r in rows if r[0] % 4 == shard], kind), rounds=1)
-        want |= dict(zip(at.tolist(), w.tolist()))
-    got.pop(0, None), want.pop(0, None)
-    assert len(want) >= 8 and got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
-
-
 def test_toxicity_learns_from_a_bounded_sample(spark):
     docs = corpus.frame(spark, [(k, f"w{k} nasty" if k % 2 else f"w{k} nice") for k in range(300)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
