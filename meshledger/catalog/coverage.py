@@ -43,7 +43,16 @@ _VIDEO = {"adult": "category = 'view'", "video": "category = 'click'", "all_vide
 _HEAVY = """SELECT fqdn, CAST(sum(bytes_up) AS BIGINT) AS bytes_up, CAST(sum(bytes_down) AS BIGINT) AS bytes_down FROM classified
   WHERE org = 'Unknown (Not Mapped)' OR category = 'Unknown (Not Mapped)' GROUP BY 1 ORDER BY {0} DESC, fqdn LIMIT 2"""
 
+_HEAVY_ADDRESSES = f"""SELECT dest_ip, sum({_T}) / 1e6 AS mbytes_total FROM classified WHERE category = '{R.NO_DNS}' OR org = '{R.NO_DNS}'
+  GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {{0}}"""
+
 QUERIES = {
+    "heavy_unmapped_by_summary": (
+        query(lambda i: v.heavy_unmapped(classified(i), "bytes_down", 2, True)), using("flows", _HEAVY.format("3"), classified=CLASSIFIED),
+    ),
+    "heavy_addresses_by_summary": (
+        query(lambda i: v.heavy_unknown_addresses(classified(i), 40, True)), using("flows", _HEAVY_ADDRESSES.format(40), classified=CLASSIFIED),
+    ),
     "heavy_unmapped_downlink": (
         query(lambda i: v.heavy_unmapped(classified(i), "bytes_down", 2)), using("flows", _HEAVY.format("3"), classified=CLASSIFIED),
     ),
@@ -52,8 +61,7 @@ QUERIES = {
     ),
     "heavy_unknown_addresses": (
         query(lambda i: v.heavy_unknown_addresses(classified(i), 3)),
-        using("flows", f"""SELECT dest_ip, sum({_T}) / 1e6 AS mbytes_total FROM classified WHERE category = '{R.NO_DNS}' OR org = '{R.NO_DNS}'
-          GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""", classified=CLASSIFIED),
+        using("flows", _HEAVY_ADDRESSES.format(3), classified=CLASSIFIED),
     ),
     "flow_counts": (
         query(lambda i: v.flow_counts(i.flows, i.p2p)),

@@ -12,8 +12,9 @@ from meshledger.functions.timebins import day, month_end, week_ending
 from meshledger.operators import activity as act
 from meshledger.operators import calendar as cal
 from meshledger.operators import sessions as ses
-from meshledger.operators import stats
+from meshledger.operators import sketches, stats
 from meshledger.plans import traffic
+from meshledger.session import cut_lineage
 from meshledger.study import StudyWindow
 
 _HALF = StudyWindow(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20))
@@ -34,6 +35,23 @@ def _dense_orders(i: Inputs):
     return cal.densify(monthly, months, "date", "kind", ["1-URGENT", "5-LOW", "9-NONE"], {"orders": 0})
 
 
+def _quantiles_from_days(i: Inputs):
+    """Price quantiles per month from one summary per day: is the share of rows up to them as asked?"""
+    prices = i.table("lineitem").select(
+        F.col("l_shipdate").cast("date").alias("date"), F.floor("l_extendedprice").cast("bigint").alias("price"))
+    days = cut_lineage(sketches.quantile_sketches(prices, "price", ["date"]), "price-day-sketches")
+    month = days.withColumn("month", F.trunc("date", "MONTH"))
+    guessed = sketches.merged_quantiles(month, [0.1, 0.5, 0.9, 0.99], ["month"])
+    by_month = prices.withColumn("month", F.trunc("date", "MONTH")).join(guessed, "month")
+    places = by_month.groupBy("month", "prob", "n").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("price") < F.col("value")).alias("below"),
+        F.count_if(F.col("price") <= F.col("value")).alias("up_to"))
+    # a value that many rows share covers a range of ranks
+    within = ((F.col("below") / F.col("rows") <= F.col("prob") + sketches.RANK_ERROR)
+              & (F.col("up_to") / F.col("rows") >= F.col("prob") - sketches.RANK_ERROR))
+    return places.select("month", "prob", "rows", (within & (F.col("n") == F.col("rows"))).alias("within"))
+
+
 def _line_prices(i: Inputs):
     return i.table("lineitem").select(
         F.floor(F.col("l_extendedprice")).cast("bigint").alias("price"), "l_returnflag", "l_orderkey"
@@ -140,6 +158,11 @@ QUERIES = {
         """SELECT l_returnflag, round(quantile_cont(p, 0.5), 3) AS median, round(quantile_cont(p, 0.9), 3) AS q90,
           round(quantile_cont(p, 0.99), 3) AS q99 FROM (SELECT l_returnflag, floor(l_extendedprice) AS p FROM lineitem) GROUP BY 1""",
     ),
+    "price_quantiles_from_days": (
+        query(_quantiles_from_days),
+        """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, prob, count(*) AS rows, true AS within
+          FROM lineitem, (SELECT unnest([CAST(0.1 AS DOUBLE), 0.5, 0.9, 0.99]) AS prob) GROUP BY 1, 2""",
+    ),
     "customer_ranks": (
         query(lambda i: stats.with_rank(stats.with_rank(stats.with_rank(
             i.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders")),

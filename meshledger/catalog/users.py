@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from meshledger.catalog.base import Inputs, query, rounded
 from meshledger.catalog.sql import SIGNIFICANCE, cdf_sql, using, week_monday
 from meshledger.operators import activity as act
-
-from meshledger.operators import stats
+from meshledger.operators import sketches, stats
 from meshledger.plans import users as u
+from meshledger.session import cut_lineage
 
 _RATIO = {
     "observed": "least(days_online, days_active) / days_active",
@@ -78,6 +78,20 @@ def _rates(i: Inputs):
     return u.mb_per_day(i.user_days, i.activity)
 
 
+
+
+def _active_from_days(i: Inputs):
+    """Estimates from daily summaries next to the exact counts: is the error within its bound?"""
+    days = cut_lineage(sketches.distinct_sketches(i.user_days, "user_id", ["date"]), "user-day-sketches")
+    exact = [
+        counts(i.user_days).select(F.lit(name).alias("period"), "date", F.col("users").alias("exact"))
+        for name, counts in (("day", u.daily_active), ("week", u.weekly_active), ("month", u.monthly_active))
+    ]
+    both = u.active_from_days(days).join(exact[0].unionByName(exact[1]).unionByName(exact[2]), ["period", "date"], "full")
+    off = F.abs(F.col("users") - F.col("exact"))
+    return both.select("period", "date", "exact", F.coalesce(off <= sketches.DISTINCT_ERROR * F.col("exact"), F.lit(False)).alias("within"))
+
+
 QUERIES = {
     "user_category_org_bytes": (
         query(lambda i: i.grouped),
@@ -208,6 +222,11 @@ QUERIES = {
     "monthly_active_users": (
         query(lambda i: u.monthly_active(i.user_days)), using("user_days", f"SELECT date, n AS users FROM ({_MONTHLY})"),
     ),
+    "active_users_from_days": (
+        query(_active_from_days),
+        using("user_days", f"""SELECT 'day' AS period, date, count(DISTINCT user_id) AS exact, true AS within FROM user_days GROUP BY 2
+          UNION ALL SELECT 'week', date, n, true FROM ({_WEEKLY}) UNION ALL SELECT 'month', date, n, true FROM ({_MONTHLY})"""),
+    ),
     "registered_users": (query(_registered), using("registered", "SELECT * FROM registered")),
     "user_counts_over_time": (
         query(lambda i: u.user_counts(i.user_days, _registered(i), i.window)),

@@ -178,13 +178,25 @@ def k_anonymize(
 ) -> DataFrame:
     """Relabel values of ``key`` seen with fewer than ``k`` distinct users.
 
+    Users are dealt to slots by a hash; the least and greatest user of a slot show up to two of its
+    users, so a value with ``k`` of them in all its slots has ``k`` users. Only the rows of the values
+    left, which nearly always have few users, are counted by user.
+
     The report variant counts only rows whose ``ignore_zero`` column is not zero; a value with
     no such row keeps its name, as there.
     """
     counted = df.where(F.col(ignore_zero) != 0) if ignore_zero else df
+    counted = counted.select(key, F.col(user).alias("_user"))
+    slots = counted.groupBy(key, F.pmod(F.xxhash64("_user"), F.lit(4 * k)).alias("_slot")).agg(
+        F.min("_user").alias("_least"), F.max("_user").alias("_most")
+    )
+    # null for a slot of rows without a user
+    shown = F.coalesce(F.lit(1) + (F.col("_least") != F.col("_most")).cast("int"), F.lit(0))
+    open_keys = slots.groupBy(key).agg(F.sum(shown).alias("_shown")).where(F.col("_shown") < k).select(key)
     rare = (
-        counted.groupBy(key)
-        .agg(F.count_distinct(user).alias("_users"))
+        counted.join(open_keys, key, "left_semi")
+        .groupBy(key)
+        .agg(F.count_distinct("_user").alias("_users"))
         .where(F.col("_users") < k)
         .select(key, F.lit(True).alias("_rare"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshledger.functions import rules as R
 from meshledger.operators.activity import eligible_users, members, online_ratio
+from meshledger.operators.sketches import heavy_candidates
 from meshledger.operators.stats import quantiles, with_rank
 from meshledger.plans.traffic import GB, MB, summed, total_bytes
 
@@ -18,15 +19,24 @@ def _sum_where(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
 
 
-def heavy_unmapped(flows: DataFrame, by: str = "bytes_down", n: int = 50) -> DataFrame:
-    """The domains with most bytes among those without a mapping."""
+def heavy_unmapped(
+    flows: DataFrame, by: str = "bytes_down", n: int = 50, summary: bool = False
+) -> DataFrame:
+    """The domains with most bytes among those without a mapping.
+
+    ``summary``: domains that a summary of sums rules out are not shuffled; the rows are the same.
+    """
     unmapped = flows.where((F.col("org") == R.NOT_MAPPED) | (F.col("category") == R.NOT_MAPPED))
+    if summary:
+        unmapped = heavy_candidates(unmapped.select("fqdn", "bytes_up", "bytes_down"), "fqdn", F.col(by), n)
     return summed(unmapped, ["fqdn"]).orderBy(F.desc(by), "fqdn").limit(n)
 
 
-def heavy_unknown_addresses(flows: DataFrame, n: int = 40) -> DataFrame:
-    """The addresses with most bytes among flows without any name."""
+def heavy_unknown_addresses(flows: DataFrame, n: int = 40, summary: bool = False) -> DataFrame:
+    """The addresses with most bytes among flows without any name; ``summary`` as above."""
     unknown = flows.where((F.col("category") == R.NO_DNS) | (F.col("org") == R.NO_DNS))
+    if summary:
+        unknown = heavy_candidates(unknown.select("dest_ip", "bytes_up", "bytes_down"), "dest_ip", total_bytes(), n)
     totals = unknown.groupBy("dest_ip").agg((F.sum(total_bytes()) / MB).alias("mbytes_total"))
     return totals.orderBy(F.desc("mbytes_total"), "dest_ip").limit(n)
 

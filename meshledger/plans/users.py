@@ -11,6 +11,7 @@ from meshledger.functions.timebins import day, month_end, week_ending
 from meshledger.operators.activity import eligible_users, online_ratio
 from meshledger.operators.calendar import calendar, normal_days
 from meshledger.operators.classify import k_anonymize
+from meshledger.operators.sketches import merged_distinct
 from meshledger.operators.stats import rank_bins, rolling_mean_rows, with_rank, with_ranks
 from meshledger.plans.traffic import (
     GB,
@@ -266,6 +267,19 @@ def monthly_active(user_days: DataFrame) -> DataFrame:
     return active_users(user_days, month_end("date"), "users")
 
 
+def active_from_days(day_sketches: DataFrame) -> DataFrame:
+    """(period, date, users): about how many users were active per day, week and month.
+
+    From one stored summary per day (``sketches.distinct_sketches``); flows are not read again.
+    """
+    ends = {"day": F.col("date"), "week": week_ending("date", "MON"), "month": month_end("date")}
+    parts = [
+        merged_distinct(day_sketches, end, "users").select(F.lit(name).alias("period"), "date", "users")
+        for name, end in ends.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 USER_TYPES = ("Registered", "Unique Monthly Online", "Unique Weekly Online", "Unique Daily Online")
 
 

@@ -25,8 +25,8 @@ from meshledger.operators.trace import generic_service, micros, unknown_peer
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _COLUMNS = ["start_us", "end_us", "setup", "peer", "service", "far", "event_id", "org", "category"]
-_WAITING = """start_us long, end_us long, setup boolean, peer boolean, service boolean, far string,
-  event_id long, org string, category string"""
+_FLOWS = """flows array<struct<start_us: long, end_us: long, setup: boolean, peer: boolean, service: boolean, far: string,
+  event_id: long, org: string, category: string>>"""
 
 
 def dedup_stream(
@@ -58,9 +58,10 @@ def binned_bytes_stream(
 class _CallTracer(StatefulProcessor):
     """Follows the calls of one user port.
 
-    Flows wait until the watermark has passed their start, then go through in order of time,
-    cohort by cohort. State: the waiting flows, when the last setup was, and until when each
-    far end is open.
+    Flows wait, filed by the millisecond of their start, until the watermark has passed it; a timer for
+    each such millisecond takes out its flows alone, cohort by cohort. Other state: when the last setup
+    was, until when each far end is open, and which far ends close in a millisecond, so that a timer
+    forgets those, too. What waits or is open but not due is never read.
     """
 
     def __init__(self, setup_us: int, chain_us: int, names: tuple[str, str, str]):
@@ -69,63 +70,74 @@ class _CallTracer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = handle.getMapState("waiting", "at_ms long", _FLOWS)
         self.last_setup = handle.getValueState("last_setup", "at long")
-        self.open_until = handle.getListState("open_until", "far string, at long")
+        self.open_until = handle.getMapState("open_until", "far string", "at long")
+        self.closing = handle.getMapState("closing", "at_ms long", "fars array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for batch in rows:
-            records = list(batch[_COLUMNS].itertuples(index=False, name=None))
-            self.waiting.appendList(records)
-            earliest = min(r[0] for r in records)
-            first = earliest if first is None else min(first, earliest)
-        if first is not None:
-            self.handle.registerTimer(int(first // 1000) + 1)
+            records = sorted(batch[_COLUMNS].itertuples(index=False, name=None), key=lambda r: r[0])
+            for at_ms, flows in groupby(records, key=lambda r: r[0] // 1000):
+                self._file(self.waiting, int(at_ms), list(flows))
         yield pd.DataFrame()
 
+    def _file(self, state, at_ms: int, entries: list) -> None:
+        """Add entries to those of a millisecond, and ask for the timer that takes them out."""
+        if state.containsKey((at_ms,)):
+            entries = [*state.getValue((at_ms,))[0], *entries]
+        else:
+            self.handle.registerTimer(at_ms + 1)
+        state.updateValue((at_ms,), (entries,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        due = [r for r in rows if r[0] < passed]
-        later = [r for r in rows if r[0] >= passed]
-        if not due:
-            return
-        opened = dict(self.open_until.get())
+        at_ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        out = self._due(at_ms)
+        self._close(at_ms)
+        yield pd.DataFrame(out, columns=["event_id", "org", "category"])
+
+    def _due(self, at_ms: int) -> list:
+        if not self.waiting.containsKey((at_ms,)):
+            return []
+        due = sorted((tuple(f) for f in self.waiting.getValue((at_ms,))[0]), key=lambda r: r[0])
+        self.waiting.removeKey((at_ms,))
         setup = self.last_setup.get()[0] if self.last_setup.exists() else None
         out = []
         for now, cohort in groupby(due, key=lambda r: r[0]):
             cohort = list(cohort)
             if any(r[2] for r in cohort):
                 setup = now
+                self.last_setup.update((setup,))
             fresh = setup is not None and now - setup < self.setup_us
-            out += self._cohort(now, cohort, fresh, opened)
-        self._keep(later, setup, {far: at for far, at in opened.items() if at > due[-1][0]})
-        yield pd.DataFrame(out, columns=["event_id", "org", "category"])
+            out += self._cohort(now, cohort, fresh)
+        return out
 
-    def _cohort(self, now: int, cohort: list, fresh: bool, opened: dict) -> list:
-        out, next_open = [], {}
-        for start, end, is_setup, peer, service, far, event_id, org, category in cohort:
-            if not is_setup and (peer or service) and (fresh or opened.get(far, 0) > now):
+    def _close(self, at_ms: int) -> None:
+        """Forget the far ends that close now; those kept open longer since are filed later, too."""
+        if self.closing.containsKey((at_ms,)):
+            for far in self.closing.getValue((at_ms,))[0]:
+                if self._open_until(far) // 1000 <= at_ms:
+                    self.open_until.removeKey((far,))
+            self.closing.removeKey((at_ms,))
+
+    def _open_until(self, far: str) -> int:
+        return self.open_until.getValue((far,))[0] if self.open_until.containsKey((far,)) else 0
+
+    def _cohort(self, now: int, cohort: list, fresh: bool) -> list:
+        out, prolonged = [], {}
+        for _, end, is_setup, peer, service, far, event_id, org, category in cohort:
+            if not is_setup and (peer or service) and (fresh or self._open_until(far) > now):
                 org = self.peer_org if peer else org
                 category = self.peer_category if peer else self.ice
-                next_open[far] = max(next_open.get(far, opened.get(far, 0)), end + self.chain_us)
+                prolonged[far] = max(prolonged.get(far, 0), end + self.chain_us)
             out.append((event_id, org, category))
         # What this cohort opens counts from the next one on.
-        opened.update(next_open)
+        for far, at in prolonged.items():
+            if at > max(now, self._open_until(far)):
+                self.open_until.updateValue((far,), (at,))
+                self._file(self.closing, at // 1000, [far])
         return out
 
-    def _keep(self, later: list, setup: int | None, opened: dict) -> None:
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(int(later[0][0] // 1000) + 1)
-        if setup is not None:
-            self.last_setup.update((setup,))
-        self.open_until.clear()
-        if opened:
-            self.open_until.put(list(opened.items()))
-
     def close(self) -> None:
         pass
 

@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from meshledger.streaming import live
@@ -46,3 +47,70 @@ def test_counts_that_lack_a_batch_are_refused(spark, tmp_path):
             live.run_counted(stream, "short")
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+class _Map:
+    """A map of a processor's state that counts what is read."""
+
+    def __init__(self):
+        self.held, self.reads = {}, 0
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, _Map())
+
+    def getValueState(self, *_):
+        state = _Map()
+        state.exists, state.get = lambda: 0 in state.held, lambda: state.held[0]
+        state.update = lambda value: state.held.__setitem__(0, value)
+        return state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_a_timer_of_a_hot_port_touches_due_flows_only():
+    tracer, handle = live._CallTracer(60_000_000, 5_000_000, ("peer", "p2p", "ice")), _Handle()
+    tracer.init(handle)
+    flows = [(k * 500_000, k * 500_000 + 1000, k == 0, k % 2 == 1, False, f"f{k % 500}", k, "org", "cat") for k in range(100_000)]
+    list(tracer.handleInputRows(None, iter([pd.DataFrame(flows[::-1], columns=live._COLUMNS)]), None))
+    waiting, timers = handle.maps["waiting"], sorted(handle.timers)
+    assert len(waiting.held) == len(timers) == 100_000
+    out = []
+    for at in timers[:300]:
+        waiting.reads = handle.maps["open_until"].reads = 0
+        out += list(tracer.handleExpiredTimer(None, None, _Expired(at)))[0].itertuples(index=False, name=None)
+        assert waiting.reads == 1 and handle.maps["open_until"].reads <= 2
+    assert len(waiting.held) == 99_700
+    # open for a minute after the setup: 120 flows, of which every other one is an unknown peer
+    assert [r[0] for r in out] == list(range(300))
+    assert [r[0] for r in out if r[1] == "peer"] == list(range(1, 120, 2))
+    # closed far ends are forgotten when their time comes
+    for at in sorted(handle.timers - set(timers)):
+        list(tracer.handleExpiredTimer(None, None, _Expired(at)))
+    assert not handle.maps["open_until"].held and not handle.maps["closing"].held
