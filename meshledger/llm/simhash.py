@@ -1,12 +1,12 @@
 """SimHash near-duplicates found with tables of distances to reference fingerprints (pivots).
 
-For any pivot p, |d(x, p) - d(y, p)| <= d(x, y). The pivots are chosen to make the tables sharp: the
-zero fingerprint, and for every block of bits the fingerprint with just that block set. From d(x, 0)
-and d(x, block) follows how many bits x has inside a block, so two fingerprints within two bits
-agree in the table everywhere but in two blocks at most. Blocks are gathered in GROUPS; two
-fingerprints within ``max_bits`` agree on all pivots of at least GROUPS - max_bits groups. Each
-choice of so many groups is a join key; joined pairs are discarded by their largest coordinate
-difference over all pivots, and the survivors are verified bit by bit.
+For any pivot p, |d(x, p) - d(y, p)| <= d(x, y). The references are REFERENCES fingerprints of the corpus
+itself, those of smallest hash; each is a pivot as it is, and once for every one of GROUPS groups of bits
+with just that group inverted. From d(x, p) and d(x, p with g inverted) follows how many bits of group g
+tell x from p, so two fingerprints that agree inside a group have the same distances there to every
+reference, and fingerprints within ``max_bits`` agree in GROUPS - max_bits groups at least. Each choice of
+so many groups is a join key, made of its distances to all references; joined pairs are discarded by their
+largest coordinate difference over all pivots, and the survivors are verified bit by bit.
 
 Equal fingerprints are one node, so copies never meet in pairs. A key shared by more than CROWD
 distinct fingerprints is not paired: its members are linked through the fingerprints one bit away
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from meshledger.llm import common
 from meshledger.llm.components import components
 
-SHINGLE, MAX_BITS, GROUPS, CROWD = 3, 2, 5, 64
+SHINGLE, MAX_BITS, GROUPS, REFERENCES, CROWD = 3, 2, 5, 16, 64
 
 #: BITS[b] holds the eight bits of b in eight bytes, for sums over up to 255 hashes at a time.
 BITS = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -82,23 +82,29 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def pivots(groups: int = GROUPS) -> list[list[int]]:
-    """Reference fingerprints by group: the 64 bits are dealt to the groups, one bit a block."""
-    return [[1 << bit for bit in range(64) if bit * groups // 64 == g] for g in range(groups)]
+def masks(groups: int = GROUPS) -> list[int]:
+    """The bits of each group; the 64 bits are dealt to the groups in runs."""
+    return [sum(1 << bit for bit in range(64) if bit * groups // 64 == g) for g in range(groups)]
 
 
-def distance_table(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """(fp, d0, d): distance to the zero fingerprint, and the array of distances to all pivots in group order."""
-    to = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("byte")
-    return fps.select("fp", to(0).alias("d0"), F.array(*[to(p) for group in pivots(groups) for p in group]).alias("d"))
+def references(fps: DataFrame, number: int = REFERENCES) -> list[int]:
+    """Reference fingerprints: those of the table with the smallest hash, fewer where it has fewer."""
+    order = F.xxhash64("fp", F.lit("reference"))
+    return [r.fp for r in fps.select("fp").distinct().orderBy(order, "fp").limit(number).collect()]
 
 
-def _codes(groups: int, max_bits: int) -> Column:
-    """Join keys: for every choice of groups, the bits inside their blocks, (d0 + 1 - d) / 2 of the table."""
-    sizes = [len(group) for group in pivots(groups)]
-    inside = [F.transform(F.slice("d", sum(sizes[:g]) + 1, sizes[g]), lambda d: (F.col("d0") + F.lit(1) - d) / 2)
-              for g in range(groups)]
-    return F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(*[inside[g] for g in chosen]).alias("code"))
+def distance_table(fps: DataFrame, refs: list[int], groups: int = GROUPS) -> DataFrame:
+    """(fp, d): distances to all pivots; for each reference to itself, then to it with each group inverted."""
+    to = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte")
+    return fps.select("fp", F.array(*[to(p ^ _signed(m)) for p in refs for m in [0, *masks(groups)]]).alias("d"))
+
+
+def _codes(refs: list[int], groups: int, max_bits: int) -> Column:
+    """Join keys: for every choice of groups, the distances to all references inside its groups."""
+    at = lambda r, g: F.get("d", F.lit(r * (groups + 1) + g))
+    # d(x, p inverted in g) = d(x, p) + size of g - 2 x the distance inside g
+    inside = [[at(r, 0) - at(r, g + 1) for r in range(len(refs))] for g in range(groups)]
+    return F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(*[c for g in chosen for c in inside[g]]).alias("code"))
                      for n, chosen in enumerate(combinations(range(groups), groups - max_bits))])
 
 
@@ -106,15 +112,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, crowd:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within ``max_bits`` (2)."""
     if max_bits != 2:
         raise ValueError("crowded keys are linked through fingerprints one bit away, which serves two bits")
-    table = common.store(distance_table(fps, groups), "pivot-distances")
-    keyed = common.store(table.select("fp", F.explode(_codes(groups, max_bits)).alias("k")).select("k.choice", "k.code", "fp"), "pivot-keys")
+    refs = references(fps)
+    if not refs:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    # distinct numbers are few bytes, the steps below are not: no task should hold many of them
+    spread = fps.repartition(common.parts(fps.sparkSession, 0, 1))
+    table = common.store(distance_table(spread, refs, groups), "pivot-distances")
+    keyed = common.store(table.select("fp", F.explode(_codes(refs, groups, max_bits)).alias("k")).select("k.choice", "k.code", "fp"), "pivot-keys")
     sizes = keyed.groupBy("choice", "code").agg(F.count("*").alias("n")).where("n > 1")
     sizes = common.store(sizes, "pivot-key-sizes")
     few = keyed.join(sizes.where(F.col("n") <= crowd).drop("n"), ["choice", "code"])
     pairs = (few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["choice", "code"])
              .where("a < b").select("a", "b").distinct())
-    near, far = (table.select(F.col("fp").alias(x), F.col("d0").alias(f"{x}0"), F.col("d").alias(f"{x}d")) for x in "ab")
-    apart = F.greatest(F.abs(F.col("a0") - F.col("b0")), F.array_max(F.zip_with("ad", "bd", lambda x, y: F.abs(x - y))))
+    near, far = (table.select(F.col("fp").alias(x), F.col("d").alias(f"{x}d")) for x in "ab")
+    apart = F.array_max(F.zip_with("ad", "bd", lambda x, y: F.abs(x - y)))
     pairs = (pairs.join(near, "a").join(far, "b").where(apart <= max_bits)
              .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b"))
     many = keyed.join(sizes.where(F.col("n") > crowd).drop("n"), ["choice", "code"], "left_semi").select("fp").distinct()
@@ -135,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = common.store(fingerprints(common.texts(docs, id_col, text_col), shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("rank").alias("rank"))
-    linked = common.store(links(rows.select("fp").distinct(), max_bits), "links")
+    linked = common.store(links(common.store(rows.select("fp").distinct(), "distinct-fingerprints"), max_bits), "links")
     classes = components(linked, nodes)
     return rows.join(classes, "fp", "left").select(
         "id", "rank", "key", "fp", "root", F.nullif(F.col("component"), F.lit(common.NO_ID)).alias("component"))

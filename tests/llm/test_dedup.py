@@ -93,8 +93,16 @@ def test_links_by_pairs_and_by_stars(spark, crowd):
 def test_pivot_distances_bound_the_distance(spark):
     rng = np.random.default_rng(4)
     fps = rng.integers(-(1 << 63), 1 << 63, 20).tolist()
-    table = {r.fp: [r.d0, *r.d] for r in simhash.distance_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    refs = simhash.references(frame)
+    assert len(refs) == simhash.REFERENCES and set(refs) < set(fps)
+    table = {r.fp: r.d for r in simhash.distance_table(frame, refs).collect()}
     for a in fps:
+        # the first pivots are the first reference itself and the same with the bits of one group inverted
+        unlike = a ^ refs[0]
+        inside = [(unlike & m).bit_count() for m in simhash.masks()]
+        assert table[a][0] == sum(inside)
+        assert [(table[a][0] + m.bit_count() - d) // 2 for d, m in zip(table[a][1:], simhash.masks())] == inside
         for b in fps:
             assert max(abs(x - y) for x, y in zip(table[a], table[b])) <= ((a ^ b) & ((1 << 64) - 1)).bit_count()
 
