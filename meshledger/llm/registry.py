@@ -24,7 +24,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op9_suffix_dedup": suffix_repeats.OP9_SQL,
     "op11_secrets": secret_scan.OP11_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

@@ -146,3 +146,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(common.table(spark, sf_dir, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  windows AS (SELECT doc_id, s, array_to_string(words[s:s + 12], ' ') AS run FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS s FROM texts)),
+  hits AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY run) AS least FROM windows) WHERE least < doc_id),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS k FROM hits),
+  placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM texts),
+  kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)"""

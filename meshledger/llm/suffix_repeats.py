@@ -336,3 +336,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup(common.table(spark, sf_dir, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+  windows AS (SELECT doc_id, s, substring(h, 2 * s + 1, 100) AS run FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM texts)),
+  hits AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY run) AS least FROM windows) WHERE least < doc_id),
+  marked AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span
+    FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM hits)),
+  spans AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM marked GROUP BY doc_id, span),
+  counts AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY 1),
+  ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM texts),
+  pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS x, a AS y FROM ends),
+  kept AS (SELECT doc_id, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM pieces JOIN texts USING (doc_id) WHERE y > x GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)"""
