@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
@@ -27,6 +28,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _COLUMNS = ["start_us", "end_us", "setup", "peer", "service", "far", "event_id", "org", "category"]
 _FLOWS = """flows array<struct<start_us: long, end_us: long, setup: boolean, peer: boolean, service: boolean, far: string,
   event_id: long, org: string, category: string>>"""
+# A slot of level k holds 2 ** (_DIGIT * k) milliseconds; the longest of _LEVELS levels holds two years. Up to
+# _PARTS parts of a slot, each of about an Arrow batch at most, are read at once; parts made by cutting a slot
+# have _PART_ROWS flows where there are as many.
+_DIGIT, _LEVELS, _PARTS, _PART_ROWS = 6, 7, 16, 2000
 
 
 def dedup_stream(
@@ -55,93 +60,203 @@ def binned_bytes_stream(
     )
 
 
+class _Slots:
+    """Entries of a key, filed by the first millisecond of a slot of time and in parts: what is added to a slot
+    reads none of its entries. A slot has a timer."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, kind: str):
+        self.handle = handle
+        self.entries = handle.getMapState(name, "at_ms long, part int", kind)
+        self.parts = handle.getMapState(f"{name}_parts", "at_ms long", "parts int, level int")
+
+    def add(self, at_ms: int, entries: list, level: int = 0) -> None:
+        if not self.entries.containsKey((at_ms, 0)):
+            self.put(at_ms, 0, entries)
+            self.leave(at_ms, 1, level)
+        else:
+            parts = self.size(at_ms)[0]
+            self.put(at_ms, parts, entries)
+            self.parts.updateValue((at_ms,), (parts + 1, level))
+
+    def put(self, at_ms: int, part: int, entries: list) -> None:
+        self.entries.updateValue((at_ms, part), (entries,))
+
+    def leave(self, at_ms: int, parts: int, level: int) -> None:
+        """Ask for the timer that takes the parts put into a slot out."""
+        self.handle.registerTimer(at_ms + 1)
+        if parts > 1:
+            self.parts.updateValue((at_ms,), (parts, level))
+
+    def size(self, at_ms: int) -> tuple[int, int]:
+        """The parts of a slot and its level, which is kept for several parts only."""
+        if not self.entries.containsKey((at_ms, 0)):
+            return 0, 0
+        return tuple(self.parts.getValue((at_ms,))) if self.parts.containsKey((at_ms,)) else (1, 0)
+
+    def take(self, at_ms: int, parts: int) -> Iterator[list]:
+        """The entries of each part, which goes before the next is read."""
+        if parts > 1 and self.parts.containsKey((at_ms,)):
+            self.parts.removeKey((at_ms,))
+        for part in range(parts):
+            entries = self.entries.getValue((at_ms, part))[0]
+            self.entries.removeKey((at_ms, part))
+            yield entries
+
+
 class _CallTracer(StatefulProcessor):
     """Follows the calls of one user port.
 
-    Flows wait, filed by the millisecond of their start, until the watermark has passed it; a timer for
-    each such millisecond takes out its flows alone, cohort by cohort. Other state: when the last setup
-    was, until when each far end is open, and which far ends close in a millisecond, so that a timer
-    forgets those, too. What waits or is open but not due is never read.
+    Flows wait, filed by their start, until the watermark has passed it. The farther ahead a start is, the
+    longer its slot: up to ``levels`` lengths, of 64 to the power of the level milliseconds (one level: the
+    millisecond itself). A slot's timer is its first millisecond; once it comes, the due flows are followed
+    cohort by cohort and the others move to shorter slots, so a flow is read at most once a level and a
+    watermark that passes many flows at once takes them in one step. Slots never overlap, for all are cut by the
+    last millisecond done when flows last moved (``done``), which none of them holds. Of a slot with many parts
+    no more than a few are read at once: it is cut into shorter ones first.
+
+    Other state: when the last setup was, until when each far end is open, and which far ends close until a
+    time, so that a timer forgets those, too. What waits or is open but not due is read when it moves only.
     """
 
-    def __init__(self, setup_us: int, chain_us: int, names: tuple[str, str, str]):
-        self.setup_us, self.chain_us = setup_us, chain_us
+    def __init__(self, setup_us: int, chain_us: int, names: tuple[str, str, str], levels: int = 1):
+        self.setup_us, self.chain_us, self.levels = setup_us, chain_us, levels
         self.peer_org, self.peer_category, self.ice = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at_ms long", _FLOWS)
+        self.waiting = _Slots(handle, "waiting", _FLOWS)
         self.last_setup = handle.getValueState("last_setup", "at long")
+        self.done = handle.getValueState("done", "at_ms long")
         self.open_until = handle.getMapState("open_until", "far string", "at long")
-        self.closing = handle.getMapState("closing", "at_ms long", "fars array<string>")
+        self.closing = _Slots(handle, "closing", "fars array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done = self.done.get()[0] if self.levels > 1 and self.done.exists() else 0
         for batch in rows:
-            records = sorted(batch[_COLUMNS].itertuples(index=False, name=None), key=lambda r: r[0])
-            for at_ms, flows in groupby(records, key=lambda r: r[0] // 1000):
-                self._file(self.waiting, int(at_ms), list(flows))
-        yield pd.DataFrame()
-
-    def _file(self, state, at_ms: int, entries: list) -> None:
-        """Add entries to those of a millisecond, and ask for the timer that takes them out."""
-        if state.containsKey((at_ms,)):
-            entries = [*state.getValue((at_ms,))[0], *entries]
-        else:
-            self.handle.registerTimer(at_ms + 1)
-        state.updateValue((at_ms,), (entries,))
+            self._file(sorted(zip(*[batch[c].tolist() for c in _COLUMNS]), key=_start), done)
+        return iter(())
+
+    def _file(self, flows: list, done: int) -> None:
+        """File flows in order of time."""
+        for (at_ms, level), some in groupby(flows, key=lambda r: self._slot(int(r[0] // 1000), done)):
+            self.waiting.add(at_ms, list(some), level)
+
+    def _slot(self, at_ms: int, done: int) -> tuple[int, int]:
+        """First millisecond and level of the longest slot that holds this millisecond and begins after ``done``."""
+        level = min(((at_ms ^ done).bit_length() - 1) // _DIGIT, self.levels - 1) if at_ms > done else 0
+        return at_ms >> _DIGIT * level << _DIGIT * level, level
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at_ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        out = self._due(at_ms)
+        passed = at_ms + 1 if self.levels == 1 else timerValues.getCurrentWatermarkInMs()
+        for out in self._due(at_ms, *self.waiting.size(at_ms), passed):
+            yield pd.DataFrame(out, columns=["event_id", "org", "category"])
         self._close(at_ms)
-        yield pd.DataFrame(out, columns=["event_id", "org", "category"])
 
-    def _due(self, at_ms: int) -> list:
-        if not self.waiting.containsKey((at_ms,)):
-            return []
-        due = sorted((tuple(f) for f in self.waiting.getValue((at_ms,))[0]), key=lambda r: r[0])
-        self.waiting.removeKey((at_ms,))
+    def _due(self, at_ms: int, parts: int, level: int, passed: int) -> Iterator[list]:
+        """Follow the flows of a slot that start before ``passed``; the others move to shorter slots."""
+        if parts > _PARTS and level:
+            yield from self._cut(at_ms, parts, level - 1, passed)
+        elif parts:
+            flows = sorted((tuple(f) for some in self.waiting.take(at_ms, parts) for f in some), key=_start)
+            due = bisect_left(flows, passed * 1000, key=_start)
+            if due:
+                yield self._follow(flows[:due])
+            if due < len(flows):
+                self.done.update((passed - 1,))
+                self._file(flows[due:], passed - 1)
+
+    def _cut(self, at_ms: int, parts: int, level: int, passed: int) -> Iterator[list]:
+        sizes, held, shift = {}, {}, _DIGIT * level
+
+        def put(start: int) -> None:
+            # the first shorter slot has the place of the whole, of which no fewer parts are gone
+            self.waiting.put(start, sizes.get(start, 0), held.pop(start))
+            sizes[start] = sizes.get(start, 0) + 1
+
+        for some in self.waiting.take(at_ms, parts):
+            for flow in some:
+                held.setdefault(flow[0] // 1000 >> shift << shift, []).append(tuple(flow))
+            for start in [s for s, flows in held.items() if len(flows) >= _PART_ROWS]:
+                put(start)
+        for start in list(held):
+            put(start)
+        for start in sorted(sizes):
+            if start < passed:
+                yield from self._due(start, sizes[start], level, passed)
+            else:
+                self.done.update((passed - 1,))
+                self.waiting.leave(start, sizes[start], level)
+
+    def _follow(self, flows: list) -> list:
         setup = self.last_setup.get()[0] if self.last_setup.exists() else None
-        out = []
-        for now, cohort in groupby(due, key=lambda r: r[0]):
+        before, known, prolonged, out = setup, {}, set(), []
+        for now, cohort in groupby(flows, key=_start):
             cohort = list(cohort)
             if any(r[2] for r in cohort):
                 setup = now
-                self.last_setup.update((setup,))
             fresh = setup is not None and now - setup < self.setup_us
-            out += self._cohort(now, cohort, fresh)
+            opened = {}
+            for _, end, is_setup, peer, service, far, event_id, org, category in cohort:
+                # without a setup so far nothing is open
+                if not is_setup and (peer or service) and setup is not None and (fresh or self._open(far, known) > now):
+                    org = self.peer_org if peer else org
+                    category = self.peer_category if peer else self.ice
+                    opened[far] = max(opened.get(far, 0), end + self.chain_us)
+                out.append((event_id, org, category))
+            # What this cohort opens counts from the next one on.
+            for far, at in opened.items():
+                if at > max(now, self._open(far, known)):
+                    known[far] = at, known[far][1]
+                    prolonged.add(far)
+        if setup != before:
+            self.last_setup.update((setup,))
+        # whatever follows starts after the last of these flows
+        self._keep_open({far: known[far] for far in prolonged if known[far][0] > now}, now)
         return out
 
+    def _open(self, far: str, known: dict[str, tuple[int, bool]]) -> int:
+        """Until when a far end is open; ``known`` also holds whether the state has it."""
+        if far not in known:
+            stored = self.open_until.containsKey((far,))
+            known[far] = self.open_until.getValue((far,))[0] if stored else 0, stored
+        return known[far][0]
+
+    def _keep_open(self, until: dict[str, tuple[int, bool]], now: int) -> None:
+        closing = {}
+        for far, (at, stored) in until.items():
+            self.open_until.updateValue((far,), (at,))
+            if not stored:
+                closing.setdefault(_closing_ms(at, now), []).append(far)
+        for at_ms, fars in closing.items():
+            self.closing.add(at_ms, fars)
+
     def _close(self, at_ms: int) -> None:
-        """Forget the far ends that close now; those kept open longer since are filed later, too."""
-        if self.closing.containsKey((at_ms,)):
-            for far in self.closing.getValue((at_ms,))[0]:
-                if self._open_until(far) // 1000 <= at_ms:
+        """Forget the far ends that are closed now; those prolonged since are filed again."""
+        later = {}
+        for fars in self.closing.take(at_ms, self.closing.size(at_ms)[0]):
+            for far in fars:
+                at = self.open_until.getValue((far,))[0]
+                if at // 1000 <= at_ms:
                     self.open_until.removeKey((far,))
-            self.closing.removeKey((at_ms,))
-
-    def _open_until(self, far: str) -> int:
-        return self.open_until.getValue((far,))[0] if self.open_until.containsKey((far,)) else 0
-
-    def _cohort(self, now: int, cohort: list, fresh: bool) -> list:
-        out, prolonged = [], {}
-        for _, end, is_setup, peer, service, far, event_id, org, category in cohort:
-            if not is_setup and (peer or service) and (fresh or self._open_until(far) > now):
-                org = self.peer_org if peer else org
-                category = self.peer_category if peer else self.ice
-                prolonged[far] = max(prolonged.get(far, 0), end + self.chain_us)
-            out.append((event_id, org, category))
-        # What this cohort opens counts from the next one on.
-        for far, at in prolonged.items():
-            if at > max(now, self._open_until(far)):
-                self.open_until.updateValue((far,), (at,))
-                self._file(self.closing, at // 1000, [far])
-        return out
+                else:
+                    later.setdefault(_closing_ms(at, at_ms * 1000), []).append(far)
+        for at, fars in later.items():
+            self.closing.add(at, fars)
 
     def close(self) -> None:
         pass
 
 
+def _start(flow: tuple) -> int:
+    return flow[0]
+
+
+def _closing_ms(at: int, now: int) -> int:
+    """The millisecond of a time, or one after it by less than a quarter of the time until then, so that many share it."""
+    shift = max((at // 1000 - now // 1000).bit_length() - 3, 0)
+    return -(-(at // 1000) >> shift) << shift
+
+
 def trace_stream(
     flows: DataFrame, setup_validity_s: int = 60, chain_validity_s: int = 5, delay: str = "1 minute"
 ) -> DataFrame:
@@ -159,7 +274,7 @@ def trace_stream(
     ).withWatermark("event_time", delay)
     tracer = _CallTracer(
         setup_validity_s * 1_000_000, chain_validity_s * 1_000_000,
-        (R.ICE_PEER_ORG, R.PEER_TO_PEER, R.ICE),
+        (R.ICE_PEER_ORG, R.PEER_TO_PEER, R.ICE), _LEVELS,
     )
     return prepared.groupBy("user_id", "user_port").transformWithStateInPandas(
         tracer, "event_id long, org string, category string", "append", "eventTime"
