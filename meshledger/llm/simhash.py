@@ -95,17 +95,23 @@ def references(fps: DataFrame, number: int = REFERENCES) -> list[int]:
 
 def distance_table(fps: DataFrame, refs: list[int], groups: int = GROUPS) -> DataFrame:
     """(fp, d): distances to all pivots; for each reference to itself, then to it with each group inverted."""
-    to = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte")
-    return fps.select("fp", F.array(*[to(p ^ _signed(m)) for p in refs for m in [0, *masks(groups)]]).alias("d"))
+    pivots = F.array(*[F.lit(_signed(m) ^ p) for p in refs for m in [0, *masks(groups)]])
+    return fps.select("fp", F.transform(pivots, lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("byte")).alias("d"))
 
 
 def _codes(refs: list[int], groups: int, max_bits: int) -> Column:
-    """Join keys: for every choice of groups, the distances to all references inside its groups."""
-    at = lambda r, g: F.get("d", F.lit(r * (groups + 1) + g))
+    """Join keys: for every choice of groups, the distances to all references inside its groups.
+
+    The distances inside a group are hashed once, and the choices are made of these hashes; written out for
+    every choice, the expression outgrows what Spark compiles.
+    """
+    rows = F.sequence(F.lit(0), F.lit((len(refs) - 1) * (groups + 1)), F.lit(groups + 1))
     # d(x, p inverted in g) = d(x, p) + size of g - 2 x the distance inside g
-    inside = [[at(r, 0) - at(r, g + 1) for r in range(len(refs))] for g in range(groups)]
-    return F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(*[c for g in chosen for c in inside[g]]).alias("code"))
-                     for n, chosen in enumerate(combinations(range(groups), groups - max_bits))])
+    distances = lambda g: F.transform(rows, lambda r: F.get("d", r) - F.get("d", r + F.lit(g + 1)))
+    inside = [F.xxhash64(distances(g)) for g in range(groups)]
+    chosen = combinations(range(groups), groups - max_bits)
+    return F.transform(F.array(F.array(*inside)), lambda own: F.array(*[
+        F.struct(F.lit(n).alias("choice"), F.xxhash64(*[F.get(own, F.lit(g)) for g in some]).alias("code")) for n, some in enumerate(chosen)]))[0]
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, crowd: int = CROWD) -> DataFrame:
