@@ -151,6 +151,14 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(units: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """`span_hashes` of all runs of ``size`` bytes, by their first."""
+    step, back = _powers(len(units))
+    total = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(_values(seed)[units] * step[:len(units)], out=total[1:])
+    return mix((total[size:] - total[:-size]) * back[:len(total) - size] + np.uint64(size))
+
+
 def byte_class(chars: bytes, inverted: bool = False) -> np.ndarray:
     """Which of the 256 bytes are in ``chars`` (``inverted``: are not)."""
     out = np.zeros(256, bool)

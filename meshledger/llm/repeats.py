@@ -88,6 +88,14 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def least_of_equals(rank: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have an equal of smaller rank, all others), each sorted by the two hashes that name equals."""
+    order = np.lexsort((rank, r2, r1))
+    first = group_starts(r1[order], r2[order])
+    later = rank[order] > np.repeat(rank[order][first], np.diff(np.r_[first, len(order)]))
+    return order[later], order[~later]
+
+
 def place(rank: np.ndarray, buckets: np.uint64) -> np.ndarray:
     """The bucket that all that is found about a row meets in."""
     return (common.mix(rank.astype(np.int64).view(np.uint64)) % buckets).astype(np.int64)

@@ -2,8 +2,8 @@
 
 Equal strings of WINDOW bytes hold the same smallest hash of GRAM bytes at the same place, so
 windows are dealt to tasks by that hash: a run of windows with one smallest gram travels as one
-piece of text. Each task sorts the suffixes of its pieces that are a window long at least, takes the
-common prefix of neighbours, and scans them with a stack. The intervals of the scan are the nodes of
+piece of text. Each task takes one of equal pieces, leaves out the windows that a table of slots shows
+to occur once, sorts the suffixes that start with the others, takes the common prefix of neighbours, and scans them with a stack. The intervals of the scan are the nodes of
 the common-prefix tree: strings with all their occurrences. Those whose occurrences differ in the
 byte before are the maximal repeats; every other repeat is part of one. In each maximal repeat all
 occurrences but those with the smallest rank are spans of repeats.
@@ -25,46 +25,55 @@ from pyspark.sql import functions as F
 from meshledger.llm import common, repeats
 
 WINDOW, GRAM = 50, 16
-SEGMENT = 8 << 20
+#: Windows whose grams are hashed together; their hashes stay in a core's cache.
+SEGMENT = 1 << 15
 #: Suffix arrays that a task sorts one after the other.
 PARTS = 4
 #: A gram is split if it has more pieces than this and than a HOT_LIST-th of all pieces.
 HOT, HOT_LIST = 20_000, 50_000
+#: The two hashes that name a piece.
+PIECE_SEEDS = 103, 104
 
 
-def smallest_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, place of the smallest gram, its hash) of every window inside a text; the leftmost of equals."""
-    found = []
+def smallest_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, windows, place of the smallest gram, its hash) of runs of windows with one smallest gram.
+
+    Windows lie inside a text; of equal grams the leftmost is the smallest. A gram serves windows of one text
+    only, and they are neighbours.
+    """
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
     place_bits = np.uint64(24)
+    ends = offsets[1:]
     for low in range(0, max(len(data) - WINDOW + 1, 0), SEGMENT):
         high = min(low + SEGMENT, len(data) - WINDOW + 1)  # windows low to high, whose bytes end WINDOW - 1 later
-        part = data[low:high + WINDOW - 1]
-        at = np.arange(len(part) - GRAM + 1)
-        h = common.span_hashes(part, at, at + GRAM, 31)
-        least = h >> place_bits << place_bits | at.astype(np.uint64)
+        h = common.run_hashes(data[low:high + WINDOW - 1], GRAM, 31)
+        least = h >> place_bits << place_bits | np.arange(len(h), dtype=np.uint64)
         span, width = 1, WINDOW - GRAM + 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if width > span:
             least = np.minimum(least[:span - width], least[width - span:])
-        place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        inside = np.zeros(high - low + 1, np.int64)  # windows that cross the end of a text are no windows
-        ends = offsets[1:]
-        np.add.at(inside, np.clip(ends - WINDOW + 1 - low, 0, high - low), 1)
-        np.add.at(inside, np.clip(ends - low, 0, high - low), -1)
-        own = np.flatnonzero(np.cumsum(inside)[:-1] == 0)
-        found.append((own + low, place[own] + low, h[place[own]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+        crossed = np.zeros(high - low + 1, np.int64)  # windows that cross the end of a text are no windows
+        near = ends[np.searchsorted(ends, low, side="right"):np.searchsorted(ends, high + WINDOW)]
+        np.add.at(crossed, np.clip(near - WINDOW + 1 - low, 0, high - low), 1)
+        np.add.at(crossed, np.clip(near - low, 0, high - low), -1)
+        first = np.cumsum(crossed)[:-1] == 0
+        last = first.copy()
+        other = least[1:] != least[:-1]
+        first[1:] &= other | ~last[:-1]
+        last[:-1] &= other | (crossed[1:-1] > 0)
+        a = np.flatnonzero(first)
+        place = (least[a] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        found.append((a + low, np.flatnonzero(last) + 1 - a, place + low, h[place]))
+    at, count, place, h = (np.concatenate(x) for x in zip(*found))
+    once = repeats.group_starts(place)  # a run may go on in the next segment
+    return at[once], np.add.reduceat(count, once) if len(once) else count, place[once], h[once]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, byte number, hash) of the grams that are smallest in some window."""
-    _, place, h = smallest_grams(data, offsets)
-    once = repeats.group_starts(place)
-    place, h = place[once], h[once]
+    _, _, place, h = smallest_grams(data, offsets)
     owner = np.searchsorted(offsets, place, side="right") - 1
     return owner, place - offsets[owner], h
 
@@ -74,14 +83,15 @@ def cut(data: np.ndarray, offsets: np.ndarray, flags: list[np.ndarray]) -> Itera
     flag = np.zeros(len(data) + 1, bool)
     for k, at in enumerate(flags):
         flag[np.minimum(offsets[k] + at, offsets[k + 1])] = True
-    first, place, _ = smallest_grams(data, offsets)
-    first = first[flag[place]]
+    first, count, place, _ = smallest_grams(data, offsets)
+    some = flag[place]
+    first, end = first[some], first[some] + count[some]
     if not len(first):
         return
-    owner = np.searchsorted(offsets, first, side="right") - 1
-    new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1] + 1) | (owner[1:] != owner[:-1])])
-    count = np.diff(np.r_[new, len(first)])
-    a, k = first[new], owner[new]
+    # windows of two texts are never neighbours: those that cross the end are between them
+    new = np.flatnonzero(np.r_[True, first[1:] != end[:-1]])
+    a, count = first[new], end[np.r_[new[1:], len(first)] - 1] - first[new]
+    k = np.searchsorted(offsets, a, side="right") - 1
     yield from zip(k.tolist(), (a - offsets[k]).tolist(), count.tolist(), a.tolist(), (a + count + WINDOW - 1).tolist())
 
 
@@ -96,13 +106,16 @@ def suffix_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     Sorted by eight bytes at a time; only strings that still tie are looked at again.
     """
     n = len(start)
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    octets = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    octets = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)  # the eight bytes from each place on
+    for width in (1, 2, 4):
+        octets = octets[:-width] << np.uint64(8 * width) | octets[width:]
     length = end - start
+    shortest = int(length.min(initial=0))
 
     def word(which: np.ndarray, depth: int) -> np.ndarray:
-        at = np.minimum(start[which] + 8 * depth, len(data))
-        value = octets[at].copy().view(">u8").ravel().astype(np.uint64)
+        value = octets[np.minimum(start[which] + 8 * depth, len(data))]
+        if shortest >= 8 * (depth + 1):
+            return value
         short = np.clip(8 * (depth + 1) - length[which], 0, 8).astype(np.uint64)
         return np.where(short == 8, np.uint64(0), value >> (np.minimum(short, np.uint64(7)) * np.uint64(8)) << (np.minimum(short, np.uint64(7)) * np.uint64(8)))
 
@@ -122,6 +135,12 @@ def suffix_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
             break
         group = np.cumsum(parted)[tied]
         values = word(order[tied], depth)
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[1:][(values[1:] != values[:-1]) & (group[1:] == group[:-1])]] = True
+        some = mixed[group]  # groups that tie on these bytes, too, are in order as they are
+        tied, group, values = tied[some], group[some], values[some]
+        if not len(tied):
+            continue
         by = np.lexsort((values, group))
         order[tied], values = order[tied][by], values[by]
         new = np.r_[True, values[1:] != values[:-1]] & ~parted[tied]
@@ -175,16 +194,27 @@ def maximal_repeats(shared: np.ndarray, before: np.ndarray, least: int) -> Itera
 
 
 def repeat_spans(data: np.ndarray, piece_end: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first window, windows) of all occurrences of maximal repeats that have one of smaller rank."""
+    """(piece, first window, windows) of all occurrences of maximal repeats that have one of smaller rank.
+
+    Of equal pieces those with the smallest rank are sorted, the others are such occurrences as a whole.
+    """
     piece_start = np.r_[0, piece_end[:-1]]
-    piece = np.repeat(np.arange(len(windows)), windows)
+    later, stay = repeats.least_of_equals(rank, *(common.span_hashes(data, piece_start, piece_end, seed) for seed in PIECE_SEEDS))
+    whole = later, np.zeros(len(later), np.int64), windows[later]
+    windows = windows[stay]
+    piece = np.repeat(stay, windows)
     off = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = piece_start[piece] + off
+    # a window alone in its slot has no equal, so no repeat of a window's length starts there
+    bits = max(10, len(start).bit_length() + 3)
+    slot = (common.span_hashes(data, start, start + WINDOW, 41) >> np.uint64(64 - bits)).astype(np.int64)
+    again = np.bincount(slot, minlength=1 << bits)[slot] > 1
+    piece, off, start = piece[again], off[again], start[again]
     order, shared = suffix_array(data, start, piece_end[piece])
     piece, off, start = piece[order], off[order], start[order]
     before = np.where(off > 0, data[start - 1].astype(np.int64), -1 - np.arange(len(start)))
     owner = rank[piece]
-    found = [(np.zeros(0, np.int64),) * 3]
+    found = [whole]
     for first, last, length in maximal_repeats(shared, before, WINDOW):
         if not len(first):
             continue
@@ -203,11 +233,7 @@ PIECE_TYPE = ", ".join(["bucket int", *(f"{c} binary" for c in COLUMNS), "body b
 
 def pieces(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first byte, windows, hash) of the runs of windows with one smallest gram; those of ``hot`` grams singly."""
-    first, place, h = smallest_grams(data, offsets)
-    new = repeats.group_starts(place) if len(place) else np.zeros(0, np.int64)
-    # a gram serves windows of one text only, and they are neighbours
-    count = np.diff(np.r_[new, len(first)])
-    at, h = first[new], h[new]
+    at, count, _, h = smallest_grams(data, offsets)
     if len(hot):
         many = np.isin(h, hot)
         rest = ~many
@@ -251,12 +277,8 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     def settle(held: list) -> Iterator[dict]:
         rank, key, start, count, h, r1, r2 = (np.concatenate([x[i] for x in held]) for i in range(7))
         body = [b for x in held for b in x[7]]
-        order = np.lexsort((rank, r2, r1))
-        first = repeats.group_starts(r1[order], r2[order])
-        least = np.repeat(rank[order][first], np.diff(np.r_[first, len(order)]))
-        later = order[rank[order] > least]
+        later, stay = repeats.least_of_equals(rank, r1, r2)
         yield from repeats.span_rows(rank[later], key[later], start[later], count[later], buckets)
-        stay = order[rank[order] == least]
         bucket = (h[stay] % np.uint64(n * PARTS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         stay, bucket = stay[by], bucket[by]
@@ -273,7 +295,7 @@ def compare(found: DataFrame, n: int, hot: int = HOT) -> DataFrame:
             for row, _, data, offsets in common.text_blocks(batch.column(3)):
                 owner, at, count, h = pieces(data, offsets, split.value)
                 stop, body = at + count + WINDOW - 1, data.tobytes()
-                r1, r2 = (common.span_hashes(data, at, stop, seed) for seed in (103, 104))
+                r1, r2 = (common.span_hashes(data, at, stop, seed) for seed in PIECE_SEEDS)
                 held.append((rank[row + owner], key[row + owner], start[row + owner] + at - offsets[owner], count, h, r1, r2,
                              [body[a:b] for a, b in zip(at.tolist(), stop.tolist())]))
                 size += len(at)

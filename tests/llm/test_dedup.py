@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus
-from meshledger.llm import exact_dedup, simhash, substring_dedup, suffix_repeats
+from meshledger.llm import common, exact_dedup, simhash, substring_dedup, suffix_repeats
 from meshledger.llm.components import components
 
 
@@ -181,3 +181,42 @@ def test_suffix_array_and_maximal_repeats(pieces):
 def test_empty_tables_and_tables_of_nulls(spark, run):
     assert run(corpus.frame(spark, [])).count() == 0
     assert run(corpus.frame(spark, [(None, None), (None, None), (1, None)])).count() == 3
+
+
+def test_only_windows_with_an_equal_in_another_piece_are_sorted(monkeypatch):
+    """Equal pieces are one, and windows that occur once need no place in the suffix array; the spans stay whole."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    shared, copied = letters(70), letters(60)
+    pieces = [copied] * 200 + [letters(80) for _ in range(100)] + [letters(20) + shared + b"x", shared + letters(30)]
+    rank = np.r_[rng.permutation(200), 300 + np.arange(100), 7, 8]
+    windows = np.array([len(p) - suffix_repeats.WINDOW + 1 for p in pieces])
+    sizes, sort = [], suffix_repeats.suffix_array
+    monkeypatch.setattr(suffix_repeats, "suffix_array", lambda data, start, end: sizes.append(len(start)) or sort(data, start, end))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    found = suffix_repeats.repeat_spans(data, np.cumsum([len(p) for p in pieces]), windows, rank)
+    marked = {(p, at) for p, off, n in zip(*(x.tolist() for x in found)) for at in range(off, off + n)}
+    places: dict[bytes, list] = {}
+    for p, text in enumerate(pieces):
+        for at in range(windows[p]):
+            places.setdefault(text[at:at + suffix_repeats.WINDOW], []).append((p, at))
+    assert marked == {x for own in places.values() for x in own if rank[x[0]] > min(rank[p] for p, _ in own)}
+    assert sum(sizes) < windows.sum() // 4
+
+
+def test_gram_runs_do_not_depend_on_segments(monkeypatch):
+    """Runs of windows with one smallest gram against the smallest of each window, over segment and text ends."""
+    rng = np.random.default_rng(6)
+    found = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (0, 49, 50, 51, 400, 0, 75, 1000, 3)]
+    data, offsets = np.frombuffer(b"".join(found), np.uint8), np.r_[0, np.cumsum([len(t) for t in found])]
+    least = []
+    grams = common.span_hashes(data, at := np.arange(len(data) - suffix_repeats.GRAM + 1), at + suffix_repeats.GRAM, 31) >> np.uint64(24)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for first in range(a, b - suffix_repeats.WINDOW + 1):
+            own = grams[first:first + suffix_repeats.WINDOW - suffix_repeats.GRAM + 1]
+            least.append((first, first + int(own.argmin())))
+    for segment in (1 << 15, 97):
+        monkeypatch.setattr(suffix_repeats, "SEGMENT", segment)
+        first, count, place, _ = suffix_repeats.smallest_grams(data, offsets)
+        assert [(a + k, p) for a, n, p in zip(first.tolist(), count.tolist(), place.tolist()) for k in range(n)] == least
+        assert len(set(place.tolist())) == len(place)
