@@ -86,17 +86,22 @@ def _round(seq: np.ndarray, last: np.ndarray, next_id: int, fresh: int, waiting:
     chosen = _frequent(pairs)
     if not len(chosen):
         return seq, last, np.zeros((0, 2), np.uint32), chosen
-    order = np.argsort(chosen)
-    ordered = chosen[order]
-    # a table of slots spares most positions the search
-    slots = ((pairs * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)
-    maybe = np.zeros(1 << 20, bool)
-    maybe[((chosen * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)] = True
-    some = maybe[slots]
-    hit, pairs = hit[some], pairs[some]
-    place = np.minimum(np.searchsorted(ordered, pairs), len(ordered) - 1)
-    found = ordered[place] == pairs
-    hit, rank = hit[found], order[place[found]]  # rank 0 is the most frequent pair
+    # a table of slots names the pair of each use; pairs that lost their slot to another one are searched for
+    table = np.full(1 << 20, -1, np.int32)
+    slots = ((chosen * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)
+    table[slots] = np.arange(len(chosen), dtype=np.int32)
+    lost = np.flatnonzero(table[slots] != np.arange(len(chosen)))
+    rank = table[((pairs * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)]
+    some = np.flatnonzero(rank >= 0)
+    hit, pairs, rank = hit[some], pairs[some], rank[some].astype(np.int64)  # rank 0 is the most frequent pair
+    found = chosen[rank] == pairs
+    if len(lost):
+        lost = lost[np.argsort(chosen[lost])]
+        ordered, miss = chosen[lost], np.flatnonzero(~found)
+        place = np.minimum(np.searchsorted(ordered, pairs[miss]), len(ordered) - 1)
+        same = ordered[place] == pairs[miss]
+        rank[miss[same]], found[miss[same]] = lost[place[same]], True
+    hit, rank = hit[found], rank[found]
     next_to = np.diff(hit) == 1
     beaten = np.zeros(len(hit), bool)
     beaten[1:] |= next_to & (rank[:-1] < rank[1:])
@@ -209,6 +214,10 @@ class Shard:
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after the other with their end ids, first id of each and the end)."""
-        flat = self.expand(self.symbols)
-        ends = np.r_[0, np.cumsum(self.lengths[self.symbols])][self.first]
+        # each rule is opened once; the documents are then put together from what the rules stand for
+        opened = np.r_[np.arange(self.base, dtype=np.uint32), self.expand(np.arange(self.base, self.base + len(self.rules)))]
+        counts, at = self.lengths[self.symbols], np.cumsum(self.lengths) - self.lengths
+        total = np.r_[0, np.cumsum(counts)]
+        flat = opened[np.repeat(at[self.symbols] - total[:-1], counts) + np.arange(total[-1])]
+        ends = total[self.first]
         return np.insert(flat, ends[1:], np.uint32(self.end_id)), ends + np.arange(len(ends))

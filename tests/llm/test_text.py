@@ -478,3 +478,26 @@ def test_span_hashes_tell_spans_apart():
         assert len(kinds) == len(np.unique(h)) == len({(data[i:i + 12].tobytes(), int(x)) for i, x in zip(start, h)})
     zeros = np.zeros(100, np.uint8)
     assert len(np.unique(common.span_hashes(zeros, np.zeros(100, int), np.arange(1, 101), 3))) == 100
+
+
+def test_reading_a_shard_opens_each_rule_once(monkeypatch):
+    """Documents are put together from opened rules, not by opening the symbols of the whole shard level by level."""
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 400, 300)
+    docs = [np.r_[passage[:rng.integers(0, 300)], rng.integers(0, 400, 5)].astype(np.uint32) for _ in range(60)] + [np.zeros(0, np.uint32)]
+    first = np.r_[0, np.cumsum([len(d) for d in docs])]
+    shard = repair.Shard.read(repair.encode(np.concatenate(docs), first, 400, 2))
+    opened, expand = [], repair.Shard.expand
+    monkeypatch.setattr(repair.Shard, "expand", lambda self, symbols: opened.append(len(symbols)) or expand(self, symbols))
+    flat, at = shard.documents()
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[*d.tolist(), 2] for d in docs]
+    assert len(shard.rules) and sum(opened) <= len(shard.rules)
+
+
+def test_a_grammar_does_not_depend_on_the_slots_of_its_pairs(monkeypatch):
+    rng = np.random.default_rng(9)
+    ids = np.tile(rng.integers(0, 30, 500), 6).astype(np.uint32)
+    ids[rng.integers(0, len(ids), 300)] = 31
+    want = repair.encode(ids, np.array([0, 1000, len(ids)]), 40, 2)
+    monkeypatch.setattr(repair, "_MULTIPLIER", np.uint64(0))  # all pairs share one slot
+    assert repair.encode(ids, np.array([0, 1000, len(ids)]), 40, 2) == want
