@@ -26,6 +26,8 @@ MAGIC, HEADER = b"RPG2", "<4s6I"
 #: Uses that pay for a rule: it costs two symbols of 16 to 20 bits and a length of 32.
 LEAST = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Stands where the right symbol of a replaced pair was; no id or nonterminal.
+GONE = np.uint32(0xFFFFFFFF)
 
 
 def pack(symbols: np.ndarray, bits: int) -> bytes:
@@ -53,92 +55,89 @@ def unpack(data: np.ndarray, count: int, bits: int) -> np.ndarray:
 
 def _frequent(pairs: np.ndarray) -> np.ndarray:
     """Distinct pairs with LEAST or more uses, the most frequent first; a pair of one symbol overlaps itself and counts half."""
-    bits = max(10, int(len(pairs)).bit_length() + 1)
-    slots = ((pairs * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)
-    # a slot's count bounds that of each pair in it, so most rare pairs are never sorted
-    some = pairs[(np.bincount(slots, minlength=1 << bits) >= LEAST)[slots]]
-    some.sort()
-    cuts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
-    counts = np.diff(np.r_[cuts, len(some)])
+    some = np.sort(pairs)
+    cuts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+    counts = np.diff(cuts, append=len(some))
     often = np.flatnonzero(counts >= LEAST)
     kinds, counts = some[cuts[often]], counts[often]
     same = (kinds >> np.uint64(32)) == (kinds & np.uint64(0xFFFFFFFF))
     return kinds[np.argsort(-np.where(same, (counts + 1) // 2, counts), kind="stable")]
 
 
-def _round(seq: np.ndarray, last: np.ndarray, next_id: int, fresh: int, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One round: (symbols, document-last flags, new rules, pairs that wait for the next round).
+def _round(seq: np.ndarray, after: np.ndarray, before: np.ndarray, at: np.ndarray, next_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round, in place: (left symbols of the pairs that the next round looks at, new rules).
 
-    Only pairs with a symbol of the last round (from ``fresh`` on) and those that wait can be frequent:
-    the uses of all others have become fewer since they were counted. Of overlapping uses that of the
-    more frequent pair stands, so the most frequent pair has all of its own, and a round without a
-    rule is the last one.
+    ``after`` and ``before`` lead to the next and last symbol of the document, -1 if there is none. Only
+    pairs with a symbol of the last round and those that were frequent then can be frequent: the uses of
+    all others have become fewer since they were counted. Of overlapping uses that of the more frequent pair
+    stands, so the most frequent pair has all of its own, and a round without a rule is the last one.
     """
-    new = seq >= fresh
-    ask = new[:-1] | new[1:]
-    if len(waiting):
-        begins, ends = np.zeros(next_id, bool), np.zeros(next_id, bool)
-        begins[(waiting >> np.uint64(32)).astype(np.int64)] = True
-        ends[(waiting & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        ask |= begins[seq[:-1]] & ends[seq[1:]]
-    hit = np.flatnonzero(ask & ~last[:-1])
-    pairs = seq[hit].astype(np.uint64) << np.uint64(32) | seq[hit + 1].astype(np.uint64)
+    right = after[at]
+    pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[right]
     chosen = _frequent(pairs)
     if not len(chosen):
-        return seq, last, np.zeros((0, 2), np.uint32), chosen
+        return at, np.zeros((0, 2), np.uint32)
     # a table of slots names the pair of each use; pairs that lost their slot to another one are searched for
     table = np.full(1 << 20, -1, np.int32)
     slots = ((chosen * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)
     table[slots] = np.arange(len(chosen), dtype=np.int32)
     lost = np.flatnonzero(table[slots] != np.arange(len(chosen)))
-    rank = table[((pairs * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)]
-    some = np.flatnonzero(rank >= 0)
-    hit, pairs, rank = hit[some], pairs[some], rank[some].astype(np.int64)  # rank 0 is the most frequent pair
+    rank = table[((pairs * _MULTIPLIER) >> np.uint64(44)).astype(np.int64)]  # rank 0 is the most frequent pair
     found = chosen[rank] == pairs
     if len(lost):
         lost = lost[np.argsort(chosen[lost])]
-        ordered, miss = chosen[lost], np.flatnonzero(~found)
+        ordered, miss = chosen[lost], np.flatnonzero(~found & (rank >= 0))
         place = np.minimum(np.searchsorted(ordered, pairs[miss]), len(ordered) - 1)
         same = ordered[place] == pairs[miss]
         rank[miss[same]], found[miss[same]] = lost[place[same]], True
-    hit, rank = hit[found], rank[found]
-    next_to = np.diff(hit) == 1
-    beaten = np.zeros(len(hit), bool)
-    beaten[1:] |= next_to & (rank[:-1] < rank[1:])
-    beaten[:-1] |= next_to & (rank[1:] < rank[:-1])
-    hit, rank = hit[~beaten], rank[~beaten]
+    use = np.flatnonzero(found)
+    hit, right, rank = at[use], right[use], rank[use]
+    ask = np.zeros(len(seq), bool)
+    ask[hit] = True
+    next_to = right[:-1] == hit[1:]
+    stands = np.ones(len(hit), bool)
+    stands[1:] &= ~(next_to & (rank[:-1] < rank[1:]))
+    stands[:-1] &= ~(next_to & (rank[1:] < rank[:-1]))
+    use = np.flatnonzero(stands)
+    hit, right, rank = hit[use], right[use], rank[use]
     # what still overlaps is a run of one symbol: every other pair, from the left
-    first = np.r_[True, hit[1:] != hit[:-1] + 1]
-    number = np.arange(len(hit))
-    taken = (number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0
-    hit, rank = hit[taken], rank[taken]
+    inner = np.flatnonzero(right[:-1] == hit[1:]) + 1
+    if len(inner):
+        number = np.zeros(len(hit), np.int64)
+        number[inner] = 1
+        first = np.flatnonzero(number == 0)
+        number = np.arange(len(hit)) - np.repeat(first, np.diff(first, append=len(hit)))
+        use = np.flatnonzero(number % 2 == 0)
+        hit, right, rank = hit[use], right[use], rank[use]
     pays = np.bincount(rank, minlength=len(chosen)) >= LEAST
-    hit, rank = hit[pays[rank]], rank[pays[rank]]
+    use = np.flatnonzero(pays[rank])
+    hit, right, rank = hit[use], right[use], rank[use]
     names = (next_id + np.cumsum(pays) - 1).astype(np.uint32)
-    seq, last, stay = seq.copy(), last.copy(), np.ones(len(seq), bool)
-    seq[hit], last[hit] = names[rank], last[hit + 1]
-    stay[hit + 1] = False
-    kept = chosen[pays]
-    rules = np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return seq[stay], last[stay], rules, chosen[~pays]
+    seq[hit], seq[right] = names[rank], GONE
+    follow = after[right]
+    after[hit] = follow
+    inner = np.flatnonzero(follow >= 0)
+    before[follow[inner]] = hit[inner]
+    left = before[hit]
+    ask[left[left >= 0]], ask[right] = True, False
+    at, kept = np.flatnonzero(ask), chosen[pays]
+    return at[after[at] >= 0], np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def grammar(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, first symbol of each document and the end)."""
     seq, full = ids.astype(np.uint32), np.diff(first) > 0
-    last = np.zeros(len(seq), bool)
-    last[first[1:][full] - 1] = True
-    rules, waiting = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint64)
-    fresh, next_id = 0, base
-    while len(seq) > 1:
-        seq, last, more, waiting = _round(seq, last, next_id, fresh, waiting)
+    after, before = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1)
+    after[first[1:][full] - 1] = before[first[:-1][full]] = -1
+    rules, next_id, at = [np.zeros((0, 2), np.uint32)], base, np.flatnonzero(after >= 0)
+    while len(at):
+        at, more = _round(seq, after, before, at, next_id)
         if not len(more):
             break
         rules.append(more)
-        fresh, next_id = next_id, next_id + len(more)
-    counts = np.zeros(len(first) - 1, np.int64)
-    counts[full] = np.diff(np.r_[0, np.flatnonzero(last) + 1])
-    return np.concatenate(rules), seq, np.r_[0, np.cumsum(counts)]
+        next_id += len(more)
+    stay = np.flatnonzero(seq != GONE)
+    return np.concatenate(rules), seq[stay], np.searchsorted(stay, first)
 
 
 def encode(ids: np.ndarray, first: np.ndarray, base: int, end_id: int) -> bytes:

@@ -11,7 +11,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 from pathlib import Path
 
 import numpy as np
@@ -44,15 +44,25 @@ class _Places(dict):
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: A capital that may compose with the mark behind it, which must happen before it is lower-cased.
-COMPOSES = re.compile(rb"[A-Z][\x80-\xff]")
+#: A capital before one of these bytes may compose with a mark, which must happen before it is lower-cased;
+#: letters of Latin-1 and Latin Extended-A and -B (C2 to C8) are no marks and stand between it and any.
+MAY_COMPOSE = np.r_[np.zeros(0x80, bool), np.ones(0x80, bool)]
+MAY_COMPOSE[0xC2:0xC9] = False
+ALNUM = common.byte_class(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+MARK = common.byte_class(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Lower-case letters of ASCII and Latin-1 only: words that no normaliser of `goes_by_words` changes, and no pattern cuts.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Bytes of a word that its key holds; the key's last byte is its length.
+KEY_BYTES, SLOT_BITS = 15, 21
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def goes_by_words(definition: str) -> bool:
     """Whether a tokenizer gives a text the ids of its words (between white space), one after the other.
 
     That is known of tokenizers that normalise by nothing but NFC, lower case and one space for white
-    space, keep WORD_PATTERN only, and mark the end of a word.
+    space, keep WORD_PATTERN only, mark the end of a word, and have `<|` in every added token.
     """
     known = json.loads(definition)
     listed = lambda part, name: (part or {}).get(name) or ([part] if part else [])
@@ -62,15 +72,68 @@ def goes_by_words(definition: str) -> bool:
     return (plain and any(n["type"] == "Lowercase" for n in normal) and split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_PATTERN}
             and split.get("behavior") == "Removed" and split.get("invert") is True
             and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in cut[1:])
+            and all("<|" in t["content"] and len(t["content"].split()) == 1 for t in known.get("added_tokens") or [])
             and known["model"].get("end_of_word_suffix") == "</w>")
 
 
+def for_letters(definition: str) -> Tokenizer:
+    """The tokenizer for texts of LETTERS and spaces: the same model, without the steps that leave those as they are."""
+    known = json.loads(definition)
+    cut = known["pre_tokenizer"].get("pretokenizers") or [known["pre_tokenizer"]]
+    known["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *cut[1:]]}
+    return Tokenizer.from_str(json.dumps(known | {"normalizer": None, "post_processor": None, "added_tokens": []}))
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first and end of each word in them, words before each text and in all).
+
+    Words end at white space, and where ASCII letters or digits meet marks, which the pattern keeps apart;
+    only an apostrophe may belong to what follows it. Capitals of ASCII are lower-cased. Texts that may
+    hold special tokens are left as they stand.
+    """
+    joined = b" ".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    starts = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)]
+    lower, alnum, mark = data - np.uint8(65) < 26, ALNUM[data], MARK[data]
+    if not joined.isascii():
+        lower[:-1] &= ~MAY_COMPOSE[data[1:]]
+    cut = alnum[:-1] & mark[1:] | mark[:-1] & alnum[1:] & (data[:-1] != ord("'"))
+    if b"<|" in joined:
+        for k, text in enumerate(texts):
+            if b"<|" in text:
+                lower[starts[k]:starts[k + 1]] = cut[starts[k]:starts[k + 1]] = False
+    inside = common.NOT_SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | cut
+    ends[:-1] &= ~inside[1:] | cut
+    begin = np.flatnonzero(begins)
+    return data | (lower.view(np.uint8) << np.uint8(5)), begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, starts)
+
+
+def _keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) halves of words' keys, which only equal words share if they have at most KEY_BYTES.
+
+    Longer words have a high half that no shorter one has.
+    """
+    padded, size = np.concatenate([data, np.zeros(16, np.uint8)]), end - begin
+    wide = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    low = wide[begin] & _BYTES[np.minimum(size, 8)]
+    high = wide[begin + np.minimum(size, 8)] & _BYTES[np.clip(size - 8, 0, 8)] | size.astype(np.uint64) << np.uint64(56)
+    high[size > KEY_BYTES] = _BYTES[8]
+    return low, high
+
+
+def _slots(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return ((low ^ low >> np.uint64(32) ^ high * _MULTIPLIERS[0]) * _MULTIPLIERS[1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class WordIds:
     """Ids of texts by a table of words met so far; the tokenizer encodes each new word once.
 
     This is for tokenizers of `goes_by_words`; with any other one whole texts are encoded. Strings of
-    special tokens are left to the tokenizer as they stand. When the table is full, words that came once are
-    forgotten.
+    special tokens are left to the tokenizer as they stand. Slots name most words by their keys; long
+    words, new ones, and those that lost their slot to another word are looked up one by one. When the
+    table is full, words that came once are forgotten.
     """
 
     def __init__(self, definition: str) -> None:
@@ -81,97 +144,110 @@ class WordIds:
         self.ends_word = np.zeros(self.size, bool)
         for token, k in vocabulary.items():
             self.ends_word[k] = token.endswith("</w>")
+        if self.by_words:
+            self.letters = for_letters(definition)
+            # a long word with an id of its own stands between words whose ids are to be told apart
+            whole = sorted((t[:-4] for t in vocabulary if t.endswith("</w>") and LETTERS.fullmatch(t[:-4].encode())), key=lambda t: (-len(t), t))
+            alone = ((t, self.tokenizer.encode(t, add_special_tokens=False).ids) for t in whole)
+            self.between, (self.between_id,) = next(((t.encode(), x) for t, x in alone if len(x) == 1), (None, [-1]))
         self.clear()
 
     def clear(self) -> None:
         self.known = _Places()
-        self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.uses, self.used = np.zeros(1024, np.int64), 0
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.first, self.count, self.uses = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.low, self.high, self.flat, self.used = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(4096, np.uint32), 0
 
     def _shrink(self) -> None:
         """Forget the words that came only once; all of them if that does not halve the table."""
-        words = [w for w, n in zip(self.known, self.uses.tolist()) if n > 1]
-        ids = [self.flat[a:a + n] for a, n in zip(*(x[:len(self.known)][self.uses[:len(self.known)] > 1].tolist() for x in (self.first, self.count)))]
+        often = self.uses[:len(self.known)] > 1
+        keep = np.flatnonzero(often)
+        if len(keep) > KNOWN_WORDS // 2:
+            return self.clear()
+        words, ids = list(compress(self.known, often.tolist())), self._ids(keep)
+        count, low, high = self.count[keep], self.low[keep], self.high[keep]
         self.clear()
-        if len(words) <= KNOWN_WORDS // 2:
-            self.known.update(zip(words, range(len(words))))
-            self._add([x.tolist() for x in ids])
-
-    def _add(self, ids: list[list[int]]) -> None:
-        """Ids of the last words of the table, in their order."""
-        n, lengths = len(self.known) - len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while len(self.first) < n + len(ids):
-            self.first, self.count, self.uses = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.first, self.count, self.uses))
-        while len(self.flat) < self.used + total:
-            self.flat = np.r_[self.flat, self.flat]
-        self.first[n:n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.count[n:n + len(ids)] = lengths
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.used += total
-
-    def _encode_new(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words."""
-        found, plain, rest = {}, [], []
-        for w in words:  # of letters only: one word for the tokenizer, too
-            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
-        for a in range(0, len(plain), 4096):
-            own = plain[a:a + 4096]
-            ids = self.tokenizer.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids
-            cuts = (np.flatnonzero(self.ends_word[np.array(ids, np.int64)]) + 1).tolist()
-            if len(cuts) == len(own):
-                found.update(zip(own, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
-            else:
-                rest += own
-        if rest:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-            found.update(zip(rest, (x.ids for x in encoded)))
-        return found
+        self.known.update(zip(words, range(len(words))))
+        self._add(np.arange(len(words)), ids, np.cumsum(count))
+        self._name(np.arange(len(words)), low, high, _slots(low, high))
+
+    def _ids(self, places: np.ndarray) -> np.ndarray:
+        lengths = self.count[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.first[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _grow(self) -> None:
+        while len(self.first) < len(self.known):
+            self.first, self.count, self.uses, self.low, self.high = (
+                np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.first, self.count, self.uses, self.low, self.high))
+
+    def _add(self, places: np.ndarray | list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of words of the table, one after the other, each up to its end."""
+        self._grow()
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, self.flat])
+        starts = np.concatenate([[0], ends[:-1]])
+        self.first[places], self.count[places] = self.used + starts, ends - starts
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _name(self, places: np.ndarray, low: np.ndarray, high: np.ndarray, slots: np.ndarray) -> None:
+        """Keep the keys of words of the table; short words take their slots where these are free, the first word first."""
+        self.low[places], self.high[places] = low, high
+        free = np.flatnonzero((self.slots[slots] < 0) & (high != _BYTES[8]))[::-1]
+        self.slots[slots[free]] = places[free]
 
     def _learn(self, words: list[bytes]) -> None:
-        known, asked = self.known, {b".", b","}
-        old = len(known) - len(words)
-        bare = []
-        for w in words:
-            # a full stop or comma after an ASCII letter or digit is a token of its own
-            if w[-1] in b".," and w[-2:-1].isalnum() and b"<|" not in w:
-                w = w[:-1]
-                bare.append(w)
+        """Ids of the last words of the table."""
+        letters, rest = [], []
+        for place, w in enumerate(words, old := len(self.known) - len(words)):
+            (letters if LETTERS.fullmatch(w) else rest).append(place)
+        for a in range(0, len(letters), 1024):
+            own = letters[a:a + 1024]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join([words[k - old] for k in own]).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(own):
+                self._add(own, ids, ends)
             else:
-                bare.append(None)
-            asked.add(w)
-        ids = {}
-        for w in bare:
-            if w is not None and 0 <= (at := dict.get(known, w, -1)) < old:
-                ids[w] = self.flat[self.first[at]:self.first[at] + self.count[at]].tolist()
-        ids |= self._encode_new([w for w in asked if w not in ids])
-        self._add([ids[w] if x is None else ids[x] + ids[w[-1:]] for w, x in zip(words, bare)])
+                rest += own
+        for a in range(0, len(rest), 1024):
+            own = rest[a:a + 1024]
+            parts = [words[k - old] for k in own]
+            if self.between:
+                text = b"".join([x for w in parts for x in (w, b" ", self.between, b" ")])
+                ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int64)
+                at = ids == self.between_id
+                if np.count_nonzero(at) == len(own):
+                    self._add(own, ids[~at], np.flatnonzero(at) - np.arange(len(own)))
+                    continue
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in parts], add_special_tokens=False)]
+            self._add(own, np.fromiter(chain.from_iterable(each), np.int64), np.cumsum([len(x) for x in each]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         if not self.by_words:
             found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(found), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
-        words, counts = [], [0]
-        for text in texts:
-            if b"<|" in text:
-                words += text.split()
-            elif text.isascii() or not COMPOSES.search(text):
-                words += text.lower().split()
-            else:
-                words += [w if COMPOSES.search(w) else w.lower() for w in text.split()]
-            counts.append(len(words))
         if len(self.known) > KNOWN_WORDS:
             self._shrink()
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        data, begin, end, counts = _words(texts)
+        low, high = _keys(data, begin, end)
+        slots = _slots(low, high)
+        at = self.slots[slots].astype(np.int64)
+        miss = np.flatnonzero((at < 0) | (self.low[at] != low) | (self.high[at] != high))
+        body = data.tobytes()
+        words = [body[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist())]
+        old = len(self.known)
+        at[miss] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
+            new, where = np.unique(at[miss], return_index=True)
+            where = miss[where[new >= old]]
+            self._name(at[where], low[where], high[where], slots[where])
         self.uses[:len(self.known)] += np.bincount(at, minlength=len(self.known))
-        lengths = self.count[at]
-        ends = np.r_[0, np.cumsum(lengths)]
-        ids = self.flat[np.repeat(self.first[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[counts]
+        ends = np.r_[0, np.cumsum(self.count[at])]
+        return self._ids(at), ends[counts]
 
 
 _ENCODERS: dict[int, WordIds] = {}

@@ -205,6 +205,66 @@ def test_ids_of_words_are_those_of_the_text():
     assert not token_files.goes_by_words(json.dumps(other))
 
 
+def _word_ids():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    definition = Path(token_files.default_tokenizer()).read_text()
+    return token_files.WordIds(definition), Tokenizer.from_str(definition)
+
+
+def test_words_are_learned_once_whatever_marks_they_carry():
+    encoder, _ = _word_ids()
+    encoder.encode([b'Alpha alpha### (alpha) "ALPHA" alpha, alpha; ***alpha*** alpha.', b"it's alpha..."])
+    assert set(encoder.known) == {b"alpha", b"###", b"(", b")", b'"', b",", b";", b"***", b".", b"it", b"'s", b"..."}
+
+
+@pytest.mark.parametrize("slot_bits", [2, 21])
+def test_ids_of_words_next_to_marks(slot_bits, monkeypatch):
+    """Also with few slots, so that most words lose theirs, and a table that is full at every text."""
+    monkeypatch.setattr(token_files, "SLOT_BITS", slot_bits)
+    rng = random.Random(slot_bits)
+    parts = ["a", "Word", "\u00e9t\u00e9", "\u00c9", "F\u00fc", "'", "'s", "'LL", "s", "re", "7", "42", ".", "...", ",", "<", "|", "=", "\u0338", "A\u030a", "\u0301", "\u05b0",
+             "\u00f7", "\u212a", "\u037e", "\u1fef", "\u00a0", "\x85", "\x00", "\x1c", "\x7f", " ", "  ", "\n", "\u4e00", "\u00aa", "\u01c5", "\u03a3", "\U0001f600",
+             "averyveryverylongwordindeed", "sixteenletters16", "fifteenletters!", "<|endoftext|>", "<|ENDOFTEXT|>", "_", "@"]
+    texts = ["", " ", "'", "don't 'tis dogs'rest it'S ''s .'s 'sx,", *("".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000))]
+    for known_words in (400_000, 20):
+        monkeypatch.setattr(token_files, "KNOWN_WORDS", known_words)
+        encoder, tokenizer = _word_ids()
+        texts.append(encoder.between.decode() + "! \u4e00" + encoder.between.decode())  # the word that stands between others comes itself
+        for a in range(0, len(texts), 500):
+            for _ in range(2):
+                flat, first = encoder.encode([t.encode() for t in texts[a:a + 500]])
+                for k, t in enumerate(texts[a:a + 500]):
+                    assert flat[first[k]:first[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_keys_tell_words_apart():
+    words = [b"a", b"a\0", b"\0a", b"\0", b"\0\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"x" * 14, b"x" * 15, b"y" * 15, b"\xff" * 15]
+    longer = [b"x" * 16, b"x" * 40, b"\xff" * 16]
+    ends = np.cumsum([len(w) for w in words + longer])
+    data = np.frombuffer(b"".join(words + longer), np.uint8)
+    low, high = token_files._keys(data, np.r_[0, ends[:-1]], ends)
+    keys = list(zip(low.tolist(), high.tolist()))
+    assert len(set(keys[:len(words)])) == len(words)
+    assert all(h == (1 << 64) - 1 for h in high[len(words):].tolist()) and all(h >> 56 <= 15 for h in high[:len(words)].tolist())
+
+
+def test_repair_leaves_no_pair_that_pays():
+    """Uses that lost to an overlapping pair, or came up again later, are replaced as well; also in runs of one symbol."""
+    rng = np.random.default_rng(5)
+    for alphabet in (1, 2, 3, 8, 60):
+        for _ in range(8):
+            sizes = rng.integers(0, 400, 9)
+            ids, first = rng.integers(0, alphabet, sizes.sum()), np.r_[0, np.cumsum(sizes)]
+            rules, seq, start = repair.grammar(ids, first, alphabet)
+            pairs = Counter(p for a, b in zip(start[:-1].tolist(), start[1:].tolist()) for p in zip(seq[a:b].tolist(), seq[a + 1:b].tolist()) if p[0] != p[1])
+            assert max(pairs.values(), default=0) < repair.LEAST
+            flat, at = repair.Shard.read(repair.encode(ids, first, alphabet, alphabet + 1)).documents()
+            assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[*ids[a:b].tolist(), alphabet + 1] for a, b in zip(first[:-1], first[1:])]
+
+
 def test_token_files(spark, tmp_path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
